@@ -2,16 +2,913 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from symloom.functions import names as N
+from symloom.functions import text as X
+from symloom.jobs import inputs as I
+from symloom.jobs.inputs import Tables, duck
+from symloom.operators import answers as A
+from symloom.operators import batching as B
+from symloom.operators import checkpoint as C
+from symloom.operators import context as K
+from symloom.operators import extract as E
+from symloom.operators import indexes as D
+from symloom.sources import files as S
+from symloom.storage import shared_dir
+from symloom.streaming import progress as P
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Register a query under its function's name, with its SQL over the given tables."""
+
+    def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            _SQL[f.__name__] = duck(sql)
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _short(base: str, abbreviations: list[str], words: list[str], hexadecimal: bool) -> str:
+    more = f"WHEN regexp_full_match(lower({base}), '[a-f0-9]{{{{4,}}}}') THEN true" if hexadecimal else ""
+    return f"""WHEN length({base}) = 1 THEN true WHEN length({base}) = 2 THEN lower({base}) NOT IN {_in(abbreviations)}
+        WHEN regexp_full_match({base}, '[a-zA-Z][0-9]+') THEN true
+        WHEN regexp_full_match({base}, '[a-zA-Z]{{{{1,3}}}}') AND lower({base}) IN {_in(words)} THEN false
+        WHEN regexp_full_match({base}, '[a-zA-Z]{{{{1,3}}}}') AND len(list_distinct(string_split(lower({base}), ''))) <= 2 THEN true
+        WHEN contains({base}, '_') AND length({base}) <= 5 THEN true {more} ELSE false END"""
+
+
+def flagged_sql(n: str) -> str:
+    suffix = "'(?s)(.+)__u[0-9]+'"
+    base = f"(CASE WHEN regexp_full_match({n}, {suffix}) THEN regexp_extract({n}, {suffix}, 1) ELSE {n} END)"
+    return f"(CASE WHEN {n} IS NULL OR {n} = '' THEN false WHEN NOT regexp_full_match({n}, {suffix}) AND lower({n}) IN {_in(N.KEPT)} THEN false {_short(base, N.ABBREVIATIONS, N.SHORT_WORDS, True)})"
+
+
+FLAGGED = f"SELECT path, scope_id, binding_seq, name, line, col, binding_type FROM ({I.BINDINGS}) b WHERE {flagged_sql('name')}"
+
+
+# Sources and sinks
+
+
+@query(f"SELECT 'path=' || path AS place, length(t) AS n_chars, sha256(t) AS digest FROM (SELECT path, string_agg(text, chr(10) ORDER BY line) || chr(10) AS t FROM ({I.LINES}) l GROUP BY path) s")
+def read_sources(t: Tables) -> DataFrame:
+    folder = f"{shared_dir(t.spark)}/sources-{uuid.uuid4().hex}"
+    t.sources().repartition("path").write.partitionBy("path").text(folder)
+    got = S.read_sources(t.spark, folder, "*.txt")
+    return got.select(F.element_at(F.split("path", "/"), -2).alias("place"), F.length("source").alias("n_chars"), X.fingerprint(F.col("source")).alias("digest"))
+
+
+_PATHS = "CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'src/a' || CAST(o_orderkey AS STRING) || '.js' WHEN 1 THEN 'node_modules/x/' || CAST(o_orderkey AS STRING) || '.js' WHEN 2 THEN 'lib/b' || CAST(o_custkey AS STRING) || '.min.js' WHEN 3 THEN 'out.min.d/c' || CAST(o_orderkey AS STRING) || '.test.js' ELSE 'plain' || CAST(o_orderkey AS STRING) END"
+
+
+@query(f"SELECT path FROM (SELECT {_PATHS} AS path FROM {{orders}}) p WHERE NOT contains(path, 'node_modules') AND NOT contains(list_last(string_split(path, '/')), '.min.')")
+def source_filter(t: Tables) -> DataFrame:
+    return S.filter_sources(t.sql(f"SELECT {_PATHS} AS path FROM {{orders}}"))
+
+
+@query(I.DOC_LINES_DUCK)
+def explode_lines(t: Tables) -> DataFrame:
+    return S.explode_lines(t.documents_as_sources())
+
+
+def _parse_json(t: Tables) -> tuple[DataFrame, DataFrame]:
+    own = t.bindings().select("path", "scope_id", "binding_seq", F.struct("name", "line", "column", F.when(F.col("binding_type") != "parameter", F.col("binding_type")).alias("type")).alias("b"))
+    own = own.groupBy("path", "scope_id").agg(F.array_sort(F.collect_list(F.struct("binding_seq", "b"))).alias("r"))
+    rows = t.scopes().join(own, ["path", "scope_id"], "left")
+    point = lambda a, b: F.struct(F.col(a).alias("row"), F.col(b).alias("column"))
+    scope = F.struct(F.col("scope_id").alias("id"), F.when(F.col("scope_type") != "block", F.col("scope_type")).alias("type"), F.col("parent_id").alias("parentId"), F.col("children").alias("children"), F.struct(point("start_row", "start_col").alias("start"), point("end_row", "end_col").alias("end")).alias("range"), F.transform("r", lambda x: x["b"]).alias("bindings"))
+    files = rows.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("scope_id", scope))).alias("scopes"))
+    folder = f"{shared_dir(t.spark)}/parsed-{uuid.uuid4().hex}"
+    files.write.partitionBy("path").json(folder)
+    scopes, bindings = S.read_parse_json(t.spark, folder)
+    named = F.regexp_extract(F.element_at(F.split("path", "/"), -2), "^path=(.*)$", 1)
+    return scopes.withColumn("path", named), bindings.withColumn("path", named)
+
+
+@query(f"SELECT path, scope_id, scope_seq, scope_type, start_row, end_row, parent_id FROM ({I.SCOPES}) s")
+def read_parse_json_scopes(t: Tables) -> DataFrame:
+    return _parse_json(t)[0].select("path", "scope_id", "scope_seq", "scope_type", "start_row", "end_row", "parent_id")
+
+
+@query(f"SELECT path, scope_id, CAST(row_number() OVER (PARTITION BY path, scope_id ORDER BY binding_seq) - 1 AS BIGINT) AS place, name, line, col, CAST(col + length(name) AS INT) AS end_col, CASE binding_type WHEN 'parameter' THEN 'variable' ELSE binding_type END AS binding_type FROM ({I.BINDINGS}) b")
+def read_parse_json_bindings(t: Tables) -> DataFrame:
+    got = _parse_json(t)[1]
+    return got.select("path", "scope_id", (F.col("binding_seq") % 1000000).alias("place"), "name", "line", F.col("column").alias("col"), F.col("end_column").alias("end_col"), "binding_type")
+
+
+@query(f"SELECT path, regexp_replace(path, '([^/])([.][^./]*)?$', '\\1.deobfuscated.js') AS beside, 'out/' || CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE list_last(string_split(path, '/')) END AS mirrored FROM (SELECT {_PATHS} AS path FROM {{orders}}) p WHERE o_ok".replace(" WHERE o_ok", ""))
+def write_sources(t: Tables) -> DataFrame:
+    rows = t.sql(f"SELECT {_PATHS} AS path FROM {{orders}}").withColumn("source", F.lit("x"))
+    folder = f"{shared_dir(t.spark)}/written-{uuid.uuid4().hex}"
+    S.write_sources(rows, folder)
+    back = t.spark.read.parquet(folder)
+    return back.select("path", S.output_path(F.col("path")).alias("beside"), S.output_path(F.col("path"), F.lit("src"), F.lit("out")).alias("mirrored"))
+
+
+# Extraction from lines
+
+
+def _extract_sql(kind: str, pattern: str) -> str:
+    return f"""SELECT path, line, name, binding_type FROM (SELECT path, line, unnest(regexp_extract_all(text, '{pattern}', 1)) AS name, '{kind}' AS binding_type FROM ({I.LINES}) l) e"""
+
+
+@query(f"SELECT path, line, name, CAST(4 AS INT) AS col, CAST(4 + length(name) AS INT) AS end_col, binding_type FROM ({_extract_sql('variable', E.VARIABLE)}) v")
+def extract_var_bindings(t: Tables) -> DataFrame:
+    return E.extract_bindings(t.lines(), ("variable",)).select("path", "line", "name", F.col("column").alias("col"), F.col("end_column").alias("end_col"), "binding_type")
+
+
+@query(f"SELECT path, line, name, CAST(9 AS INT) AS col, CAST(9 + length(name) AS INT) AS end_col, binding_type FROM ({_extract_sql('function', E.FUNCTION)}) v")
+def extract_func_bindings(t: Tables) -> DataFrame:
+    return E.extract_bindings(t.lines(), ("function",)).select("path", "line", "name", F.col("column").alias("col"), F.col("end_column").alias("end_col"), "binding_type")
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS path, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '" + E.VARIABLE + "', 1)) AS name FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '" + E.FUNCTION + "', 1)) AS name FROM pages) x WHERE " + flagged_sql("name") + " GROUP BY page_id, name")
+def binding_name_counts(t: Tables) -> DataFrame:
+    """The first slice: pages to lines to declared names, the machine-made ones counted."""
+    pages = t.given("pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("source"))
+    found = E.extract_bindings(S.explode_lines(pages))
+    return D.name_counts(found.where("is_obfuscated"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, 'scope_0' AS scope_id, CAST(len(string_split(text, chr(10))) - 1 AS INT) AS end_row, CAST(length(list_last(string_split(text, chr(10)))) AS INT) AS end_col FROM documents")
+def program_scopes(t: Tables) -> DataFrame:
+    return S.program_scopes(S.explode_lines(t.documents_as_sources())).select("path", "scope_id", "end_row", "end_col")
+
+
+_WORDS = f"SELECT DISTINCT path, name FROM ({I.BINDINGS}) b WHERE binding_seq % 4 = 0"
+
+
+@query(f"SELECT DISTINCT l.path, n.name, l.line FROM ({I.LINES}) l JOIN ({_WORDS}) n ON l.path = n.path WHERE regexp_matches(l.text, '(^|[^A-Za-z0-9_$.])' || n.name || '($|[^A-Za-z0-9_$])')")
+def occurrence_lines(t: Tables) -> DataFrame:
+    return E.occurrences(t.lines(), t.sql(_WORDS))
+
+
+_REFS = f"SELECT path, name, line, col, list_sort(list(DISTINCT ref_line)) AS refs FROM ({I.REFERENCES}) r GROUP BY path, name, line, col"
+_JOIN = "array_to_string({x}, ',')"
+
+
+@query(f"SELECT b.path, b.name, b.line, b.col, b.binding_seq, coalesce(array_to_string(r.refs, ','), '') AS refs FROM ({I.BINDINGS}) b LEFT JOIN ({_REFS}) r ON b.path = r.path AND b.name = r.name AND b.line = r.line AND b.col = r.col")
+def binding_reference_map(t: Tables) -> DataFrame:
+    got = E.attach_references(t.bindings(), t.references())
+    return got.select("path", "name", "line", F.col("column").alias("col"), "binding_seq", F.array_join(F.col("reference_lines").cast("array<string>"), ",").alias("refs"))
+
+
+_BOUND = f"SELECT b.path, b.name, b.line, b.binding_seq, r.refs FROM ({I.BINDINGS}) b LEFT JOIN ({_REFS}) r ON b.path = r.path AND b.name = r.name AND b.line = r.line AND b.col = r.col"
+
+
+@query(f"SELECT path, name, line, CASE WHEN refs IS NOT NULL THEN array_to_string(list_filter(refs, x -> x <> line), ',') END AS refs FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY binding_seq) AS r FROM ({_BOUND}) q) z WHERE r = 1")
+def reference_lines(t: Tables) -> DataFrame:
+    got = E.binding_references(E.attach_references(t.bindings(), t.references()))
+    return got.select("path", "name", "line", F.array_join(F.col("reference_lines").cast("array<string>"), ",").alias("refs"))
+
+
+# Column functions
+
+
+def _names(t: Tables) -> DataFrame:
+    return t.sql(I.NAMES)
+
+
+@query(f"SELECT name, {flagged_sql('name')} AS flagged FROM ({I.NAMES}) n")
+def is_obfuscated(t: Tables) -> DataFrame:
+    return _names(t).select("name", N.is_obfuscated(F.col("name")).alias("flagged"))
+
+
+@query(f"SELECT name, CASE WHEN name IS NULL OR name = '' OR lower(name) IN {_in(N.PARSER_KEPT)} THEN false {_short('name', N.PARSER_ABBREVIATIONS, N.PARSER_SHORT_WORDS, False)} AS flagged FROM ({I.NAMES}) n")
+def is_obfuscated_parser(t: Tables) -> DataFrame:
+    return _names(t).select("name", N.is_obfuscated_parser(F.col("name")).alias("flagged"))
+
+
+@query(f"SELECT name, CASE WHEN regexp_full_match(name, '(?s)(.+)__u[0-9]+') THEN regexp_extract(name, '(?s)^(.+)__u[0-9]+$', 1) ELSE name END AS base, regexp_full_match(name, '(?s)(.+)__u[0-9]+') AS was_uniquified FROM ({I.NAMES}) n")
+def uniquify_base(t: Tables) -> DataFrame:
+    return _names(t).select("name", N.uniquify_base(F.col("name")).alias("b")).select("name", "b.*")
+
+
+_KEYS = "CASE CAST(l_orderkey % 6 AS INT) WHEN 0 THEN 'a__u1:' || CAST(l_partkey AS STRING) WHEN 1 THEN 'a:b:' || CAST(l_linenumber AS STRING) WHEN 2 THEN ':' || CAST(l_partkey AS STRING) WHEN 3 THEN 'name:' WHEN 4 THEN 'x:1y' ELSE 'plain' || CAST(l_partkey AS STRING) END"
+
+
+@query(f"SELECT k, CASE WHEN regexp_full_match(k, '(?s)(.+):([0-9]+)') THEN regexp_extract(k, '(?s)^(.+):([0-9]+)$', 1) END AS name, CASE WHEN regexp_full_match(k, '(?s)(.+):([0-9]+)') THEN CAST(regexp_extract(k, '(?s)^(.+):([0-9]+)$', 2) AS BIGINT) END AS line FROM (SELECT {_KEYS} AS k FROM {{lineitem}}) q")
+def parse_rename_key(t: Tables) -> DataFrame:
+    return t.sql(f"SELECT {_KEYS} AS k FROM {{lineitem}}").select("k", N.parse_rename_key(F.col("k")).alias("p")).select("k", "p.name", "p.line")
+
+
+@query(f"SELECT path, binding_seq, name || ':' || CAST(line + 1 AS VARCHAR) AS rename_key FROM ({I.BINDINGS}) b")
+def format_rename_key(t: Tables) -> DataFrame:
+    return t.bindings().select("path", "binding_seq", N.format_rename_key(F.col("name"), F.col("line")).alias("rename_key"))
+
+
+_VALID = "(regexp_full_match(trim({n}), '[A-Za-z_$][A-Za-z0-9_$]*') AND trim({n}) NOT IN " + _in(N.NOT_A_NAME) + ")"
+
+
+@query(f"SELECT name, {_VALID.replace('{n}', 'name')} AS valid FROM ({I.NAMES} UNION SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'constructor' WHEN 2 THEN 'Class' ELSE 'await ' END FROM {{part}}) n")
+def is_valid_identifier(t: Tables) -> DataFrame:
+    rows = t.sql(f"{I.NAMES} UNION SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'constructor' WHEN 2 THEN 'Class' ELSE 'await ' END FROM {{part}}")
+    return rows.select("name", N.is_valid_identifier(F.col("name")).alias("valid"))
+
+
+@query(f"SELECT path, line, CASE WHEN length(text) > 80 THEN substr(text, 1, 77) || '...' ELSE text END AS clipped FROM ({I.DOC_LINES_DUCK}) l")
+def clip_line(t: Tables) -> DataFrame:
+    return S.explode_lines(t.documents_as_sources()).select("path", "line", X.clip_line(F.col("text"), 80).alias("clipped"))
+
+
+@query(f"SELECT path, line, lpad(CAST(line * 9973 + 1 AS VARCHAR), greatest(6, length(CAST(line * 9973 + 1 AS VARCHAR)))::INT, ' ') || ' | ' || CASE WHEN length(text) > 500 THEN substr(text, 1, 497) || '...' ELSE text END AS shown FROM ({I.DOC_LINES_DUCK}) l")
+def numbered_line(t: Tables) -> DataFrame:
+    return S.explode_lines(t.documents_as_sources()).select("path", "line", X.numbered_line(F.col("line") * 9973, F.col("text")).alias("shown"))
+
+
+def _middle(text: str, most: str) -> str:
+    keep = f"(({most}) - {len(X.MARKER)})"
+    head = f"CAST(floor({keep} * CAST(0.7 AS DOUBLE)) AS INT)"
+    marker = "chr(10) || '... [truncated] ...' || chr(10)"
+    return f"CASE WHEN ({most}) <= 0 OR length({text}) <= ({most}) THEN {text} WHEN {keep} <= 32 THEN substr({text}, 1, {most}) ELSE substr({text}, 1, {head}) || {marker} || right({text}, {keep} - {head}) END"
+
+
+@query(f"SELECT doc_id, {_middle('text', 'CAST(doc_id % 400 AS INT)')} AS cut FROM documents")
+def truncate_middle(t: Tables) -> DataFrame:
+    return t.given("documents").select("doc_id", X.truncate_middle(F.col("text"), (F.col("doc_id") % 400).cast("int")).alias("cut"))
+
+
+_SIZE = "CAST(1500 + doc_id % 9000 AS INT)"
+
+
+@query(f"SELECT doc_id, {_middle('text', f'greatest({_SIZE}, 2048)')} AS context, {_middle('text', f'greatest(least({_SIZE} // 2, 12000), 1024)')} AS snippet FROM documents")
+def prompt_size_limits(t: Tables) -> DataFrame:
+    size = (F.lit(1500) + F.col("doc_id") % 9000).cast("int")
+    rows = t.given("documents").select("doc_id", X.limit_prompt(F.col("text"), F.create_map(F.lit("s"), F.col("text")), size).alias("p"))
+    return rows.select("doc_id", "p.context", F.col("p.snippets")["s"].alias("snippet"))
+
+
+@query(f"SELECT doc_id, {_middle('text', f'least(greatest({_SIZE}, 2048), 8000)')} AS context, {_middle('text', f'least(greatest(least({_SIZE} // 2, 12000), 1024), 2000)')} AS snippet FROM documents")
+def compact_limits(t: Tables) -> DataFrame:
+    size = (F.lit(1500) + F.col("doc_id") % 9000).cast("int")
+    rows = t.given("documents").select("doc_id", X.compact_prompt(F.col("text"), F.create_map(F.lit("s"), F.col("text")), size).alias("p"))
+    return rows.select("doc_id", "p.context", F.col("p.snippets")["s"].alias("snippet"))
+
+
+_ERRORS = "CASE CAST(event_id % 9 AS INT) WHEN 0 THEN 'Error code: 429 - Throttling: TPM' WHEN 1 THEN 'Range of input length should be [1, 131072]' WHEN 2 THEN 'OpenAI-compatible API returned no usable content' WHEN 3 THEN 'Connection error.' WHEN 4 THEN 'maximum context length, rate limit' WHEN 5 THEN 'Request timed out after ' || CAST(value AS STRING) WHEN 6 THEN NULL WHEN 7 THEN event_type ELSE 'bad answer ' || event_type END"
+
+
+def _any(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(m), '{w}')" for w in words) + ")"
+
+
+@query(f"SELECT event_id, CASE WHEN m IS NULL THEN NULL WHEN {_any(X.TOO_LONG)} THEN 'too_long' WHEN {_any(X.FATAL)} THEN 'fatal' WHEN {_any(X.RETRYABLE)} THEN 'retryable' ELSE 'skip' END AS class FROM (SELECT event_id, {_ERRORS} AS m FROM {{events}}) e")
+def classify_error(t: Tables) -> DataFrame:
+    return t.sql(f"SELECT event_id, {_ERRORS} AS m FROM {{events}}").select("event_id", X.classify_error(F.col("m")).alias("class"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(120.0, greatest(1.0, value)) ELSE least(60.0, 1.5 * pow(2.0, event_id % 9)) END::DOUBLE AS request_delay, least(60.0, pow(2.0, least(event_id % 9, 6)))::DOUBLE AS round_delay FROM events")
+def retry_delay(t: Tables) -> DataFrame:
+    n = F.col("event_id") % 9
+    return t.given("events").select("event_id", X.request_delay(n + 1, F.when(F.col("event_id") % 3 == 0, F.col("value")), jitter=False).alias("request_delay"), X.round_delay(n).alias("round_delay"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, substr(md5(source), 1, 12) AS path_hash, substr(sha256(text), 1, 16) AS short_digest FROM documents")
+def source_fingerprint(t: Tables) -> DataFrame:
+    return t.given("documents").select("doc_id", X.fingerprint(F.col("text")).alias("digest"), X.path_hash(F.col("source")).alias("path_hash"), F.substring(X.fingerprint(F.col("text")), 1, 16).alias("short_digest"))
+
+
+@query(f"SELECT path, stem || '_' || substr(md5(path), 1, 12) || '_' || substr(sha256(path), 1, 16) || '_uniq' AS artifact, stem || '_' || substr(md5(path), 1, 12) || '_state.json' AS state FROM (SELECT path, CASE WHEN contains(list_last(string_split(path, '/')), '.') THEN regexp_replace(list_last(string_split(path, '/')), '[.][^.]*$', '') ELSE list_last(string_split(path, '/')) END AS stem FROM (SELECT {_PATHS} AS path FROM {{orders}}) p) q")
+def cache_key(t: Tables) -> DataFrame:
+    rows = t.sql(f"SELECT {_PATHS} AS path FROM {{orders}}")
+    return rows.select("path", X.cache_key(F.col("path"), F.col("path"), F.lit(True)).alias("artifact"), X.state_key(F.col("path")).alias("state"))
+
+
+# answers: an object in a fence, bare, in text, nested, or none
+_BODY = """CASE CAST(l_orderkey % 6 AS INT)
+    WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{{"n' || CAST(l_partkey AS STRING) || '": "first"}}' || chr(10) || '```'
+    WHEN 1 THEN '{{"a:' || CAST(l_linenumber AS STRING) || '": "second", "b": "x"}}'
+    WHEN 2 THEN 'The name is {{"k": {{"nested": "' || CAST(l_suppkey AS STRING) || '"}}}} indeed'
+    WHEN 3 THEN 'no object here'
+    WHEN 4 THEN '```' || chr(10) || 'not json' || chr(10) || '``` then {{"z": "third"}}'
+    ELSE ' {{"q": ' || CAST(l_linenumber AS STRING) || '}} ' END"""
+_TEXT = """CASE CAST(l_orderkey % 6 AS INT) WHEN 0 THEN '{{"n' || CAST(l_partkey AS STRING) || '": "first"}}' WHEN 1 THEN '{{"a:' || CAST(l_linenumber AS STRING) || '": "second", "b": "x"}}'
+    WHEN 2 THEN '{{"k": {{"nested": "' || CAST(l_suppkey AS STRING) || '"}}}}' WHEN 4 THEN '{{"z": "third"}}' WHEN 5 THEN '{{"q": ' || CAST(l_linenumber AS STRING) || '}}' END"""
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_linenumber, k AS answer_key, CASE WHEN json_type(o, '$.\"' || k || '\"') = 'OBJECT' THEN replace(json_extract(o, '$.\"' || k || '\"')::VARCHAR, ' ', '') ELSE json_extract_string(o, '$.\"' || k || '\"') END AS answer FROM (SELECT l_orderkey, l_partkey, l_linenumber, o, unnest(json_keys(o)) AS k FROM (SELECT l_orderkey, l_partkey, l_linenumber, {_TEXT} AS o FROM {{lineitem}}) t WHERE o IS NOT NULL) u")
+def extract_json(t: Tables) -> DataFrame:
+    rows = t.sql(f"SELECT l_orderkey, l_partkey, l_linenumber, {_BODY} AS body FROM {{lineitem}}")
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", F.explode(X.extract_json(F.col("body"))).alias("answer_key", "answer"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN text WHEN turn % 4 = 1 THEN role || text WHEN turn % 4 = 2 THEN role ELSE CASE WHEN conv_id % 2 = 0 THEN text END END AS t FROM conversations")
+def message_text(t: Tables) -> DataFrame:
+    n = F.col("turn") % 4
+    block = lambda a, b: F.struct(a.alias("text"), b.alias("content"))
+    none = F.lit(None).cast("string")
+    blocks = F.when(n == 1, F.array(block(F.col("role"), none), block(F.lit(""), F.col("text")), block(none, none)))
+    return t.given("conversations").select("conv_id", "turn", X.message_text(F.when(n == 0, F.col("text")), blocks, F.when(n == 2, F.col("role")).otherwise("  "), F.when((n == 3) & (F.col("conv_id") % 2 == 0), F.col("text"))).alias("t"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'provider did not include parseable error details' ELSE 'provider_details: ' || array_to_string(list_filter([CASE WHEN event_id % 4 <> 1 THEN 'status=' || user_id END, CASE WHEN event_id % 2 = 0 THEN 'msg=' || event_type END, CASE WHEN event_id % 4 <> 0 THEN 'body=' || props END], x -> x IS NOT NULL), ', ') END AS detail FROM events")
+def provider_error_detail(t: Tables) -> DataFrame:
+    n = F.col("event_id") % 4
+    none = F.lit(None).cast("string")
+    some = lambda c, x: F.when(c & (n != 3), x).otherwise(none)
+    return t.given("events").select("event_id", X.error_detail(some(n != 1, F.col("user_id").cast("string")), some(n % 2 == 0, F.concat(F.lit(" "), "event_type")), some(n != 0, F.col("props"))).alias("detail"))
+
+
+@query(f"""SELECT path, line, CASE WHEN binding_seq % 3 = 0
+        THEN 'Name one symbol of this code.' || chr(10) || chr(10) || 'code' || chr(10) || chr(10) || 'Symbol: ' || name || ' (defined at line ' || CAST(line + 1 AS VARCHAR) || ')' || chr(10) || 'Where it stands:' || chr(10) || 'bit' || chr(10) || chr(10) || 'Answer with a JSON object whose only key is "' || name || '".'
+        ELSE 'Name these symbols of this code.' || chr(10) || chr(10) || 'code' || chr(10) || chr(10) || 'Symbols:' || chr(10) || '- ' || name || ' (line ' || CAST(line + 1 AS VARCHAR) || ')' || chr(10) || '- other' || chr(10) || chr(10) || 'Answer with a JSON object from old to new names; use name:line as a key where a name stands twice.' END AS prompt
+    FROM ({I.BINDINGS}) b""")
+def render_prompt(t: Tables) -> DataFrame:
+    name = F.col("name")
+    symbols = F.when(F.col("binding_seq") % 3 == 0, F.array(name)).otherwise(F.array(name, F.lit("other")))
+    return t.bindings().select("path", "line", X.render_prompt(F.lit("code"), symbols, F.create_map(name, F.col("line") + 1), F.create_map(name, F.lit("bit"))).alias("prompt"))
+
+
+@query(f"SELECT path, binding_seq, (line < 90 OR (line = 90 AND col < 12)) AS lt, (line < 90 OR (line = 90 AND col <= 12)) AS le FROM ({I.BINDINGS}) b")
+def position_order(t: Tables) -> DataFrame:
+    own, fixed = X.position(F.col("line"), F.col("column")), X.position(F.lit(90), F.lit(12))
+    return t.bindings().select("path", "binding_seq", X.position_lt(own, fixed).alias("lt"), X.position_le(own, fixed).alias("le"))
+
+
+@query(f"SELECT a.path, a.scope_id AS a, b.scope_id AS b, (a.start_row <= b.start_row AND a.end_row >= b.end_row) AS contains_b, NOT (a.end_row < b.start_row OR b.end_row < a.start_row) AS overlaps FROM ({I.SCOPES}) a JOIN ({I.SCOPES}) b ON a.path = b.path")
+def range_contains(t: Tables) -> DataFrame:
+    a = t.scopes().select("path", F.col("scope_id").alias("a"), X.position(F.col("start_row"), F.col("start_col")).alias("as"), X.position(F.col("end_row"), F.col("end_col")).alias("ae"))
+    b = a.select("path", F.col("a").alias("b"), F.col("as").alias("bs"), F.col("ae").alias("be"))
+    both = a.join(b, "path")
+    return both.select("path", "a", "b", X.range_contains(F.col("as"), F.col("ae"), F.col("bs"), F.col("be")).alias("contains_b"), X.range_overlaps(F.col("as"), F.col("ae"), F.col("bs"), F.col("be")).alias("overlaps"))
+
+
+# Batching
+
+
+@query(f"SELECT DISTINCT path, name FROM ({FLAGGED}) f")
+def renamable_symbols(t: Tables) -> DataFrame:
+    return D.renamable_symbols(t.bindings())
+
+
+@query(f"SELECT path, scope_id, count(*) AS n, string_agg(name, ',' ORDER BY binding_seq) AS names FROM ({FLAGGED}) f GROUP BY path, scope_id")
+def scope_identifiers(t: Tables) -> DataFrame:
+    got = B.scope_identifiers(t.bindings(), t.scopes())
+    return got.select("path", "scope_id", F.size("identifiers").cast("long").alias("n"), F.array_join(F.transform("identifiers", lambda i: i["name"]), ",").alias("names"))
+
+
+def _small_sql(chars: int, lines: int, kinds: str) -> str:
+    return f"SELECT s.path, s.scope_id FROM ({I.SCOPES}) s JOIN ({I.LINES}) l ON l.path = s.path AND l.line BETWEEN s.start_row AND s.end_row WHERE s.scope_type IN {kinds} GROUP BY s.path, s.scope_id HAVING count(*) <= {lines} AND sum(length(l.text) + 1) <= {chars}"
+
+
+@query(_small_sql(700, 30, "('function', 'block', 'arrow', 'class', 'program')"))
+def small_scope(t: Tables) -> DataFrame:
+    ranges = t.scopes().select("path", F.col("scope_id").alias("id"), "start_row", "end_row")
+    return B.small_ranges(ranges, t.lines(), 700, 30).select("path", F.col("id").alias("scope_id"))
+
+
+_BOUNDARY = f"""WITH RECURSIVE walk(path, scope_id, boundary_id) AS (SELECT path, scope_id, scope_id FROM s WHERE scope_type IN ('function', 'arrow', 'method', 'class')
+    UNION ALL SELECT w.path, s.scope_id, w.boundary_id FROM walk w JOIN s ON s.path = w.path AND s.parent_id = w.scope_id WHERE s.scope_type NOT IN ('function', 'arrow', 'method', 'class')),
+    s AS ({I.TREE}) SELECT path, scope_id, boundary_id FROM walk"""
+
+
+@query(_BOUNDARY)
+def scope_boundary(t: Tables) -> DataFrame:
+    return B.scope_boundaries(t.tree())
+
+
+_MERGED = f"""SELECT f.path, f.scope_id, CASE WHEN f.scope_id IN ('scope_1', 'scope_2') THEN 'scope_1' ELSE f.scope_id END AS boundary_id, f.binding_seq, f.name, f.line, f.col, f.binding_type FROM ({FLAGGED}) f
+    JOIN ({I.SCOPES}) s ON s.path = f.path AND s.scope_id = f.scope_id WHERE f.scope_id IN ('scope_1', 'scope_2') OR (f.scope_id = 'scope_3' AND s.scope_type = 'arrow')"""
+_MERGED = f"SELECT path, boundary_id, scope_id, name, line, col, min(binding_seq) AS binding_seq FROM ({_MERGED}) m GROUP BY path, boundary_id, scope_id, name, line, col"
+
+
+def _merge_sql(most: int, chars: int, lines: int) -> str:
+    small = _small_sql(chars, lines, "('function', 'arrow')")
+    return f"SELECT m.path, m.boundary_id, m.scope_id, m.name, m.line, m.col FROM ({_MERGED}) m JOIN ({small}) z ON z.path = m.path AND z.scope_id = m.boundary_id JOIN (SELECT path, boundary_id FROM ({_MERGED}) m GROUP BY path, boundary_id HAVING count(*) BETWEEN 2 AND {most} AND count(*) = count(DISTINCT name)) g ON g.path = m.path AND g.boundary_id = m.boundary_id"
+
+
+# names in the derived scopes repeat, so a thinned table shows merges
+def _thin(sql: str) -> str:
+    return sql.replace(f"({I.BINDINGS}) b WHERE {flagged_sql('name')}", f"({I.BINDINGS}) b WHERE k_ok AND {flagged_sql('name')}").replace("k_ok", "(scope_id = 'scope_0' OR binding_seq % 23 = 0)")
+
+
+@query(_thin(_merge_sql(50, 2000, 200)))
+def local_scope_merge(t: Tables) -> DataFrame:
+    ids = B.flagged(t.bindings().where("scope_id = 'scope_0' or binding_seq % 23 = 0"))
+    got = B.local_merges(ids, t.scopes(), t.lines(), 50, 2000, 200)
+    return got.select("path", "boundary_id", "scope_id", "name", "line", F.col("column").alias("col"))
+
+
+TOP = f"SELECT * FROM ({FLAGGED}) f WHERE scope_id = 'scope_0'"
+_STATEMENT = f"""SELECT i.path, i.binding_seq, i.line, min(CASE WHEN contains(l.text, ';') THEN l.line END) AS z FROM ({TOP} AND binding_type = 'variable') i JOIN ({I.LINES}) l ON l.path = i.path AND l.line BETWEEN i.line AND i.line + 3 GROUP BY i.path, i.binding_seq, i.line"""
+VAR_OK = f"""SELECT path, binding_seq FROM (SELECT s.path, s.binding_seq, s.line, count(*) AS n, string_agg(l.text, chr(10) ORDER BY l.line) AS t, min_by(l.text, l.line) AS head FROM ({_STATEMENT}) s JOIN ({I.LINES}) l ON l.path = s.path AND l.line BETWEEN s.line AND s.z WHERE s.z IS NOT NULL GROUP BY s.path, s.binding_seq, s.line) q
+    WHERE n <= 2 AND contains(t, '=') AND NOT contains(t, 'function') AND NOT contains(t, '=>') AND length(t) <= 120 AND regexp_matches(head, '\\b(?:var|let|const)\\b')"""
+_FUNC_LINES = f"SELECT s.path, s.start_row FROM ({I.SCOPES}) s JOIN ({_small_sql(600, 26, "('function', 'arrow')")}) z ON z.path = s.path AND z.scope_id = s.scope_id"
+FUNC_OK = f"SELECT i.path, i.binding_seq FROM ({TOP} AND binding_type = 'function') i JOIN ({_FUNC_LINES}) f ON f.path = i.path AND f.start_row = i.line"
+
+
+@query(VAR_OK)
+def top_level_var_eligible(t: Tables) -> DataFrame:
+    ids = B.flagged(t.bindings()).where("scope_id = 'scope_0' and binding_type = 'variable'")
+    return B.variable_eligible(ids, t.lines()).select("path", "binding_seq")
+
+
+@query(FUNC_OK)
+def top_level_func_eligible(t: Tables) -> DataFrame:
+    ids = B.flagged(t.bindings()).where("scope_id = 'scope_0' and binding_type = 'function'")
+    return B.function_eligible(ids, t.scopes(), t.lines(), 600, 26).select("path", "binding_seq")
+
+
+_OK = f"SELECT * FROM ({VAR_OK}) v UNION ALL SELECT * FROM ({FUNC_OK}) w"
+
+
+@query(_OK)
+def program_batch_eligible(t: Tables) -> DataFrame:
+    ids = B.flagged(t.bindings()).where("scope_id = 'scope_0'")
+    return B.program_eligible(ids, t.scopes(), t.lines(), function_lines=26).select("path", "binding_seq")
+
+
+_OK20 = _OK.replace("<= 26 AND", "<= 20 AND")
+
+
+@query(f"""SELECT path, binding_seq, CASE WHEN ok THEN 'scope_0_program_batch_' || CAST((r - 1) // 10 AS VARCHAR) ELSE 'scope_0_program_ineligible_single_' || CAST(r - 1 AS VARCHAR) END AS batch_id
+    FROM (SELECT t.path, t.binding_seq, o.binding_seq IS NOT NULL AS ok, row_number() OVER (PARTITION BY t.path, o.binding_seq IS NOT NULL ORDER BY t.binding_seq) AS r FROM ({TOP}) t LEFT JOIN ({_OK20}) o ON o.path = t.path AND o.binding_seq = t.binding_seq) q""")
+def program_batches(t: Tables) -> DataFrame:
+    ids = B.flagged(t.bindings()).where("scope_id = 'scope_0'")
+    return B.program_batches(ids, t.scopes(), t.lines()).select("path", "binding_seq", "batch_id")
+
+
+@query(f"SELECT path, binding_seq, CASE WHEN n > 20 THEN scope_id || '_chunk_' || CAST((r - 1) // 20 AS VARCHAR) ELSE scope_id END AS batch_id FROM (SELECT path, scope_id, binding_seq, row_number() OVER (PARTITION BY path, scope_id ORDER BY binding_seq) AS r, count(*) OVER (PARTITION BY path, scope_id) AS n FROM ({FLAGGED}) f) q")
+def scope_chunks(t: Tables) -> DataFrame:
+    return B.scope_chunks(B.flagged(t.bindings()), 20).select("path", "binding_seq", "batch_id")
+
+
+@query(f"SELECT path, binding_seq, CASE WHEN n > 1 THEN scope_id || '_single_' || CAST(r - 1 AS VARCHAR) ELSE scope_id END AS batch_id FROM (SELECT path, scope_id, binding_seq, row_number() OVER (PARTITION BY path, scope_id ORDER BY binding_seq) AS r, count(*) OVER (PARTITION BY path, scope_id) AS n FROM ({FLAGGED}) f) q")
+def singletons(t: Tables) -> DataFrame:
+    return B.singletons(B.flagged(t.bindings())).select("path", "binding_seq", "batch_id")
+
+
+@query(f"SELECT path, batch_id, CAST(row_number() OVER (PARTITION BY path ORDER BY greatest(end_row - start_row + 1, 1), n_identifiers, start_row, batch_id) AS INT) AS batch_seq FROM (SELECT f.path, f.scope_id || '_' || f.binding_type AS batch_id, count(*) AS n_identifiers, min(s.start_row) AS start_row, min(s.end_row) AS end_row FROM ({FLAGGED}) f JOIN ({I.SCOPES}) s ON s.path = f.path AND s.scope_id = f.scope_id GROUP BY f.path, f.scope_id || '_' || f.binding_type) q")
+def batch_order(t: Tables) -> DataFrame:
+    ids = B.flagged(t.bindings()).join(t.scopes().select("path", "scope_id", "start_row", "end_row"), ["path", "scope_id"])
+    rows = ids.groupBy("path", F.concat_ws("_", "scope_id", "binding_type").alias("batch_id")).agg(F.count("*").alias("n_identifiers"), F.min("start_row").alias("start_row"), F.min("end_row").alias("end_row"))
+    return B.order_batches(rows).select("path", "batch_id", "batch_seq")
+
+
+def _batches(t: Tables, size: int = 20) -> DataFrame:
+    return B.analyze(t.bindings(), t.scopes(), t.lines(), max_symbols=size)
+
+
+@query()
+def analyze(t: Tables) -> DataFrame:
+    got = _batches(t)
+    return got.select("path", "batch_id", "batch_seq", "n_identifiers", F.array_join(F.transform("identifiers", lambda i: i["name"]), ",").alias("names"))
+
+
+@query(f"SELECT path, name, line + 1 AS line, binding_type, count(*) AS n FROM ({FLAGGED}) f GROUP BY path, name, line, binding_type")
+def scope_listing(t: Tables) -> DataFrame:
+    return B.scope_report(_batches(t)).groupBy("path", "name", "line", "binding_type").agg(F.count("*").alias("n"))
+
+
+# Context
+
+
+def _chunks(t: Tables, size: int = 20) -> DataFrame:
+    """Chunks of every scope as ordered batches."""
+    ids = B.scope_chunks(B.flagged(t.bindings()), size)
+    rows = ids.groupBy("path", "scope_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct(*B.IDENTIFIER))).alias("identifiers")).withColumn("n_identifiers", F.size("identifiers"))
+    return B.order_batches(rows.join(t.scopes().select("path", "scope_id", "scope_type", "start_row", "end_row"), ["path", "scope_id"]))
+
+
+def _chunks_sql(size: int = 20) -> str:
+    ids = f"SELECT path, scope_id, binding_seq, name, line, CASE WHEN n > {size} THEN scope_id || '_chunk_' || CAST((r - 1) // {size} AS VARCHAR) ELSE scope_id END AS batch_id FROM (SELECT *, row_number() OVER (PARTITION BY path, scope_id ORDER BY binding_seq) AS r, count(*) OVER (PARTITION BY path, scope_id) AS n FROM ({FLAGGED}) f) q"
+    return f"SELECT i.*, s.start_row, s.end_row, s.scope_type, e.z + 1 AS n_lines FROM ({ids}) i JOIN ({I.SCOPES}) s ON s.path = i.path AND s.scope_id = i.scope_id JOIN (SELECT path, max(line) AS z FROM ({I.LINES}) l GROUP BY path) e ON e.path = i.path"
+
+
+def _shown(text: str = "l.text") -> str:
+    return f"lpad(CAST(l.line + 1 AS VARCHAR), 6, ' ') || ' | ' || {text}"
+
+
+def _context_sql(wanted: str) -> str:
+    return f"SELECT w.path, w.batch_id, string_agg({_shown()}, chr(10) ORDER BY l.line) AS context FROM (SELECT DISTINCT path, batch_id, unnest(at) AS line FROM ({wanted}) x) w JOIN ({I.LINES}) l ON l.path = w.path AND l.line = w.line GROUP BY w.path, w.batch_id"
+
+
+_A, _Z = "greatest(start_row - 10, 0)", "least(end_row + 10, n_lines)"
+
+
+@query(_context_sql(f"SELECT path, batch_id, range({_A}, {_Z}) AS at FROM ({_chunks_sql()}) c WHERE {_Z} - {_A} <= 120 UNION ALL SELECT path, batch_id, list_concat(list_concat(range({_A}, least({_A} + 50, n_lines)), range(greatest({_Z} - 50, 0), {_Z})), range(greatest({_A}, line - 5), least({_Z}, line + 5))) AS at FROM ({_chunks_sql()}) c WHERE {_Z} - {_A} > 120"))
+def scope_context(t: Tables) -> DataFrame:
+    return K.scope_context(_chunks(t), t.lines(), 120)
+
+
+@query(f"SELECT w.path, w.line, string_agg(CASE WHEN l.line = w.line THEN ' >>> ' ELSE '     ' END || {_shown()}, chr(10) ORDER BY l.line) AS snippet FROM (SELECT DISTINCT path, line FROM ({FLAGGED}) f) w JOIN ({I.LINES}) l ON l.path = w.path AND l.line BETWEEN w.line - 3 AND w.line + 3 GROUP BY w.path, w.line")
+def line_snippet(t: Tables) -> DataFrame:
+    return K.line_snippets(B.flagged(t.bindings()), t.lines())
+
+
+@query(_context_sql(f"SELECT path, batch_id, range({_A}, {_Z}) AS at FROM ({_chunks_sql()}) c WHERE end_row - start_row + 1 <= 130"))
+def request_small_scope(t: Tables) -> DataFrame:
+    return K.small_scope_context(_chunks(t), t.lines(), 130)
+
+
+_AROUND = f"SELECT DISTINCT path, batch_id, line FROM (SELECT path, batch_id, unnest(range(greatest(line - 20, 0), least(line + 20, n_lines))) AS line FROM ({_chunks_sql()}) c WHERE end_row - start_row + 1 > 60) x"
+
+
+@query(_context_sql(f"SELECT path, batch_id, [line] AS at FROM (SELECT *, row_number() OVER (PARTITION BY path, batch_id ORDER BY line) AS r FROM ({_AROUND}) y) z WHERE r <= 60"))
+def request_large_scope(t: Tables) -> DataFrame:
+    return K.large_scope_context(_chunks(t), t.lines(), 60)
+
+
+_SYMBOLS = f"SELECT DISTINCT path, name, line FROM ({TOP} AND binding_seq % 5 = 0) s"
+_OWN_REFS = f"SELECT path, name, line, refs FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY binding_seq) AS r FROM ({_BOUND}) q) z WHERE r = 1"
+_SEEN = f"SELECT s.path, s.name, s.line, l.line AS ref_line FROM ({_SYMBOLS}) s JOIN ({I.LINES}) l ON l.path = s.path AND l.line <> s.line AND regexp_matches(l.text, '(^|[^A-Za-z0-9_$.])' || s.name || '($|[^A-Za-z0-9_$])')"
+_PLACED = f"""SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY ref_line) AS place FROM (
+    SELECT s.path, s.name, s.line, unnest(list_filter(o.refs, x -> x <> s.line)) AS ref_line FROM ({_SYMBOLS}) s JOIN ({_OWN_REFS}) o ON o.path = s.path AND o.name = s.name AND o.line = s.line WHERE o.refs IS NOT NULL
+    UNION ALL SELECT e.* FROM ({_SEEN}) e JOIN ({_OWN_REFS}) o ON o.path = e.path AND o.name = e.name AND o.line = e.line WHERE o.refs IS NULL) u"""
+_GLOBAL_LINES = f"""SELECT w.path, w.name, w.line, l.line AS at, min(struct_pack(p := w.place, k := l.line - w.center)) AS turn, min(l.text) AS text FROM (SELECT path, name, line, 0 AS place, line AS center, 12 AS r FROM ({_SYMBOLS}) s UNION ALL SELECT path, name, line, place, ref_line, 2 FROM ({_PLACED}) p WHERE place <= 10) w
+    JOIN ({I.LINES}) l ON l.path = w.path AND l.line BETWEEN w.center - w.r AND w.center + w.r GROUP BY w.path, w.name, w.line, l.line"""
+
+
+@query(f"""SELECT g.path, g.name, g.line, 'Global symbol: ' || g.name || chr(10) || 'Declaration line: ' || CAST(g.line + 1 AS VARCHAR) || chr(10) || 'Reference lines: ' || coalesce(p.refs, 'none') || chr(10) || g.block AS context
+    FROM (SELECT path, name, line, string_agg(lpad(CAST(at + 1 AS VARCHAR), 6, ' ') || ' | ' || text, chr(10) ORDER BY at) AS block FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY turn) AS n FROM ({_GLOBAL_LINES}) q) z WHERE n <= 40 GROUP BY path, name, line) g
+    LEFT JOIN (SELECT path, name, line, string_agg(CAST(ref_line + 1 AS VARCHAR), ', ' ORDER BY ref_line) AS refs FROM ({_PLACED}) p WHERE place <= 10 GROUP BY path, name, line) p ON p.path = g.path AND p.name = g.name AND p.line = g.line""")
+def global_symbol_context(t: Tables) -> DataFrame:
+    symbols, bindings = _symbols(t)
+    return K.global_context(symbols, bindings, t.lines(), 40)
+
+
+def _symbols(t: Tables) -> tuple[DataFrame, DataFrame]:
+    symbols = B.flagged(t.bindings()).where("scope_id = 'scope_0' and binding_seq % 5 = 0").select("path", "name", "line").distinct()
+    return symbols, E.attach_references(t.bindings(), t.references())
+
+
+_BLOCK = f"SELECT w.path, w.name, w.line, w.place, w.center, string_agg(CASE WHEN l.line = w.center THEN ' >>> ' ELSE '     ' END || {_shown()}, chr(10) ORDER BY l.line) AS b FROM (SELECT path, name, line, 0 AS place, line AS center FROM ({_SYMBOLS}) s UNION ALL SELECT path, name, line, place, ref_line FROM ({_PLACED}) p WHERE place <= 3) w JOIN ({I.LINES}) l ON l.path = w.path AND l.line BETWEEN w.center - 3 AND w.center + 3 GROUP BY ALL"
+
+
+@query(f"SELECT path, name, line, string_agg(CASE WHEN place = 0 THEN 'Declaration:' || chr(10) ELSE 'Reference ' || CAST(place AS VARCHAR) || ' (line ' || CAST(center + 1 AS VARCHAR) || '):' || chr(10) END || b, chr(10) || chr(10) ORDER BY place) AS snippet FROM ({_BLOCK}) q GROUP BY path, name, line")
+def global_symbol_snippet(t: Tables) -> DataFrame:
+    symbols, bindings = _symbols(t)
+    return K.global_snippets(symbols, bindings, t.lines())
+
+
+_PREVIEW = f"SELECT s.path, s.name, s.line, unnest(list_filter(o.refs, x -> x <> s.line)[1:5]) AS at FROM ({_SYMBOLS}) s JOIN ({_OWN_REFS}) o ON o.path = s.path AND o.name = s.name AND o.line = s.line WHERE o.refs IS NOT NULL"
+
+
+@query(f"SELECT s.path, s.name, s.line, l.text AS declaration_text, coalesce(r.refs, '') AS refs FROM ({_SYMBOLS}) s JOIN ({I.LINES}) l ON l.path = s.path AND l.line = s.line LEFT JOIN (SELECT p.path, p.name, p.line, string_agg(CAST(p.at + 1 AS VARCHAR) || ': ' || m.text, '|' ORDER BY p.at) AS refs FROM ({_PREVIEW}) p JOIN ({I.LINES}) m ON m.path = p.path AND m.line = p.at GROUP BY p.path, p.name, p.line) r ON r.path = s.path AND r.name = s.name AND r.line = s.line")
+def global_reference_preview(t: Tables) -> DataFrame:
+    symbols, bindings = _symbols(t)
+    return K.reference_preview(symbols, bindings, t.lines()).select("path", "name", "line", "declaration_text", F.array_join("reference_texts", "|").alias("refs"))
+
+
+@query()
+def build_requests(t: Tables) -> DataFrame:
+    got = K.build_requests(_batches(t), t.lines(), E.attach_references(t.bindings(), t.references()), max_lines=100, max_size=4000)
+    return got.select("path", "batch_id", "scope_type", F.array_join("symbols", ",").alias("symbols"), F.length("context").alias("n_context"), F.sha2("context", 256).alias("context_digest"), F.size("snippets").alias("n_snippets"))
+
+
+_REMAINING = f"SELECT DISTINCT path, name FROM ({FLAGGED}) f WHERE binding_seq % 3 <> 0"
+_ORDERED = f"SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY greatest(end_row - start_row + 1, 1), m, start_row, batch_id) AS batch_seq FROM (SELECT *, count(*) OVER (PARTITION BY path, batch_id) AS m FROM ({_chunks_sql()}) c) d"
+
+
+@query(f"""SELECT path, batch_id, string_agg(name, ',' ORDER BY binding_seq) AS names, CAST(min(r) AS INT) AS round_place FROM (SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY batch_seq) AS r FROM (
+    SELECT o.*, dense_rank() OVER (PARTITION BY o.path, o.name ORDER BY batch_seq) AS turn FROM ({_ORDERED}) o JOIN ({_REMAINING}) q ON q.path = o.path AND q.name = o.name) a WHERE turn = 1) b WHERE r <= 4 GROUP BY path, batch_id""")
+def select_round(t: Tables) -> DataFrame:
+    remaining = B.flagged(t.bindings()).where("binding_seq % 3 <> 0").select("path", "name").distinct()
+    got = K.select_round(_chunks(t), remaining, 4)
+    return got.select("path", "batch_id", F.array_join(F.transform("identifiers", lambda i: i["name"]), ",").alias("names"), "round_place")
+
+
+_APPLY = f"SELECT path, line, text, regexp_extract(text, '^var ([A-Za-z0-9_$]+)', 1) AS name FROM ({I.LINES}) l"
+_PLAIN = f"SELECT path, rename_key AS name, max_by(new_name, seq) AS new_name FROM ({I.RENAMES}) r WHERE NOT contains(rename_key, ':') GROUP BY path, rename_key"
+_BY_LINE = f"SELECT path, split_part(rename_key, ':', 1) AS name, CAST(split_part(rename_key, ':', 2) AS INT) - 1 AS line, max_by(new_name, seq) AS new_name FROM ({I.RENAMES}) r WHERE contains(rename_key, ':') GROUP BY path, rename_key"
+
+
+@query(f"SELECT a.path, a.line, CASE WHEN a.name <> '' AND coalesce(k.new_name, p.new_name) IS NOT NULL THEN 'var ' || coalesce(k.new_name, p.new_name) || substr(a.text, 5 + length(a.name)) ELSE a.text END AS text FROM ({_APPLY}) a LEFT JOIN ({_PLAIN}) p ON p.path = a.path AND p.name = a.name LEFT JOIN ({_BY_LINE}) k ON k.path = a.path AND k.name = a.name AND k.line = a.line")
+def apply_renames(t: Tables) -> DataFrame:
+    merged = A.merge_renames(t.renames())
+    key = N.parse_rename_key(F.col("key"))
+    renames = merged.select("path", F.coalesce(key["name"], F.col("key")).alias("symbol"), key["line"].cast("int").alias("line"), "new_name")
+    tokens = E.extract_bindings(t.lines(), ("variable",)).select("path", "line", "column", "name", F.col("line").alias("decl_line"))
+    return K.apply_renames(t.lines(), tokens, renames)
+
+
+# Answers and conflicts
+
+
+def _asked(t: Tables) -> DataFrame:
+    rows = t.sql(f"SELECT *, CASE WHEN binding_seq % 4 = 3 THEN 2 ELSE 1 END AS n FROM ({I.BINDINGS}) b")
+    name, line = F.col("name"), F.col("line") + 1
+    body = F.when(F.col("binding_seq") % 4 == 0, F.concat(F.lit('{"'), name, F.lit('": "plain"}'))).when(F.col("binding_seq") % 4 == 1, F.concat(F.lit('{"'), name, F.lit(":"), line, F.lit('": "byLine"}'))).when(F.col("binding_seq") % 4 == 2, F.lit('{"else": " only "}')).otherwise(F.concat(F.lit('{"'), name, F.lit('": "one", "stranger": "two"}')))
+    return rows.select("path", F.col("binding_seq").cast("string").alias("batch_id"), F.when(F.col("n") == 2, F.array(name, F.lit("missing"))).otherwise(F.array(name)).alias("symbols"), F.create_map(name, line).alias("symbol_lines"), body.alias("body"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"SELECT path, CAST(binding_seq AS VARCHAR) AS batch_id, CASE WHEN binding_seq % 4 = 1 THEN name || ':' || CAST(line + 1 AS VARCHAR) ELSE name END AS rename_key, CASE binding_seq % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'byLine' WHEN 2 THEN 'only' ELSE 'one' END AS new_name FROM ({I.BINDINGS}) b")
+def filter_answers(t: Tables) -> DataFrame:
+    rows = _asked(t)
+    got = A.filter_answers(rows.drop("body", "error"), rows.select("path", "batch_id", "body", "error"))
+    return got.select("path", "batch_id", F.col("key").alias("rename_key"), "new_name")
+
+
+@query(f"SELECT path, seq, rename_key, CASE WHEN ok THEN trim(new_name) ELSE new_name END AS new_name, ok FROM (SELECT *, {_VALID.replace('{n}', 'new_name')} AS ok FROM ({I.RENAMES}) r) q")
+def split_invalid_names(t: Tables) -> DataFrame:
+    good, bad = A.split_invalid(t.renames())
+    both = good.withColumn("ok", F.lit(True)).unionByName(bad.withColumn("ok", F.lit(False)))
+    return both.withColumnRenamed("key", "rename_key")
+
+
+_COUNTS = f"SELECT path, name, count(*) AS n FROM ({I.BINDINGS}) b GROUP BY path, name"
+_FOLDED = f"SELECT r.path, CASE WHEN contains(rename_key, ':') AND c.n = 1 THEN split_part(rename_key, ':', 1) ELSE rename_key END AS k, CASE WHEN contains(rename_key, ':') THEN 1 ELSE 0 END AS late, seq, new_name FROM ({I.RENAMES}) r LEFT JOIN ({_COUNTS}) c ON c.path = r.path AND c.name = split_part(rename_key, ':', 1)"
+
+
+@query(f"SELECT path, k AS rename_key, min_by(new_name, late * 100000000 + seq) AS new_name FROM ({_FOLDED}) f GROUP BY path, k")
+def normalize_keys(t: Tables) -> DataFrame:
+    got = A.normalize_keys(t.renames(), D.name_counts(t.bindings()))
+    return got.select("path", F.col("key").alias("rename_key"), "new_name")
+
+
+@query(f"SELECT DISTINCT path, split_part(rename_key, ':', 1) AS name FROM ({I.RENAMES}) r")
+def symbols_of_keys(t: Tables) -> DataFrame:
+    return A.symbols_of_keys(t.renames())
+
+
+@query()
+def resolve_scope_conflicts(t: Tables) -> DataFrame:
+    rows = t.renames().withColumn("batch_id", F.concat(F.lit("b"), (F.col("seq") % 3).cast("string")))
+    once = rows.groupBy("path", "batch_id", "key").agg(F.min("seq").alias("seq"), F.min_by("new_name", "seq").alias("new_name"))
+    requests = t.bindings().select("path", F.concat(F.lit("b"), (F.col("binding_seq") % 3).cast("string")).alias("batch_id"), "name", "line").groupBy("path", "batch_id", "name").agg((F.min("line") + 1).alias("line"))
+    requests = requests.groupBy("path", "batch_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "line"))).alias("symbol_lines"))
+    return A.resolve_scope_conflicts(once, requests, t.bindings()).withColumnRenamed("key", "rename_key")
+
+
+@query()
+def resolve_global_conflicts(t: Tables) -> DataFrame:
+    return A.resolve_global_conflicts(A.merge_renames(t.renames()), t.bindings()).withColumnRenamed("key", "rename_key")
+
+
+@query(f"SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY part, seq) - 1 AS BIGINT) AS seq, rename_key, new_name FROM (SELECT path, rename_key, min(part) AS part, min(part * 100000000 + seq) AS seq, max_by(new_name, part * 100000000 + seq) AS new_name FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN 0 ELSE 1 END AS part FROM ({I.RENAMES}) r) p GROUP BY path, rename_key) q")
+def merge_renames(t: Tables) -> DataFrame:
+    rows = t.renames()
+    return A.merge_renames(rows.where("seq % 2 = 0"), rows.where("seq % 2 <> 0")).withColumnRenamed("key", "rename_key")
+
+
+@query(f"SELECT DISTINCT path, name FROM ({FLAGGED}) f WHERE NOT EXISTS (SELECT 1 FROM ({I.RENAMES}) r WHERE r.path = f.path AND r.rename_key = f.name AND r.seq % 9 = 0) AND NOT EXISTS (SELECT 1 FROM ({I.BINDINGS}) b WHERE b.path = f.path AND b.name = f.name AND b.binding_seq % 40 = 1)")
+def remaining_symbols(t: Tables) -> DataFrame:
+    return A.remaining_symbols(t.bindings(), t.renames().where("seq % 9 = 0"), t.bindings().where("binding_seq % 40 = 1"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS path, event_type AS batch_id, event_id % 5 AS round, " + ", ".join(f"count(*) FILTER (event_id % 7 = {i}) AS {o}" for i, o in enumerate(A.OUTCOMES)) + " FROM events GROUP BY ALL")
+def outcome_counts(t: Tables) -> DataFrame:
+    pick = F.element_at(F.array(*[F.lit(o) for o in [*A.OUTCOMES, "other"]]), (F.col("event_id") % 7 + 1).cast("int"))
+    return A.outcome_counts(t.given("events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("batch_id"), (F.col("event_id") % 5).alias("round"), pick.alias("outcome")))
+
+
+def name_by_rule(frames):
+    """A naming function for the queries: names from the symbols; some errors, by the batch."""
+    for f in frames:
+        rows = []
+        for path, batch, symbols in zip(f["path"], f["batch_id"], f["symbols"], strict=True):
+            text = ", ".join(f'"{s}": "name{sum(map(ord, s)) % 50}"' for s in symbols)
+            failed = len(batch) % 5 == 0
+            rows.append((path, batch, None if failed else "```json\n{" + text + "}\n```", "Error code: 429" if failed else None))
+        yield pd.DataFrame(rows, columns=["path", "batch_id", "body", "error"])
+
+
+@query(f"SELECT path, batch_id, 1 AS attempt, length(batch_id) % 5 = 0 AS failed FROM ({_chunks_sql()}) c GROUP BY path, batch_id")
+def dispatch(t: Tables) -> DataFrame:
+    requests = K.build_requests(_chunks(t), t.lines(), E.attach_references(t.bindings(), t.references()))
+    got = A.dispatch(requests, name_by_rule, 8)
+    return got.select("path", "batch_id", "attempt", F.col("error").isNotNull().alias("failed"))
+
+
+@query()
+def rename_round(t: Tables) -> DataFrame:
+    from symloom.jobs.rounds import rename_round as one_round
+
+    bindings = E.attach_references(t.bindings(), t.references())
+    batches, remaining = _batches(t), D.renamable_symbols(bindings)
+    got = one_round(batches, t.lines(), bindings, remaining, name_by_rule, n=3, concurrency=8)
+    return got.renames.withColumnRenamed("key", "rename_key")
+
+
+# Aggregates and unique names
+
+
+@query(f"SELECT path, name, line, coalesce(max_by(scope_id, binding_seq), '') AS scope_id FROM ({I.BINDINGS}) b GROUP BY path, name, line")
+def binding_scope_index(t: Tables) -> DataFrame:
+    return D.scope_of_line(t.bindings())
+
+
+@query(f"SELECT path, scope_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM ({I.BINDINGS}) b GROUP BY path, scope_id")
+def binding_scope_names(t: Tables) -> DataFrame:
+    return D.names_of_scope(t.bindings()).select("path", "scope_id", F.array_join("names", ",").alias("names"))
+
+
+@query(f"SELECT path, name, string_agg(CAST(line AS VARCHAR), ',' ORDER BY binding_seq) AS lines FROM ({I.BINDINGS}) b GROUP BY path, name")
+def binding_lines_index(t: Tables) -> DataFrame:
+    return D.lines_index(t.bindings()).select("path", "name", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+
+
+_ONCE = f"SELECT DISTINCT path, name, line, col FROM ({I.BINDINGS}) b"
+
+
+@query(f"SELECT path, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_bindings FROM (SELECT path, name, count(*) AS n FROM ({_ONCE}) o GROUP BY path, name HAVING count(*) > 1) g GROUP BY path")
+def duplicate_groups(t: Tables) -> DataFrame:
+    return D.duplicate_groups(t.bindings())
+
+
+_USED = f"SELECT DISTINCT path, regexp_extract(name, '^(.+)__u([1-9][0-9]*)$', 1) AS base, CAST(regexp_extract(name, '^(.+)__u([1-9][0-9]*)$', 2) AS BIGINT) AS k FROM ({_ONCE}) o WHERE regexp_matches(name, '^(.+)__u([1-9][0-9]*)$')"
+_MEMBERS = f"SELECT path, name, line, col, row_number() OVER (PARTITION BY path, name ORDER BY line, col) AS i, count(*) OVER (PARTITION BY path, name) AS n FROM ({_ONCE}) o"
+_FREE = f"SELECT g.path, g.name, g.k, row_number() OVER (PARTITION BY g.path, g.name ORDER BY g.k) AS i FROM (SELECT path, name, unnest(range(1, n + 20)) AS k FROM (SELECT path, name, max(n) AS n FROM ({_MEMBERS}) m GROUP BY path, name HAVING max(n) > 1) h) g LEFT JOIN ({_USED}) u ON u.path = g.path AND u.base = g.name AND u.k = g.k WHERE u.k IS NULL"
+
+
+@query(f"SELECT m.path, m.name, m.line, m.col, m.name || '__u' || CAST(f.k AS VARCHAR) AS new_name FROM ({_MEMBERS}) m JOIN ({_FREE}) f ON f.path = m.path AND f.name = m.name AND f.i = m.i WHERE m.n > 1")
+def uniquify_names(t: Tables) -> DataFrame:
+    return D.uniquify(t.bindings()).withColumnRenamed("column", "col")
+
+
+_STATS = f"""SELECT coalesce(b.path, r.path) AS path, coalesce(b.s, 0)::BIGINT AS symbols_found, coalesce(b.n, 0)::BIGINT AS scopes_processed, coalesce(r.n, 0)::BIGINT AS symbols_renamed, CASE WHEN coalesce(b.path, r.path) LIKE '%7' THEN 'bad file' END AS error
+    FROM (SELECT path, count(*) AS s, count(DISTINCT batch_id) AS n FROM ({_chunks_sql()}) c GROUP BY path) b FULL JOIN (SELECT path, count(*) AS n FROM ({I.RENAMES}) r WHERE seq % 10 = 0 GROUP BY path) r ON r.path = b.path"""
+
+
+def _stats(t: Tables) -> DataFrame:
+    errors = t.lines().where("path like '%7'").select("path").distinct().withColumn("error", F.lit("bad file"))
+    return D.file_stats(_chunks(t), t.renames().where("seq % 10 = 0"), errors)
+
+
+@query(_STATS)
+def file_stats(t: Tables) -> DataFrame:
+    return _stats(t)
+
+
+@query(f"SELECT path, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, symbols_found, symbols_renamed, scopes_processed, error FROM ({_STATS}) s")
+def run_summary(t: Tables) -> DataFrame:
+    return D.run_summary(_stats(t))
+
+
+# Checkpoints: a customer is a file, its orders are the states of its runs
+
+
+_STATE = """SELECT 'c' || CAST(o_custkey AS STRING) AS input_file, o_orderkey AS k, CAST(o_orderkey % 20 AS INT) AS total_scopes, CAST(o_orderkey % 26 - 3 AS INT) AS processed_scopes,
+    CASE o_orderstatus WHEN 'O' THEN 'in_progress' WHEN 'F' THEN 'completed' ELSE 'error: stopped' END AS status, o_orderdate AS day FROM {orders}"""
+_NEWEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_file ORDER BY day DESC, k DESC) AS r FROM ({_STATE}) s) q WHERE r = 1"
+
+
+def _states(t: Tables) -> DataFrame:
+    rows = t.sql(_STATE)
+    maps = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.col("k").cast("string"), F.lit("x")))
+    scopes = F.array().cast("array<struct<scope_id:string,scope_index:int,renames:map<string,string>>>")
+    # keys within a second make the newest row of a day unique
+    at = F.timestamp_micros(F.unix_micros("day") + F.col("k"))
+    config = F.create_map(F.lit("source_hash"), F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, F.sha2("input_file", 256)).otherwise("old"), F.lit("enable_uniquify"), F.when(F.col("k") % 4 == 0, "false").otherwise("true"))
+    return rows.select("input_file", F.concat("input_file", F.lit(".out")).alias("output_file"), "total_scopes", "processed_scopes", maps.alias("all_renames"), scopes.alias("scope_renames"), at.alias("created_at"), at.alias("updated_at"), config.alias("config"), "status", "k")
+
+
+def _newest(t: Tables) -> DataFrame:
+    return S.newest_state(_states(t))
+
+
+@query(f"SELECT input_file, k, total_scopes, processed_scopes, status FROM ({_NEWEST}) n")
+def state_read(t: Tables) -> DataFrame:
+    folder = f"{shared_dir(t.spark)}/state-{uuid.uuid4().hex}"
+    S.write_state(_states(t).drop("k"), folder)
+    got = S.read_state(t.spark, folder)
+    return got.select("input_file", got["all_renames"]["a"].cast("long").alias("k"), "total_scopes", "processed_scopes", "status")
+
+
+@query(f"SELECT input_file, CASE WHEN k % 2 = 0 THEN CAST(k % 9 + 1 AS INT) ELSE 0 END AS processed_scopes, CASE WHEN k % 2 = 0 THEN 'a=2,c=3' ELSE '' END AS renames, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS n_steps, 'in_progress' AS status FROM ({_NEWEST}) n")
+def state_advance(t: Tables) -> DataFrame:
+    now = F.current_timestamp()
+    files = _newest(t)
+    state = C.create_state(files.select("input_file", "output_file", "total_scopes", "config"), now)
+    renames = F.map_from_arrays(F.array(F.lit("a"), F.lit("c")), F.array(F.lit("2"), F.lit("3")))
+    steps = files.where("k % 2 = 0").select("input_file", F.lit("s").alias("scope_id"), (F.col("k") % 9).cast("int").alias("scope_index"), renames.alias("renames"))
+    got = C.advance_state(state, steps, now)
+    return got.select("input_file", "processed_scopes", F.array_join(F.transform(F.map_entries("all_renames"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("renames"), F.size("scope_renames").alias("n_steps"), "status")
+
+
+@query("SELECT o_orderkey, least(20, greatest(0, floor(20 * CASE WHEN o_orderkey % 7 > 0 THEN (o_custkey % 9) / (o_orderkey % 7) ELSE 1.0 END)))::INT AS processed FROM orders")
+def estimate_processed(t: Tables) -> DataFrame:
+    return t.given("orders").select("o_orderkey", C.estimate_processed(F.lit(20), F.col("o_custkey") % 9, F.col("o_orderkey") % 7).alias("processed"))
+
+
+@query(f"SELECT input_file FROM ({_NEWEST}) n WHERE status = 'in_progress' AND processed_scopes < total_scopes")
+def resumable(t: Tables) -> DataFrame:
+    return C.resumable(_newest(t)).select("input_file")
+
+
+_DONE = "greatest(0, least(processed_scopes, total_scopes))"
+_SUMMARY = f"input_file, {_DONE} AS processed, total_scopes AS total, CASE WHEN total_scopes > 0 THEN printf('%.1f', {_DONE} / total_scopes::DOUBLE * 100) ELSE '0.0' END AS percent, 2 AS n_renames"
+
+
+@query(f"SELECT {_SUMMARY}, status FROM ({_NEWEST}) n")
+def progress_summary(t: Tables) -> DataFrame:
+    return C.progress_summary(_newest(t))
+
+
+@query(f"SELECT {_SUMMARY}, CAST(day AS DATE) AS day FROM ({_NEWEST}) n WHERE status = 'in_progress'")
+def pending_states(t: Tables) -> DataFrame:
+    return C.pending_states(_newest(t)).withColumn("day", F.to_date("updated_at")).drop("updated_at")
+
+
+@query(f"SELECT input_file, k FROM ({_NEWEST}) n WHERE k % 3 <> 2 AND k % 4 <> 0")
+def valid_checkpoint(t: Tables) -> DataFrame:
+    states = _newest(t)
+    sources = states.select(F.col("input_file").alias("path"), F.col("input_file").alias("source"))
+    return C.valid_checkpoints(states, sources).select("input_file", "k")
+
+
+@query("SELECT 'c' || o_custkey AS path FROM (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) o WHERE k % 2 = 1")
+def cached_preprocess(t: Tables) -> DataFrame:
+    rows = t.sql("SELECT 'c' || CAST(o_custkey AS STRING) AS path, 'text' || CAST(o_custkey AS STRING) AS source, max(o_orderkey) AS k FROM {orders} GROUP BY o_custkey")
+    cache = rows.where("k % 2 = 0").select(X.cache_key(F.col("path"), F.col("source"), F.lit(True)).alias("cache_key"))
+    return C.needs_preprocess(rows, cache).select("path")
+
+
+@query()
+def replay_renames(t: Tables) -> DataFrame:
+    saved = A.merge_renames(t.renames()).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "new_name"))).alias("r"))
+    state = saved.select(F.col("path").alias("input_file"), F.map_from_entries(F.transform("r", lambda x: F.struct(x["key"], x["new_name"]))).alias("all_renames"))
+    return C.replay_renames(state, t.bindings()).withColumnRenamed("key", "rename_key")
+
+
+@query(f"SELECT input_file FROM ({_NEWEST}) n WHERE input_file NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_nationkey % 2 = 0)")
+def clear_state(t: Tables) -> DataFrame:
+    gone = t.given("customer").where("c_nationkey % 2 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("input_file"))
+    return C.clear_state(_newest(t), gone).select("input_file")
+
+
+# Streams; their queries run over the tables at rest
+
+
+_PROGRESS = """SELECT event_id, ts, CAST(user_id AS STRING) AS path, CASE WHEN event_type = 'error' THEN 'plain text' WHEN event_id % 11 = 0 THEN '__PROGRESS__not json' WHEN event_id % 13 = 0 THEN '__PROGRESS__{{"event": 5}}' WHEN event_id % 17 = 0 THEN '__PROGRESS__[1]'
+    ELSE '  __PROGRESS__ {{"event":"' || event_type || '","renamedBindings":' || CAST(CAST(value AS INT) AS STRING) || ',"totalBindingsToRename":40}} ' END AS raw FROM {events}"""
+_IS_EVENT = "event_type <> 'error' AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0"
+
+
+def _progress(t: Tables) -> DataFrame:
+    return P.parse_progress(t.sql(_PROGRESS))
+
+
+@query(f"SELECT ts, CAST(user_id AS VARCHAR) AS path, event_type AS event, CAST(CAST(trunc(value) AS INT) AS VARCHAR) AS renamed FROM events WHERE {_IS_EVENT}")
+def parse_progress(t: Tables) -> DataFrame:
+    got = _progress(t)
+    return got.select("ts", "path", "event", got["data"]["renamedBindings"].alias("renamed"))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS path, max(greatest(0, least(CAST(trunc(value) AS BIGINT), 40))) AS renamed, CAST(40 AS BIGINT) AS total FROM events WHERE {_IS_EVENT} GROUP BY user_id")
+def progress_latest(t: Tables) -> DataFrame:
+    return P.progress_latest(_progress(t))
+
+
+@query("SELECT path, b AS stalled_from, ts AS stalled_to FROM (SELECT CAST(user_id AS VARCHAR) AS path, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) e WHERE epoch_us(ts) - epoch_us(b) > 36000000000")
+def stall_detect(t: Tables) -> DataFrame:
+    events = t.given("events").select(F.col("user_id").cast("string").alias("path"), "ts")
+    return P.stalls(events, 36000.0).select("path", "stalled_from", "stalled_to")
+
+
+@query()
+def progress_throttle(t: Tables) -> DataFrame:
+    events = t.given("events").select(F.col("user_id").cast("string").alias("path"), "ts", F.col("event_id").alias("seq"))
+    return P.throttle(events, 7_200_000).select("path", "seq")
+
+
+_ROUND_LOG = "SELECT CAST(user_id AS STRING) AS path, event_id AS round, CASE WHEN event_type IN ('error', 'view', 'click') THEN 1 ELSE 0 END AS retryable, event_type = 'click' AND value > 20 AS progressed FROM {events}"
+
+
+@query(f"""SELECT path, round, CAST(streak AS INT) AS streak, CASE WHEN streak > 0 THEN least(60.0, pow(2.0, least(streak, 6))) ELSE 0.0 END::DOUBLE AS delay, streak >= 12 AS gives_up FROM (
+    SELECT path, round, sum(CASE WHEN fails THEN 1 ELSE 0 END) OVER (PARTITION BY path, island ORDER BY round) AS streak FROM (SELECT *, sum(CASE WHEN fails THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY round) AS island FROM (SELECT *, retryable > 0 AND NOT progressed AS fails FROM ({_ROUND_LOG}) l) f) i) s""")
+def retry_streak(t: Tables) -> DataFrame:
+    return P.retry_streaks(t.sql(_ROUND_LOG))
+
+
+@query(f"SELECT name, count(*) AS n FROM ({_extract_sql('variable', E.VARIABLE)} UNION ALL {_extract_sql('function', E.FUNCTION)}) e WHERE {flagged_sql('name')} GROUP BY name")
+def stream_bindings(t: Tables) -> DataFrame:
+    """The stream itself: files of the derived texts are read as they stand, appended, and counted."""
+    root = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    t.sources().repartition("path").write.partitionBy("path").text(f"{root}/in")
+    found = P.stream_bindings(t.spark, f"{root}/in", "*.txt").select("path", "name", "line")
+    run = found.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.schema("path string, name string, line int").parquet(f"{root}/out").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT path, name, n FROM ({_COUNTS}) c WHERE n > 1 AND {flagged_sql('name')}")
+def transform_chain(t: Tables) -> DataFrame:
+    from symloom.jobs.chain import Chain
+
+    counted = Chain().add(D.name_counts, priority=10)
+    rest = Chain().add(lambda d: d.where("n > 1"), priority=30).add(lambda d: d.where(N.is_obfuscated(F.col("name"))), priority=20).add(lambda d: d.limit(0), priority=40, should_run=lambda d: "absent" in d.columns)
+    return (rest | counted).run(t.bindings())

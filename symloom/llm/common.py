@@ -1,47 +1,22 @@
-"""What several operators share: the shared folder, written tables, distributed running sums."""
+"""What several operators share: words, written tables, distributed running sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Words are runs of characters other than the six ASCII white space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a local folder is made and set.
-    """
-    name = "spark.checkpoint.dir"
-    found = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
-    if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(found)
-        spark.conf.set(name, found)
-    return found.rstrip("/")
-
+from symloom.storage import materialize, shared_dir
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a Parquet table into the shared folder and read it again.
+__all__ = ["WORD", "has_name", "materialize", "n_words", "running", "shared_dir"]
 
-    Cuts the lineage in a way that survives the loss of executors, and makes what is not
-    repeatable (partition numbers) a fact.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words are runs of characters other than the six ASCII white space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def has_name(df: DataFrame, stem: str) -> str:

@@ -72,7 +72,7 @@ def request_delay(attempt: Column, hint: Column | None = None, jitter: bool = Tr
     own = F.least(F.lit(60.0), F.lit(1.5) * F.pow(F.lit(2.0), attempt - 1))
     if jitter:
         own = own + F.rand() * 0.8
-    return own if hint is None else F.coalesce(F.least(F.lit(120.0), F.greatest(F.lit(1.0), hint.cast("double"))), own)
+    return own if hint is None else F.when(hint.isNotNull(), F.least(F.lit(120.0), F.greatest(F.lit(1.0), hint.cast("double")))).otherwise(own)
 
 
 def round_delay(streak: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.storage import materialize
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 _LETTER = "chr(CAST(97 + l_partkey % 26 AS INT))"
@@ -77,6 +79,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.kept: dict[str, DataFrame] = {}
+
+    def table(self, name: str, sql: str) -> DataFrame:
+        """A derived table, written once a query: operators read bindings and lines many times."""
+        if name not in self.kept:
+            self.kept[name] = materialize(self.sql(sql), name)
+        return self.kept[name]
 
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -86,17 +95,17 @@ class Tables:
         return self.spark.sql(sql, **{t: self.given(t) for t in used})
 
     def bindings(self) -> DataFrame:
-        return self.sql(BINDINGS).withColumnRenamed("col", "column")
+        return self.table("bindings", BINDINGS).withColumnRenamed("col", "column")
 
     def lines(self) -> DataFrame:
-        return self.sql(LINES)
+        return self.table("lines", LINES)
 
     def references(self) -> DataFrame:
-        return self.sql(REFERENCES).withColumnRenamed("col", "column")
+        return self.table("references", REFERENCES).withColumnRenamed("col", "column")
 
     def scopes(self) -> DataFrame:
         children = F.when(F.col("scope_id") == "scope_0", F.array(F.lit("scope_1"), F.lit("scope_3"))).when(F.col("scope_id") == "scope_1", F.array(F.lit("scope_2"))).otherwise(F.array().cast("array<string>"))
-        return self.sql(SCOPES).withColumn("children", children).withColumn("start_col", F.lit(0)).withColumn("end_col", F.lit(1))
+        return self.table("scopes", SCOPES).withColumn("children", children).withColumn("start_col", F.lit(0)).withColumn("end_col", F.lit(1))
 
     def tree(self) -> DataFrame:
         return self.sql(TREE)

@@ -20,7 +20,7 @@ from symloom.operators import context as K
 from symloom.operators import extract as E
 from symloom.operators import indexes as D
 from symloom.sources import files as S
-from symloom.storage import shared_dir
+from symloom.storage import materialize, shared_dir
 from symloom.streaming import progress as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def flagged_sql(n: str) -> str:
 FLAGGED = f"SELECT path, scope_id, binding_seq, name, line, col, binding_type FROM ({I.BINDINGS}) b WHERE {flagged_sql('name')}"
 
 
+def _referred(t: Tables) -> DataFrame:
+    """Bindings with their reference lines, written once a query."""
+    return materialize(E.attach_references(t.bindings(), t.references()), "referred")
+
+
 # Sources and sinks
 
 
@@ -78,7 +83,7 @@ def read_sources(t: Tables) -> DataFrame:
     folder = f"{shared_dir(t.spark)}/sources-{uuid.uuid4().hex}"
     t.sources().repartition("path").write.partitionBy("path").text(folder)
     got = S.read_sources(t.spark, folder, "*.txt")
-    return got.select(F.element_at(F.split("path", "/"), -2).alias("place"), F.length("source").alias("n_chars"), X.fingerprint(F.col("source")).alias("digest"))
+    return got.select(F.element_at(F.split("path", "/"), -2).alias("place"), F.length("source").cast("long").alias("n_chars"), X.fingerprint(F.col("source")).alias("digest"))
 
 
 _PATHS = "CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'src/a' || CAST(o_orderkey AS STRING) || '.js' WHEN 1 THEN 'node_modules/x/' || CAST(o_orderkey AS STRING) || '.js' WHEN 2 THEN 'lib/b' || CAST(o_custkey AS STRING) || '.min.js' WHEN 3 THEN 'out.min.d/c' || CAST(o_orderkey AS STRING) || '.test.js' ELSE 'plain' || CAST(o_orderkey AS STRING) END"
@@ -172,16 +177,16 @@ _JOIN = "array_to_string({x}, ',')"
 
 @query(f"SELECT b.path, b.name, b.line, b.col, b.binding_seq, coalesce(array_to_string(r.refs, ','), '') AS refs FROM ({I.BINDINGS}) b LEFT JOIN ({_REFS}) r ON b.path = r.path AND b.name = r.name AND b.line = r.line AND b.col = r.col")
 def binding_reference_map(t: Tables) -> DataFrame:
-    got = E.attach_references(t.bindings(), t.references())
+    got = _referred(t)
     return got.select("path", "name", "line", F.col("column").alias("col"), "binding_seq", F.array_join(F.col("reference_lines").cast("array<string>"), ",").alias("refs"))
 
 
 _BOUND = f"SELECT b.path, b.name, b.line, b.binding_seq, r.refs FROM ({I.BINDINGS}) b LEFT JOIN ({_REFS}) r ON b.path = r.path AND b.name = r.name AND b.line = r.line AND b.col = r.col"
 
 
-@query(f"SELECT path, name, line, CASE WHEN refs IS NOT NULL THEN array_to_string(list_filter(refs, x -> x <> line), ',') END AS refs FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY binding_seq) AS r FROM ({_BOUND}) q) z WHERE r = 1")
+@query(f"SELECT path, name, line, CASE WHEN refs IS NOT NULL THEN array_to_string(list_filter(refs, lambda x: x <> line), ',') END AS refs FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY binding_seq) AS r FROM ({_BOUND}) q) z WHERE r = 1")
 def reference_lines(t: Tables) -> DataFrame:
-    got = E.binding_references(E.attach_references(t.bindings(), t.references()))
+    got = E.binding_references(_referred(t))
     return got.select("path", "name", "line", F.array_join(F.col("reference_lines").cast("array<string>"), ",").alias("refs"))
 
 
@@ -324,7 +329,7 @@ def message_text(t: Tables) -> DataFrame:
     return t.given("conversations").select("conv_id", "turn", X.message_text(F.when(n == 0, F.col("text")), blocks, F.when(n == 2, F.col("role")).otherwise("  "), F.when((n == 3) & (F.col("conv_id") % 2 == 0), F.col("text"))).alias("t"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'provider did not include parseable error details' ELSE 'provider_details: ' || array_to_string(list_filter([CASE WHEN event_id % 4 <> 1 THEN 'status=' || user_id END, CASE WHEN event_id % 2 = 0 THEN 'msg=' || event_type END, CASE WHEN event_id % 4 <> 0 THEN 'body=' || props END], x -> x IS NOT NULL), ', ') END AS detail FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'provider did not include parseable error details' ELSE 'provider_details: ' || array_to_string(list_filter([CASE WHEN event_id % 4 <> 1 THEN 'status=' || user_id END, CASE WHEN event_id % 2 = 0 THEN 'msg=' || event_type END, CASE WHEN event_id % 4 <> 0 THEN 'body=' || props END], lambda x: x IS NOT NULL), ', ') END AS detail FROM events")
 def provider_error_detail(t: Tables) -> DataFrame:
     n = F.col("event_id") % 4
     none = F.lit(None).cast("string")
@@ -380,9 +385,9 @@ def small_scope(t: Tables) -> DataFrame:
     return B.small_ranges(ranges, t.lines(), 700, 30).select("path", F.col("id").alias("scope_id"))
 
 
-_BOUNDARY = f"""WITH RECURSIVE walk(path, scope_id, boundary_id) AS (SELECT path, scope_id, scope_id FROM s WHERE scope_type IN ('function', 'arrow', 'method', 'class')
-    UNION ALL SELECT w.path, s.scope_id, w.boundary_id FROM walk w JOIN s ON s.path = w.path AND s.parent_id = w.scope_id WHERE s.scope_type NOT IN ('function', 'arrow', 'method', 'class')),
-    s AS ({I.TREE}) SELECT path, scope_id, boundary_id FROM walk"""
+_BOUNDARY = f"""WITH RECURSIVE s AS ({I.TREE}), walk(path, scope_id, boundary_id) AS (SELECT path, scope_id, scope_id FROM s WHERE scope_type IN ('function', 'arrow', 'method', 'class')
+    UNION ALL SELECT w.path, s.scope_id, w.boundary_id FROM walk w JOIN s ON s.path = w.path AND s.parent_id = w.scope_id WHERE s.scope_type NOT IN ('function', 'arrow', 'method', 'class'))
+    SELECT path, scope_id, boundary_id FROM walk"""
 
 
 @query(_BOUNDARY)
@@ -469,7 +474,7 @@ def batch_order(t: Tables) -> DataFrame:
 
 
 def _batches(t: Tables, size: int = 20) -> DataFrame:
-    return B.analyze(t.bindings(), t.scopes(), t.lines(), max_symbols=size)
+    return materialize(B.analyze(t.bindings(), t.scopes(), t.lines(), max_symbols=size), "batches")
 
 
 @query()
@@ -490,7 +495,7 @@ def _chunks(t: Tables, size: int = 20) -> DataFrame:
     """Chunks of every scope as ordered batches."""
     ids = B.scope_chunks(B.flagged(t.bindings()), size)
     rows = ids.groupBy("path", "scope_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct(*B.IDENTIFIER))).alias("identifiers")).withColumn("n_identifiers", F.size("identifiers"))
-    return B.order_batches(rows.join(t.scopes().select("path", "scope_id", "scope_type", "start_row", "end_row"), ["path", "scope_id"]))
+    return materialize(B.order_batches(rows.join(t.scopes().select("path", "scope_id", "scope_type", "start_row", "end_row"), ["path", "scope_id"])), "batches")
 
 
 def _chunks_sql(size: int = 20) -> str:
@@ -503,13 +508,13 @@ def _shown(text: str = "l.text") -> str:
 
 
 def _context_sql(wanted: str) -> str:
-    return f"SELECT w.path, w.batch_id, string_agg({_shown()}, chr(10) ORDER BY l.line) AS context FROM (SELECT DISTINCT path, batch_id, unnest(at) AS line FROM ({wanted}) x) w JOIN ({I.LINES}) l ON l.path = w.path AND l.line = w.line GROUP BY w.path, w.batch_id"
+    return f"SELECT w.path, w.batch_id, string_agg({_shown()}, chr(10) ORDER BY l.line) AS context FROM (SELECT DISTINCT path, batch_id, unnest(ats) AS line FROM ({wanted}) x) w JOIN ({I.LINES}) l ON l.path = w.path AND l.line = w.line GROUP BY w.path, w.batch_id"
 
 
 _A, _Z = "greatest(start_row - 10, 0)", "least(end_row + 10, n_lines)"
 
 
-@query(_context_sql(f"SELECT path, batch_id, range({_A}, {_Z}) AS at FROM ({_chunks_sql()}) c WHERE {_Z} - {_A} <= 120 UNION ALL SELECT path, batch_id, list_concat(list_concat(range({_A}, least({_A} + 50, n_lines)), range(greatest({_Z} - 50, 0), {_Z})), range(greatest({_A}, line - 5), least({_Z}, line + 5))) AS at FROM ({_chunks_sql()}) c WHERE {_Z} - {_A} > 120"))
+@query(_context_sql(f"SELECT path, batch_id, range({_A}, {_Z}) AS ats FROM ({_chunks_sql()}) c WHERE {_Z} - {_A} <= 120 UNION ALL SELECT path, batch_id, list_concat(list_concat(range({_A}, least({_A} + 50, n_lines)), range(greatest({_Z} - 50, 0), {_Z})), range(greatest({_A}, line - 5), least({_Z}, line + 5))) AS ats FROM ({_chunks_sql()}) c WHERE {_Z} - {_A} > 120"))
 def scope_context(t: Tables) -> DataFrame:
     return K.scope_context(_chunks(t), t.lines(), 120)
 
@@ -519,7 +524,7 @@ def line_snippet(t: Tables) -> DataFrame:
     return K.line_snippets(B.flagged(t.bindings()), t.lines())
 
 
-@query(_context_sql(f"SELECT path, batch_id, range({_A}, {_Z}) AS at FROM ({_chunks_sql()}) c WHERE end_row - start_row + 1 <= 130"))
+@query(_context_sql(f"SELECT path, batch_id, range({_A}, {_Z}) AS ats FROM ({_chunks_sql()}) c WHERE end_row - start_row + 1 <= 130"))
 def request_small_scope(t: Tables) -> DataFrame:
     return K.small_scope_context(_chunks(t), t.lines(), 130)
 
@@ -527,7 +532,7 @@ def request_small_scope(t: Tables) -> DataFrame:
 _AROUND = f"SELECT DISTINCT path, batch_id, line FROM (SELECT path, batch_id, unnest(range(greatest(line - 20, 0), least(line + 20, n_lines))) AS line FROM ({_chunks_sql()}) c WHERE end_row - start_row + 1 > 60) x"
 
 
-@query(_context_sql(f"SELECT path, batch_id, [line] AS at FROM (SELECT *, row_number() OVER (PARTITION BY path, batch_id ORDER BY line) AS r FROM ({_AROUND}) y) z WHERE r <= 60"))
+@query(_context_sql(f"SELECT path, batch_id, [line] AS ats FROM (SELECT *, row_number() OVER (PARTITION BY path, batch_id ORDER BY line) AS r FROM ({_AROUND}) y) z WHERE r <= 60"))
 def request_large_scope(t: Tables) -> DataFrame:
     return K.large_scope_context(_chunks(t), t.lines(), 60)
 
@@ -536,14 +541,14 @@ _SYMBOLS = f"SELECT DISTINCT path, name, line FROM ({TOP} AND binding_seq % 5 =
 _OWN_REFS = f"SELECT path, name, line, refs FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY binding_seq) AS r FROM ({_BOUND}) q) z WHERE r = 1"
 _SEEN = f"SELECT s.path, s.name, s.line, l.line AS ref_line FROM ({_SYMBOLS}) s JOIN ({I.LINES}) l ON l.path = s.path AND l.line <> s.line AND regexp_matches(l.text, '(^|[^A-Za-z0-9_$.])' || s.name || '($|[^A-Za-z0-9_$])')"
 _PLACED = f"""SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY ref_line) AS place FROM (
-    SELECT s.path, s.name, s.line, unnest(list_filter(o.refs, x -> x <> s.line)) AS ref_line FROM ({_SYMBOLS}) s JOIN ({_OWN_REFS}) o ON o.path = s.path AND o.name = s.name AND o.line = s.line WHERE o.refs IS NOT NULL
+    SELECT s.path, s.name, s.line, unnest(list_filter(o.refs, lambda x: x <> s.line)) AS ref_line FROM ({_SYMBOLS}) s JOIN ({_OWN_REFS}) o ON o.path = s.path AND o.name = s.name AND o.line = s.line WHERE o.refs IS NOT NULL
     UNION ALL SELECT e.* FROM ({_SEEN}) e JOIN ({_OWN_REFS}) o ON o.path = e.path AND o.name = e.name AND o.line = e.line WHERE o.refs IS NULL) u"""
-_GLOBAL_LINES = f"""SELECT w.path, w.name, w.line, l.line AS at, min(struct_pack(p := w.place, k := l.line - w.center)) AS turn, min(l.text) AS text FROM (SELECT path, name, line, 0 AS place, line AS center, 12 AS r FROM ({_SYMBOLS}) s UNION ALL SELECT path, name, line, place, ref_line, 2 FROM ({_PLACED}) p WHERE place <= 10) w
+_GLOBAL_LINES = f"""SELECT w.path, w.name, w.line, l.line AS a_t, min(struct_pack(p := w.place, k := l.line - w.center)) AS turn, min(l.text) AS text FROM (SELECT path, name, line, 0 AS place, line AS center, 12 AS r FROM ({_SYMBOLS}) s UNION ALL SELECT path, name, line, place, ref_line, 2 FROM ({_PLACED}) p WHERE place <= 10) w
     JOIN ({I.LINES}) l ON l.path = w.path AND l.line BETWEEN w.center - w.r AND w.center + w.r GROUP BY w.path, w.name, w.line, l.line"""
 
 
 @query(f"""SELECT g.path, g.name, g.line, 'Global symbol: ' || g.name || chr(10) || 'Declaration line: ' || CAST(g.line + 1 AS VARCHAR) || chr(10) || 'Reference lines: ' || coalesce(p.refs, 'none') || chr(10) || g.block AS context
-    FROM (SELECT path, name, line, string_agg(lpad(CAST(at + 1 AS VARCHAR), 6, ' ') || ' | ' || text, chr(10) ORDER BY at) AS block FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY turn) AS n FROM ({_GLOBAL_LINES}) q) z WHERE n <= 40 GROUP BY path, name, line) g
+    FROM (SELECT path, name, line, string_agg(lpad(CAST(a_t + 1 AS VARCHAR), 6, ' ') || ' | ' || text, chr(10) ORDER BY a_t) AS block FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY turn) AS n FROM ({_GLOBAL_LINES}) q) z WHERE n <= 40 GROUP BY path, name, line) g
     LEFT JOIN (SELECT path, name, line, string_agg(CAST(ref_line + 1 AS VARCHAR), ', ' ORDER BY ref_line) AS refs FROM ({_PLACED}) p WHERE place <= 10 GROUP BY path, name, line) p ON p.path = g.path AND p.name = g.name AND p.line = g.line""")
 def global_symbol_context(t: Tables) -> DataFrame:
     symbols, bindings = _symbols(t)
@@ -552,7 +557,7 @@ def global_symbol_context(t: Tables) -> DataFrame:
 
 def _symbols(t: Tables) -> tuple[DataFrame, DataFrame]:
     symbols = B.flagged(t.bindings()).where("scope_id = 'scope_0' and binding_seq % 5 = 0").select("path", "name", "line").distinct()
-    return symbols, E.attach_references(t.bindings(), t.references())
+    return symbols, _referred(t)
 
 
 _BLOCK = f"SELECT w.path, w.name, w.line, w.place, w.center, string_agg(CASE WHEN l.line = w.center THEN ' >>> ' ELSE '     ' END || {_shown()}, chr(10) ORDER BY l.line) AS b FROM (SELECT path, name, line, 0 AS place, line AS center FROM ({_SYMBOLS}) s UNION ALL SELECT path, name, line, place, ref_line FROM ({_PLACED}) p WHERE place <= 3) w JOIN ({I.LINES}) l ON l.path = w.path AND l.line BETWEEN w.center - 3 AND w.center + 3 GROUP BY ALL"
@@ -564,7 +569,7 @@ def global_symbol_snippet(t: Tables) -> DataFrame:
     return K.global_snippets(symbols, bindings, t.lines())
 
 
-_PREVIEW = f"SELECT s.path, s.name, s.line, unnest(list_filter(o.refs, x -> x <> s.line)[1:5]) AS at FROM ({_SYMBOLS}) s JOIN ({_OWN_REFS}) o ON o.path = s.path AND o.name = s.name AND o.line = s.line WHERE o.refs IS NOT NULL"
+_PREVIEW = f"SELECT s.path, s.name, s.line, unnest(list_filter(o.refs, lambda x: x <> s.line)[1:5]) AS at FROM ({_SYMBOLS}) s JOIN ({_OWN_REFS}) o ON o.path = s.path AND o.name = s.name AND o.line = s.line WHERE o.refs IS NOT NULL"
 
 
 @query(f"SELECT s.path, s.name, s.line, l.text AS declaration_text, coalesce(r.refs, '') AS refs FROM ({_SYMBOLS}) s JOIN ({I.LINES}) l ON l.path = s.path AND l.line = s.line LEFT JOIN (SELECT p.path, p.name, p.line, string_agg(CAST(p.at + 1 AS VARCHAR) || ': ' || m.text, '|' ORDER BY p.at) AS refs FROM ({_PREVIEW}) p JOIN ({I.LINES}) m ON m.path = p.path AND m.line = p.at GROUP BY p.path, p.name, p.line) r ON r.path = s.path AND r.name = s.name AND r.line = s.line")
@@ -575,7 +580,7 @@ def global_reference_preview(t: Tables) -> DataFrame:
 
 @query()
 def build_requests(t: Tables) -> DataFrame:
-    got = K.build_requests(_batches(t), t.lines(), E.attach_references(t.bindings(), t.references()), max_lines=100, max_size=4000)
+    got = K.build_requests(_batches(t), t.lines(), _referred(t), max_lines=100, max_size=4000)
     return got.select("path", "batch_id", "scope_type", F.array_join("symbols", ",").alias("symbols"), F.length("context").alias("n_context"), F.sha2("context", 256).alias("context_digest"), F.size("snippets").alias("n_snippets"))
 
 
@@ -688,7 +693,7 @@ def name_by_rule(frames):
 
 @query(f"SELECT path, batch_id, 1 AS attempt, length(batch_id) % 5 = 0 AS failed FROM ({_chunks_sql()}) c GROUP BY path, batch_id")
 def dispatch(t: Tables) -> DataFrame:
-    requests = K.build_requests(_chunks(t), t.lines(), E.attach_references(t.bindings(), t.references()))
+    requests = K.build_requests(_chunks(t), t.lines(), _referred(t))
     got = A.dispatch(requests, name_by_rule, 8)
     return got.select("path", "batch_id", "attempt", F.col("error").isNotNull().alias("failed"))
 
@@ -697,7 +702,7 @@ def dispatch(t: Tables) -> DataFrame:
 def rename_round(t: Tables) -> DataFrame:
     from symloom.jobs.rounds import rename_round as one_round
 
-    bindings = E.attach_references(t.bindings(), t.references())
+    bindings = _referred(t)
     batches, remaining = _batches(t), D.renamable_symbols(bindings)
     got = one_round(batches, t.lines(), bindings, remaining, name_by_rule, n=3, concurrency=8)
     return got.renames.withColumnRenamed("key", "rename_key")
@@ -771,7 +776,7 @@ def _states(t: Tables) -> DataFrame:
     maps = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.col("k").cast("string"), F.lit("x")))
     scopes = F.array().cast("array<struct<scope_id:string,scope_index:int,renames:map<string,string>>>")
     # keys within a second make the newest row of a day unique
-    at = F.timestamp_micros(F.unix_micros("day") + F.col("k"))
+    at = F.timestamp_micros(F.unix_micros(F.col("day").cast("timestamp")) + F.col("k"))
     config = F.create_map(F.lit("source_hash"), F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, F.sha2("input_file", 256)).otherwise("old"), F.lit("enable_uniquify"), F.when(F.col("k") % 4 == 0, "false").otherwise("true"))
     return rows.select("input_file", F.concat("input_file", F.lit(".out")).alias("output_file"), "total_scopes", "processed_scopes", maps.alias("all_renames"), scopes.alias("scope_renames"), at.alias("created_at"), at.alias("updated_at"), config.alias("config"), "status", "k")
 

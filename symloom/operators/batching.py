@@ -157,10 +157,11 @@ def analyze(bindings: DataFrame, scopes: DataFrame, lines: DataFrame, max_symbol
     Rows ``path, batch_id, scope_id, scope_type, start_row, end_row, n_identifiers, identifiers,
     batch_seq``; identifiers are structs in binding order, those of a merged batch by place.
     """
-    ids = flagged(bindings).join(scopes.select("path", "scope_id", "scope_type"), ["path", "scope_id"])
+    # narrow rows that every step below reads: written once instead of being derived each time
+    ids = materialize(flagged(bindings).join(scopes.select("path", "scope_id", "scope_type"), ["path", "scope_id"]), "flagged")
     merged = None
     if merge:
-        merged = local_merges(ids.drop("scope_type"), scopes, lines, max_symbols, merge_chars, merge_lines)
+        merged = materialize(local_merges(ids.drop("scope_type"), scopes, lines, max_symbols, merge_chars, merge_lines), "merged")
         ids = ids.join(merged.select("path", "scope_id", "binding_seq"), ["path", "scope_id", "binding_seq"], "left_anti")
     program = program_batches(ids.where("scope_type = 'program'").drop("scope_type"), scopes, lines, max_symbols, program_max, batching)
     others = scope_chunks(ids.where("scope_type <> 'program'").drop("scope_type"), max_symbols)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.text import clip_line, limit_prompt, numbered_line
 from symloom.operators.extract import binding_references, occurrences
+from symloom.storage import materialize
 
 PADDING = 10
 MARK, NO_MARK = " >>> ", "     "
@@ -91,10 +92,14 @@ def symbol_references(symbols: DataFrame, bindings: DataFrame, lines: DataFrame,
     return rows if most is None else rows.where(F.col("place") <= most)
 
 
-def global_context(symbols: DataFrame, bindings: DataFrame, lines: DataFrame, max_lines: int = 200, around: int = 12, ref_around: int = 2, most: int = 10) -> DataFrame:
+def _first(references: DataFrame, most: int) -> DataFrame:
+    return references.where(F.col("place") <= most)
+
+
+def global_context(symbols: DataFrame, bindings: DataFrame, lines: DataFrame, max_lines: int = 200, around: int = 12, ref_around: int = 2, most: int = 10, references: DataFrame | None = None) -> DataFrame:
     """``path, name, line, context`` of top-level symbols: a header, the declaration's lines, then
     those around the references, in this order until ``max_lines``, sorted."""
-    references = symbol_references(symbols, bindings, lines, most)
+    references = _first(references, most) if references is not None else symbol_references(symbols, bindings, lines, most)
     window = lambda c, r: F.posexplode(F.sequence(F.greatest(c - r, F.lit(0)), c + r)).alias("k", "at")
     declared = symbols.select("path", "name", "line", F.lit(0).alias("place"), window(F.col("line"), around))
     referred = references.select("path", "name", "line", "place", window(F.col("ref_line"), ref_around))
@@ -110,9 +115,9 @@ def global_context(symbols: DataFrame, bindings: DataFrame, lines: DataFrame, ma
     return out.select("path", "name", "line", F.concat(header, "block").alias("context"))
 
 
-def global_snippets(symbols: DataFrame, bindings: DataFrame, lines: DataFrame, radius: int = 3, most: int = 3) -> DataFrame:
+def global_snippets(symbols: DataFrame, bindings: DataFrame, lines: DataFrame, radius: int = 3, most: int = 3, references: DataFrame | None = None) -> DataFrame:
     """``path, name, line, snippet``: the declaration's block and those of the first references."""
-    references = symbol_references(symbols, bindings, lines, most)
+    references = _first(references, most) if references is not None else symbol_references(symbols, bindings, lines, most)
     parts = symbols.select("path", "name", "line", F.lit(0).alias("place"), F.col("line").alias("center"))
     parts = parts.unionByName(references.select("path", "name", "line", "place", F.col("ref_line").alias("center")))
     blocks = line_snippets(parts.select("path", F.col("center").alias("line")), lines, radius)
@@ -136,15 +141,19 @@ def reference_preview(symbols: DataFrame, bindings: DataFrame, lines: DataFrame,
 def build_requests(batches: DataFrame, lines: DataFrame, bindings: DataFrame, max_lines: int = 200, max_size: int = 32000) -> DataFrame:
     """Request rows of batches: symbols, their lines (from 1; the last one of a name), context by
     the kind and size of the scope, snippets, all within the size limits."""
+    batches = materialize(batches, "batches")
     ids = batches.select("path", "batch_id", "scope_type", F.size("identifiers").alias("n"), F.posexplode("identifiers").alias("place", "i")).select("path", "batch_id", "scope_type", "n", "place", F.col("i.name").alias("name"), F.col("i.line").alias("line"))
     symbol = ids.where("scope_type = 'program' and n = 1")
-    alone = global_context(symbol.select("path", "name", "line").distinct(), bindings, lines, max_lines).join(symbol, ["path", "name", "line"]).select("path", "batch_id", "context")
+    top = ids.where("scope_type = 'program'").select("path", "name", "line").distinct()
+    # looked up once, for contexts and snippets
+    references = materialize(symbol_references(top, bindings, lines, 10), "references")
+    single = symbol.select("path", "name", "line").distinct()
+    alone = global_context(single, bindings, lines, max_lines, references=references.join(single, ["path", "name", "line"], "left_semi")).join(symbol, ["path", "name", "line"]).select("path", "batch_id", "context")
     rest = batches.where((F.col("scope_type") != "program") | (F.size("identifiers") != 1))
     contexts = alone.unionByName(small_scope_context(rest, lines, max_lines)).unionByName(large_scope_context(rest, lines, max_lines))
-    top = ids.where("scope_type = 'program'").select("path", "name", "line").distinct()
     inner = ids.where("scope_type <> 'program'")
     snippets = inner.join(line_snippets(inner, lines, clip=500), ["path", "line"]).select("path", "batch_id", "place", "name", "line", "snippet")
-    snippets = snippets.unionByName(ids.where("scope_type = 'program'").join(global_snippets(top, bindings, lines), ["path", "name", "line"]).select("path", "batch_id", "place", "name", "line", "snippet"))
+    snippets = snippets.unionByName(ids.where("scope_type = 'program'").join(global_snippets(top, bindings, lines, references=references), ["path", "name", "line"]).select("path", "batch_id", "place", "name", "line", "snippet"))
     # a name that stands twice in a batch keeps its first place and its last line and snippet
     one = snippets.groupBy("path", "batch_id", "name").agg(F.min("place").alias("place"), F.max_by(F.struct((F.col("line") + 1).alias("line"), "snippet"), "place").alias("s"))
     rows = F.array_sort(F.collect_list(F.struct("place", "name", "s")))

@@ -10,7 +10,7 @@ from symloom import schemas
 
 def read_sources(spark: SparkSession, root: str, pattern: str = "*.js") -> DataFrame:
     """``path, source`` of every file below ``root`` whose name fits, one row a file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
 
 
@@ -67,7 +67,7 @@ def read_parse_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
 def output_path(path: Column, root: Column | None = None, out: Column | None = None) -> Column:
     """Where a rewritten file goes: beside its source, or at the same place below ``out``."""
     if out is None:
-        return F.regexp_replace(path, r"(?<=[^/])(\.[^./]*)?$", ".deobfuscated.js")
+        return F.regexp_replace(path, r"^(.*?[^/])(\.[^./]*)?$", "$1.deobfuscated.js")
     relative = F.when(path.startswith(F.concat(root, F.lit("/"))), F.substr(path, F.length(root) + 2)).otherwise(F.element_at(F.split(path, "/"), -1))
     return F.concat(out, F.lit("/"), relative)
 

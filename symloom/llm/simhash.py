@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symloom.llm.common import materialize
+from symloom.llm.common import has_name, materialize
 
 RADIUS = 3
 BLOCKS = 5
@@ -265,13 +265,14 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = near_duplicates(docs, radius).groupBy("group", "doc_id", "digest").count()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "digest", "count")).alias("s")
     stays = materialize(found.groupBy("group").agg(least).select(F.col("s.doc").alias("_n_doc"), F.col("s.digest").alias("_n_digest"), F.col("s.count").alias("_n")), "simhash-kept")
-    keyed = docs.withColumn("_k_digest", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(stays["_n_doc"]) & (keyed["_k_digest"] == stays["_n_digest"])
+    key = has_name(docs, "_k_digest")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    on = keyed["doc_id"].eqNullSafe(stays["_n_doc"]) & (keyed[key] == stays["_n_digest"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     repeated = stays.where("_n > 1")
     if repeated.isEmpty():
         return keyed.join(stays, on, "left_semi").select(*columns)
     # rows that stand there more than once: one of them, by a digest of all columns
     digest = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    one = keyed.join(repeated, on, "left_semi").groupBy("doc_id", "_k_digest").agg(F.min_by(F.struct(*columns), digest).alias("_whole"))
+    one = keyed.join(repeated, on, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*columns), digest).alias("_whole"))
     return keyed.join(stays.where("_n = 1"), on, "left_semi").select(*columns).unionByName(one.select("_whole.*"))

@@ -31,9 +31,14 @@ def test_sainte_lague(seed):
 
 
 def test_targets():
-    got = targets({"a": 100, "b": 100, "c": 800, None: 1000})
-    assert got["a"] == 300 and got["c"] > got["b"] and abs(sum(got.values()) - 2000) < 1e-6
-    assert got["b"] == 300 and abs(got[None] / got["c"] - 5) < 1e-9 or got[None] == 3000 or got["c"] >= 0
+    sizes = {"a": 100, "b": 100, "c": 800, None: 1000}
+    got = targets(sizes)
+    weight = {"a": 5, "b": 2, "c": 1, None: 5}
+    assert abs(sum(got.values()) - 2000) < 1e-6 and got["a"] == 300 and list(got) != []
+    free = [s for s in sizes if got[s] < 3 * sizes[s]]
+    share = got[free[0]] / weight[free[0]]
+    assert all(abs(got[s] / weight[s] - share) < 1e-9 for s in free)
+    assert all(got[s] == 3 * sizes[s] and 3 * sizes[s] <= weight[s] * share for s in sizes if s not in free)
     assert targets({}) == {} and targets({"x": 0}) == {"x": 0.0}
 
 

@@ -103,6 +103,7 @@ def test_one_of_each_stays(docs, rows, empty):
     got = S.drop_near_duplicates(docs)
     assert got.columns == docs.columns
     kept = got.collect()
+    assert {r["_k_digest"] for r in kept} == {"k"}
     prints = {i: fingerprint(r[1]) for i, r in enumerate(rows)}
     root = components(prints)
     assert sorted(root[fingerprint(r["text"])] for r in kept) == sorted(set(root.values()))

@@ -109,7 +109,7 @@ class WordBpe:
                 node[""] = i
         self.text = [f"{i}" for i in range(max(self.labels, default=-1) + 1)]
         self._tokenizer, self.path = None, path
-        self.cache = ChunkCache(lambda words: ["".join(map(chr, self.word(letters(w)))) for w in words], self._value)
+        self.cache = ChunkCache(lambda w: "".join(map(chr, self.word(letters(w)))), self._value)
 
     @staticmethod
     def _added(path: str) -> list[dict]:

@@ -13,7 +13,9 @@ Segments are binary rows of a Parquet table in the shared folder, in ascending d
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from symloom.llm.common import materialize
-from symloom.llm.wordsplit import ChunkCache, is_plain
+from symloom.llm.wordsplit import ChunkCache, is_plain, letters
 
 #: Ids after which a segment is closed. A longer document makes a longer segment.
 SEGMENT_IDS = 1 << 20
 SAMPLE = 64
+#: Chunks and words in the young halves of a worker's caches; their values are short.
+CHUNKS, WORDS = 1 << 19, 1 << 19
 HEAD = "<4sBBHQQQ"
 HEAD_SIZE = struct.calcsize(HEAD)
 MAGIC = b"EFT1"
@@ -116,8 +120,8 @@ class Segment:
 class Encoder:
     """Whole texts to ids as little-endian bytes, by the tokenizers library.
 
-    Texts within the plain characters are encoded word by word, each new word once; the others
-    are given to the library as they are. Either way gives what the library gives for the text.
+    Texts within the plain characters are cut into words as the vocabulary's rules say, and each
+    new word is given to the library's model once; the others go through the library as they are. Either way gives what the library gives for the text.
     """
 
     def __init__(self, path: str):
@@ -129,14 +133,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache = ChunkCache(self._words, b"".join)
+        self.code = next(c for c in "HIL" if array(c).itemsize == self.width)
+        self.cache = ChunkCache(self._word, b"".join, CHUNKS, WORDS)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(letters(word))])
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        own = array(self.code, ids)
+        if sys.byteorder == "big":
+            own.byteswap()
+        return own.tobytes()
 
     def encode(self, text: str) -> bytes:
         if is_plain(text):

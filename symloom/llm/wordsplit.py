@@ -8,7 +8,7 @@ space separated chunks, and chunks repeat: that is what the caches below live fr
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import regex
 
@@ -45,58 +45,44 @@ def is_plain(text: str) -> bool:
     return NOT_PLAIN.search(text) is None and "<|" not in text
 
 
-class Halves:
-    """A bounded cache: when the young half is full, it becomes the old one, which is dropped."""
+class Halves(dict):
+    """A bounded cache: when the young half is full, it becomes the old one, which is dropped.
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    ``make(key)`` gives the value of a new key (never None). Looking up a known key is a plain
+    dict's work.
+    """
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """The keys that neither half has; those of the old half move to the young one."""
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                v = old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    young[k] = v
-        return out
+    def __init__(self, size: int, make: Callable[[str], object]):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
 
-    def put(self, keys: Iterable[str], values: Iterable) -> None:
-        self.young.update(zip(keys, values, strict=True))
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
     def age(self) -> None:
-        """Between texts only, so that what a text needs stays."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
 
 
 class ChunkCache:
     """Values of whitespace-free chunks, put together from the values of their words.
 
-    ``code(words)`` gives the values of new words (never None), ``join(values)`` that of a chunk.
+    ``code(word)`` gives the value of a new word, ``join(values)`` that of a chunk.
     """
 
-    def __init__(self, code: Callable[[list[str]], Iterable], join: Callable[[list], object], chunks: int = CHUNKS, words: int = WORDS):
-        self.code, self.join, self.chunks, self.words = code, join, Halves(chunks), Halves(words)
+    def __init__(self, code: Callable[[str], object], join: Callable[[list], object], chunks: int = CHUNKS, words: int = WORDS):
+        self.words = Halves(words, code)
+        known = self.words.__getitem__
+        self.chunks = Halves(chunks, lambda chunk: join(list(map(known, PRE_TOKEN.findall(chunk)))))
 
     def values(self, text: str) -> list:
         """The values of a plain text's chunks, in order."""
-        found = text.lower().split()
-        young = self.chunks.young
-        out = list(map(young.get, found))
-        if None in out:
-            self._learn({c for c, v in zip(found, out, strict=True) if v is None})
-            out = list(map(young.__getitem__, found))
-            self.chunks.age()
-            self.words.age()
+        out = list(map(self.chunks.__getitem__, text.lower().split()))
+        self.chunks.age()
+        self.words.age()
         return out
-
-    def _learn(self, wanted: set[str]) -> None:
-        new = self.chunks.missing(wanted)
-        parts = list(map(PRE_TOKEN.findall, new))
-        unknown = self.words.missing({w for ws in parts for w in ws})
-        self.words.put(unknown, self.code(unknown))
-        words, join = self.words.young, self.join
-        self.chunks.put(new, [join([words[w] for w in ws]) for ws in parts])

@@ -72,11 +72,11 @@ def test_same_as_the_library(library):
 
 
 def test_caches_start_anew():
-    cache = ChunkCache(lambda words: [w.upper() for w in words], "".join, chunks=3, words=2)
+    cache = ChunkCache(str.upper, "".join, chunks=3, words=2)
     text = "a b c d e f g a b it's"
     for _ in range(5):
         assert cache.values(text) == ["A", "B", "C", "D", "E", "F", "G", "A", "B", "IT'S"]
-    assert len(cache.chunks.young) + len(cache.chunks.old) < 30
+    assert len(cache.chunks) + len(cache.chunks.old) < 30
 
 
 def test_round_trip(docs, rows, empty, library):

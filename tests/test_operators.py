@@ -33,7 +33,7 @@ def test_lines(spark):
 
 def test_bindings(spark):
     got = E.extract_bindings(text_lines(spark, SAMPLE)).orderBy("line", "seq").collect()
-    assert [(r["name"], r["line"], r["column"], r["binding_type"]) for r in got] == [("a", 0, 4, "variable"), ("first", 1, 9, "function"), ("dd", 2, 6, "variable"), ("e", 2, 23, "variable"), ("has", 3, 18, "function"), ("o", 6, 4, "variable")]
+    assert [(r["name"], r["line"], r["column"], r["binding_type"]) for r in got] == [("a", 0, 4, "variable"), ("first", 1, 9, "function"), ("dd", 2, 6, "variable"), ("e", 2, 24, "variable"), ("has", 3, 18, "function"), ("o", 6, 4, "variable")]
 
 
 def test_occurrences(spark):

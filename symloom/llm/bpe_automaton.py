@@ -28,7 +28,7 @@ from symloom.llm.wordsplit import SPECIAL, ChunkCache, is_plain, letters
 
 END = "</w>"
 #: Transitions kept before the table starts anew; this bounds memory, not results.
-TRANSITIONS = 1 << 20
+TRANSITIONS = 1 << 18
 NEVER = 1 << 60
 
 

@@ -27,7 +27,7 @@ BUCKETS = 1 << 15
 DIM = 16
 UNKNOWN = "und"
 #: Words that a worker's cache holds before it starts anew.
-CACHE = 1 << 19
+CACHE = 1 << 18
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -146,7 +146,7 @@ class Predictor:
 
     def _new(self) -> None:
         self.place: dict[str, int] = {}
-        self.values = np.zeros((1 << 12, len(self.model.langs) + 1))
+        self.values = np.zeros((1 << 12, len(self.model.langs) + 1), np.float32)
 
     def _learn(self, chunks: list[str]) -> None:
         ids, sizes = [], []
@@ -171,11 +171,13 @@ class Predictor:
         if len(self.place) > CACHE:
             self._new()
         chunks = text.lower().split()
-        at = list(map(self.place.get, chunks))
-        if None in at:
-            self._learn(list({c for c, i in zip(chunks, at, strict=True) if i is None}))
-            at = list(map(self.place.__getitem__, chunks))
-        return self.values[at].sum(axis=0) if at else np.zeros(len(self.model.langs) + 1)
+        place = self.place.__getitem__
+        try:
+            at = list(map(place, chunks))
+        except KeyError:
+            self._learn([c for c in set(chunks) if c not in self.place])
+            at = list(map(place, chunks))
+        return self.values[at].sum(axis=0, dtype=np.float64) if at else np.zeros(len(self.model.langs) + 1)
 
 
 _PREDICTORS: dict[int, Predictor] = {}

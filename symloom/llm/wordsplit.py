@@ -20,7 +20,7 @@ NOT_PLAIN = re.compile(r"[^\t-\r -˿]")
 #: Strings that the vocabulary file takes as one id wherever they stand.
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Entries of a cache's young half; this bounds memory, not results.
-CHUNKS, WORDS = 1 << 17, 1 << 19
+CHUNKS, WORDS = 1 << 16, 1 << 18
 
 
 def byte_letters() -> dict[int, str]:

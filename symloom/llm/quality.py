@@ -187,9 +187,11 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
 
     Rows that fail the base rule are left out. Only statistics of the sample reach the driver.
     """
-    rows = labelled_counts(docs, labels, sample).where(~base_failed(F.col("c")))
-    values = ratios(F.col("c"))
-    got = rows.select(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)).alias("turn"), (F.col("quality") == 0).alias("bad"), *[v.alias(k) for k, v in values.items()]).orderBy(F.xxhash64("doc_id"), "doc_id", *values).limit(2 * sample).toPandas()
+    rows, values = labelled_counts(docs, labels, sample), ratios(F.col("c"))
+    # as columns: a filter on the counts would be pushed below the join, onto every document
+    got = rows.select(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)).alias("turn"), (F.col("quality") == 0).alias("bad"), base_failed(F.col("c")).alias("failed"), *[v.alias(k) for k, v in values.items()])
+    got = got.orderBy("turn", *values).limit(2 * sample).toPandas()
+    got = got[~got["failed"]]
     if not len(got) or not got["bad"].any():
         return []
     return learn({k: got[k].to_numpy(float) for k in values}, got["bad"].to_numpy(bool), got["turn"].to_numpy(int))

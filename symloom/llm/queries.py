@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import langid, licenses, media, mixing, quality, quotes, sharding, simhash, token_files
+from symloom.llm import langid, licenses, media, mixing, quality, quotes, sharding, simhash, similar, token_files
 from symloom.llm.bpe_automaton import bpe_round_trip
 
 #: The token that ends a document in token files.
@@ -89,7 +89,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return similar.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

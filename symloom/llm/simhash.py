@@ -262,7 +262,12 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Of rows that share the naming doc_id in one group one stays, of groups without any doc_id one
     row. Two rows are told apart by doc_id and text.
     """
-    found = near_duplicates(docs, radius).groupBy("group", "doc_id", "digest").count()
+    return keep_one(docs, near_duplicates(docs, radius))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents that stay, by ``doc_id, digest, group`` of all of them."""
+    found = groups.groupBy("group", "doc_id", "digest").count()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "digest", "count")).alias("s")
     stays = materialize(found.groupBy("group").agg(least).select(F.col("s.doc").alias("_n_doc"), F.col("s.digest").alias("_n_digest"), F.col("s.count").alias("_n")), "simhash-kept")
     key = has_name(docs, "_k_digest")

@@ -38,15 +38,10 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in data]
 
 
-def window_ids(text: str, size: int = 60, stride: int = 4) -> list[np.ndarray]:
-    """Subword buckets of every ``stride``-th window of words over a whole text, the first too."""
+def window_ids(text: str, size: int = 60) -> list[np.ndarray]:
+    """Subword buckets of the windows of words that a whole text is cut into."""
     words = _LETTERS.findall(text.lower())
-    out = []
-    for i in range(0, len(words), size * stride):
-        ids = [b for w in words[i : i + size] for b in subwords(w)]
-        if ids:
-            out.append(np.array(ids, np.int64))
-    return out
+    return [np.array([b for w in words[i : i + size] for b in subwords(w)], np.int32) for i in range(0, len(words), size)]
 
 
 @dataclass
@@ -65,14 +60,23 @@ class LanguageModel:
 
 
 def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 6, rate: float = 0.4, batch: int = 16) -> LanguageModel | None:
-    """A model of (text, lang) rows; every fifth row calibrates. None without any usable row."""
+    """A model of (text, lang) rows; None without any usable row.
+
+    All words of a row are learned from, in windows. Every fifth row calibrates, as a whole text,
+    which is what predictions see. With one language every text with a letter is of it.
+    """
     langs = sorted({lang for _, lang in examples})
     if not langs:
         return None
     index = {lang: i for i, lang in enumerate(langs)}
-    fit, held = [], []
+    fit, held, whole = [], [], []
     for k, (text, lang) in enumerate(examples):
-        (held if k % 5 == 4 else fit).extend((ids, index[lang]) for ids in window_ids(text))
+        own = window_ids(text)
+        if own and k % 5 == 4:
+            held.append((np.concatenate(own), index[lang]))
+        elif own:
+            fit.extend((ids, index[lang]) for ids in own)
+            whole.append((len(fit) - len(own), len(fit), index[lang]))
     if not fit:
         return None
     rng = np.random.default_rng(seed)
@@ -100,7 +104,7 @@ def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 6, rate:
             emb[unique] -= step * sizes.mean() * np.add.reduceat(np.repeat(back, sizes, axis=0)[sort], first, axis=0) / 4
             done += len(rows)
     model = LanguageModel(langs, emb @ layer.T, bias.astype(np.float64), 1.0, 0.0)
-    check = held or fit
+    check = held or [(np.concatenate([ids for ids, _ in fit[a:b]]), y) for a, b, y in whole]
     sums = np.array([model.rows[ids].sum(axis=0) for ids, _ in check], np.float64)
     n, y = np.array([len(ids) for ids, _ in check]), np.array([k for _, k in check])
 
@@ -110,8 +114,10 @@ def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 6, rate:
 
     model.temperature = min(np.geomspace(0.05, 4, 40).tolist(), key=loss)
     best = model.chances(sums, n).max(axis=1)
-    # nearly all known text has to pass; a text that is likelier of no language than of one does not
-    model.threshold = float(min(0.5, np.quantile(best, 0.001)))
+    # nearly all known text has to pass, and all that is a third of the way from a guess (one of
+    # the languages has at least that chance) to certainty; with four languages that is one half
+    guess = 1 / len(langs)
+    model.threshold = float(min(guess + (1 - guess) / 3, np.quantile(best, 0.001)))
     return model
 
 

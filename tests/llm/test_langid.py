@@ -56,3 +56,35 @@ def test_predictor_is_the_plain_mean(monkeypatch):
     p = model.chances(np.array([[1.0, 2.0]]), np.array([2]))
     z = np.exp((np.array([0.5, 1.0]) + [0.1, 0.0]) / 0.7)
     assert np.allclose(p[0], z / z.sum())
+
+
+def test_words_of_whole_texts_are_learned():
+    """Texts of 240 words that tell their language only after the first 60."""
+    rng = np.random.default_rng(2)
+    invented = lambda letters: ["".join(rng.choice(list(letters), 7)) for _ in range(150)]
+    same, own = invented("abcdefghijklmnop"), {"aa": invented("zubakmot"), "bb": invented("fyrsengl")}
+    texts = [(" ".join([*rng.choice(same, 60), *rng.choice(own[lang], 180)]), lang) for _ in range(40) for lang in own]
+    model = train(texts)
+    for lang, words in own.items():
+        sums = Predictor(model).sums(" ".join(words))
+        p = model.chances(sums[None, :-1], sums[None, -1])[0]
+        assert p[model.langs.index(lang)] > 0.9
+
+
+def test_calibration_sees_whole_texts(monkeypatch):
+    """Predictions for the held-back rows are what set temperature and threshold."""
+    seen, plain = [], LanguageModel.chances
+    monkeypatch.setattr(LanguageModel, "chances", lambda self, sums, n: (seen.append(n), plain(self, sums, n))[1])
+    train([(" ".join(["house"] * (100 + k)), "en" if k % 2 else "de") for k in range(20)])
+    assert seen[-1].tolist() == [len(subwords("house")) * (100 + k) for k in range(4, 20, 5)]
+
+
+def test_two_languages_can_reject():
+    rng = np.random.default_rng(3)
+    own = {"aa": ["zubakki", "mozutta", "kebuzzo"], "bb": ["fyrsten", "glyrsk", "dyrfent"]}
+    model = train([(" ".join(rng.choice(own[lang], 80)), lang) for _ in range(40) for lang in own])
+    one, other = (Predictor(model).sums(" ".join(w)) for w in own.values())
+    pure = model.chances(np.array([one[:-1], other[:-1]]), np.array([one[-1], other[-1]])).max(axis=1)
+    assert model.threshold > 0.5 and (pure >= model.threshold).all()
+    blank = model.chances(-model.bias[None, :] * 10, np.array([10])).max()
+    assert blank < model.threshold

@@ -556,7 +556,7 @@ def global_symbol_context(t: Tables) -> DataFrame:
 
 
 def _symbols(t: Tables) -> tuple[DataFrame, DataFrame]:
-    symbols = B.flagged(t.bindings()).where("scope_id = 'scope_0' and binding_seq % 5 = 0").select("path", "name", "line").distinct()
+    symbols = B.flagged(t.bindings()).where("scope_id = 'scope_0'").select("path", "name", "line").distinct()
     return symbols, _referred(t)
 
 

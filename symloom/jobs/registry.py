@@ -168,7 +168,7 @@ _WORDS = f"SELECT DISTINCT path, name FROM ({I.BINDINGS}) b WHERE binding_seq %
 
 @query(f"SELECT DISTINCT l.path, n.name, l.line FROM ({I.LINES}) l JOIN ({_WORDS}) n ON l.path = n.path WHERE regexp_matches(l.text, '(^|[^A-Za-z0-9_$.])' || n.name || '($|[^A-Za-z0-9_$])')")
 def occurrence_lines(t: Tables) -> DataFrame:
-    return E.occurrences(t.lines(), t.sql(_WORDS))
+    return E.occurrences(t.lines(), t.bindings())
 
 
 _REFS = f"SELECT path, name, line, col, list_sort(list(DISTINCT ref_line)) AS refs FROM ({I.REFERENCES}) r GROUP BY path, name, line, col"

@@ -410,10 +410,18 @@ def _thin(sql: str) -> str:
     return sql.replace(f"({I.BINDINGS}) b WHERE {flagged_sql('name')}", f"({I.BINDINGS}) b WHERE k_ok AND {flagged_sql('name')}").replace("k_ok", "(scope_id = 'scope_0' OR binding_seq % 23 = 0)")
 
 
+_CUT = f"SELECT path, CAST(floor(line / 4) AS INT) AS k, min(line) AS start_row, max(line) AS end_row FROM ({I.LINES}) l GROUP BY path, CAST(floor(line / 4) AS INT)"
+_RANGES = f"""SELECT path, 'scope_1_' || CAST(k AS STRING) AS scope_id, 'function' AS scope_type, start_row, end_row, 'scope_0' AS parent_id FROM ({_CUT}) c
+    UNION ALL SELECT path, 'scope_2_' || CAST(k AS STRING), 'block', start_row, end_row, 'scope_1_' || CAST(k AS STRING) FROM ({_CUT}) c
+    UNION ALL SELECT path, 'scope_3_' || CAST(k AS STRING), CASE WHEN k % 2 = 0 THEN 'arrow' ELSE 'class' END, start_row, end_row, 'scope_0' FROM ({_CUT}) c"""
+
+
 @query(_thin(_merge_sql(50, 2000, 200)))
 def local_scope_merge(t: Tables) -> DataFrame:
-    ids = B.flagged(t.bindings().where("scope_id = 'scope_0' or binding_seq % 23 = 0"))
-    got = B.local_merges(ids, t.scopes(), t.lines(), 50, 2000, 200)
+    # names in the derived scopes repeat: each is cut into scopes of four lines, with all its rows
+    at = F.concat(F.lit("_"), F.floor(F.col("line") / 4).cast("string"))
+    ids = B.flagged(t.bindings().withColumn("scope_id", F.when(F.col("scope_id") == "scope_0", "scope_0").otherwise(F.concat("scope_id", at))))
+    got = B.local_merges(ids, t.sql(_RANGES), t.lines(), 50, 2000, 200)
     return got.select("path", "boundary_id", "scope_id", "name", "line", F.col("column").alias("col"))
 
 

@@ -303,7 +303,8 @@ def cuts(values: np.ndarray | list[np.ndarray]) -> list[int]:
     """Frames that begin a new shot, by adaptive differences of histograms.
 
     The difference to the frame before has to pass an eighth of a frame's blocks, and 1.5 times the
-    mean of the (up to eight) differences before it.
+    mean of the (up to eight) differences before it; the first one, of those after it. The only
+    difference of two frames has to pass the eighth alone.
     """
     n = len(values)
     if n < 2:
@@ -315,7 +316,9 @@ def cuts(values: np.ndarray | list[np.ndarray]) -> list[int]:
     at = np.arange(n - 1)
     first = np.maximum(0, at - LOOK_BACK)
     seen, k = total[at] - total[first], at - first
-    return (np.flatnonzero((8 * d > v.shape[1]) & (2 * d * k > 3 * seen) & (k > 0)) + 1).tolist()
+    k[0] = len(after := d[1 : 1 + LOOK_BACK])
+    seen[0] = after.sum()
+    return (np.flatnonzero((8 * d > v.shape[1]) & ((2 * d * k > 3 * seen) | (k == 0))) + 1).tolist()
 
 
 _CLIP = T.StructType([T.StructField("clip", T.IntegerType()), T.StructField("first_frame", T.IntegerType()), T.StructField("n_frames", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())])

@@ -63,6 +63,13 @@ def test_cuts_follow_histograms():
     assert cuts(calm[:1]) == [] and cuts(np.zeros((0, FRAME))) == []
 
 
+def test_first_boundary_can_be_a_cut():
+    dark, light = np.full((1, FRAME), 10), np.full((5, FRAME), 200)
+    assert cuts(np.concatenate([dark, light[:1]])) == [1]
+    assert cuts(np.concatenate([dark, light])) == [1]
+    assert cuts(light[:2]) == [] and cuts(light) == []
+
+
 def test_query(docs, rows, empty):
     got = media_digests(docs).collect()
     want = sorted((r[0], hashlib.sha256(payload_of(r[1])).hexdigest()) for r in rows if r[0] is not None)

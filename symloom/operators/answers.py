@@ -22,7 +22,7 @@ MOST_SUFFIXES = 10000
 IDENTIFIER_PATTERN = re.compile(IDENTIFIER)
 
 
-def dispatch(requests: DataFrame, fn: Naming, concurrency: int = 1, max_size: int = 32000) -> DataFrame:
+def dispatch(requests: DataFrame, fn: Naming, concurrency: int, max_size: int = 32000) -> DataFrame:
     """Ask the naming function: ``(path, batch_id, attempt, body, error)`` of each request.
 
     ``fn`` maps frames of requests to frames ``path, batch_id, body, error``. As many partitions
@@ -84,10 +84,11 @@ def symbols_of_keys(renames: DataFrame) -> DataFrame:
 
 def merge_renames(*parts: DataFrame) -> DataFrame:
     """Union of rename tables ``(path, seq, key, new_name)``, later ones after earlier ones: of
-    one key the last value stays, at the first one's place."""
+    one key the last value stays, at the first one's place. ``seq`` is anything that has an order,
+    of one type in all parts."""
     whole = None
     for i, p in enumerate(parts):
-        rows = p.select("path", F.struct(F.lit(i).alias("part"), F.col("seq").cast("long").alias("seq")).alias("turn"), "key", "new_name")
+        rows = p.select("path", F.struct(F.lit(i).alias("part"), F.col("seq").alias("seq")).alias("turn"), "key", "new_name")
         whole = rows if whole is None else whole.unionByName(rows)
     best = whole.groupBy("path", "key").agg(F.min("turn").alias("turn"), F.max_by("new_name", "turn").alias("new_name"))
     seq = F.row_number().over(W.partitionBy("path").orderBy("turn")) - 1
@@ -178,20 +179,24 @@ def outcome_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("path", "batch_id", "round").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
 
 
-def clean_round(requests: DataFrame, answers: DataFrame, bindings: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """A round's answers to renames ``(path, seq, key, new_name)`` and its log of outcomes.
+def clean_round(requests: DataFrame, answers: DataFrame, bindings: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A round's answers to its renames ``(path, seq, key, new_name)``, a log of outcomes, and the
+    usable keys ``(path, batch_id, key)`` that were answered at all.
 
-    The order is part of the meaning: clashes within requests are settled before names are
-    validated, clashes within files after.
+    ``bindings`` have the names that earlier rounds gave; ``order(path, batch_id, round_place)`` is
+    the order of the batches, in which answers are merged. The order of the steps is part of the
+    meaning: clashes within requests are settled before names are validated, clashes within files
+    after.
     """
     asked = filter_answers(requests, answers)
     scoped = resolve_scope_conflicts(asked, requests, bindings)
-    order = requests.select("path", "batch_id", F.row_number().over(W.partitionBy("path").orderBy("batch_id")).alias("_b"))
     kept = scoped.where("outcome <> 'unresolved'").join(order, ["path", "batch_id"])
-    flat = kept.select("path", (F.col("_b") * 1000000 + F.col("seq")).cast("long").alias("seq"), "key", "new_name")
-    merged = flat if old is None else merge_renames(old, flat)
-    normal = normalize_keys(merge_renames(merged), name_counts(bindings))
+    flat = kept.select("path", F.struct("round_place", "seq").alias("seq"), "key", "new_name")
+    normal = normalize_keys(merge_renames(flat), name_counts(bindings))
     valid, invalid = split_invalid(normal)
     settled = resolve_global_conflicts(valid, bindings)
-    log = scoped.select("path", "batch_id", "key", "outcome").unionByName(invalid.select("path", F.lit(None).cast("string").alias("batch_id"), "key", F.lit("invalid").alias("outcome"))).unionByName(settled.select("path", F.lit(None).cast("string").alias("batch_id"), "key", F.concat(F.lit("file_"), "outcome").alias("outcome")))
-    return settled.where("outcome <> 'unresolved'").drop("outcome"), log
+    whole = F.lit(None).cast("string").alias("batch_id")
+    log = scoped.select("path", "batch_id", "key", "outcome")
+    log = log.unionByName(invalid.select("path", whole, "key", F.lit("invalid").alias("outcome")))
+    log = log.unionByName(settled.select("path", whole, "key", F.concat(F.lit("file_"), "outcome").alias("outcome")))
+    return settled.where("outcome <> 'unresolved'").select("path", "seq", "key", "new_name"), log, asked.select("path", "batch_id", "key")

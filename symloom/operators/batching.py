@@ -40,8 +40,9 @@ def small_ranges(ranges: DataFrame, lines: DataFrame, max_chars: int, max_lines:
     """``ranges(path, id, start_row, end_row)`` of at most so many lines and characters.
 
     Ranges are clamped to their file; two point lookups in the prefix sums give the characters.
+    ``lines`` may have the prefix sums (``chars``) already.
     """
-    sums = prefix_chars(lines)
+    sums = lines.select("path", "line", "chars") if "chars" in lines.columns else prefix_chars(lines)
     last = sums.groupBy("path").agg(F.max("line").alias("last"))
     own = ranges.join(last, "path").withColumn("a", F.greatest("start_row", F.lit(0))).withColumn("b", F.least("end_row", "last"))
     own = own.where((F.col("b") >= F.col("a")) & (F.col("b") - F.col("a") + 1 <= max_lines))
@@ -60,8 +61,8 @@ def scope_boundaries(scopes: DataFrame) -> DataFrame:
     """
     kind = F.col("scope_type").isin(BOUNDARIES)
     way = scopes.select("path", "scope_id", F.when(kind, F.col("scope_id")).otherwise(F.col("parent_id")).alias("at"), kind.alias("done"))
-    way = materialize(way, "boundaries")
-    while not way.where("not done and at is not null").isEmpty():
+    way, open_ways = materialize(way, "boundaries"), F.count_if(~F.col("done") & F.col("at").isNotNull())
+    while way.agg(open_ways).first()[0]:
         above = way.select("path", F.col("scope_id").alias("at"), F.col("at").alias("next"), F.col("done").alias("end"))
         further = way.join(above, ["path", "at"], "left")
         way = further.select("path", "scope_id", F.when(F.col("done"), F.col("at")).otherwise(F.col("next")).alias("at"), F.coalesce(F.col("done") | F.col("end"), F.col("done")).alias("done"))
@@ -78,7 +79,8 @@ def local_merges(ids: DataFrame, scopes: DataFrame, lines: DataFrame, max_symbol
     owners = scopes.where(F.col("scope_type").isin(FUNCTIONS)).select("path", F.col("scope_id").alias("id"), "start_row", "end_row")
     small = small_ranges(owners, lines, max_chars, max_lines).withColumnRenamed("id", "boundary_id")
     rows = ids.join(scope_boundaries(scopes), ["path", "scope_id"]).join(small, ["path", "boundary_id"], "left_semi")
-    rows = rows.dropDuplicates(["path", "boundary_id", "scope_id", "name", "line", "column"])
+    place = ["path", "boundary_id", "scope_id", "name", "line", "column"]
+    rows = rows.groupBy(*place).agg(F.min(F.struct("binding_seq", "binding_type")).alias("first")).select(*place, "first.*")
     names = rows.groupBy("path", "boundary_id").agg(F.count("*").alias("n"), F.count_distinct("name").alias("k"))
     good = names.where((F.col("n") >= 2) & (F.col("n") <= max_symbols) & (F.col("n") == F.col("k"))).select("path", "boundary_id")
     return rows.join(good, ["path", "boundary_id"], "left_semi")
@@ -108,10 +110,10 @@ def function_eligible(ids: DataFrame, scopes: DataFrame, lines: DataFrame, max_c
     return ids.join(good, ["path", "binding_seq"], "left_semi")
 
 
-def program_eligible(ids: DataFrame, scopes: DataFrame, lines: DataFrame, variable_chars: int = 120, variable_lines: int = 2, function_chars: int = 600, function_lines: int = 20) -> DataFrame:
+def program_eligible(ids: DataFrame, scopes: DataFrame, lines: DataFrame, variable_chars: int = 120, variable_lines: int = 2, function_chars: int = 600, function_lines: int = 20, sums: DataFrame | None = None) -> DataFrame:
     """Top-level names that may share a batch: short variables and small functions only."""
     variables = variable_eligible(ids.where("binding_type = 'variable'"), lines, variable_chars, variable_lines)
-    functions = function_eligible(ids.where("binding_type = 'function'"), scopes, lines, function_chars, function_lines)
+    functions = function_eligible(ids.where("binding_type = 'function'"), scopes, lines if sums is None else sums, function_chars, function_lines)
     return variables.unionByName(functions)
 
 
@@ -121,11 +123,11 @@ def chunked(ids: DataFrame, size: int, batch: str) -> DataFrame:
     return ids.withColumn("batch_id", F.concat("scope_id", F.lit(batch), F.floor(place / size).cast("string")))
 
 
-def program_batches(ids: DataFrame, scopes: DataFrame, lines: DataFrame, max_symbols: int = 50, program_max: int = 10, batching: bool = True) -> DataFrame:
+def program_batches(ids: DataFrame, scopes: DataFrame, lines: DataFrame, max_symbols: int = 50, program_max: int = 10, batching: bool = True, sums: DataFrame | None = None) -> DataFrame:
     """Batches of the top-level names: eligible ones in chunks, each other one alone."""
     if not batching:
         return singletons(ids, "_single_")
-    good = program_eligible(ids, scopes, lines)
+    good = program_eligible(ids, scopes, lines, sums=sums)
     rest = ids.join(good.select("path", "scope_id", "binding_seq"), ["path", "scope_id", "binding_seq"], "left_anti")
     return chunked(good, max(1, min(max_symbols, program_max)), "_program_batch_").unionByName(chunked(rest, 1, "_program_ineligible_single_"))
 
@@ -151,6 +153,17 @@ def order_batches(batches: DataFrame) -> DataFrame:
     return batches.withColumn("batch_seq", F.row_number().over(order))
 
 
+def merge_ids(merged: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Merged rows with their ``batch_id``: ``<scope>_local_merge``, with the first free ``_<k>``
+    where a scope has that id itself."""
+    pattern = r"^(.+_local_merge)(?:_([1-9][0-9]*))?$"
+    taken = scopes.where(F.col("scope_id").rlike(pattern)).select("path", F.regexp_extract("scope_id", pattern, 1).alias("batch_id"), F.coalesce(F.nullif(F.regexp_extract("scope_id", pattern, 2), F.lit("")).cast("int"), F.lit(0)).alias("k"))
+    taken = taken.groupBy("path", "batch_id").agg(F.collect_set("k").alias("used"))
+    rows = merged.withColumn("batch_id", F.concat("boundary_id", F.lit("_local_merge"))).join(taken, ["path", "batch_id"], "left")
+    free = F.get(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")), F.lit(0))
+    return rows.withColumn("batch_id", F.when(free > 0, F.concat_ws("_", "batch_id", free.cast("string"))).otherwise(F.col("batch_id"))).drop("used")
+
+
 def analyze(bindings: DataFrame, scopes: DataFrame, lines: DataFrame, max_symbols: int = 50, program_max: int = 10, batching: bool = True, merge: bool = True, merge_chars: int = 1200, merge_lines: int = 40) -> DataFrame:
     """Ordered batches of the flagged names of all files.
 
@@ -159,15 +172,17 @@ def analyze(bindings: DataFrame, scopes: DataFrame, lines: DataFrame, max_symbol
     """
     # narrow rows that every step below reads: written once instead of being derived each time
     ids = materialize(flagged(bindings).join(scopes.select("path", "scope_id", "scope_type"), ["path", "scope_id"]), "flagged")
+    # likewise the prefix sums, which merges and top-level functions look up
+    sums = materialize(prefix_chars(lines), "chars")
     merged = None
     if merge:
-        merged = materialize(local_merges(ids.drop("scope_type"), scopes, lines, max_symbols, merge_chars, merge_lines), "merged")
-        ids = ids.join(merged.select("path", "scope_id", "binding_seq"), ["path", "scope_id", "binding_seq"], "left_anti")
-    program = program_batches(ids.where("scope_type = 'program'").drop("scope_type"), scopes, lines, max_symbols, program_max, batching)
+        merged = materialize(local_merges(ids.drop("scope_type"), scopes, sums, max_symbols, merge_chars, merge_lines), "merged")
+        ids = ids.join(merged.select("path", "scope_id").distinct(), ["path", "scope_id"], "left_anti")
+    program = program_batches(ids.where("scope_type = 'program'").drop("scope_type"), scopes, lines, max_symbols, program_max, batching, sums)
     others = scope_chunks(ids.where("scope_type <> 'program'").drop("scope_type"), max_symbols)
     rows = program.unionByName(others).withColumn("place", F.struct(F.col("binding_seq").alias("a"), F.lit(0).alias("b"), F.lit("").alias("c")))
     if merge:
-        mine = merged.select("path", F.col("boundary_id").alias("scope_id"), *IDENTIFIER, F.concat("boundary_id", F.lit("_local_merge")).alias("batch_id"), F.struct(F.col("line").cast(rows.schema["binding_seq"].dataType).alias("a"), F.col("column").cast("int").alias("b"), F.col("name").alias("c")).alias("place"))
+        mine = merge_ids(merged, scopes).select("path", F.col("boundary_id").alias("scope_id"), *IDENTIFIER, "batch_id", F.struct(F.col("line").cast(rows.schema["binding_seq"].dataType).alias("a"), F.col("column").cast("int").alias("b"), F.col("name").alias("c")).alias("place"))
         rows = rows.unionByName(mine)
     own = F.array_sort(F.collect_list(F.struct("place", *IDENTIFIER)))
     grouped = rows.groupBy("path", "scope_id", "batch_id").agg(F.transform(own, lambda x: x.dropFields("place")).alias("identifiers"))

@@ -15,6 +15,7 @@ from symloom.operators.extract import binding_references, occurrences
 from symloom.storage import materialize
 
 PADDING = 10
+#: Marks and headings of the texts that a naming function reads.
 MARK, NO_MARK = " >>> ", "     "
 
 
@@ -178,22 +179,37 @@ def select_round(batches: DataFrame, remaining: DataFrame, n: int) -> DataFrame:
     return batches.drop("identifiers").join(kept, ["path", "batch_id"]).withColumn("n_identifiers", F.size("identifiers"))
 
 
-def apply_renames(lines: DataFrame, tokens: DataFrame, renames: DataFrame) -> DataFrame:
-    """Lines with their identifiers renamed.
+def token_renames(tokens: DataFrame, renames: DataFrame) -> DataFrame:
+    """``path, line, column, name, new_name`` of the tokens that renames change.
 
-    ``tokens(path, line, column, name, decl_line)``: identifiers with the line of the declaration
-    they belong to (their own line for declarations, null if undeclared). ``renames(path, symbol,
-    line, new_name)``: line from 1, or null for the whole file. A token takes the name given to
-    its declaration's line, else the file's. Lines without a hit pass untouched.
+    ``tokens`` as ``extract.tokens`` gives them; ``renames(path, symbol, line, new_name)`` with the
+    line from 1, or null for the whole file. A declaration takes its line's entry, else the
+    file's. A reference takes what the declarations of its scope were given (the last one's, where
+    a scope declares a name more than once); an undeclared one takes the file's entry.
     """
-    named = renames.where("line is not null").select("path", F.col("symbol").alias("name"), (F.col("line") - 1).cast("int").alias("decl_line"), F.col("new_name").alias("by_line"))
+    named = renames.where("line is not null").select("path", F.col("symbol").alias("name"), (F.col("line") - 1).cast("int").alias("line"), F.col("new_name").alias("by_line"))
     general = renames.where("line is null").select("path", F.col("symbol").alias("name"), F.col("new_name").alias("by_name"))
-    hits = tokens.join(named, ["path", "name", "decl_line"], "left").join(general, ["path", "name"], "left")
-    hits = hits.withColumn("new_name", F.coalesce("by_line", "by_name")).where("new_name is not null")
-    hits = hits.select("path", "line", F.struct("column", F.length("name").alias("n"), "new_name").alias("h")).distinct()
-    changed = hits.groupBy("path", "line").agg(F.array_sort(F.collect_list("h")).alias("h"))
+    own = tokens.where("is_declaration").join(named, ["path", "name", "line"], "left").join(general, ["path", "name"], "left")
+    own = own.withColumn("new_name", F.coalesce("by_line", "by_name")).where("new_name is not null")
+    given = own.groupBy("path", "scope_id", "name").agg(F.max_by("new_name", F.struct("line", "column")).alias("new_name"))
+    columns = ["path", "line", "column", "name", "new_name"]
+    bound = tokens.where("not is_declaration and scope_id is not null").join(given, ["path", "scope_id", "name"])
+    loose = tokens.where("not is_declaration and scope_id is null").join(general.withColumnRenamed("by_name", "new_name"), ["path", "name"])
+    return own.select(*columns).unionByName(bound.select(*columns)).unionByName(loose.select(*columns))
+
+
+def rewrite_lines(lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """Lines with the tokens of ``hits(path, line, column, name, new_name)`` replaced; lines
+    without a hit pass untouched."""
+    own = hits.select("path", "line", F.struct("column", F.length("name").alias("n"), "new_name").alias("h")).distinct()
+    changed = own.groupBy("path", "line").agg(F.array_sort(F.collect_list("h")).alias("h"))
     text, n = F.col("text"), F.size("h")
     start = lambda i: F.when(i > 0, F.get(F.col("h"), i - 1)["column"] + F.get(F.col("h"), i - 1)["n"]).otherwise(0)
     piece = lambda x, i: F.concat(F.substr(text, start(i) + 1, x["column"] - start(i)), x["new_name"])
     rebuilt = F.concat(F.array_join(F.transform("h", piece), ""), F.substr(text, start(n) + 1, F.length(text)))
     return lines.join(changed, ["path", "line"], "left").select("path", "line", F.when(F.col("h").isNull(), text).otherwise(rebuilt).alias("text"))
+
+
+def apply_renames(lines: DataFrame, tokens: DataFrame, renames: DataFrame) -> DataFrame:
+    """Lines with their identifiers renamed; see ``token_renames`` for who takes which name."""
+    return rewrite_lines(lines, token_renames(tokens, renames))

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.functions.names import is_obfuscated
+from symloom.functions.names import NOT_A_NAME, is_obfuscated
 
+#: The patterns that say what counts as a declaration.
 VARIABLE = r"\b(?:var|let|const)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)"
 FUNCTION = r"\bfunction\s+([a-zA-Z_$][a-zA-Z0-9_$]*)"
 #: An identifier that is no member of something before it.
@@ -43,6 +44,78 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
 
+#: Words that are no names; fixed values of the language.
+_SKIPPED = frozenset(NOT_A_NAME) - {"constructor"}
+_STRING = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|//.*|/\*.*?\*/"""
+_NAME_OR_STRING = re.compile(f"(?:{_STRING})|({TOKEN})")
+
+
+def line_identifiers(lines: DataFrame) -> DataFrame:
+    """``path, line, column, name`` of the identifiers of each line that may be variables.
+
+    Left out are reserved words, members after a dot, keys of object literals, and what stands in
+    strings and comments that end in their line. Places need offsets, which no SQL function gives.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for m in _NAME_OR_STRING.finditer(text or ""):
+                    name = m[1]
+                    if name is None or name in _SKIPPED:
+                        continue
+                    if text[m.end() :].lstrip()[:1] == ":" and text[: m.start()].rstrip()[-1:] in ("", "{", ","):
+                        continue
+                    out.append((path, row, m.start(), name))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "line", "column", "name"])
+
+    rows = lines.select(F.col("path").cast("string").alias("path"), F.col("line").cast("int").alias("line"), "text")
+    return rows.mapInArrow(find, "path string, line int, column int, name string")
+
+
+def tokens(lines: DataFrame, scopes: DataFrame, bindings: DataFrame) -> DataFrame:
+    """``path, line, column, name, scope_id, is_declaration`` of every identifier.
+
+    ``scope_id`` is the scope in which the identifier is declared: a declaration's own, else the
+    innermost one around it that declares the name, null if none does. Scopes nest, so the
+    declaring scopes of one name, sorted with its tokens by place, are a stack: partitions are
+    sorted by (path, name, place) and pass row by row, and no name's tokens meet all its scopes.
+    """
+    far = F.struct((-F.col("end_row")).alias("a"), (-F.col("end_col")).alias("b"))
+    none, far_none = F.lit(None).cast("int"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    opens = bindings.select("path", "name", "scope_id").distinct().join(scopes.select("path", "scope_id", "start_row", "start_col", "end_row", "end_col"), ["path", "scope_id"])
+    opens = opens.select("path", "name", F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(0).alias("kind"), far.alias("far"), "end_row", "end_col", "scope_id")
+    marks = bindings.select("path", "name", F.col("line").alias("row"), F.col("column").alias("col"), F.lit(1).alias("kind"), far_none.alias("far"), none.alias("end_row"), none.alias("end_col"), F.coalesce("scope_id", F.lit("")).alias("scope_id"))
+    seen = line_identifiers(lines).select("path", "name", F.col("line").alias("row"), F.col("column").alias("col"), F.lit(2).alias("kind"), far_none.alias("far"), none.alias("end_row"), none.alias("end_col"), F.lit(None).cast("string").alias("scope_id"))
+    dealt = opens.unionByName(marks).unionByName(seen).repartition("path", "name").sortWithinPartitions("path", "name", "row", "col", "kind", "far", "scope_id")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stack, mark = None, [], None
+        for batch in batches:
+            out = []
+            for path, name, row, col, kind, end_row, end_col, scope in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6, 7, 8)), strict=True):
+                if key != (path, name):
+                    key, stack, mark = (path, name), [], None
+                while stack and stack[-1][0] <= (row, col):
+                    stack.pop()
+                if kind == 0:
+                    stack.append(((end_row, end_col), scope))
+                elif kind == 1:
+                    mark = (row, col, scope)
+                elif mark is not None and mark[:2] == (row, col):
+                    out.append((path, row, col, name, mark[2], True))
+                else:
+                    out.append((path, row, col, name, stack[-1][1] if stack else None, False))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "line", "column", "name", "scope_id", "is_declaration"])
+
+    return dealt.mapInArrow(resolve, "path string, line int, column int, name string, scope_id string, is_declaration boolean")
+
+
 def occurrences(lines: DataFrame, names: DataFrame) -> DataFrame:
     """``path, name, line`` wherever one of ``names(path, name)`` occurs as an identifier.
 

@@ -133,12 +133,38 @@ def test_unique_names(spark, seed):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+SCOPE = "path string, scope_id string, scope_seq int, scope_type string, start_row int, start_col int, end_row int, end_col int, parent_id string, children array<string>"
+
+
+def rewritten(spark, text, renames, scopes=None, bindings=None):
+    """Lines of one file after renames ``(symbol, line from 1 or None, new name)``."""
+    lines = text_lines(spark, text)
+    if scopes is None:
+        bindings = E.extract_bindings(lines, ("variable",)).withColumn("binding_seq", F.col("line"))
+        scopes = S.program_scopes(lines)
+    tokens = E.tokens(lines, scopes, bindings)
+    given = spark.createDataFrame([("f", *r) for r in renames], "path string, symbol string, line int, new_name string")
+    return [r["text"] for r in K.apply_renames(lines, tokens, given).orderBy("line").collect()]
+
+
 def test_apply_renames(spark):
-    lines = text_lines(spark, "var a = 1; console.log(a);\nvar ab = 1; var abc = a.a;\nnothing")
-    tokens = spark.createDataFrame([("f", 0, 4, "a", 0), ("f", 0, 23, "a", 0), ("f", 1, 4, "ab", 1), ("f", 1, 16, "abc", 1), ("f", 1, 22, "a", 0)], "path string, line int, column int, name string, decl_line int")
-    renames = spark.createDataFrame([("f", "a", None, "value"), ("f", "ab", 2, "second"), ("f", "ab", 9, "no")], "path string, symbol string, line int, new_name string")
-    got = [r["text"] for r in K.apply_renames(lines, tokens, renames).orderBy("line").collect()]
-    assert got == ["var value = 1; console.log(value);", "var second = 1; var abc = value.a;", "nothing"]
+    assert rewritten(spark, "var a = 1; console.log(a);", [("a", None, "value")]) == ["var value = 1; console.log(value);"]
+    assert rewritten(spark, "var a = 1;\nvar a = 2;\nconsole.log(a);", [("a", 2, "second_a")]) == ["var a = 1;", "var second_a = 2;", "console.log(second_a);"]
+    assert rewritten(spark, "var ab = 1; var abc = 2;", [("ab", None, "first")]) == ["var first = 1; var abc = 2;"]
+    assert rewritten(spark, "var a = 1; var b = 2; console.log(a + b);", [("a", None, "first"), ("b", None, "second")]) == ["var first = 1; var second = 2; console.log(first + second);"]
+    assert rewritten(spark, "var a = 1;", []) == ["var a = 1;"]
+    odd = 'var a = {a: 1, b: a.a}; f("a", \'a\', a ? a : b); // a\nnothing'
+    assert rewritten(spark, odd, [("a", None, "x"), ("f", None, "call"), ("b", 9, "no")]) == ['var x = {a: 1, b: x.a}; call("a", \'a\', x ? x : b); // a', "nothing"]
+
+
+def test_references_take_their_own_declaration(spark):
+    text = "var a = 1;\nfunction g(a) {\n  { let a = 2; use(a); }\n  return a;\n}\nuse(a);"
+    scopes = [("f", "scope_0", 0, "program", 0, 0, 5, 7, None, ["scope_1"]), ("f", "scope_1", 1, "function", 1, 0, 4, 1, "scope_0", ["scope_2"]), ("f", "scope_2", 2, "block", 2, 2, 2, 24, "scope_1", [])]
+    rows = [("f", "scope_0", 1, "a", 0, 4, "variable"), ("f", "scope_0", 2, "g", 1, 9, "function"), ("f", "scope_1", 3, "a", 1, 11, "parameter"), ("f", "scope_2", 4, "a", 2, 8, "variable")]
+    scopes, bindings = spark.createDataFrame(scopes, SCOPE), spark.createDataFrame(rows, BINDING)
+    got = rewritten(spark, text, [("a", 1, "top"), ("a", 2, "given"), ("a", 3, "inner")], scopes, bindings)
+    assert got == ["var top = 1;", "function g(given) {", "  { let inner = 2; use(inner); }", "  return given;", "}", "use(top);"]
+    assert rewritten(spark, text, [("a", 2, "given")], scopes, bindings)[3:] == ["  return given;", "}", "use(a);"]
 
 
 def test_merge_of_function_locals(spark):
@@ -155,7 +181,6 @@ def test_rename_until_done(spark):
     lines = text_lines(spark, text)
     bindings = E.extract_bindings(lines).withColumn("binding_seq", F.col("line")).withColumn("reference_lines", F.array().cast("array<int>"))
     scopes = S.program_scopes(lines)
-    batches = B.analyze(bindings, scopes, lines, program_max=2)
 
     def fn(frames):
         import pandas as pd
@@ -163,8 +188,9 @@ def test_rename_until_done(spark):
         for f in frames:
             yield pd.DataFrame([(p, b, "{" + ", ".join(f'"{s}": "value"' for s in symbols) + "}", None) for p, b, symbols in zip(f["path"], f["batch_id"], f["symbols"], strict=True)], columns=["path", "batch_id", "body", "error"])
 
-    got = rename_all(batches, lines, bindings, fn)
-    assert {r["key"]: r["new_name"] for r in got.renames.collect()} == {"a": "value", "b": "value_1", "c": "value_2"}
+    # the smallest batch is asked first, so c has the name when a and b want it
+    got = rename_all(bindings, scopes, lines, fn, 1, program_max=2)
+    assert {r["key"]: r["new_name"] for r in got.renames.collect()} == {"c": "value", "a": "value_1", "b": "value_2"}
     assert got.remaining.isEmpty()
 
 

@@ -7,31 +7,71 @@ import pytest
 from pyspark.sql import functions as F
 
 from symloom.llm.common import running
-from symloom.llm.sharding import place, shard_documents, shard_tree
+from symloom.llm.sharding import RACK, REGION, SHARD, grow, node_draw, place, shard_documents, shard_tree
+
+
+def placed(spark, n, *trees):
+    rows = spark.range(n)
+    for i, tree in enumerate(trees):
+        got = place(spark.range(n), "id", tree).select("id", F.struct("region", "rack", "shard").alias(f"t{i}"))
+        rows = rows.join(got, "id")
+    return rows.collect()
 
 
 @pytest.mark.parametrize("n", [1, 4, 5, 8, 16])
 def test_one_more_shard_takes_rows_only_into_itself(spark, n):
-    keys = spark.range(3000)
-    rows = keys.select(place(F.col("id"), shard_tree(n))["shard"].alias("a"), place(F.col("id"), shard_tree(n + 1))["shard"].alias("b")).collect()
-    assert all(r["b"] in (r["a"], n) for r in rows)
-    grown = Counter(r["b"] for r in rows)
+    rows = placed(spark, 3000, shard_tree(n), grow(shard_tree(n)))
+    assert all(r["t1"]["shard"] in (r["t0"]["shard"], n) for r in rows)
+    grown = Counter(r["t1"]["shard"] for r in rows)
     assert all(0.7 < grown[s] * (n + 1) / 3000 < 1.3 for s in range(n + 1))
 
 
+def test_levels_draw_by_themselves(spark):
+    """Plain descents: each level's least draw below the winner of the level above."""
+    weights = [1.0 + s % 3 for s in range(16)]
+    tree = shard_tree(16, weights=weights)
+
+    def descend(draws):
+        of = lambda level, rows: min((draws[level, n], n) for n in rows)[1]
+        region = of(REGION, tree)
+        rack = of(RACK, tree[region])
+        return region, rack, of(SHARD, tree[region][rack])
+
+    names = [(REGION, g, sum(sum(x.values()) for x in racks.values())) for g, racks in tree.items()]
+    names += [(RACK, r, sum(x.values())) for racks in tree.values() for r, x in racks.items()]
+    names += [(SHARD, s, w) for racks in tree.values() for x in racks.values() for s, w in x.items()]
+    draws = spark.range(500).select("id", *[node_draw(F.col("id"), level, F.lit(n), F.lit(w)).alias(str(i)) for i, (level, n, w) in enumerate(names)]).collect()
+    want = {r["id"]: descend({(level, n): r[str(i)] for i, (level, n, _) in enumerate(names)}) for r in draws}
+    assert {r["id"]: tuple(r["t0"]) for r in placed(spark, 500, tree)} == want
+    shares = Counter(x[0] for x in want.values())
+    assert abs(shares["region0"] / 500 - sum(weights[:8]) / sum(weights)) < 0.08
+
+
 def test_movement_stays_in_changed_subtrees(spark):
+    """A heavier shard: other regions only lose keys to its region, other racks of the region only
+    to its rack, other shards of the rack only to it; a lighter one the other way round."""
     weights = [1.0] * 16
     more = [*weights]
     more[5] = 3.0
-    keys = spark.range(4000)
-    rows = keys.select(place(F.col("id"), shard_tree(16, weights=weights)).alias("a"), place(F.col("id"), shard_tree(16, weights=more)).alias("b")).collect()
-    moved = [r for r in rows if r["a"]["shard"] != r["b"]["shard"]]
-    assert moved and all(r["b"]["shard"] == 5 and r["b"]["rack"] == "rack1" and r["b"]["region"] == "region0" for r in moved)
-    share = sum(r["b"]["shard"] == 5 for r in rows) / len(rows)
+    rows = placed(spark, 4000, shard_tree(16, weights=weights), shard_tree(16, weights=more))
+    moved = [r for r in rows if r["t0"] != r["t1"]]
+    assert moved
+    for a, b in [(r["t0"], r["t1"]) for r in moved]:
+        if a["region"] != b["region"]:
+            assert b["region"] == "region0"
+        elif a["rack"] != b["rack"]:
+            assert a["region"] == "region0" and b["rack"] == "rack1"
+        else:
+            assert a["rack"] == "rack1" and b["shard"] == 5
+    share = sum(r["t1"]["shard"] == 5 for r in rows) / len(rows)
     assert 0.13 < share < 0.2  # 3 of 18
     none = [*weights]
     none[0] = 0.0
-    assert keys.select(place(F.col("id"), shard_tree(16, weights=none))["shard"].alias("s")).where("s = 0").count() == 0
+    rows = placed(spark, 4000, shard_tree(16, weights=weights), shard_tree(16, weights=none))
+    for a, b in [(r["t0"], r["t1"]) for r in rows if r["t0"] != r["t1"]]:
+        assert a["region"] == "region0" and (a["region"] != b["region"] or a["rack"] == "rack0")
+        assert a["rack"] != b["rack"] or a["shard"] == 0
+    assert all(r["t1"]["shard"] != 0 for r in rows)
 
 
 def test_query(docs, rows, empty):

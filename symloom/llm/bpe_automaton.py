@@ -7,10 +7,16 @@ label lead to the same state, so a state is named by a label. The gadget of merg
 ``xy`` wherever ``x`` then ``y`` could be taken. Rows of the transition table are kept as what a
 gadget took away: ``(x, y) -> k``. A label's row is that of its right part at the time of its own
 gadget, and an arc is present where its left part was at the time of its gadget, which walks over
-the two spines tell; the answers are then kept as a table of transitions.
-
-Encoding cuts pre-split words by the longest label that the table lets follow the label before,
-and steps back where none does; a word has one accepted sequence. Decoding emits arc labels.
+the two spines tell. The whole table of a vocabulary of 49,000 labels has 2.4 billion arcs, so arcs
+are read off these rows.
+
+Words are read letter by letter. Every beginning of a word has exactly one accepted sequence, so
+after each letter one label is the last one of the word so far, and what matters for the letters
+to come are the labels that have begun and the label that each of them would follow. Such
+situations are the states of a deterministic automaton over letters; its transition table is filled
+as words need it and says the next state and the label that ends there. A word takes one look-up a
+letter, without search or steps back, and its labels are read from its end by their lengths.
+Decoding emits arc labels.
 """
 
 from __future__ import annotations
@@ -27,8 +33,9 @@ from pyspark.sql import functions as F
 from symloom.llm.wordsplit import SPECIAL, ChunkCache, is_plain, letters
 
 END = "</w>"
-#: Transitions kept before the table starts anew; this bounds memory, not results.
+#: Transitions kept before a table starts anew; this bounds memory, not results.
 TRANSITIONS = 1 << 18
+START = -1
 NEVER = 1 << 60
 
 
@@ -87,6 +94,11 @@ class MergeAutomaton:
         return found
 
 
+def symbols(mapped: str) -> list[str]:
+    """A word's letters, the last one marked, as the end belongs to it."""
+    return [*mapped[:-1], mapped[-1] + "\n"] if mapped else []
+
+
 class WordBpe:
     """A vocabulary file with word ends, compiled: words to ids and ids to labels."""
 
@@ -99,59 +111,86 @@ class WordBpe:
         self.labels = {i: t for t, i in vocab.items()}
         self.special = {a["content"]: a["id"] for a in self._added(path)}
         self.labels.update({i: t for t, i in self.special.items()})
-        # labels as a tree of characters, the word end as one of them; "" holds a label's id
-        self.arcs: dict = {}
+        # live labels as a tree of letters, a word's last letter with its end; "" holds a label's id
+        self.root: dict = {}
+        self.length = [0] * (max(self.labels, default=-1) + 1)
         for t, i in vocab.items():
             if i not in self.automaton.dead:
-                node = self.arcs
-                for c in t[: -len(END)] + "\n" if t.endswith(END) else t:
+                node = self.root
+                for c in (own := symbols(t[: -len(END)]) if t.endswith(END) else list(t)):
                     node = node.setdefault(c, {})
                 node[""] = i
+                self.length[i] = len(own)
+        self._restart()
         self.text = [f"{i}" for i in range(max(self.labels, default=-1) + 1)]
         self._tokenizer, self.path = None, path
-        self.cache = ChunkCache(lambda w: "".join(map(chr, self.word(letters(w)))), self._value)
+        self.cache = ChunkCache(lambda w: self._value(self.word(letters(w))), self._joined)
 
     @staticmethod
     def _added(path: str) -> list[dict]:
         with open(path, encoding="utf-8") as f:
             return json.load(f)["added_tokens"]
 
+    def _restart(self) -> None:
+        # a state is what has begun: (label before, place in the tree of letters) of each label
+        self.begun: list[list[tuple[int, dict]]] = []
+        self.known: dict[tuple, int] = {}
+        self.rows: list[dict[str, tuple[int, int]]] = []
+        self.n_transitions = 0
+        self._state([(START, self.root)])
+
+    def _state(self, begun: list[tuple[int, dict]]) -> int:
+        key = tuple((u, id(node)) for u, node in begun)
+        state = self.known.get(key)
+        if state is None:
+            state = self.known[key] = len(self.rows)
+            self.begun.append(begun)
+            self.rows.append({})
+        return state
+
+    def _advance(self, state: int, letter: str) -> tuple[int, int]:
+        """A new transition: the next state, and the label that ends with this letter."""
+        step, begun, ended = self.automaton.step, [], None
+        for u, node in self.begun[state]:
+            node = node.get(letter)
+            if node is None:
+                continue
+            label = node.get("")
+            if label is not None and ended is None and (u == START or step(u, label)):
+                ended = label
+            if len(node) > (label is not None):  # some label goes on
+                begun.append((u, node))
+        if ended is None:
+            raise ValueError(f"no accepted sequence with {letter!r}")
+        begun.append((ended, self.root))
+        found = self.rows[state][letter] = (self._state(begun), ended)
+        self.n_transitions += 1
+        return found
+
     def word(self, mapped: str) -> list[int]:
-        """Ids of one word, given as byte letters."""
-        s = mapped + "\n"
-        arcs, step, n = self.arcs, self.automaton.step, len(s)
-        path: list[int] = []
-        ways: list[list[tuple[int, int]]] = []  # for each label of the path, the shorter ones left
-        pos = 0
-        while True:
-            node, fits = arcs, []
-            for end in range(pos, n):
-                node = node.get(s[end])
-                if node is None:
-                    break
-                if "" in node and end != n - 2:  # the end mark goes with the letter before
-                    fits.append((end + 1, node[""]))
-            while True:
-                while fits:
-                    end, label = fits.pop()
-                    if not path or step(path[-1], label):
-                        break
-                else:
-                    if not path:
-                        raise ValueError(f"no accepted sequence for {mapped!r}")
-                    fits = ways.pop()
-                    path.pop()
-                    continue
-                break
+        """Ids of one word, given as byte letters: one transition a letter."""
+        if self.n_transitions > TRANSITIONS:
+            self._restart()
+        rows, state, ends = self.rows, 0, []
+        for c in symbols(mapped):
+            found = rows[state].get(c) or self._advance(state, c)
+            state = found[0]
+            ends.append(found[1])
+        path, at = [], len(ends)
+        while at:
+            label = ends[at - 1]
             path.append(label)
-            if end == n:
-                return path
-            ways.append(fits)
-            pos = end
+            at -= self.length[label]
+        path.reverse()
+        return path
+
+    def _value(self, ids: list[int]) -> tuple[str, str, int]:
+        text, labels = self.text, self.labels
+        return " ".join([text[i] for i in ids]), " ".join([labels[i] for i in ids]), len(ids)
 
-    def _value(self, words: list[str]) -> tuple[str, str, int]:
-        ids = list(map(ord, "".join(words)))
-        return " ".join([self.text[i] for i in ids]), " ".join([self.labels[i] for i in ids]), len(ids)
+    @staticmethod
+    def _joined(values: list[tuple[str, str, int]]) -> tuple[str, str, int]:
+        return " ".join([v[0] for v in values]), " ".join([v[1] for v in values]), sum([v[2] for v in values])
 
     def _odd(self, text: str) -> list[tuple[str, str, int]]:
         """Texts beyond the plain characters: the library's normalizer and word cutter, our ids."""
@@ -165,14 +204,14 @@ class WordBpe:
                 out.append((self.text[i := self.special[piece]], self.labels[i], 1))
             elif piece:
                 normal = self._tokenizer.normalizer.normalize_str(piece)
-                words = ["".join(map(chr, self.word(w))) for w, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-                out.append(self._value(words))
+                words = [self.word(w) for w, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+                out.append(self._value([i for w in words for i in w]))
         return [x for x in out if x[2]]
 
     def coded(self, text: str) -> tuple[str, str, int]:
         """Decimal ids, labels (both joined by one space) and number of ids of a whole text."""
         values = self.cache.values(text) if is_plain(text) else self._odd(text)
-        return " ".join([v[0] for v in values]), " ".join([v[1] for v in values]), sum([v[2] for v in values])
+        return self._joined(values)
 
     def encode(self, text: str) -> list[int]:
         ids = self.coded(text)[0]

@@ -72,13 +72,14 @@ class Halves(dict):
 class ChunkCache:
     """Values of whitespace-free chunks, put together from the values of their words.
 
-    ``code(word)`` gives the value of a new word, ``join(values)`` that of a chunk.
+    ``code(word)`` gives the value of a new word, ``join(values)`` that of a chunk of several.
     """
 
     def __init__(self, code: Callable[[str], object], join: Callable[[list], object], chunks: int = CHUNKS, words: int = WORDS):
         self.words = Halves(words, code)
         known = self.words.__getitem__
-        self.chunks = Halves(chunks, lambda chunk: join(list(map(known, PRE_TOKEN.findall(chunk)))))
+        # a chunk of letters is one word
+        self.chunks = Halves(chunks, lambda chunk: known(chunk) if chunk.isalpha() else join(list(map(known, PRE_TOKEN.findall(chunk)))))
 
     def values(self, text: str) -> list:
         """The values of a plain text's chunks, in order."""

@@ -3,8 +3,10 @@
 A segment holds the ids of consecutive documents as little-endian integers of 2 or 4 bytes, the
 documents' ids, and the end of each document in the id array. The ends are a non-decreasing
 sequence; Elias-Fano keeps their low bits packed and their high parts as gaps in unary, about
-``2 + log2(ids / documents)`` bits a document, and every 64th one's place (the select samples), so
-that any document's offset is found without a table of 64-bit offsets.
+``2 + log2(ids / documents)`` bits a document. Any document's offset is found by a select on the
+unary bits, without a table of 64-bit offsets: every 64th one's place is kept, and where 64 ones
+span more than ``LONG`` bits, so are all of theirs, which bounds the work of a select as well as
+the space (such a stretch has few ones for its bits).
 
 Segments are binary rows of a Parquet table in the shared folder, in ascending doc_id order by
 (part, seq); each knows the number of ids before it in its part.
@@ -31,6 +33,8 @@ from symloom.llm.wordsplit import ChunkCache, is_plain, letters
 #: Ids after which a segment is closed. A longer document makes a longer segment.
 SEGMENT_IDS = 1 << 20
 SAMPLE = 64
+#: Bits that a select looks through at most.
+LONG = 1 << 12
 #: Chunks and words in the young halves of a worker's caches; their values are short.
 CHUNKS, WORDS = 1 << 19, 1 << 19
 HEAD = "<4sBBHQQQ"
@@ -41,8 +45,11 @@ MAGIC = b"EFT1"
 class EliasFano:
     """A non-decreasing sequence of numbers from 0 to ``top``."""
 
-    def __init__(self, n: int, width: int, low: bytes, high: bytes, samples: np.ndarray):
-        self.n, self.width, self.low, self.high, self.samples = n, width, low, high, samples
+    def __init__(self, n: int, width: int, low: bytes, high: bytes, samples: np.ndarray, blocks: np.ndarray, places: np.ndarray):
+        self.n, self.width, self.low, self.high = n, width, low, high
+        self.samples, self.blocks, self.places = samples, blocks, places
+        self._samples = samples.tolist() + [8 * len(high)]
+        self._long = dict(zip(blocks.tolist(), range(0, SAMPLE * len(blocks), SAMPLE), strict=True))
 
     @classmethod
     def of(cls, values: np.ndarray, top: int) -> EliasFano:
@@ -54,20 +61,30 @@ class EliasFano:
         ones = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, width, low, np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4"))
+        samples = ones[::SAMPLE]
+        blocks = np.flatnonzero(np.diff(samples, append=len(high)) > LONG)
+        at = np.minimum(blocks[:, None] * SAMPLE + np.arange(SAMPLE), max(n - 1, 0))
+        places = ones[at] if n else at
+        return cls(n, width, low, np.packbits(high, bitorder="little").tobytes(), samples.astype("<u4"), blocks.astype("<u4"), places.reshape(-1).astype("<u4"))
+
+    def one(self, i: int) -> int:
+        """The place of the i-th set bit among the unary bits."""
+        block, k = divmod(i, SAMPLE)
+        if block in self._long:
+            return int(self.places[self._long[block] + k])
+        first, last = self._samples[block], self._samples[block + 1]
+        bits = int.from_bytes(self.high[first >> 3 : (last + 7) >> 3], "little") >> (first & 7)
+        for _ in range(k):
+            bits &= bits - 1
+        return first + (bits & -bits).bit_length() - 1
 
     def select(self, i: int) -> int:
-        """The i-th number, from the nearest sample on."""
+        """The i-th number."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE
-        while left:
-            at += 1
-            left -= self.high[at >> 3] >> (at & 7) & 1
         first = i * self.width
         window = int.from_bytes(self.low[first >> 3 : (first + self.width + 7) >> 3], "little")
-        return (at - i) << self.width | window >> (first & 7) & ((1 << self.width) - 1)
+        return (self.one(i) - i) << self.width | window >> (first & 7) & ((1 << self.width) - 1)
 
     def values(self) -> np.ndarray:
         """All numbers."""
@@ -77,15 +94,16 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.width) + low.astype(np.int64) @ weights
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<BII", self.width, len(self.low), len(self.high)) + self.low + self.high + self.samples.tobytes()
+        head = struct.pack("<BIII", self.width, len(self.low), len(self.high), len(self.blocks))
+        return head + self.low + self.high + self.samples.tobytes() + self.blocks.tobytes() + self.places.tobytes()
 
     @classmethod
     def read(cls, data: bytes, at: int, n: int) -> tuple[EliasFano, int]:
-        width, low, high = struct.unpack_from("<BII", data, at)
-        at += 9
+        width, low, high, long = struct.unpack_from("<BIII", data, at)
         samples = -(-n // SAMPLE)
-        ends = [at + low, at + low + high, at + low + high + 4 * samples]
-        return cls(n, width, data[at : ends[0]], data[ends[0] : ends[1]], np.frombuffer(data, "<u4", samples, ends[1])), ends[2]
+        ends = np.cumsum([at + 13, low, high, 4 * samples, 4 * long, 4 * SAMPLE * long]).tolist()
+        table = lambda i, k: np.frombuffer(data, "<u4", k, ends[i])
+        return cls(n, width, data[ends[0] : ends[1]], data[ends[1] : ends[2]], table(2, samples), table(3, long), table(4, SAMPLE * long)), ends[5]
 
 
 def write_segment(doc_ids: list[int | None], ids: list[bytes], width: int, before: int) -> bytes:
@@ -200,7 +218,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, segment_ids: int
 def read_token_files(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32, part, seq`` of every document, from the segments.
 
-    ``start`` is the number of ids of all documents before. The ids of each part are summed over
+    Each document's end is a select on its segment's boundaries. ``start`` is the number of ids of
+    all documents before. The ids of each part are summed over
     the segments' heads; one row a part is joined back.
     """
 
@@ -208,7 +227,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, data in zip(*batch.columns, strict=True):
                 own = Segment(data.as_py())
-                ends = own.ends.values()
+                ends = np.array([own.ends.select(i) for i in range(own.n)], np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if own.n else ends
                 wide = memoryview(own.ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

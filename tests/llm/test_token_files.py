@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from symloom.llm.token_files import EliasFano, Segment, token_offsets, write_segment, write_token_files
+from symloom.llm.token_files import LONG, EliasFano, Segment, token_offsets, write_segment, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,6 +24,19 @@ def test_elias_fano(seed):
         again.select(len(values))
 
 
+def test_selects_over_long_gaps():
+    """Gaps far longer than a select may look through, at every place of a block of samples."""
+    for n in (1, 63, 64, 65, 200, 1000):
+        values = np.cumsum(np.where(np.arange(n) % 67 == 5, 900_000, np.arange(n) % 3))
+        again, end = EliasFano.read(b"xy" + EliasFano.of(values, int(values[-1])).to_bytes(), 2, n)
+        assert [again.select(i) for i in range(n)] == values.tolist() == again.values().tolist()
+    ends = np.concatenate([np.ones(500, np.int64).cumsum(), [10_000_000], 10_000_000 + np.arange(500)])
+    coded = EliasFano.of(ends, int(ends[-1]))
+    spans = np.diff(coded.samples.astype(np.int64), append=8 * len(coded.high))
+    assert len(coded.blocks) >= 1 or spans.max() <= LONG
+    assert [coded.select(i) for i in range(len(ends))] == ends.tolist()
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.full(10000, 700))
     assert len(EliasFano.of(values, int(values[-1])).to_bytes()) * 8 < 10000 * 13

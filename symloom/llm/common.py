@@ -40,9 +40,10 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str], value: st
     each partition, and the sums of the earlier partitions of a group, of which there are about
     as many as partitions, are added. ``value`` is a long without nulls; ties in ``order`` are
     put in any order, which is then kept, as the numbered rows are written to the shared folder.
-    Columns must not be named ``before``, ``_part``, ``_local``; an empty frame stays empty.
+    Columns must not be named ``before``, ``_part``, ``_local``; an empty frame stays empty. The
+    frame, which should be narrow, is written first, as dealing by ranges reads it twice.
     """
-    keys = list(group)
+    keys, df = list(group), materialize(df, name)
     dealt = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in [*keys, *order]])
     dealt = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in [*keys, *order]])
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
@@ -75,10 +76,11 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str], value: st
     sums = numbered.groupBy("_part", *keys).agg(F.sum(value).alias("_sum"))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("_part", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    right = sums.select(F.col("_part").alias("_p"), F.col("_base"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    # a row for each partition and each group that begins or ends in it: partitions + groups;
+    # written, so that Spark knows its size and sends it to all tasks only where it is small
+    right = materialize(sums.select(F.col("_part").alias("_p"), F.col("_base"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), name)
     on = numbered["_part"] == right["_p"]
     for i, k in enumerate(keys):
         on = on & numbered[k].eqNullSafe(right[f"_k{i}"])
-    # a row for each partition and each group that begins or ends in it: partitions + groups
-    joined = numbered.join(F.broadcast(right), on, "left")
+    joined = numbered.join(right, on, "left")
     return joined.select(*[numbered[c] for c in df.columns], (F.col("_local") + F.col("_base")).alias("before"))

@@ -109,12 +109,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     ``license`` is null unless the whole text, normalised, is a known one. Null texts have null
     lengths and digests; texts of punctuation alone normalise to the empty text and match
     nothing. Repeated rows stay; an empty table gives an empty result; further columns are left
-    out. ``known`` has one row a digest and is the size of a list of licences, which is broadcast;
-    the texts are not shuffled.
+    out. ``known`` has one row a digest; Spark broadcasts it where it is small, as lists of licences
+    are, and then shuffles no row; texts are never shuffled.
     """
     known = known_digests(docs.sparkSession) if known is None else known
     rows = docs.select("doc_id", canonical(F.col("text")).alias("c")).select("doc_id", F.length("c").cast("long").alias("n_canonical"), F.sha2("c", 256).alias("digest"))
-    return rows.join(F.broadcast(known), (F.col("digest") == F.col("k_digest")) & (F.col("n_canonical") > 0), "left").select("doc_id", "n_canonical", "digest", "license", "kind")
+    return rows.join(known, (F.col("digest") == F.col("k_digest")) & (F.col("n_canonical") > 0), "left").select("doc_id", "n_canonical", "digest", "license", "kind")
 
 
 def oracle_sql() -> str:

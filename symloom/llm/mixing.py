@@ -1,21 +1,22 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 The seats of the mix are blocks of equally many words. Sources take seats in the order of the
-quotients ``target / (2 k + 1)``, which gives integer quotas; as the order of seats does not
-depend on their number, shard ``m`` of the mix takes the seats from ``m * T`` on, and its quotas
-are integers too. A source's documents, put in a seeded order, are a line of words cut into
-blocks; its seats take blocks in a seeded permutation, again and again until the quota is used.
+quotients ``target / (2 k + 1)``; as the order of seats does not depend on their number, the mix is
+cut into shards along it, and every shard has an integer quota of every source. A source's
+documents, put in a seeded order, are a line of words cut into blocks; its seats, shard after
+shard, take blocks in a seeded permutation, again and again until the quotas are used.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.common import has_name, n_words, running
+from symloom.llm.common import has_name, materialize, n_words, running
 
 #: Words of a block.
 BLOCK = 256
@@ -24,6 +25,8 @@ MOST = 3
 #: The weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
 SEED = 42
+#: Shards of the mix.
+SHARDS = 16
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -77,42 +80,22 @@ def apportion(wanted: list[float], seats: int, limits: list[int]) -> list[int]:
 
 @dataclass(frozen=True)
 class Quota:
-    """What the mix takes of a source: ``passes`` times every block, and ``rest`` blocks more."""
+    """What the mix takes of a source: ``upto[m]`` of its seats lie in shards before ``m``."""
 
     source: str | None
     size: int
     target: float
-    seats: int
+    upto: tuple[int, ...]
     blocks: int
     step: int
     shift: int
 
     @property
-    def passes(self) -> int:
-        return self.seats // self.blocks if self.blocks else 0
-
-    @property
-    def rest(self) -> int:
-        return self.seats % self.blocks if self.blocks else 0
-
-
-def plan(sizes: dict[str | None, int], block: int = BLOCK, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[Quota]:
-    """The quotas of all sources, and each source's permutation ``j -> step * j + shift``."""
-    goal = targets(sizes, weights, most)
-    sources = list(goal)
-    blocks = {s: -(-sizes[s] // block) for s in sources}
-    seats = apportion([goal[s] for s in sources], round(sum(goal.values()) / block), [most * blocks[s] for s in sources])
-    out = []
-    for i, (s, n) in enumerate(zip(sources, seats, strict=True)):
-        m = max(1, blocks[s])
-        step = (seed * 2654435761 + i * 40503 + 12345) % m or 1
-        while math.gcd(step, m) > 1:
-            step += 1
-        out.append(Quota(s, sizes[s], goal[s], n, blocks[s], step % m, (seed * 97 + i * 31) % m))
-    return out
+    def seats(self) -> int:
+        return self.upto[-1]
 
 
-def shard_quotas(sizes: dict[str | None, int], shards: int, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[dict[str | None, int]]:
+def shard_quotas(sizes: dict[str | None, int], shards: int = SHARDS, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[dict[str | None, int]]:
     """Integer quotas of each shard of the mix; seats are cut in the order of their quotients."""
     goal = targets(sizes, weights, most)
     sources, limits = list(goal), [most * -(-sizes[s] // block) for s in goal]
@@ -124,6 +107,20 @@ def shard_quotas(sizes: dict[str | None, int], shards: int, block: int = BLOCK,
     return out
 
 
+def plan(sizes: dict[str | None, int], block: int = BLOCK, seed: int = SEED, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[Quota]:
+    """The quotas of all sources, and each source's permutation ``j -> step * j + shift``."""
+    goal, quotas = targets(sizes, weights, most), shard_quotas(sizes, shards, block, weights, most)
+    out = []
+    for i, s in enumerate(goal):
+        blocks = -(-sizes[s] // block)
+        m = max(1, blocks)
+        step = (seed * 2654435761 + i * 40503 + 12345) % m or 1
+        while math.gcd(step, m) > 1:
+            step += 1
+        out.append(Quota(s, sizes[s], goal[s], tuple(accumulate((q[s] for q in quotas), initial=0)), blocks, step % m, (seed * 97 + i * 31) % m))
+    return out
+
+
 def source_sizes(docs: DataFrame) -> dict[str | None, int]:
     """Words of each source. Sources are labels, one row each comes to the driver."""
     rows = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("n")).collect()
@@ -131,56 +128,73 @@ def source_sizes(docs: DataFrame) -> dict[str | None, int]:
 
 
 def quota_table(spark: SparkSession, quotas: list[Quota]) -> DataFrame:
-    rows = [(q.source, q.size, q.target, q.passes, q.rest, max(1, q.blocks), q.step, q.shift) for q in quotas]
-    return spark.createDataFrame(rows, "q_source string, source_size long, target double, passes long, rest long, blocks long, step long, shift long")
+    rows = [(q.source, q.size, q.target, list(q.upto), max(1, q.blocks), q.step, q.shift) for q in quotas]
+    return spark.createDataFrame(rows, "q_source string, source_size long, target double, upto array<long>, blocks long, step long, shift long")
 
 
-def taken_words(start: Column, size: Column, block: int) -> Column:
-    """Words taken of a document that stands at ``start`` of its source's line."""
+def shard_words(start: Column, size: Column, block: int) -> Column:
+    """Words that each shard takes of a document that stands at ``start`` of its source's line.
+
+    Reads the columns ``upto, blocks, step, shift`` of its source's quota.
+    """
+    blocks = F.col("blocks")
     block_of = lambda word: F.floor(word / F.lit(block)).cast("long")
 
-    def part(total: Column, j: Column) -> Column:
+    def part(j: Column) -> Column:
         inside = F.least(start + size, (j + 1) * block) - F.greatest(start, j * block)
-        # block j's turn in the permutation: it is a seat of the last pass if that is below rest
-        turn = (j % F.col("blocks") * F.col("step") + F.col("shift")) % F.col("blocks")
-        return total + inside * (F.col("passes") + F.when(turn < F.col("rest"), 1).otherwise(0))
+        # block j's turn in the permutation: the seats turn, turn + blocks, ... take it
+        return F.struct(inside.alias("words"), ((j % blocks * F.col("step") + F.col("shift")) % blocks).alias("turn"))
 
-    spans = F.sequence(block_of(start), block_of(start + F.greatest(size, F.lit(1)) - 1))
-    return F.when(size > 0, F.aggregate(spans, F.lit(0).cast("long"), part)).otherwise(F.lit(0)).cast("long")
+    spans = F.transform(F.sequence(block_of(start), block_of(start + F.greatest(size, F.lit(1)) - 1)), part)
+    spans = F.when(size > 0, spans).otherwise(F.slice(spans, 1, 0))
+    # of the first n seats as many as there are numbers p with p * blocks + turn < n
+    upto = F.transform("upto", lambda n: F.aggregate(spans, F.lit(0).cast("long"), lambda total, x: total + x["words"] * F.greatest(F.floor((n - x["turn"] + blocks - 1) / blocks).cast("long"), F.lit(0).cast("long"))))
+    return F.transform(F.slice(upto, 2, F.size("upto") - 1), lambda n, m: n - F.get(upto, m))
 
 
-def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, name: str = "mix") -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` of every document.
+def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shards: int = SHARDS, name: str = "mix") -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, shard_taken, digest`` of every document.
 
     Sizes are words; null texts have none. A null source is a source of its own, last in order.
-    ``taken`` counts words, repeats too; no document gives more than three times its size. Reruns
-    agree, as the order of a source's line comes from seeded hashes of doc_id; rows that are
-    repeated are told apart by no column and may swap places. An empty table gives an empty
-    result; further columns are left out. The driver holds one row a source. No source is
-    gathered in one task.
+    ``taken`` counts words, repeats too, ``shard_taken`` those of each shard of the mix; no document
+    gives more than three times its size. Reruns agree, as the order of a source's line comes from
+    seeded hashes of doc_id; rows that are repeated are told apart by no column and may swap
+    places. An empty table gives an empty result; further columns are left out. The driver holds
+    one row a source. No source is gathered in one task.
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("turn"), F.xxhash64("text").alias("digest"))
     lines = running(sized, ["source"], ["turn", "doc_id", "digest", "size"], "size", name)
     sizes = {r["source"]: int(r["n"]) for r in lines.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    quotas = quota_table(spark, plan(sizes, block, seed))
-    joined = lines.join(F.broadcast(quotas), lines["source"].eqNullSafe(quotas["q_source"]))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken_words(F.col("before"), F.col("size"), block).alias("taken"), "digest")
+    quotas = quota_table(spark, plan(sizes, block, seed, shards))
+    joined = lines.join(quotas, lines["source"].eqNullSafe(quotas["q_source"]))
+    rows = joined.withColumn("shard_taken", shard_words(F.col("before"), F.col("size"), block))
+    taken = F.aggregate("shard_taken", F.lit(0).cast("long"), lambda a, b: a + b)
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard_taken", "digest")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as the mix takes its words, with all its columns.
 
     ``taken / size`` copies, the fraction rounded up with that chance by a seeded hash, so that
-    whole texts come near the targets; documents without words are left out.
+    whole texts come near the targets; documents without words are left out. Rows that share
+    doc_id, source and text have the copies of all of them together: each as many, and what is
+    left over goes to one of them, by a digest of all columns. Null doc_ids and sources are values
+    like others. An empty table gives an empty mix.
     """
     n, key = has_name(docs, "_copies"), has_name(docs, "_digest")
     share = F.col("taken") / F.col("size")
     chance = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "digest"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = mix_documents(docs, block, seed).where("size > 0").select("doc_id", "source", "digest", F.floor(share + chance).cast("int").alias("k"))
-    counts = counts.where("k > 0").groupBy("doc_id", "source", "digest").agg((F.sum("k") / F.count("*")).alias("k"))
-    counts = counts.select(F.col("doc_id").alias("_c_doc"), F.col("source").alias("_c_source"), F.col("digest").alias("_c_digest"), F.round("k").cast("int").alias("_c_k"))
+    counts = counts.groupBy("doc_id", "source", "digest").agg(F.sum("k").alias("k"), F.count("*").alias("n")).where("k > 0")
+    counts = counts.select(F.col("doc_id").alias("_c_doc"), F.col("source").alias("_c_source"), F.col("digest").alias("_c_digest"), F.floor(F.col("k") / F.col("n")).cast("int").alias("_c_each"), (F.col("k") % F.col("n")).cast("int").alias("_c_more"))
+    counts = materialize(counts, "mix-copies")
     keyed = docs.withColumn(key, F.xxhash64("text"))
     on = keyed["doc_id"].eqNullSafe(counts["_c_doc"]) & keyed["source"].eqNullSafe(counts["_c_source"]) & (keyed[key] == counts["_c_digest"])
-    rows = keyed.join(counts, on).withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col("_c_k"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = keyed.join(counts.where("_c_each > 0"), on).withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col("_c_each")))).select(*columns)
+    if counts.where("_c_more > 0").isEmpty():
+        return rows
+    digest = F.xxhash64(*[x.cast("string") for x in columns])
+    one = keyed.join(counts.where("_c_more > 0"), on).groupBy("_c_doc", "_c_source", "_c_digest", "_c_more").agg(F.min_by(F.struct(*columns), digest).alias("_whole"))
+    return rows.unionByName(one.select("_whole", F.explode(F.array_repeat(F.lit(1), F.col("_c_more")))).select("_whole.*"))

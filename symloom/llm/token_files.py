@@ -244,9 +244,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     sums = files.select("part", F.substring("data", 1, HEAD_SIZE).alias("head")).mapInArrow(heads, "part int, n long")
     sums = sums.groupBy("part").agg(F.sum("n").alias("n"))
-    # one row for each partition that was written: their number is set, not the data's
-    base = sums.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(base), F.col("part") == F.col("_part")).select("doc_id", (F.col("local") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
+    # one row for each partition that was written; written too, so that its size is known
+    base = materialize(sums.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")), "token-parts")
+    return rows.join(base, F.col("part") == F.col("_part")).select("doc_id", (F.col("local") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
 
 
 def token_offsets(docs: DataFrame, path: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:

@@ -6,7 +6,9 @@ from collections import Counter
 
 import pytest
 
-from symloom.llm.mixing import apportion, mix_documents, mixed, plan, shard_quotas, targets
+from pyspark.sql import functions as F
+
+from symloom.llm.mixing import apportion, mix_documents, mixed, plan, shard_quotas, shard_words, targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,6 +72,57 @@ def test_query(docs, rows, empty):
     assert mix_documents(empty).collect() == []
 
 
+def test_shards_take_their_quotas(docs, rows):
+    """Seat by seat: highest quotients, cut into shards, each seat's block in the permutation."""
+    block, shards = 16, 5
+    got = mix_documents(docs, block=block, shards=shards).collect()
+    lines: dict = {}
+    for r in got:
+        lines.setdefault(r["source"], []).append(r)
+    sizes = {s: sum(r["size"] for r in own) for s, own in lines.items()}
+    quotas = {q.source: q for q in plan(sizes, block, shards=shards)}
+    goal = targets(sizes)
+    total, seats, shard_of = round(sum(goal.values()) / block), dict.fromkeys(goal, 0), {s: [] for s in goal}
+    for seat in range(total):
+        open_ones = [s for s in goal if seats[s] < 3 * -(-sizes[s] // block) and goal[s] > 0]
+        if not open_ones:
+            break
+        s = max(open_ones, key=lambda s: goal[s] / (2 * seats[s] + 1))
+        seats[s] += 1
+        shard_of[s].append(next(m for m in range(shards) if seat < total * (m + 1) // shards))
+    for s, own in lines.items():
+        q = quotas[s]
+        assert q.seats == seats[s] and [shard_of[s].count(m) for m in range(shards)] == [b - a for a, b in zip(q.upto, q.upto[1:], strict=False)]
+        at = {(q.step * j + q.shift) % max(1, q.blocks): j for j in range(q.blocks)}
+        inside = [min(block, sizes[s] - j * block) for j in range(q.blocks)]
+        by_shard = [sum(inside[at[k % q.blocks]] for k, m in enumerate(shard_of[s]) if m == x) for x in range(shards)]
+        assert [sum(r["shard_taken"][m] for r in own) for m in range(shards)] == by_shard
+        assert all(sum(r["shard_taken"]) == r["taken"] and min(r["shard_taken"]) >= 0 for r in own)
+
+
+@pytest.mark.parametrize("at", range(0, 64, 5))
+def test_words_of_one_document(spark, at):
+    """Each word's block and its turns, by going through all seats."""
+    block, size, blocks, step, shift, upto = 8, 21, 11, 7, 4, [0, 3, 3, 19, 25]
+    want = [0] * 4
+    for word in range(at, at + size):
+        turn = (word // block % blocks * step + shift) % blocks
+        for m in range(4):
+            want[m] += sum(1 for seat in range(upto[m], upto[m + 1]) if seat % blocks == turn)
+    df = spark.createDataFrame([(at, size, blocks, step, shift, upto)], "before long, size long, blocks long, step long, shift long, upto array<long>")
+    assert df.select(shard_words(F.col("before"), F.col("size"), block).alias("w")).first()["w"] == want
+
+
+def test_twins_share_their_copies(spark):
+    rows = [(1, "a b c d e f", "s", "en"), (1, "a b c d e f", "s", "de"), (2, "g h i " * 40, "s", "en"), (3, "x " * 300, "t", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    taken = mix_documents(docs, block=4).collect()
+    chosen = Counter(r["doc_id"] for r in mixed(docs, block=4).collect())
+    for d in (1, 2, 3):
+        own = [r["taken"] / r["size"] for r in taken if r["doc_id"] == d]
+        assert sum(map(int, own)) <= chosen[d] <= sum(int(x) + 1 for x in own)
+
+
 def test_the_mix_itself(docs, empty):
     got = mixed(docs, block=16)
     assert got.columns == docs.columns

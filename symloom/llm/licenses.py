@@ -2,7 +2,9 @@
 
 Normalising drops copyright lines, case, punctuation, white space runs and equivalent spellings;
 what is left of two copies of one licence is the same string, and its SHA-256 finds the licence
-in a table of known digests. Everything is DataFrame functions.
+in a table of known digests. A line is a copyright line if a year, a copyright sign, ``by`` or
+nothing but capitalised names follow the word; legal text that happens to be wrapped before
+"copyright" stays. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -23,10 +25,19 @@ SPELLINGS = [
     ("labelling", "labeling"), ("labour", "labor"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"),
     ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"),
     ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"),
-    ("whilst", "while"), ("wilful", "willful"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"),
+    ("whilst", "while"), ("wilful", "willful"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("unlicence", "unlicense"),
 ]
-#: Lines that name who holds the copyright, of ASCII lower case text.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Marks before the first word of a line.
+_LEAD = r"(^|\n)[^A-Za-z0-9\n(©]*"
+#: What a copyright line starts with, in ASCII lower case.
+_HOLDER = r"(?:copyright[ \t:]*(?:\(c\)|©|&copy;|[0-9]|by[ \t])|\(c\)[ \t]*(?:copyright|[0-9])|©)"
+#: Lines of names alone, as written: legal words go on in lower case or are all capitals.
+NAME_LINE = _LEAD + r"[Cc]opyright[ \t]+(?:[Tt]he[ \t]+)?[A-Z][a-z][A-Za-z.,&'-]*(?:[ \t]+(?:and|of|the|contributors|authors|[A-Z][a-z][A-Za-z.,&'-]*))*[ \t.\r]*(?:\n|$)"
+#: A text that goes on in the holder's line: the line up to it is cut.
+_STARTS = r"(permission is hereby|permission to use|redistribution and use|this software is provided|everyone is permitted|licensed under|released under)"
+HOLDER_CLAUSE = _LEAD + _HOLDER + r"[^\n]*?" + _STARTS
+COPYRIGHT_LINE = _LEAD + _HOLDER + r"[^\n]*"
+RESERVED_LINE = _LEAD + r"all rights reserved[^A-Za-z0-9\n]*"
 NOT_WORD = r"[\x00-/:-`{-\x7F]+"
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -60,6 +71,21 @@ TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
 
 0. You just DO WHAT THE FUCK YOU WANT TO.
 """
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_UNLICENSE_LINK = "For more information, please refer to <{}>\n"
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
+"""
 #: Fixed values: (licence, what the text is, text) of known licences and short notices.
 KNOWN = [
     ("MIT", "text", _MIT_GRANT + _MIT_NONE), ("MIT", "titled", "MIT License\n" + _MIT_GRANT + _MIT_NONE), ("MIT", "titled", "The MIT License (MIT)\n" + _MIT_GRANT + _MIT_NONE),
@@ -70,16 +96,41 @@ KNOWN = [
     ("BSD-2-Clause", "text", _BSD_HEAD + _BSD_TWO + _BSD_NONE), ("BSD-2-Clause", "titled", "BSD 2-Clause License\n" + _BSD_HEAD + _BSD_TWO + _BSD_NONE),
     ("BSD-3-Clause", "text", _BSD_HEAD + _BSD_TWO + _BSD_THREE + _BSD_NONE), ("BSD-3-Clause", "titled", "BSD 3-Clause License\n" + _BSD_HEAD + _BSD_TWO + _BSD_THREE + _BSD_NONE),
     ("Zlib", "text", _ZLIB), ("Zlib", "titled", "zlib License\n" + _ZLIB), ("WTFPL", "text", _WTFPL),
+    ("Unlicense", "text", _UNLICENSE), ("Unlicense", "text", _UNLICENSE + _UNLICENSE_LINK.format("http://unlicense.org/")), ("Unlicense", "text", _UNLICENSE + _UNLICENSE_LINK.format("https://unlicense.org")),
+    ("Apache-2.0", "notice", _APACHE_NOTICE),
     ("MIT", "notice", "Released under the MIT License."), ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "notice", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
 ]
 
 
+#: Digests of the canonical forms of long licences, as their stewards publish them.
+LONG_TEXTS = [
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-1.0", "a39d7cceab675e14bdc24e269448ac0ed44fdef25178b183064cd4b35b8d2e7b"),
+    ("GPL-2.0", "cf74dfa78ca9ac981c7ae9e50c4ecfb828df2e5ef2f1646368388676215766b5"),
+    ("GPL-3.0", "68ca42869e9a3e25843be66c6f296ce2b1f3629ac71d77465db0636dc8781c06"),
+    ("LGPL-2.0", "1862ecc2c3c5e3b9e88481e95603c88e089c43e9d5702b2ec01391491b606a9e"),
+    ("LGPL-2.1", "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("GFDL-1.2", "8446e2329e3fe2b35501056164a645d74fef33dc1b8a2a132629bf1935fa72e7"),
+    ("GFDL-1.3", "961b6d8afa12e353079f8676ad28084c800a46123e76f7f4f7e7f81df82289dc"),
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of whole texts; null stays null."""
-    own = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    own = F.regexp_replace(own, COPYRIGHT_LINE, r"$1")
-    own = F.concat(F.lit(" "), F.regexp_replace(own, NOT_WORD, " "), F.lit(" "))
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = lower(text)
+    held = lower(F.regexp_replace(text, NAME_LINE, "$1"))
+    held = F.regexp_replace(held, HOLDER_CLAUSE, "$1$2")
+    held = F.regexp_replace(F.regexp_replace(held, COPYRIGHT_LINE, "$1"), RESERVED_LINE, "$1")
+    # most texts name no holder: their lines need not be looked through
+    named = plain.contains("copyright") | plain.contains("(c)") | plain.contains("©") | plain.contains("all rights reserved")
+    own = F.concat(F.lit(" "), F.regexp_replace(F.when(named, held).otherwise(plain), NOT_WORD, " "), F.lit(" "))
     for found, taken in SPELLINGS:
         own = F.replace(own, F.lit(f" {found} "), F.lit(f" {taken} "))
     return F.btrim(own)
@@ -87,20 +138,39 @@ def canonical(text: Column) -> Column:
 
 def canonical_of(text: str) -> str:
     """The same form of one text, for the table of known digests."""
-    own = re.sub("[A-Z]", lambda m: m[0].lower(), text)
-    own = re.sub(COPYRIGHT_LINE, r"\1", own)
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    own = lower(re.sub(NAME_LINE, r"\1", text))
+    own = re.sub(HOLDER_CLAUSE, r"\1\2", own)
+    own = re.sub(RESERVED_LINE, r"\1", re.sub(COPYRIGHT_LINE, r"\1", own))
     own = " " + re.sub(NOT_WORD, " ", own) + " "
     for found, taken in SPELLINGS:
         own = own.replace(f" {found} ", f" {taken} ")
     return own.strip(" ")
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """``k_digest, license, kind`` of known texts, one row a digest (the first one named)."""
+def known_rows(known: list[tuple[str, str, str]] | None = None) -> dict[str, tuple[str, str]]:
+    """(licence, kind) by digest of known texts, the first one named; by default all that this
+    module knows."""
     rows: dict[str, tuple[str, str]] = {}
-    for license_id, kind, text in known if known is not None else KNOWN:
+    for license_id, kind, text in KNOWN if known is None else known:
         rows.setdefault(hashlib.sha256(canonical_of(text).encode()).hexdigest(), (license_id, kind))
-    return spark.createDataFrame([(d, *x) for d, x in rows.items()], "k_digest string, license string, kind string")
+    for license_id, digest in LONG_TEXTS if known is None else []:
+        rows.setdefault(digest, (license_id, "text"))
+    return rows
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """``k_digest, license, kind`` of known texts, one row a digest."""
+    return spark.createDataFrame([(d, *x) for d, x in known_rows(known).items()], "k_digest string, license string, kind string")
+
+
+def folder_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``k_digest, license, kind`` of a folder of licence texts, a file each, named like the
+    licence (an ending ``.txt`` or ``.md`` apart); to be given to ``scan_licenses`` as ``known``."""
+    files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(folder)
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.(txt|md)$", "")
+    rows = files.select(name.alias("license"), canonical(F.col("value")).alias("c")).where("c <> ''")
+    return rows.groupBy(F.sha2("c", 256).alias("k_digest")).agg(F.min("license").alias("license")).withColumn("kind", F.lit("text"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -119,15 +189,16 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def oracle_sql() -> str:
     """The whole-table scan as DuckDB SQL."""
-    own = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    own = f"regexp_replace({own}, '{COPYRIGHT_LINE}', '\\1', 'g')"
+    quote = lambda pattern: pattern.replace("'", "''")
+    lower = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    own = lower(f"regexp_replace(text, '{quote(NAME_LINE)}', '\\1', 'g')")
+    own = f"regexp_replace({own}, '{quote(HOLDER_CLAUSE)}', '\\1\\2', 'g')"
+    for pattern in (COPYRIGHT_LINE, RESERVED_LINE):
+        own = f"regexp_replace({own}, '{quote(pattern)}', '\\1', 'g')"
     own = f"' ' || regexp_replace({own}, '{NOT_WORD}', ' ', 'g') || ' '"
     for found, taken in SPELLINGS:
         own = f"replace({own}, ' {found} ', ' {taken} ')"
-    values: dict[str, str] = {}
-    for license_id, kind, text in KNOWN:
-        values.setdefault(hashlib.sha256(canonical_of(text).encode()).hexdigest(), f"'{license_id}', '{kind}'")
-    table = ", ".join(f"('{d}', {x})" for d, x in values.items())
+    table = ", ".join(f"('{d}', '{license_id}', '{kind}')" for d, (license_id, kind) in known_rows().items())
     return f"""
         WITH c AS (SELECT doc_id, trim({own}, ' ') AS c FROM documents),
              d AS (SELECT doc_id, CAST(length(c) AS BIGINT) AS n_canonical, sha256(c) AS digest FROM c),

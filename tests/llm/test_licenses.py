@@ -1,7 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
 from symloom.llm import licenses
@@ -17,6 +21,56 @@ def test_known_texts_are_found_however_written(spark):
     assert {r["doc_id"]: r["license"] for r in got} == want
 
 
+def wrapped(text, width):
+    return "\n".join("\n".join(textwrap.wrap(line, width)) for line in text.split("\n"))
+
+
+def test_wrapping_does_not_matter():
+    for width in range(60, 101):
+        for _, _, text in KNOWN:
+            assert canonical_of(wrapped(text, width)) == canonical_of(text)
+
+
+LONG = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+FOLDER = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs a folder of licence texts")
+def test_long_texts_at_every_width(spark):
+    rows = []
+    for name in LONG:
+        with open(f"{FOLDER}/{name}", encoding="utf-8") as f:
+            text = f.read()
+        flat = re.sub(r"(?<=[^\n])\n(?=[^\n])", " ", text) if name != "CC0-1.0" else text
+        # lines of a paragraph that name holders have to stay lines
+        rows += [(name, canonical_of(text))] + ([(name, canonical_of(wrapped(flat, w))) for w in (60, 72, 80, 100)] if name == "Apache-2.0" else [])
+    known = {d: x[0] for d, x in licenses.known_rows().items()}
+    assert [known.get(hashlib.sha256(c.encode()).hexdigest()) for _, c in rows] == [LONG[n] for n, _ in rows]
+    texts = [(i, open(f"{FOLDER}/{n}", encoding="utf-8").read()) for i, n in enumerate(LONG)]
+    got = scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert [r["license"] for r in sorted(got, key=lambda r: r["doc_id"])] == list(LONG.values())
+
+
+def test_holders(spark):
+    text = KNOWN[0][2]
+    heads = ["Copyright (c) 2020 A B", "Copyright 1999, 2001 Some Body <x@y.z>", "© Some One", "(c) 2011 Me", "Copyright Joe Smith and Others", "Copyright The Contributors", "Copyright by the authors", "All rights reserved.", "* Copyright (C) 2014 X. All rights reserved."]
+    assert all(canonical_of(h + "\n" + text) == canonical_of(text) for h in heads)
+    one_line = "Copyright (c) 2020 A B. " + text.replace("\n", " ")
+    assert canonical_of(one_line) == canonical_of(text)
+    kept = ["copyright holders be liable", "Copyright notice and this", "(c) You must retain", "Copyright License. Subject to", "copyrighted material"]
+    assert all(canonical_of("a\n" + k + "\nb") == canonical_of("a " + k + " b") for k in kept)
+    rows = [(i, x) for i, x in enumerate([*[h + "\n" + text for h in heads], one_line, *kept, *[wrapped(text, w) for w in (60, 72, 80)]])]
+    got = {r["doc_id"]: r["c"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", canonical(F.col("text")).alias("c")).collect()}
+    assert got == {i: canonical_of(x) for i, x in rows}
+
+
+def test_a_folder_of_licences(spark, tmp_path):
+    (tmp_path / "House-1.0.txt").write_text("Do as you like, but say who wrote it.\n")
+    rows = [(1, "Copyright (c) 2020 X\nDo as you like,\nbut say who WROTE it"), (2, KNOWN[0][2]), (3, None)]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.folder_digests(spark, str(tmp_path))).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {1: "House-1.0", 2: None, 3: None}
+
+
 def test_whole_texts_only(docs, rows, empty):
     got = scan_licenses(docs).collect()
     assert len(got) == len(rows) and all(r["license"] is None for r in got)

@@ -50,37 +50,50 @@ def passage_hash(body: Column) -> Column:
     return F.when(normalised(body) != "", F.sha2(normalised(body), 256))
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, clean, own, quoted`` of messages.
+def is_marked(text: Column) -> Column:
+    """Whether a text can hold a quoted line; the others need not be cut into lines."""
+    return F.coalesce(F.contains(text, F.lit(">")), F.lit(False))
 
-    ``clean`` is the text without quotes, ``own`` the hashes of what it says itself, ``quoted``
-    structs (level, part, hash, n) of quoted passages (part 0) and their lines (from 1).
-    """
-    runs = messages.select("conv_id", "turn", "role", "text", passages(F.col("text")).alias("p"))
-    mine = F.transform(F.filter("p", lambda r: r["level"] == 0), lambda r: r["body"])
-    clean = F.regexp_replace(F.array_join(mine, "\n"), r"^\n+|\n+$", "")
-    runs = runs.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), clean).alias("clean"), mine.alias("mine"), F.filter("p", lambda r: r["level"] > 0).alias("q"))
+
+def own_parts(text: Column) -> Column:
+    """What a message says itself: the bodies of its unquoted passages."""
+    mine = F.transform(F.filter(passages(text), lambda r: r["level"] == 0), lambda r: r["body"])
+    return F.when(is_marked(text), mine).otherwise(F.array(text))
+
+
+def clean_text(text: Column) -> Column:
+    """A message without its quotes and without empty lines at its ends; null for null."""
+    return F.when(text.isNotNull(), F.regexp_replace(F.array_join(own_parts(text), "\n"), r"^\n+|\n+$", ""))
+
+
+def own_hashes(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, hash`` of what messages say themselves: whole, by passages, by lines."""
+    rows = messages.select("conv_id", "turn", own_parts(F.col("text")).alias("mine"))
     lines = F.flatten(F.transform("mine", lambda b: F.split(b, "\n", -1)))
-    own = F.array_distinct(F.filter(F.transform(F.concat(F.array("clean"), "mine", lines), passage_hash), lambda h: h.isNotNull()))
-    parts = lambda r: F.transform(F.concat(F.array(r["body"]), F.split(r["body"], "\n", -1)), lambda b, i: F.struct(r["level"].alias("level"), i.alias("part"), passage_hash(b).alias("hash"), F.length(b).alias("n")))
-    quoted = F.filter(F.flatten(F.transform("q", parts)), lambda x: x["hash"].isNotNull())
-    return runs.select("conv_id", "turn", "role", "clean", F.coalesce(own, F.array().cast("array<string>")).alias("own"), F.coalesce(quoted, F.array().cast(quoted_type())).alias("quoted"), F.size("q").alias("n_quotes"))
+    whole = F.array(F.array_join("mine", "\n"))
+    hashes = F.transform(F.array_distinct(F.concat(whole, "mine", lines)), passage_hash)
+    return rows.select("conv_id", "turn", F.explode(hashes).alias("hash")).where("hash is not null").distinct()
 
 
-def quoted_type() -> str:
-    return "array<struct<level:int,part:int,hash:string,n:int>>"
+def quoted_parts(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, level, part, hash, n`` of quoted passages (part 0) and their lines (from 1)."""
+    runs = F.filter(passages(F.col("text")), lambda r: r["level"] > 0)
+    rows = messages.where(is_marked(F.col("text"))).select("conv_id", "turn", F.explode(runs).alias("r")).select("conv_id", "turn", "r.level", "r.body")
+    rows = rows.select("conv_id", "turn", "level", F.posexplode(F.concat(F.array("body"), F.split("body", "\n", -1))).alias("part", "b"))
+    return rows.select("conv_id", "turn", "level", "part", passage_hash(F.col("b")).alias("hash"), F.length("b").alias("n")).where("hash is not null")
 
 
-def quote_links(found: DataFrame) -> DataFrame:
-    """``conv_id, turn, source_turn, level, n_linked, n_chars``: where quotes come from.
+def quote_links(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, source_turn, level, n_passages, n_lines, n_chars``: where quotes come from.
 
     The source is the earliest message of the conversation that says the passage itself, if it is
-    earlier than the quoting one. Sayings are summed to one row a conversation and hash before
-    the join, so a passage that many messages repeat makes no pairs.
+    earlier than the quoting one. Only conversations in which something is quoted are hashed.
+    Sayings are summed to one row a conversation and hash before the join, so a passage that many
+    messages repeat makes no pairs.
     """
-    said = found.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("_conv"), "turn", F.explode("own").alias("_hash"))
-    said = said.groupBy("_conv", "_hash").agg(F.min("turn").alias("source_turn"))
-    quoted = found.where("n_quotes > 0").select("conv_id", "turn", F.explode("quoted").alias("x")).select("conv_id", "turn", "x.*")
+    quoted = materialize(quoted_parts(messages), "quoted")
+    talk = messages.where("turn is not null").join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    said = own_hashes(talk).groupBy(F.col("conv_id").alias("_conv"), F.col("hash").alias("_hash")).agg(F.min("turn").alias("source_turn"))
     linked = quoted.join(said, (F.col("conv_id") == F.col("_conv")) & (F.col("hash") == F.col("_hash")) & (F.col("source_turn") < F.col("turn")))
     return linked.groupBy("conv_id", "turn", "source_turn", "level").agg(F.count(F.when(F.col("part") == 0, 1)).alias("n_passages"), F.count(F.when(F.col("part") > 0, 1)).alias("n_lines"), F.sum(F.when(F.col("part") > 0, F.col("n")).otherwise(0)).alias("n_chars"))
 
@@ -100,8 +113,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     table gives an empty result; further columns are left out. Threads are found by doubling the
     steps towards the root, over links only, in as many rounds as the logarithm of the depth.
     """
-    found = parsed(messages.select("conv_id", "turn", "role", "text"))
-    links = materialize(quote_links(found), "quotes")
+    found = messages.select("conv_id", "turn", "role", "text")
+    links = materialize(quote_links(found.drop("role")), "quotes")
     best = F.struct(-F.col("level"), F.col("n_chars"), F.col("source_turn"))
     replies = links.groupBy("conv_id", "turn").agg(F.max_by("source_turn", best).alias("reply_to"), F.sum("n_lines").alias("n_linked"))
     replies = materialize(replies, "replies")
@@ -114,5 +127,6 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         further = way.join(above, (F.col("conv_id") == F.col("_conv")) & (F.col("up") == F.col("_turn")), "left")
         way = materialize(further.select("conv_id", "turn", F.coalesce("_up", "up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).cast("int").alias("steps")), "replies")
     tree = replies.join(way.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "up", "steps"), (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn"))).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "reply_to", "n_linked", "up", "steps")
+    n_quotes = F.when(is_marked(F.col("text")), F.size(F.filter(passages(F.col("text")), lambda r: r["level"] > 0))).otherwise(0)
     rows = found.join(tree, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
-    return rows.select("conv_id", "turn", "role", "reply_to", F.coalesce("up", "turn").alias("thread"), F.coalesce("steps", F.lit(0)).cast("int").alias("depth"), F.col("clean").alias("clean_text"), F.greatest("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    return rows.select("conv_id", "turn", "role", "reply_to", F.coalesce("up", "turn").alias("thread"), F.coalesce("steps", F.lit(0)).cast("int").alias("depth"), clean_text(F.col("text")).alias("clean_text"), n_quotes.alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))

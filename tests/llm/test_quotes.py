@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from symloom.llm.quotes import link_quotes, passages
@@ -52,6 +56,81 @@ def test_links(spark):
     assert link_quotes(messages.where("false")).collect() == []
 
 
+MARKS = re.compile(r"(?:[ \t]*>)+[ \t]?")
+
+
+def runs_of(text):
+    out = []
+    for line in (text or "").split("\n") if text is not None else []:
+        m = MARKS.match(line)
+        level, body = (m[0].count(">"), line[m.end() :]) if m else (0, line)
+        if out and out[-1][0] == level:
+            out[-1][1].append(body)
+        else:
+            out.append((level, [body]))
+    return [(level, "\n".join(lines)) for level, lines in out]
+
+
+def normal(body):
+    return re.sub(r"[ \t\r\n\x0b\f]+", " ", body.lower()).strip(" ")
+
+
+def brute(messages):
+    """Links, replies, threads and clean texts by comparing every passage to every earlier message."""
+    out = {}
+    for conv, turn, text in messages:
+        own = []
+        for c, t, other in messages:
+            if c == conv:
+                mine = [b for level, b in runs_of(other) if level == 0]
+                lines = [x for b in mine for x in b.split("\n")]
+                own.append((t, {normal(x) for x in ["\n".join(mine), *mine, *lines]} - {""}))
+        found: dict = {}
+        for level, body in runs_of(text):
+            for part, b in enumerate([body, *body.split("\n")] if level else []):
+                sources = [t for t, said in own if normal(b) in said]
+                if sources and min(sources) < turn:
+                    x = found.setdefault((level, min(sources)), [0, 0])
+                    x[0] += part > 0
+                    x[1] += len(b) if part else 0
+        best = max(((-level, n[1], t) for (level, t), n in found.items()), default=None)
+        mine = "\n".join(b for level, b in runs_of(text) if level == 0)
+        out[conv, turn] = [best[2] if best else None, sum(n[0] for n in found.values()), mine.strip("\n"), sum(level > 0 for level, _ in runs_of(text))]
+    for (conv, turn), row in out.items():
+        root, depth = turn, 0
+        while out[conv, root][0] is not None:
+            root, depth = out[conv, root][0], depth + 1
+        row += [root, depth]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_same_as_brute_force(spark, seed):
+    """Threads that quote whole messages, parts and quotes, in other case and spacing, or nobody."""
+    rnd = random.Random(seed)
+    words = ["a", "lid", "turn", "left", "Open", "it", "why", "x > y", "so"]
+    messages = []
+    for conv in range(30):
+        texts: list[str] = []
+        for turn in range(rnd.randint(1, 9)):
+            lines = []
+            for _ in range(rnd.randint(0, 3)):
+                if texts and rnd.random() < 0.7:
+                    said = rnd.choice(texts).split("\n")
+                    at = rnd.randrange(len(said))
+                    for line in said[at : at + rnd.randint(1, 3)]:
+                        line = line.upper() if rnd.random() < 0.2 else line.replace(" ", "  ") if rnd.random() < 0.2 else line
+                        lines.append(rnd.choice(["> ", ">", " > ", ">> ", "> >"]) + line)
+                lines += [" ".join(rnd.choices(words, k=rnd.randint(0, 4))) for _ in range(rnd.randint(0, 2))]
+            texts.append("\n".join(lines))
+            messages.append((conv, turn, texts[-1]))
+    want = brute(messages)
+    assert sum(r[0] is not None for r in want.values()) > 10 and max(r[5] for r in want.values()) > 1
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in messages], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): [r["reply_to"], r["n_linked"], r["clean_text"], r["n_quotes"], r["thread"], r["depth"]] for r in link_quotes(df).collect()}
+    assert got == want
+
+
 def test_long_threads(spark):
     rows = [(1, t, "u", f"> say {t - 1}\nsay {t}") for t in range(40)]
     got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -3,8 +3,9 @@
 A payload of bytes is kept without loss as grey frames: every byte is one 8x8 block whose samples
 all have that value, which a DC coefficient with a step of 8 says exactly. The frames are
 baseline JPEG with Huffman tables of their own: a code and its extra bits are nine bits for every
-difference, and one bit ends a block, so that a frame's scan is read as fields of ten bits. Frames
-with other tables go through the general decoder. Shots are cut where the histogram of a frame
+difference, and one bit ends a block, so that a frame's scan is read as fields of ten bits. Other
+baseline frames, grey or YCbCr with any sampling, with their own or the standard's Huffman tables,
+go through the general decoder. A file that cannot be read has an error instead. Shots are cut where the histogram of a frame
 differs from the one before by more than what the frames before it did.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,7 +131,7 @@ def read_avi(data: bytes) -> Movie:
             movi = (at + 8, at + 8 + size)
         elif kind == b"LIST" and (found := data.find(b"strh", at, at + 8 + size)) >= 0:
             scale, rate = struct.unpack_from("<II", data, found + 8 + 20)
-            fps = rate / scale if scale else fps
+            fps = rate / scale if scale and rate else fps
         elif kind == b"idx1":
             index = np.frombuffer(data, "<u4", size // 16 * 4, at + 8).reshape(-1, 4)
         at += 8 + size + (size & 1)
@@ -150,107 +152,200 @@ def read_avi(data: bytes) -> Movie:
     return Movie(fps, frames)
 
 
+def _standard_tables() -> dict[tuple[int, int], dict[tuple[int, int], int]]:
+    """The Huffman tables of frames that bring none, as motion JPEG allows.
+
+    The lists are fixed values of the standard; the longest codes are the other (run, size) pairs.
+    """
+    pairs = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    light = bytes.fromhex("0102030004110512213141061351610722711432" + "8191a1082342b1c11552d1f02433627282")
+    tint = bytes.fromhex("0001020311040521310612415107617113223281" + "08144291a1b1c109233352f0156272d10a162434e125f1")
+    whole = lambda head: [*head, *sorted(set(pairs) - set(head))]
+    counts = {
+        (0, 0): [0, 1, 5, 1, 1, 1, 1, 1, 1], (0, 1): [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1],
+        (1, 0): [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], (1, 1): [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+    }
+    symbols = {(0, 0): range(12), (0, 1): range(12), (1, 0): whole(light), (1, 1): whole(tint)}
+    return {k: _codes(counts[k], symbols[k]) for k in counts}
+
+
+def _codes(counts: Iterable[int], symbols: Iterable[int]) -> dict[tuple[int, int], int]:
+    """(length, code) -> symbol of a canonical table."""
+    table, value, own = {}, 0, list(symbols)
+    for n, k in enumerate(counts, 1):
+        for _ in range(k):
+            table[n, value] = own[len(table)]
+            value += 1
+        value <<= 1
+    return table
+
+
+STANDARD = _standard_tables()
+
+
+@dataclass(frozen=True)
+class Component:
+    across: int  # blocks of a unit
+    down: int
+    steps: np.ndarray
+    dc: dict[tuple[int, int], int]
+    ac: dict[tuple[int, int], int]
+
+
 @dataclass(frozen=True)
 class Tables:
-    """A grey baseline frame's header."""
+    """A baseline frame's header."""
 
     width: int
     height: int
-    steps: np.ndarray
-    codes: dict[int, dict[tuple[int, int], int]]  # by kind: (length, code) -> symbol
+    components: tuple[Component, ...]
     restart: int
     scan: int  # where the scan starts
 
     @property
     def blocks(self) -> int:
+        """Blocks of the first component."""
         return -(-self.width // 8) * -(-self.height // 8)
 
     @property
     def field(self) -> int:
         """Bits of every block, if all blocks have the same number and end at once; else 0."""
-        dc, ac = self.codes[0], self.codes[1]
-        widths = {n + s for (n, _), s in dc.items()}
-        return widths.pop() + min(ac)[0] if len(widths) == 1 and set(ac.values()) == {0} and not self.restart else 0
+        own = self.components[0]
+        widths = {n + s for (n, _), s in own.dc.items()}
+        return widths.pop() + min(own.ac)[0] if len(self.components) == 1 and len(widths) == 1 and set(own.ac.values()) == {0} and not self.restart else 0
 
 
 def read_header(frame: bytes) -> Tables:
-    at, steps, size, codes, restart = 2, {}, None, {}, 0
-    while True:
+    """The header of a baseline frame up to its scan; ValueError for other frames."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    at, steps, size, codes, restart = 2, {}, None, dict(STANDARD), 0
+    while at + 4 <= len(frame):
+        if frame[at] != 0xFF:
+            raise ValueError("broken header")
         code, length = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + length]
+        if length < 2 or len(body) < length - 2:
+            raise ValueError("cut header")
         if code == 0xDB:
             while body:
                 wide = body[0] >> 4
                 table = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
                 steps[body[0] & 15], body = table, body[1 + 64 * (1 + wide) :]
         elif code == 0xC0:
-            size = struct.unpack_from(">BHHB3B", body)
-            if size[0] != 8 or size[3] != 1:
-                raise ValueError("only grey frames of 8-bit samples are read")
+            depth, height, width, n = struct.unpack_from(">BHHB", body)
+            if depth != 8 or n not in (1, 3) or not width or not height:
+                raise ValueError("only grey and YCbCr frames of 8-bit samples are read")
+            size = (width, height, [tuple(body[6 + 3 * i : 9 + 3 * i]) for i in range(n)])
         elif 0xC1 <= code <= 0xCF and code not in (0xC4, 0xC8, 0xCC):
             raise ValueError("only baseline frames are read")
         elif code == 0xC4:
             while body:
-                counts, value, table = body[1:17], 0, {}
-                symbols = iter(body[17 : 17 + sum(counts)])
-                for n, k in enumerate(counts, 1):
-                    for _ in range(k):
-                        table[n, value] = next(symbols)
-                        value += 1
-                    value <<= 1
-                codes[body[0] >> 4] = table
+                counts = body[1:17]
+                codes[body[0] >> 4, body[0] & 15] = _codes(counts, body[17 : 17 + sum(counts)])
                 body = body[17 + sum(counts) :]
         elif code == 0xDD:
-            restart = struct.unpack(">H", body)[0]
+            restart = struct.unpack_from(">H", body)[0]
         elif code == 0xDA:
-            return Tables(size[2], size[1], steps[size[6]], codes, restart, at + 2 + length)
+            if size is None or body[0] != len(size[2]):
+                raise ValueError("only scans of all components are read")
+            chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            parts = []
+            for name, sampling, table in size[2]:
+                own = chosen[name]
+                across, down = (sampling >> 4, sampling & 15) if len(size[2]) > 1 else (1, 1)
+                if not 1 <= across <= 4 or not 1 <= down <= 4:
+                    raise ValueError("broken header")
+                parts.append(Component(across, down, steps[table], codes[0, own >> 4], codes[1, own & 15]))
+            if any(c.across > parts[0].across or c.down > parts[0].down for c in parts):
+                raise ValueError("only frames whose first component has all samples are read")
+            return Tables(size[0], size[1], tuple(parts), restart, at + 2 + length)
         at += 2 + length
-
-
-def _decode_scan(data: bytes, t: Tables) -> np.ndarray:
-    """The samples of a frame, whatever its tables: bit by bit, then the inverse transform."""
-    parts = [p for i, p in enumerate(_split_restarts(data))] if t.restart else [data]
-    out = np.zeros((t.blocks, 64))
-    block = 0
-    for part in parts:
-        part = part.replace(b"\xff\x00", b"\xff")
-        bits, at, size, before = int.from_bytes(part, "big"), 0, 8 * len(part), 0
-
-        def take(n: int, bits: int = bits, size: int = size) -> int:
-            nonlocal at
-            at += n
-            return bits >> (size - at) & ((1 << n) - 1)
-
-        def symbol(table: dict, take=take) -> int:
-            code = 0
-            for n in range(1, 17):
-                code = code << 1 | take(1)
-                if (n, code) in table:
-                    return table[n, code]
-            raise ValueError("broken scan")
-
-        def number(n: int, take=take) -> int:
-            v = take(n) if n else 0
-            return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-        for _ in range(min(t.restart or t.blocks, t.blocks - block)):
-            before += number(symbol(t.codes[0]))
-            out[block, 0], k = before, 1
-            while k < 64:
-                run = symbol(t.codes[1])
-                if run == 0:
-                    break
-                k += run >> 4
-                if run & 15:
-                    out[block, ZIGZAG[k]] = number(run & 15)
-                k += 1
-            block += 1
-    steps = np.zeros(64)
-    steps[ZIGZAG] = t.steps
+    raise ValueError("no scan in the frame")
+
+
+def _table(codes: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """(length, symbol) by the next 16 bits; length 0 where no code starts so."""
+    out = [(0, 0)] * (1 << 16)
+    for (n, code), s in codes.items():
+        out[code << (16 - n) : (code + 1) << (16 - n)] = [(n, s)] * (1 << (16 - n))
+    return out
+
+
+def _windows(part: bytes) -> list[int]:
+    """For each bit of a stuffed part of a scan the 16 bits from it on."""
+    data = np.unpackbits(np.frombuffer(part.replace(b"\xff\x00", b"\xff") + b"\xff\xff", np.uint8)).astype(np.int64)
+    n = len(data) - 15
+    return sum(data[k : k + n] << (15 - k) for k in range(16)).tolist()
+
+
+def _decode_scan(data: bytes, t: Tables) -> list[np.ndarray]:
+    """The samples of each component's blocks (rows, columns, 8, 8), whatever the tables."""
+    first = t.components[0]
+    wide, high = -(-t.width // (8 * first.across)), -(-t.height // (8 * first.down))  # units
+    if wide * high > 4 * len(data):  # a block has two bits at least
+        raise ValueError("cut scan")
+    out = [np.zeros((high * c.down, wide * c.across, 64)) for c in t.components]
+    tables = [(_table(c.dc), _table(c.ac)) for c in t.components]
+    order = ZIGZAG
+    unit = 0
+    for part in _split_restarts(data) if t.restart else [data]:
+        bits, at, before = _windows(part), 0, [0] * len(t.components)
+        for unit in range(unit, min(unit + t.restart, wide * high) if t.restart else wide * high):
+            row, column = divmod(unit, wide)
+            for i, c in enumerate(t.components):
+                dc, ac = tables[i]
+                for k in range(c.down * c.across):
+                    block = out[i][row * c.down + k // c.across, column * c.across + k % c.across]
+                    n, s = dc[bits[at]]
+                    if not n or s > 15:
+                        raise ValueError("broken scan")
+                    at += n
+                    if s:
+                        v = bits[at] >> (16 - s)
+                        before[i] += v if v >> (s - 1) else v - (1 << s) + 1
+                        at += s
+                    block[0], j = before[i], 1
+                    while j < 64:
+                        n, s = ac[bits[at]]
+                        if not n:
+                            raise ValueError("broken scan")
+                        at += n
+                        if not s:
+                            break
+                        j += s >> 4
+                        if s := s & 15:
+                            v = bits[at] >> (16 - s)
+                            block[order[j]] = v if v >> (s - 1) else v - (1 << s) + 1
+                            at += s
+                        j += 1
+        unit += 1
+    if unit < wide * high:
+        raise ValueError("cut scan")
     u = np.arange(8)
     basis = np.cos((2 * u[None, :] + 1) * u[:, None] * np.pi / 16) * np.where(u == 0, np.sqrt(0.125), 0.5)[:, None]
-    pixels = np.einsum("ux,nuv,vy->nxy", basis, (out * steps).reshape(-1, 8, 8), basis)
-    return np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8)
+    planes = []
+    for c, own in zip(t.components, out, strict=True):
+        steps = np.zeros(64)
+        steps[ZIGZAG] = c.steps
+        pixels = np.einsum("ux,rcuv,vy->rcxy", basis, (own * steps).reshape(*own.shape[:2], 8, 8), basis)
+        planes.append(np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8))
+    return planes
+
+
+def frame_pixels(frame: bytes) -> np.ndarray:
+    """A frame's picture: (height, width) of a grey one, (height, width, 3) in RGB of a YCbCr one."""
+    t = read_header(frame)
+    planes = []
+    for c, own in zip(t.components, _decode_scan(frame[t.scan : frame.rindex(END)], t), strict=True):
+        plane = own.transpose(0, 2, 1, 3).reshape(own.shape[0] * 8, -1)
+        plane = plane.repeat(t.components[0].down // c.down, axis=0).repeat(t.components[0].across // c.across, axis=1)
+        planes.append(plane[: t.height, : t.width].astype(np.float64))
+    if len(planes) == 1:
+        return planes[0].astype(np.uint8)
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
 
 
 def _split_restarts(data: bytes) -> list[bytes]:
@@ -263,7 +358,8 @@ def _split_restarts(data: bytes) -> list[bytes]:
 
 
 def decode_frames(frames: list[bytes]) -> list[np.ndarray] | np.ndarray:
-    """Each frame's block values: the sample of blocks that have one, else the blocks' means.
+    """Each frame's block values, of the first component: the sample of blocks that have one, else
+    the blocks' means.
 
     Frames with the same header whose blocks all have the same number of bits are read together.
     """
@@ -271,15 +367,17 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray] | np.ndarray:
         return np.zeros((0, FRAME), np.uint8)
     t = read_header(frames[0])
     head = frames[0][: t.scan]
-    if t.field == 10 and int(t.steps[0]) == 8 and all(f.startswith(head) for f in frames):
+    if t.field == 10 and int(t.components[0].steps[0]) == 8 and len(END) + t.scan < len(frames[0]) and all(f.startswith(head) for f in frames):
         data = b"".join([f[t.scan : -2].replace(b"\xff\x00", b"\xff") for f in frames])
-        rows = np.frombuffer(data, np.uint8).reshape(len(frames), -1, 5)
+        if len(data) * 8 != len(frames) * (size := -(-t.blocks * 10 // 40) * 40):
+            raise ValueError("cut scan")
+        rows = np.frombuffer(data, np.uint8).reshape(len(frames), size // 40, 5)
         words = np.zeros((*rows.shape[:2], 8), np.uint8)
         words[:, :, 3:] = rows
         words = words.view(">u8")[:, :, 0].astype(np.uint64)
         own = np.stack([words >> np.uint64(s) & np.uint64(1023) for s in (30, 20, 10, 0)], axis=2).reshape(len(frames), -1)
         table = np.full(1024, 1 << 14, np.int64)
-        for (n, code), s in t.codes[0].items():
+        for (n, code), s in t.components[0].dc.items():
             for x in range(1 << s):
                 table[(code << s | x) << 1 if n + s == 9 else 0] = x if not s or x >> (s - 1) else x - (1 << s) + 1
         values = np.cumsum(table[own[:, : t.blocks]], axis=1) + 128
@@ -289,14 +387,20 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray] | np.ndarray:
     out = []
     for f in frames:
         t = read_header(f)
-        pixels = _decode_scan(f[t.scan : f.rindex(END)], t)
-        out.append(np.rint(pixels.reshape(len(pixels), 64).mean(axis=1)).astype(np.uint8))
+        own = _decode_scan(f[t.scan : f.rindex(END)], t)[0][: -(-t.height // 8), : -(-t.width // 8)]
+        out.append(np.rint(own.reshape(t.blocks, 64).mean(axis=1)).astype(np.uint8))
     return np.array(out) if len({len(o) for o in out}) == 1 else out
 
 
 def histograms(values: np.ndarray | list[np.ndarray]) -> np.ndarray:
-    """Counts of levels of each frame."""
-    return np.array([np.bincount(np.asarray(v) * LEVELS >> 8, minlength=LEVELS) for v in np.asarray(values, dtype=np.int64)]).reshape(-1, LEVELS)
+    """Counts of levels of each frame; of frames of other sizes, as if they had the first one's."""
+    n = len(values)
+    if not n:
+        return np.zeros((0, LEVELS), np.int64)
+    sizes = np.array([len(v) for v in values])
+    flat = np.concatenate([np.asarray(v, dtype=np.int64) for v in values]) if isinstance(values, list) else np.asarray(values, dtype=np.int64).ravel()
+    own = np.bincount(np.repeat(np.arange(n) * LEVELS, sizes) + (flat * LEVELS >> 8), minlength=n * LEVELS).reshape(n, LEVELS)
+    return own if (sizes == sizes[0]).all() else own * (sizes[0] / np.maximum(sizes, 1))[:, None]
 
 
 def cuts(values: np.ndarray | list[np.ndarray]) -> list[int]:
@@ -309,23 +413,21 @@ def cuts(values: np.ndarray | list[np.ndarray]) -> list[int]:
     n = len(values)
     if n < 2:
         return []
-    v = np.asarray(values, dtype=np.int64)
-    hist = np.bincount((np.arange(n)[:, None] * LEVELS + (v * LEVELS >> 8)).ravel(), minlength=n * LEVELS).reshape(n, LEVELS)
-    d = np.abs(np.diff(hist, axis=0)).sum(axis=1)
+    d = np.abs(np.diff(histograms(values), axis=0)).sum(axis=1)
     total = np.concatenate([[0], np.cumsum(d)])
     at = np.arange(n - 1)
     first = np.maximum(0, at - LOOK_BACK)
     seen, k = total[at] - total[first], at - first
     k[0] = len(after := d[1 : 1 + LOOK_BACK])
     seen[0] = after.sum()
-    return (np.flatnonzero((8 * d > v.shape[1]) & ((2 * d * k > 3 * seen) | (k == 0))) + 1).tolist()
+    return (np.flatnonzero((8 * d > len(values[0])) & ((2 * d * k > 3 * seen) | (k == 0))) + 1).tolist()
 
 
-_CLIP = T.StructType([T.StructField("clip", T.IntegerType()), T.StructField("first_frame", T.IntegerType()), T.StructField("n_frames", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())])
 _READ = T.StructType([
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
     T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("n_frames", T.IntegerType()),
     T.StructField("fps", T.DoubleType()), T.StructField("cuts", T.ArrayType(T.IntegerType())),
+    T.StructField("error", T.StringType()),
 ])
 
 
@@ -342,14 +444,18 @@ def _read(files: pa.Array) -> pa.Array:
         if data is None:
             rows.append(None)
             continue
-        movie = read_avi(data)
-        values = decode_frames(movie.frames)
+        try:
+            movie = read_avi(data)
+            values = decode_frames(movie.frames)
+        except (ValueError, LookupError, struct.error) as e:  # what broken files lead to
+            rows.append({"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "error": str(e) or type(e).__name__})
+            continue
         payload = b"".join(np.asarray(v).tobytes() for v in values)
         rows.append({
             "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),
             "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "n_frames": len(movie.frames), "fps": movie.fps, "cuts": cuts(values),
         })
-    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int32()), ("fps", pa.float64()), ("cuts", pa.list_(pa.int32()))]
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int32()), ("fps", pa.float64()), ("cuts", pa.list_(pa.int32())), ("error", pa.string())]
     return pa.array(rows, pa.struct(kinds))
 
 
@@ -359,20 +465,35 @@ def text_to_avi(text: Column) -> Column:
 
 
 def read_media(media: Column) -> Column:
-    """Struct of an AVI column: payload and file digests, frames, rate and cuts; null for null."""
+    """Struct of an AVI column: payload and file digests, frames, rate, cuts and ``error``.
+
+    Null for null. A file that cannot be read (no AVI file, cut, not baseline) has its own size and
+    digest, the error, and nulls. The payload is the frames' block values.
+    """
     return _read(media)
 
 
+def clips(r: Column) -> Column:
+    """Timed clips of a read file: array of (clip, first_frame, n_frames, start_s, end_s).
+
+    Every file with a frame has a clip; null and broken files have none.
+    """
+    starts, ends = F.concat(F.array(F.lit(0)), r["cuts"]), F.concat(r["cuts"], F.array(r["n_frames"]))
+
+    def clip(z: Column, i: Column) -> Column:
+        return F.struct(i.alias("clip"), z["a"].alias("first_frame"), (z["b"] - z["a"]).alias("n_frames"), (z["a"] / r["fps"]).alias("start_s"), (z["b"] / r["fps"]).alias("end_s"))
+
+    own = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), clip)
+    return F.when(r["n_frames"] > 0, own).otherwise(F.slice(own, 1, 0))
+
+
 def clip_rows(media: DataFrame, key: str, column: str) -> DataFrame:
     """Timed clip rows ``(key, clip, first_frame, n_frames, start_s, end_s)`` of an AVI column.
 
-    Every file with a frame has a clip; null files have none.
+    Every file with a frame has a clip; null and broken files have none.
     """
     rows = media.select(F.col(key), read_media(F.col(column)).alias("r"))
-    starts = F.concat(F.array(F.lit(0)), F.col("r.cuts"))
-    ends = F.concat(F.col("r.cuts"), F.array(F.col("r.n_frames")))
-    rows = rows.where("r.n_frames > 0").select(key, F.col("r.fps").alias("fps"), F.posexplode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("clip", "z"))
-    return rows.select(key, "clip", F.col("z.a").alias("first_frame"), (F.col("z.b") - F.col("z.a")).alias("n_frames"), (F.col("z.a") / F.col("fps")).alias("start_s"), (F.col("z.b") / F.col("fps")).alias("end_s"))
+    return rows.select(key, F.explode(clips(F.col("r"))).alias("c")).select(key, "c.*")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -384,4 +505,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), read_media(text_to_avi(F.col("text"))).alias("r"))
     feature = F.concat_ws(";", F.concat(F.lit("frames="), F.col("r.n_frames")), F.concat(F.lit("cuts="), F.array_join(F.col("r.cuts").cast("array<string>"), ",")))
-    return rows.select("doc_id", "n_bytes", "r.payload_bytes", "r.payload_sha256", "r.tail_crc32", "r.media_bytes", "r.media_sha256", feature.alias("feature"), (F.size("r.cuts") + 1).alias("n_clips"))
+    return rows.select("doc_id", "n_bytes", "r.payload_bytes", "r.payload_sha256", "r.tail_crc32", "r.media_bytes", "r.media_sha256", feature.alias("feature"), clips(F.col("r")).alias("clips"))

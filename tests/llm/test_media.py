@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from symloom.llm import media
 from symloom.llm.media import FRAME, clip_rows, cuts, decode_frames, media_digests, payload_of, read_avi, read_header, store, text_to_avi
@@ -21,8 +22,8 @@ def test_general_decoder_agrees():
     payload = np.random.default_rng(1).integers(0, 256, FRAME, dtype=np.uint8)
     frame = read_avi(store(payload.tobytes())).frames[0]
     t = read_header(frame)
-    pixels = media._decode_scan(frame[t.scan : -2], t)
-    assert (pixels == payload[:, None, None]).all() and t.blocks == FRAME and t.field == 10
+    pixels = media._decode_scan(frame[t.scan : -2], t)[0]
+    assert (pixels.reshape(FRAME, 8, 8) == payload[:, None, None]).all() and t.blocks == FRAME and t.field == 10
 
 
 def bits(parts):
@@ -42,7 +43,7 @@ def test_frames_with_other_tables_and_restarts():
     assert t.field == 0 and t.restart == 2 and t.blocks == 3
     values = decode_frames([frame])
     assert values[0].tolist() == [133, 128, 137]
-    pixels = media._decode_scan(frame[t.scan : -2], t)[1]
+    pixels = media._decode_scan(frame[t.scan : -2], t)[0][0, 1]
     assert pixels[0, 0] > 128 > pixels[0, 7] and (pixels[0] == pixels[7]).all()
 
 
@@ -54,6 +55,68 @@ def test_odd_files():
         read_avi(b"nothing")
 
 
+def encoded(values, table):
+    """Bits of differences (DC) and an end of block each, by a Huffman table."""
+    codes, out, before = {s: (n, c) for (n, c), s in table[0].items()}, [], 0
+    end = {s: (n, c) for (n, c), s in table[1].items()}[0]
+    for v in values:
+        d, before = v - before, v
+        k = abs(d).bit_length()
+        n, c = codes[k]
+        out.append(format(c, f"0{n}b") + (format(d if d >= 0 else d + (1 << k) - 1, f"0{k}b") if k else "") + format(end[1], f"0{end[0]}b"))
+    return out
+
+
+def test_standard_tables_are_whole():
+    for (kind, _), table in media.STANDARD.items():
+        assert len(set(table.values())) == len(table) == (162 if kind else 12)
+        assert sum(2 ** (16 - n) for n, _ in table) < 1 << 16  # prefix codes, without the code of ones
+
+
+def test_colour_frames_without_tables():
+    """Two units of four luma blocks, one blue and one red block each, as cameras write them."""
+    light, tint = (media.STANDARD[0, 0], media.STANDARD[1, 0]), (media.STANDARD[0, 1], media.STANDARD[1, 1])
+    luma, blue, red = [10, 20, -30, 40, -50, 60, 0, 5], [12, -7], [-20, 30]
+    y, cb, cr = encoded(luma, light), encoded(blue, tint), encoded(red, tint)
+    scan = bits([*y[:4], cb[0], cr[0], *y[4:], cb[1], cr[1]])
+    head = b"".join([b"\xff\xd8", media._marker(0xE0, b"AVI1"), media._marker(0xDB, b"\x00" + bytes([8] * 64)), media._marker(0xDB, b"\x01" + bytes([16] * 64)), media._marker(0xC0, bytes([8, 0, 16, 0, 30, 3, 1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1])), media._marker(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0]))])
+    frame = head + scan + b"\xff\xd9"
+    t = read_header(frame)
+    assert (t.width, t.height, t.blocks, len(t.components)) == (30, 16, 8, 3)
+    # a unit's blocks are two rows of two
+    assert decode_frames([frame])[0].tolist() == [128 + v for v in (10, 20, -50, 60, -30, 40, 0, 5)]
+    rgb = media.frame_pixels(frame)
+    assert rgb.shape == (16, 30, 3)
+    want = np.rint([138 - 40 * 1.402, 138 - 24 * 0.344136 + 40 * 0.714136, 138 + 24 * 1.772])
+    assert (rgb[0, 0] == want).all() and (rgb[7, 7] == want).all()
+    movie = read_avi(media.write_avi([frame, frame], 30, 16, 25))
+    assert movie.fps == 25 and movie.frames == [frame, frame]
+
+
+def test_broken_files_have_errors(spark):
+    good = store(bytes(range(192)) * 3)
+    progressive = good.replace(b"\xff\xc0", b"\xff\xc2")
+    rng = np.random.default_rng(7)
+    files = [good, None, b"", b"RIFF", b"nothing at all, but long enough", good[:60], good[:400], good[: len(good) // 2], progressive]
+    for _ in range(150):
+        own = bytearray(good)
+        for at in rng.integers(0, len(own), 6):
+            own[at] = rng.integers(0, 256)
+        files.append(bytes(own))
+    df = spark.createDataFrame(list(enumerate(files)), "i long, f binary").select("i", "f", media.read_media(F.col("f")).alias("r"))
+    got = {r["i"]: r["r"] for r in df.collect()}
+    assert got[0]["error"] is None and got[0]["n_frames"] == 3 and got[1] is None
+    for i in (2, 3, 4, 5, 8):
+        assert got[i]["error"] and got[i]["payload_bytes"] is None and got[i]["media_bytes"] == len(files[i])
+    rows = clip_rows(df, "i", "f").collect()
+    assert {r["i"] for r in rows} == {i for i, r in got.items() if r is not None and r["n_frames"]}
+
+
+def test_frames_of_other_sizes():
+    small, large = np.full(12, 10), np.full(48, 10)
+    assert cuts([small, large, small, np.full(48, 200)]) == [3]
+
+
 def test_cuts_follow_histograms():
     calm = np.full((6, FRAME), 40)
     calm[:, :5] += np.arange(6)[:, None]

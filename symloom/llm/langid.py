@@ -231,5 +231,9 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """The documents that the model does not reject, with all their columns."""
+    """The documents that the model does not reject, with all their columns, whatever their names.
+
+    Texts that are null or without a letter are rejected, as is everything without a model; repeated
+    rows all stay or go; an empty table stays empty. No shuffle.
+    """
     return docs.where(~predict_column(docs, model)["rejected"])

@@ -2,8 +2,10 @@
 
 Sequential covering learns an ordered list of rules for bad documents. A rule is grown, one
 threshold condition after the other, by information gain on one part of the labelled rows, then
-pruned from its end on the other part, and kept if it holds there. The list becomes one Spark
-conditional expression. Rules speak of statistics of whole texts only.
+pruned from its end on the other part, and kept if it is precise and has support. Thresholds lie
+in the middle between what good and bad rows have, and a condition has to change the share of bad
+rows by more than chance would. The list becomes one Spark conditional expression. Rules speak of
+statistics of whole texts only.
 """
 
 from __future__ import annotations
@@ -19,6 +21,12 @@ from pyspark.sql import types as T
 
 #: Labelled documents that a list is learned from at most, by order of a hash of doc_id.
 SAMPLE = 4000
+#: Bad rows that a rule has to catch, in all and of those that it grows on.
+SUPPORT, GROWN = 5, 3
+#: Thresholds of a statistic that are tried for a condition: those between the most rows.
+CUTS = 64
+#: What a condition's likelihood ratio has to pass (one degree of freedom, 99 %).
+CHANCE = 6.63
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -126,21 +134,52 @@ class Rule:
         return " and ".join(map(str, self.conditions))
 
 
-def _grow(table: dict[str, np.ndarray], bad: np.ndarray, most: int = 4, cuts: int = 32) -> Rule | None:
+def midpoints(x: np.ndarray, bad: np.ndarray, most: int = CUTS) -> list[tuple[float, float]]:
+    """(threshold, gap) between neighbouring values with other shares of bad rows.
+
+    Of more than ``most`` those that lie at equal steps through the rows.
+    """
+    values, first, counts = np.unique(x, return_index=True, return_counts=True)
+    if len(values) < 2:
+        return []
+    share = np.bincount(np.searchsorted(values, x), weights=bad) / counts
+    # a step between two pure stretches of the same kind parts nothing
+    at = np.flatnonzero((share[1:] != share[:-1]) | ((share[1:] > 0) & (share[1:] < 1)))
+    if len(at) > most:
+        upto = np.cumsum(counts)[at]
+        at = at[np.unique(np.searchsorted(upto, np.linspace(upto[0], upto[-1], most)))]
+    return [((values[i] + values[i + 1]) / 2, values[i + 1] - values[i]) for i in at.tolist()]
+
+
+def likelihood_ratio(q: int, m: int, p: int, n: int) -> float:
+    """How far ``q`` bad and ``m`` good rows are from a share of ``p`` bad to ``n`` good ones."""
+    total, out = q + m, 0.0
+    for seen, of in ((q, p), (m, n)):
+        if seen:
+            out += seen * math.log(seen * (p + n) / (total * of))
+    return 2 * out
+
+
+def _grow(table: dict[str, np.ndarray], bad: np.ndarray, most: int = 4) -> Rule | None:
     inside, chosen = np.ones(len(bad), bool), []
     while len(chosen) < most and (~bad & inside).any():
-        p, n = int((bad & inside).sum()), int((~bad & inside).sum())
-        best = (1e-9, None)
+        own = bad[inside]
+        p, n = int(own.sum()), int((~own).sum())
+        best = ((1e-9, 0.0), None)
         for name in sorted(table):
             x = table[name][inside]
-            for limit in np.unique(np.quantile(x[bad[inside]], np.linspace(0, 1, cuts), method="lower")).tolist() + np.unique(np.quantile(x[~bad[inside]], [0.5, 0.9, 0.99, 0.999, 1], method="lower")).tolist():
+            spread = float(x.max() - x.min()) or 1.0
+            for limit, gap in midpoints(x, own):
                 for above in (True, False):
                     c = Condition(name, above, float(limit))
                     hit = c.holds(x)
-                    q, m = int((hit & bad[inside]).sum()), int((hit & ~bad[inside]).sum())
-                    gain = q * (math.log2((q + 1) / (q + m + 2)) - math.log2((p + 1) / (p + n + 2))) if q else 0
-                    if gain > best[0] and q + m < p + n:
-                        best = (gain, c)
+                    q, m = int((hit & own).sum()), int((hit & ~own).sum())
+                    if q < GROWN or likelihood_ratio(q, m, p, n) < CHANCE:
+                        continue
+                    gain = q * (math.log2((q + 1) / (q + m + 2)) - math.log2((p + 1) / (p + n + 2)))
+                    # of equal gains the widest margin
+                    if (gain, gap / spread) > best[0]:
+                        best = ((gain, gap / spread), c)
         if best[1] is None:
             break
         chosen.append(best[1])
@@ -154,7 +193,7 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray, preci
     left = np.ones(len(bad), bool)
     while len(rules) < most:
         grow, prune = left & (turn != 2), left & (turn == 2)
-        if (bad & grow).sum() < 5:
+        if (bad & grow).sum() < GROWN:
             break
         rule = _grow({k: v[grow] for k, v in table.items()}, bad[grow])
         if rule is None:
@@ -167,7 +206,7 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray, preci
         rule = Rule(rule.conditions[: max(worth)[3]])
         hit = rule.holds(table) & left
         caught, wrong = int((hit & bad).sum()), int((hit & ~bad).sum())
-        if caught < 5 or caught < precision * (caught + wrong):
+        if caught < SUPPORT or caught < precision * (caught + wrong):
             break
         rules.append(rule)
         left &= ~hit
@@ -220,5 +259,9 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def drop_bad(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts fail the base rule and go; repeated rows are judged alike and all stay or
+    go; an empty table stays empty. No shuffle.
+    """
     return docs.where(verdict(counts(F.col("text")), rules) == 0)

@@ -77,7 +77,11 @@ def oracle_sql() -> dict[str, str]:
     return {"op10_license_scan": licenses.oracle_sql()}
 
 
-# The stages of the corpus pipeline: each takes documents and returns documents.
+# The stages of the corpus pipeline: each takes documents and returns documents with the same
+# columns, whatever further ones there are, the last one digests. Any column may be null: null and
+# wordless texts leave with the first stages, null sources, languages and doc_ids are values like
+# others. Repeated rows are kept or dropped alike by the filters; one of them stays as a
+# near-duplicate. An empty table gives an empty one. Very long texts are read whole.
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

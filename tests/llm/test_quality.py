@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from symloom.llm.quality import COUNTS, Rule, Condition, drop_bad, judge, learn, learn_rules, repeated_words
+from symloom.llm.quality import COUNTS, Condition, Rule, drop_bad, judge, learn, learn_rules, midpoints, repeated_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,3 +70,37 @@ def test_lists_are_learned_pruned_and_applied(spark):
     rule = Rule((Condition("capitals", True, 0.5), Condition("words", False, 100.0)))
     assert {r["doc_id"]: (r["kept"], r["rule"]) for r in judge(docs, [rule]).collect()} == {1: (True, 0), 2: (False, 1), 3: (False, -1)}
     assert [r["doc_id"] for r in drop_bad(docs, [rule]).collect()] == [1] and str(rule) == "capitals > 0.5 and words <= 100"
+
+
+def test_thresholds_lie_in_the_middle():
+    x, bad = np.array([0, 0, 0.1, 0.4, 0.5, 0.5]), np.array([0, 0, 0, 1, 1, 1], bool)
+    assert midpoints(x, bad) == [(0.25, 0.30000000000000004)]
+    assert midpoints(np.zeros(5), np.ones(5, bool)) == []
+    mixed = midpoints(np.arange(1000.0), np.arange(1000) % 2 == 0)
+    assert len(mixed) <= 64 and all(t % 1 == 0.5 for t, _ in mixed)
+
+
+def test_no_rule_without_support():
+    rng = np.random.default_rng(1)
+    table = {"a": rng.random(400), "b": rng.random(400)}
+    few = np.zeros(400, bool)
+    few[:4] = True
+    table["a"][:4] = 5
+    assert learn(table, few, np.arange(400) % 3) == []
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_rules_of_the_given_tables_hold_for_others(spark, sf):
+    """A list learned from half of the labels judges the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    whole = learn_rules(docs, labels)
+    assert [str(r) for r in whole] and str(whole[0]).startswith("symbols > 0.0")
+    assert 0.02 < whole[0].conditions[0].limit < 0.08  # between none and the junk's share
+    if sf == "sf0.001":
+        return
+    half = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(2)) == 0
+    rules = learn_rules(docs, labels.where(half))
+    rows = judge(docs, rules).join(labels.where(~half), "doc_id").where("not base_failed").collect()
+    dropped = [r["quality"] for r in rows if not r["kept"]]
+    bad = sum(r["quality"] == 0 for r in rows)
+    assert bad >= 5 and dropped.count(0) >= 0.9 * bad and dropped.count(0) >= 0.95 * len(dropped)

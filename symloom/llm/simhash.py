@@ -79,8 +79,10 @@ class BitPlanes:
     """Fingerprints stored vertically: plane ``k`` holds bit ``k`` of all of them, 64 to a word."""
 
     def __init__(self, fingerprints: np.ndarray):
+        """``fingerprints``: numbers of 64 bits, one or several (columns) each."""
         self.n = len(fingerprints)
-        bits = np.unpackbits(fingerprints.astype(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        rows = fingerprints.astype(np.uint64).reshape(self.n, -1)
+        bits = np.unpackbits(rows.astype(">u8").view(np.uint8).reshape(self.n, -1), axis=1)
         self.planes = self.packed(bits.T)
 
     @staticmethod
@@ -92,30 +94,75 @@ class BitPlanes:
         return out.view("<u8")
 
     def within(self, lag: int, wanted: np.ndarray, radius: int) -> np.ndarray:
-        """The ``i`` with ``wanted[i]`` whose distance to ``i + lag`` is at most ``radius`` (< 4)."""
+        """The ``i`` with ``wanted[i]`` whose distance to ``i + lag`` is at most ``radius``."""
         m = self.n - lag
         words = (m + 63) // 64
         alive = self.packed(wanted[:m])[:words]
+        count = self._few if radius <= 3 else self._many
+        alive = count(lag, words, alive, radius)
+        return np.flatnonzero(np.unpackbits(alive.view(np.uint8), bitorder="little")[:m])
+
+    def _differ(self, k: int, lag: int, words: int) -> np.ndarray:
+        """Eight planes from ``k`` on, compared to themselves ``lag`` bits further."""
         skip, shift = divmod(lag, 64)
+        own = self.planes[k : k + 8]
+        other = own[:, skip : skip + words] >> np.uint64(shift)
+        if shift:
+            high = own[:, skip + 1 : skip + 1 + words]
+            other[:, : high.shape[1]] |= high << np.uint64(64 - shift)
+        return own[:, :words] ^ other
+
+    def _few(self, lag: int, words: int, alive: np.ndarray, radius: int) -> np.ndarray:
+        """Two counting planes: a pair that would count to four is out."""
         ones, twos = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
-        for k in range(0, 64, 8):
-            own = self.planes[k : k + 8]
-            other = own[:, skip : skip + words] >> np.uint64(shift)
-            if shift:
-                high = own[:, skip + 1 : skip + 1 + words]
-                other[:, : high.shape[1]] |= high << np.uint64(64 - shift)
-            differ = own[:, :words] ^ other
-            for x in differ:
+        for k in range(0, len(self.planes), 8):
+            for x in self._differ(k, lag, words):
                 carry = ones & x
                 ones ^= x
                 over = twos & carry
                 twos ^= carry
                 alive &= ~over
             if not alive.any():
-                return np.empty(0, np.int64)
+                return alive
         if radius < 3:
             alive &= ~(ones & twos) if radius == 2 else ~twos if radius == 1 else ~(ones | twos)
-        return np.flatnonzero(np.unpackbits(alive.view(np.uint8), bitorder="little")[:m])
+        return alive
+
+    def _many(self, lag: int, words: int, alive: np.ndarray, radius: int) -> np.ndarray:
+        """Counting planes up to the number of planes; eight planes are added by carry-save steps."""
+        zero = np.zeros(words, np.uint64)
+        ones, twos, fours = zero, zero, zero
+        high = [zero] * (len(self.planes) // 8).bit_length()  # counts of eight
+
+        def add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            u = a ^ b
+            return u ^ c, a & b | u & c
+
+        def above(counter: list[np.ndarray], limit: int) -> np.ndarray:
+            more, equal = zero, ~zero
+            for k in range(len(counter) - 1, -1, -1):
+                if limit >> k & 1:
+                    equal = equal & counter[k]
+                else:
+                    more, equal = more | equal & counter[k], equal & ~counter[k]
+            return more
+
+        for k in range(0, len(self.planes), 8):
+            d = self._differ(k, lag, words)
+            ones, a = add(ones, d[0], d[1])
+            ones, b = add(ones, d[2], d[3])
+            twos, e = add(twos, a, b)
+            ones, a = add(ones, d[4], d[5])
+            ones, b = add(ones, d[6], d[7])
+            twos, f = add(twos, a, b)
+            fours, carry = add(fours, e, f)
+            for i in range(len(high)):
+                high[i], carry = high[i] ^ carry, high[i] & carry
+            if 8 * (k // 8 + 1) > radius and k // 8 % 4 == 3:
+                alive = alive & ~above(high, radius // 8)
+                if not alive.any():
+                    return alive
+        return alive & ~above([ones, twos, fours, *high], radius)
 
 
 def linked(fingerprints: np.ndarray, bucket: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
@@ -151,6 +198,20 @@ def linked(fingerprints: np.ndarray, bucket: np.ndarray, side: np.ndarray | None
     return root
 
 
+def deal(keys: DataFrame, ident: str, part: int) -> DataFrame:
+    """Rows ``(ident, ..., t, key)`` dealt to blocks ``(t, key, lo, hi)``, sorted by them.
+
+    A key with more than ``part`` rows is cut into parts by a hash of ``ident``, ``c`` is a row's
+    own, and each pair of parts is a block: every two rows of a key meet in one.
+    """
+    large = keys.groupBy("t", "key").count().where(F.col("count") > part).select(F.col("t").alias("_t"), F.col("key").alias("_key"), F.ceil(F.col("count") / part).cast("int").alias("m"))
+    dealt = keys.join(large, (keys["t"] == large["_t"]) & (keys["key"] == large["_key"]), "left")
+    parts, own = F.coalesce("m", F.lit(1)), keys.columns
+    dealt = dealt.select(*own, F.pmod(F.xxhash64(F.lit(7), ident), parts).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+    dealt = dealt.select(*own, "c", F.least("c", "o").cast("int").alias("lo"), F.greatest("c", "o").cast("int").alias("hi"))
+    return dealt.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", ident)
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
     """Links ``(a, b)``, a > b, between distinct fingerprints ``fp`` that connect all near ones.
 
@@ -158,17 +219,14 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pa
     same groups as all of them. Keys with more than ``part`` fingerprints are cut into parts, and
     rows go to each pair of parts of their key.
     """
+    if not 0 <= radius < min(4, blocks):
+        raise ValueError("the keys of near links cover distances of 0 to 3")
     masks = block_masks(blocks, radius)
     keys = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    large = keys.groupBy("t", "key").count().where(F.col("count") > part).select(F.col("t").alias("_t"), F.col("key").alias("_key"), F.ceil(F.col("count") / part).cast("int").alias("m"))
-    dealt = keys.join(large, (keys["t"] == large["_t"]) & (keys["key"] == large["_key"]), "left")
-    parts = F.coalesce("m", F.lit(1))
-    dealt = dealt.select("fp", "t", "key", F.pmod(F.xxhash64(F.lit(7), "fp"), parts).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
-    dealt = dealt.select("fp", "t", "key", "c", F.least("c", "o").cast("int").alias("lo"), F.greatest("c", "o").cast("int").alias("hi"))
-    dealt = dealt.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "fp")
+    dealt = deal(keys, "fp", part)
 
     def block(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        fp, t, key, c, lo, hi = rows
+        fp, t, key, c, lo, hi = rows  # the order of the columns
         new = np.zeros(len(fp), bool)
         for x in (t, key, lo, hi):
             new[1:] |= x[1:] != x[:-1]
@@ -266,18 +324,27 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents that stay, by ``doc_id, digest, group`` of all of them."""
+    """The documents that stay, by ``doc_id, digest, group`` of all of them.
+
+    Those that go are joined away: they are fewer than those that stay, and where their keys are a
+    small table, Spark sends it to all tasks and shuffles no text.
+    """
     found = groups.groupBy("group", "doc_id", "digest").count()
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "digest", "count")).alias("s")
-    stays = materialize(found.groupBy("group").agg(least).select(F.col("s.doc").alias("_n_doc"), F.col("s.digest").alias("_n_digest"), F.col("s.count").alias("_n")), "simhash-kept")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "digest")).alias("s")
+    stays = found.groupBy("group").agg(least).select(F.col("group").alias("_group"), F.col("s.doc").alias("_doc"), F.col("s.digest").alias("_digest"))
+    placed = found.join(stays, F.col("group") == F.col("_group"))
+    first = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))
+    gone = placed.where(~first | (F.col("count") > 1)).select(F.col("doc_id").alias("_n_doc"), F.col("digest").alias("_n_digest"), first.alias("_n_first"))
+    gone = materialize(gone, "kept-one")
     key = has_name(docs, "_k_digest")
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(stays["_n_doc"]) & (keyed[key] == stays["_n_digest"])
+    on = keyed["doc_id"].eqNullSafe(gone["_n_doc"]) & (keyed[key] == gone["_n_digest"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    repeated = stays.where("_n > 1")
+    rest = keyed.join(gone, on, "left_anti").select(*columns)
+    repeated = gone.where("_n_first")
     if repeated.isEmpty():
-        return keyed.join(stays, on, "left_semi").select(*columns)
+        return rest
     # rows that stand there more than once: one of them, by a digest of all columns
     digest = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     one = keyed.join(repeated, on, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*columns), digest).alias("_whole"))
-    return keyed.join(stays.where("_n = 1"), on, "left_semi").select(*columns).unionByName(one.select("_whole.*"))
+    return rest.unionByName(one.select("_whole.*"))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from symloom.llm import similar as S
@@ -60,7 +62,8 @@ def test_stage_drops_copies_from_four_fifths(spark, planted):
     assert got == kept(rows)
 
 
-def test_large_keys_are_compared_in_rounds(spark, monkeypatch):
+@pytest.mark.parametrize(("part", "sets"), [(4096, 512), (20, 16)])
+def test_large_keys_are_cut(spark, part, sets):
     """Texts that mostly are one common passage: many sets a key, of several groups."""
     rnd = random.Random(8)
     base = [rnd.choices([f"v{i}" for i in range(500)], k=60) for _ in range(2)]
@@ -72,16 +75,63 @@ def test_large_keys_are_compared_in_rounds(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     want = kept(rows)
     assert 2 < len(want) < 100
-    for stars in (0, 1, 6):
-        monkeypatch.setattr(S, "STARS", stars)
-        assert sorted(r["doc_id"] for r in S.drop_similar(spark.createDataFrame(rows, COLUMNS)).collect()) == want
-
-
-def test_prefixes_meet_in_any_order():
-    rng = np.random.default_rng(4)
-    for n in range(1, 60):
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        b = np.sort(a[: -(-4 * n // 5)])
-        common = np.sort(rng.choice(a, n // 2, replace=False))
-        assert S.is_near(a, b)
-        assert set(S.prefix_of(a, common).tolist()) & set(S.prefix_of(b, common).tolist())
+    got = S.similar_groups(spark.createDataFrame(rows, COLUMNS), part=part, sets=sets).collect()
+    least: dict = {}
+    for r in got:
+        least[r["group"]] = min(r["doc_id"], least.get(r["group"], r["doc_id"]))
+    assert sorted(least.values()) == want
+
+
+def changed(rnd, own, n):
+    copy = list(own)
+    for at in rnd.sample(range(len(own)), n):
+        copy[at] = f"c{rnd.random()}"
+    return copy
+
+
+def test_near_sets_meet_and_pass():
+    """Pairs just above the similarity share an anchor and lie within the radius; others do not."""
+    rnd, near, met, far = random.Random(5), 0, 0, 0
+    for i in range(600):
+        own = [f"w{rnd.random()}" for _ in range(rnd.choice([14, 40, 120, 400]))]
+        a = S.shingles_of(" ".join(own))
+        b = S.shingles_of(" ".join(changed(rnd, own, max(1, len(own) // 50))))
+        other = S.shingles_of(" ".join(changed(rnd, own, len(own) // 5)))
+        distance = lambda x, y: sum(int(p ^ q).bit_count() for p, q in zip(S.fingerprint_of(x).tolist(), S.fingerprint_of(y).tolist(), strict=True))
+        if S.is_near(a, b):
+            near += 1
+            met += bool((S.anchors_of(a) == S.anchors_of(b)).any()) and distance(a, b) <= S.RADIUS
+        far += len(own) > 14 and distance(a, other) <= S.RADIUS
+    assert near > 200 and met == near and far < 20
+
+
+@pytest.mark.parametrize("n", [2, 65, 200])
+def test_wide_bit_sliced_comparison(n):
+    rng = np.random.default_rng(n)
+    own = rng.integers(0, 1 << 63, (1, S.LONGS), dtype=np.uint64).repeat(n, axis=0)
+    for i in range(n):
+        for at in rng.integers(0, 64 * S.LONGS, rng.integers(0, 90)).tolist():
+            own[i, at // 64] ^= np.uint64(1 << at % 64)
+    planes = S.BitPlanes(own)
+    for radius in (4, 7, 8, 40, 72, 100, 255):
+        for lag in {1, n // 2, n - 1} - {0}:
+            wanted = rng.random(n - lag) < 0.8
+            want = [i for i in range(n - lag) if wanted[i] and sum(int(x).bit_count() for x in own[i] ^ own[i + lag]) <= radius]
+            assert planes.within(lag, wanted, radius).tolist() == want
+
+
+def test_whole_blocks():
+    rnd = random.Random(1)
+    keys = sorted(rnd.randint(0, 20) for _ in range(500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 7]), pa.array(range(i, min(i + 7, 500)))], names=["k", "i"]) for i in range(0, 500, 7)]
+    got = [t.to_pydict() for t in S.whole_blocks(iter(batches), ["k"], 30, 1 << 30)]
+    assert [i for t in got for i in t["i"]] == list(range(500)) and len(got) > 5
+    assert all(not set(a["k"]) & set(b["k"]) for a, b in pairwise(got))
+
+
+def test_odd_tables(spark, docs, empty):
+    assert S.drop_similar(empty).collect() == []
+    kept_rows = S.drop_similar(docs).collect()
+    assert kept_rows[0].asDict().keys() == docs.first().asDict().keys()
+    sets_of = [sets(r["text"]) for r in kept_rows]
+    assert all(len(a & b) * 5 < len(a | b) * 4 for i, a in enumerate(sets_of) for b in sets_of[:i])

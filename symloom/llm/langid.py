@@ -2,7 +2,8 @@
 
 A text's vector is the mean of the embeddings of its words' hashed character n-grams; a linear
 layer and a softmax give the languages' chances. Embeddings and layer are trained together by
-stochastic gradient descent on a bounded sample of labelled documents. A temperature fitted on
+stochastic gradient descent on a bounded sample of labelled documents; a parameter's steps shrink
+with the gradients it has had, so that neither frequent nor rare subwords run away. A temperature fitted on
 held-back rows calibrates the chances, and a threshold from the same rows rejects what none of
 the languages explains. As everything after the embeddings is linear, a word is worth one row of
 sums, which is what predictions add up.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled documents of each language that a model is trained on, about, by a hash of doc_id.
-PER_LANG = 400
+PER_LANG = 150
 BUCKETS = 1 << 15
 DIM = 16
 UNKNOWN = "und"
@@ -59,7 +60,7 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 6, rate: float = 0.4, batch: int = 16) -> LanguageModel | None:
+def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 4, rate: float = 0.1, batch: int = 16) -> LanguageModel | None:
     """A model of (text, lang) rows; None without any usable row.
 
     All words of a row are learned from, in windows. Every fifth row calibrates, as a whole text,
@@ -82,6 +83,8 @@ def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 6, rate:
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((len(langs), DIM), np.float32), np.zeros(len(langs), np.float32)
+    # sums of squared gradients: of each bucket's row, of the layer and the bias
+    seen, seen_layer, seen_bias = np.full(BUCKETS, 1e-10, np.float32), np.full_like(layer, 1e-6), np.full_like(bias, 1e-6)
     done, total = 0, epochs * len(fit)
     for _ in range(epochs):
         order = rng.permutation(len(fit))
@@ -95,14 +98,21 @@ def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 6, rate:
             z = np.exp(z - z.max(axis=1, keepdims=True))
             error = z / z.sum(axis=1, keepdims=True)
             error[np.arange(len(rows)), [r[1] for r in rows]] -= 1
+            error /= len(rows)
             step = np.float32(rate * (1 - done / total))
-            back = error @ layer / sizes[:, None].astype(np.float32)
-            layer -= step * error.T @ hidden
-            bias -= step * error.sum(axis=0) / batch
+            back = (error @ layer / sizes[:, None]).astype(np.float32)
+            slope, shift = error.T @ hidden, error.sum(axis=0)
+            seen_layer += slope**2
+            seen_bias += shift**2
+            layer -= step * slope / np.sqrt(seen_layer)
+            bias -= step * shift / np.sqrt(seen_bias)
             sort = np.argsort(ids, kind="stable")
             unique, first = np.unique(ids[sort], return_index=True)
-            emb[unique] -= step * sizes.mean() * np.add.reduceat(np.repeat(back, sizes, axis=0)[sort], first, axis=0) / 4
+            slopes = np.add.reduceat(np.repeat(back, sizes, axis=0)[sort], first, axis=0)
+            seen[unique] += (slopes**2).mean(axis=1)
+            emb[unique] -= step * slopes / np.sqrt(seen[unique])[:, None]
             done += len(rows)
+    emb[seen <= np.float32(1e-10)] = 0  # subwords that no row has speak for no language
     model = LanguageModel(langs, emb @ layer.T, bias.astype(np.float64), 1.0, 0.0)
     check = held or [(np.concatenate([ids for ids, _ in fit[a:b]]), y) for a, b, y in whole]
     sums = np.array([model.rows[ids].sum(axis=0) for ids, _ in check], np.float64)
@@ -112,7 +122,8 @@ def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 6, rate:
         model.temperature = t
         return float(-np.log(np.maximum(model.chances(sums, n)[np.arange(len(y)), y], 1e-12)).mean())
 
-    model.temperature = min(np.geomspace(0.05, 4, 40).tolist(), key=loss)
+    # rows that are all told apart would ask for ever sharper chances
+    model.temperature = min(np.geomspace(0.25, 8, 40).tolist(), key=loss)
     best = model.chances(sums, n).max(axis=1)
     # nearly all known text has to pass, and all that is a third of the way from a guess (one of
     # the languages has at least that chance) to certainty; with four languages that is one half

@@ -88,3 +88,15 @@ def test_two_languages_can_reject():
     assert model.threshold > 0.5 and (pure >= model.threshold).all()
     blank = model.chances(-model.bias[None, :] * 10, np.array([10])).max()
     assert blank < model.threshold
+
+
+def test_training_stays_finite_on_the_given_tables(spark):
+    """All languages of a given table, held-out rows; steps must not run away on long texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    with np.errstate(all="raise", under="ignore"):
+        model = train(sample(docs))
+    assert np.isfinite(model.rows).all() and np.isfinite(model.bias).all() and 0 < model.threshold < 1
+    rows = identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    hits = [r["lang"] == r["lang_pred"] for r in rows]
+    assert len(hits) > 40 and np.mean(hits) > 0.95
+    assert np.mean([r["rejected"] for r in rows]) < 0.02

@@ -48,6 +48,18 @@ SCOPES = f"""
     UNION ALL SELECT path, 'scope_1', 1, 'function', 5, least(30, z), 'scope_0' FROM ({_SPAN}) s
     UNION ALL SELECT path, 'scope_2', 2, 'block', 8, least(20, z), 'scope_1' FROM ({_SPAN}) s
     UNION ALL SELECT path, 'scope_3', 3, CASE WHEN z % 2 = 0 THEN 'arrow' ELSE 'class' END, 40, least(160, z), 'scope_0' FROM ({_SPAN}) s"""
+#: Smaller scopes, in which names differ: every four lines are two functions, one with a block.
+FINE_BINDINGS = f"""
+    SELECT path, CASE WHEN scope_id = 'scope_0' THEN scope_id ELSE scope_id || '_' || CAST(CAST(floor(line / 4) AS INT) AS STRING) END AS scope_id,
+        binding_seq, name, line, col, binding_type, quantity FROM ({BINDINGS}) b"""
+_CUT = f"""
+    SELECT path, CAST(CAST(floor(line / 4) AS INT) AS STRING) AS k, CAST(floor(line / 4) AS INT) % 2 AS odd, min(line) AS start_row, max(line) AS end_row
+    FROM ({LINES}) l GROUP BY path, CAST(floor(line / 4) AS INT)"""
+FINE_SCOPES = f"""
+    SELECT path, 'scope_0' AS scope_id, 'program' AS scope_type, 0 AS start_row, z AS end_row, CAST(NULL AS STRING) AS parent_id FROM ({_SPAN}) s
+    UNION ALL SELECT path, 'scope_1_' || k, 'function', start_row, end_row, 'scope_0' FROM ({_CUT}) c
+    UNION ALL SELECT path, 'scope_2_' || k, 'block', start_row, end_row, 'scope_1_' || k FROM ({_CUT}) c
+    UNION ALL SELECT path, 'scope_3_' || k, CASE WHEN odd = 0 THEN 'arrow' ELSE 'class' END, start_row, end_row, 'scope_0' FROM ({_CUT}) c"""
 #: Scopes that nest deeper: a customer's orders by date, each below the one of half its number.
 TREE = """
     SELECT 'c' || CAST(o_custkey AS STRING) AS path, 's' || CAST(n AS STRING) AS scope_id, CASE WHEN n > 1 THEN 's' || CAST(floor(n / 2) AS INT) END AS parent_id,
@@ -107,6 +119,14 @@ class Tables:
         children = F.when(F.col("scope_id") == "scope_0", F.array(F.lit("scope_1"), F.lit("scope_3"))).when(F.col("scope_id") == "scope_1", F.array(F.lit("scope_2"))).otherwise(F.array().cast("array<string>"))
         return self.table("scopes", SCOPES).withColumn("children", children).withColumn("start_col", F.lit(0)).withColumn("end_col", F.lit(1))
 
+    def fine_bindings(self) -> DataFrame:
+        return self.table("fine_bindings", FINE_BINDINGS).withColumnRenamed("col", "column")
+
+    def fine_scopes(self) -> DataFrame:
+        rows = self.table("fine_scopes", FINE_SCOPES)
+        inner = rows.groupBy("path", F.col("parent_id").alias("scope_id")).agg(F.array_sort(F.collect_list("scope_id")).alias("children"))
+        return rows.join(inner.where("scope_id is not null"), ["path", "scope_id"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+
     def tree(self) -> DataFrame:
         return self.sql(TREE)
 

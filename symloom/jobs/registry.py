@@ -124,13 +124,22 @@ def read_parse_json_bindings(t: Tables) -> DataFrame:
     return got.select("path", "scope_id", (F.col("binding_seq") % 1000000).alias("place"), "name", "line", F.col("column").alias("col"), F.col("end_column").alias("end_col"), "binding_type")
 
 
-@query(f"SELECT path, regexp_replace(path, '([^/])([.][^./]*)?$', '\\1.deobfuscated.js') AS beside, 'out/' || CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE list_last(string_split(path, '/')) END AS mirrored FROM (SELECT {_PATHS} AS path FROM {{orders}}) p WHERE o_ok".replace(" WHERE o_ok", ""))
+_TARGETS = """SELECT path, regexp_replace(path, '([^/])([.][^./]*)?$', '\\1.deobfuscated.js') AS beside,
+    'out/' || CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE list_last(string_split(path, '/')) END AS mirrored"""
+
+
+@query(f"""SELECT path, beside, mirrored, CAST(length(list_last(string_split(path, '/'))) + 3 AS BIGINT) AS n_chars
+    FROM ({_TARGETS} FROM (SELECT DISTINCT {_PATHS} AS path FROM {{orders}}) p) t""")
 def write_sources(t: Tables) -> DataFrame:
-    rows = t.sql(f"SELECT {_PATHS} AS path FROM {{orders}}").withColumn("source", F.lit("x"))
-    folder = f"{shared_dir(t.spark)}/written-{uuid.uuid4().hex}"
-    S.write_sources(rows, folder)
-    back = t.spark.read.parquet(folder)
-    return back.select("path", S.output_path(F.col("path")).alias("beside"), S.output_path(F.col("path"), F.lit("src"), F.lit("out")).alias("mirrored"))
+    """Files under their names, read back: what stands in each is its own name and a line."""
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = t.sql(f"SELECT DISTINCT {_PATHS} AS path FROM {{orders}}").withColumn("source", F.concat(name, F.lit("\n//")))
+    out = f"{shared_dir(t.spark)}/written-{uuid.uuid4().hex}"
+    mirrored = S.output_path(F.col("path"), F.lit("src"), F.lit("out"))
+    S.write_sources(rows.select(F.concat(F.lit(f"{out}/"), mirrored).alias("path"), "source"))
+    back = S.read_sources(t.spark, out, "*").select(F.substring_index("path", f"{out.rsplit('/', 1)[1]}/", -1).alias("mirrored"), F.length("source").cast("long").alias("n_chars"))
+    placed = rows.select("path", S.output_path(F.col("path")).alias("beside"), mirrored.alias("mirrored"))
+    return placed.join(back, "mirrored").select("path", "beside", "mirrored", "n_chars")
 
 
 # Extraction from lines
@@ -163,10 +172,12 @@ def program_scopes(t: Tables) -> DataFrame:
     return S.program_scopes(S.explode_lines(t.documents_as_sources())).select("path", "scope_id", "end_row", "end_col")
 
 
-_WORDS = f"SELECT DISTINCT path, name FROM ({I.BINDINGS}) b WHERE binding_seq % 4 = 0"
+# of a run of name letters and dots only what stands before the first dot is no member
+_TOKENS = f"SELECT DISTINCT path, line, split_part(run, '.', 1) AS name FROM (SELECT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_$.]+')) AS run FROM ({I.LINES}) l) u"
+_WORDS = f"SELECT DISTINCT path, name FROM ({I.BINDINGS}) b"
 
 
-@query(f"SELECT DISTINCT l.path, n.name, l.line FROM ({I.LINES}) l JOIN ({_WORDS}) n ON l.path = n.path WHERE regexp_matches(l.text, '(^|[^A-Za-z0-9_$.])' || n.name || '($|[^A-Za-z0-9_$])')")
+@query(f"SELECT t.path, t.name, t.line FROM ({_TOKENS}) t JOIN ({_WORDS}) n ON t.path = n.path AND t.name = n.name")
 def occurrence_lines(t: Tables) -> DataFrame:
     return E.occurrences(t.lines(), t.bindings())
 
@@ -395,33 +406,27 @@ def scope_boundary(t: Tables) -> DataFrame:
     return B.scope_boundaries(t.tree())
 
 
-_MERGED = f"""SELECT f.path, f.scope_id, CASE WHEN f.scope_id IN ('scope_1', 'scope_2') THEN 'scope_1' ELSE f.scope_id END AS boundary_id, f.binding_seq, f.name, f.line, f.col, f.binding_type FROM ({FLAGGED}) f
-    JOIN ({I.SCOPES}) s ON s.path = f.path AND s.scope_id = f.scope_id WHERE f.scope_id IN ('scope_1', 'scope_2') OR (f.scope_id = 'scope_3' AND s.scope_type = 'arrow')"""
-_MERGED = f"SELECT path, boundary_id, scope_id, name, line, col, min(binding_seq) AS binding_seq FROM ({_MERGED}) m GROUP BY path, boundary_id, scope_id, name, line, col"
+FINE = f"SELECT path, scope_id, binding_seq, name, line, col, binding_type FROM ({I.FINE_BINDINGS}) b WHERE {flagged_sql('name')}"
+_BOUNDED = "s.scope_type IN ('function', 'arrow', 'method', 'class')"
+_OWNED = f"""
+    SELECT f.*, CASE WHEN {_BOUNDED} THEN s.scope_id ELSE s.parent_id END AS boundary_id
+    FROM ({FINE}) f JOIN ({I.FINE_SCOPES}) s ON s.path = f.path AND s.scope_id = f.scope_id"""
+_MERGED = f"""
+    SELECT path, boundary_id, scope_id, name, line, col, min(binding_seq) AS binding_seq, min_by(binding_type, binding_seq) AS binding_type
+    FROM ({_OWNED}) m GROUP BY path, boundary_id, scope_id, name, line, col"""
 
 
 def _merge_sql(most: int, chars: int, lines: int) -> str:
-    small = _small_sql(chars, lines, "('function', 'arrow')")
-    return f"SELECT m.path, m.boundary_id, m.scope_id, m.name, m.line, m.col FROM ({_MERGED}) m JOIN ({small}) z ON z.path = m.path AND z.scope_id = m.boundary_id JOIN (SELECT path, boundary_id FROM ({_MERGED}) m GROUP BY path, boundary_id HAVING count(*) BETWEEN 2 AND {most} AND count(*) = count(DISTINCT name)) g ON g.path = m.path AND g.boundary_id = m.boundary_id"
-
-
-# names in the derived scopes repeat, so a thinned table shows merges
-def _thin(sql: str) -> str:
-    return sql.replace(f"({I.BINDINGS}) b WHERE {flagged_sql('name')}", f"({I.BINDINGS}) b WHERE k_ok AND {flagged_sql('name')}").replace("k_ok", "(scope_id = 'scope_0' OR binding_seq % 23 = 0)")
+    small = _small_sql(chars, lines, "('function', 'arrow')").replace(I.SCOPES, I.FINE_SCOPES)
+    good = f"SELECT path, boundary_id FROM ({_MERGED}) m GROUP BY path, boundary_id HAVING count(*) BETWEEN 2 AND {most} AND count(*) = count(DISTINCT name)"
+    return f"""
+        SELECT m.* FROM ({_MERGED}) m JOIN ({small}) z ON z.path = m.path AND z.scope_id = m.boundary_id
+        JOIN ({good}) g ON g.path = m.path AND g.boundary_id = m.boundary_id"""
 
 
-_CUT = f"SELECT path, CAST(floor(line / 4) AS INT) AS k, min(line) AS start_row, max(line) AS end_row FROM ({I.LINES}) l GROUP BY path, CAST(floor(line / 4) AS INT)"
-_RANGES = f"""SELECT path, 'scope_1_' || CAST(k AS STRING) AS scope_id, 'function' AS scope_type, start_row, end_row, 'scope_0' AS parent_id FROM ({_CUT}) c
-    UNION ALL SELECT path, 'scope_2_' || CAST(k AS STRING), 'block', start_row, end_row, 'scope_1_' || CAST(k AS STRING) FROM ({_CUT}) c
-    UNION ALL SELECT path, 'scope_3_' || CAST(k AS STRING), CASE WHEN k % 2 = 0 THEN 'arrow' ELSE 'class' END, start_row, end_row, 'scope_0' FROM ({_CUT}) c"""
-
-
-@query(_thin(_merge_sql(50, 2000, 200)))
+@query(f"SELECT path, boundary_id, scope_id, name, line, col FROM ({_merge_sql(50, 2000, 200)}) m")
 def local_scope_merge(t: Tables) -> DataFrame:
-    # names in the derived scopes repeat: each is cut into scopes of four lines, with all its rows
-    at = F.concat(F.lit("_"), F.floor(F.col("line") / 4).cast("string"))
-    ids = B.flagged(t.bindings().withColumn("scope_id", F.when(F.col("scope_id") == "scope_0", "scope_0").otherwise(F.concat("scope_id", at))))
-    got = B.local_merges(ids, t.sql(_RANGES), t.lines(), 50, 2000, 200)
+    got = B.local_merges(B.flagged(t.fine_bindings()), t.fine_scopes(), t.lines(), 50, 2000, 200)
     return got.select("path", "boundary_id", "scope_id", "name", "line", F.col("column").alias("col"))
 
 
@@ -481,19 +486,47 @@ def batch_order(t: Tables) -> DataFrame:
     return B.order_batches(rows).select("path", "batch_id", "batch_seq")
 
 
-def _batches(t: Tables, size: int = 20) -> DataFrame:
-    return materialize(B.analyze(t.bindings(), t.scopes(), t.lines(), max_symbols=size), "batches")
-
-
-@query()
+_BATCH = 20  # names of a batch in the queries below
+_FINE_FUNCTIONS = _small_sql(600, 20, "('function', 'arrow')").replace(I.SCOPES, I.FINE_SCOPES)
+_FINE_OK = f"""
+    SELECT path, binding_seq FROM ({VAR_OK}) v UNION ALL
+    SELECT DISTINCT i.path, i.binding_seq FROM ({TOP} AND binding_type = 'function') i JOIN ({I.FINE_SCOPES}) s ON s.path = i.path AND s.start_row = i.line
+    JOIN ({_FINE_FUNCTIONS}) z ON z.path = s.path AND z.scope_id = s.scope_id"""
+_REST = f"""
+    SELECT f.* FROM ({FINE}) f LEFT JOIN (SELECT DISTINCT path, scope_id FROM ({_merge_sql(_BATCH, 1200, 40)}) m) g
+    ON g.path = f.path AND g.scope_id = f.scope_id WHERE g.path IS NULL"""
+_PROGRAM = f"""
+    SELECT path, scope_id, CASE WHEN ok THEN 'scope_0_program_batch_' || CAST((r - 1) // 10 AS VARCHAR) ELSE 'scope_0_program_ineligible_single_' || CAST(r - 1 AS VARCHAR) END AS batch_id,
+        binding_seq, name, line, col, binding_type
+    FROM (SELECT t.*, o.path IS NOT NULL AS ok, row_number() OVER (PARTITION BY t.path, o.path IS NOT NULL ORDER BY t.binding_seq) AS r
+        FROM (SELECT * FROM ({_REST}) x WHERE scope_id = 'scope_0') t LEFT JOIN ({_FINE_OK}) o ON o.path = t.path AND o.binding_seq = t.binding_seq) q"""
+_OTHERS = f"""
+    SELECT path, scope_id, CASE WHEN n > {_BATCH} THEN scope_id || '_chunk_' || CAST((r - 1) // {_BATCH} AS VARCHAR) ELSE scope_id END AS batch_id, binding_seq, name, line, col, binding_type
+    FROM (SELECT *, row_number() OVER (PARTITION BY path, scope_id ORDER BY binding_seq) AS r, count(*) OVER (PARTITION BY path, scope_id) AS n FROM ({_REST}) x WHERE scope_id <> 'scope_0') q"""
+_LABELLED = f"""
+    SELECT *, binding_seq AS a, 0 AS b, '' AS c FROM ({_PROGRAM}) p UNION ALL SELECT *, binding_seq, 0, '' FROM ({_OTHERS}) o
+    UNION ALL SELECT path, boundary_id, boundary_id || '_local_merge', binding_seq, name, line, col, binding_type, line, col, name FROM ({_merge_sql(_BATCH, 1200, 40)}) m"""
+#: Every identifier of every batch, with its place in the batch and the batch's place in the file.
+BATCHES = f"""
+    SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY greatest(end_row - start_row + 1, 1), n, start_row, batch_id) AS batch_seq FROM (
+        SELECT l.*, s.scope_type, s.start_row, s.end_row, count(*) OVER (PARTITION BY l.path, l.batch_id) AS n,
+            row_number() OVER (PARTITION BY l.path, l.batch_id ORDER BY a, b, c, binding_seq) - 1 AS place
+        FROM ({_LABELLED}) l JOIN ({I.FINE_SCOPES}) s ON s.path = l.path AND s.scope_id = l.scope_id) x"""
+
+
+def _batches(t: Tables) -> DataFrame:
+    return materialize(B.analyze(t.fine_bindings(), t.fine_scopes(), t.lines(), max_symbols=_BATCH), "batches")
+
+
+@query(f"SELECT path, batch_id, CAST(min(batch_seq) AS INT) AS batch_seq, CAST(min(n) AS INT) AS n_identifiers, string_agg(name, ',' ORDER BY place) AS names FROM ({BATCHES}) b GROUP BY path, batch_id")
 def analyze(t: Tables) -> DataFrame:
     got = _batches(t)
     return got.select("path", "batch_id", "batch_seq", "n_identifiers", F.array_join(F.transform("identifiers", lambda i: i["name"]), ",").alias("names"))
 
 
-@query(f"SELECT path, name, line + 1 AS line, binding_type, count(*) AS n FROM ({FLAGGED}) f GROUP BY path, name, line, binding_type")
+@query(f"SELECT path, CAST(batch_seq AS INT) AS batch_seq, batch_id, scope_type, start_row + 1 AS first_line, end_row + 1 AS last_line, name, line + 1 AS line, binding_type FROM ({BATCHES}) b")
 def scope_listing(t: Tables) -> DataFrame:
-    return B.scope_report(_batches(t)).groupBy("path", "name", "line", "binding_type").agg(F.count("*").alias("n"))
+    return B.scope_report(_batches(t))
 
 
 # Context
@@ -545,9 +578,9 @@ def request_large_scope(t: Tables) -> DataFrame:
     return K.large_scope_context(_chunks(t), t.lines(), 60)
 
 
-_SYMBOLS = f"SELECT DISTINCT path, name, line FROM ({TOP} AND binding_seq % 5 = 0) s"
+_SYMBOLS = f"SELECT DISTINCT path, name, line FROM ({TOP}) s"
 _OWN_REFS = f"SELECT path, name, line, refs FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY binding_seq) AS r FROM ({_BOUND}) q) z WHERE r = 1"
-_SEEN = f"SELECT s.path, s.name, s.line, l.line AS ref_line FROM ({_SYMBOLS}) s JOIN ({I.LINES}) l ON l.path = s.path AND l.line <> s.line AND regexp_matches(l.text, '(^|[^A-Za-z0-9_$.])' || s.name || '($|[^A-Za-z0-9_$])')"
+_SEEN = f"SELECT s.path, s.name, s.line, t.line AS ref_line FROM ({_SYMBOLS}) s JOIN ({_TOKENS}) t ON t.path = s.path AND t.name = s.name AND t.line <> s.line"
 _PLACED = f"""SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY ref_line) AS place FROM (
     SELECT s.path, s.name, s.line, unnest(list_filter(o.refs, lambda x: x <> s.line)) AS ref_line FROM ({_SYMBOLS}) s JOIN ({_OWN_REFS}) o ON o.path = s.path AND o.name = s.name AND o.line = s.line WHERE o.refs IS NOT NULL
     UNION ALL SELECT e.* FROM ({_SEEN}) e JOIN ({_OWN_REFS}) o ON o.path = e.path AND o.name = e.name AND o.line = e.line WHERE o.refs IS NULL) u"""
@@ -555,9 +588,17 @@ _GLOBAL_LINES = f"""SELECT w.path, w.name, w.line, l.line AS a_t, min(struct_pac
     JOIN ({I.LINES}) l ON l.path = w.path AND l.line BETWEEN w.center - w.r AND w.center + w.r GROUP BY w.path, w.name, w.line, l.line"""
 
 
-@query(f"""SELECT g.path, g.name, g.line, 'Global symbol: ' || g.name || chr(10) || 'Declaration line: ' || CAST(g.line + 1 AS VARCHAR) || chr(10) || 'Reference lines: ' || coalesce(p.refs, 'none') || chr(10) || g.block AS context
-    FROM (SELECT path, name, line, string_agg(lpad(CAST(a_t + 1 AS VARCHAR), 6, ' ') || ' | ' || text, chr(10) ORDER BY a_t) AS block FROM (SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY turn) AS n FROM ({_GLOBAL_LINES}) q) z WHERE n <= 40 GROUP BY path, name, line) g
-    LEFT JOIN (SELECT path, name, line, string_agg(CAST(ref_line + 1 AS VARCHAR), ', ' ORDER BY ref_line) AS refs FROM ({_PLACED}) p WHERE place <= 10 GROUP BY path, name, line) p ON p.path = g.path AND p.name = g.name AND p.line = g.line""")
+def _global_sql(most: int) -> str:
+    kept = f"SELECT *, row_number() OVER (PARTITION BY path, name, line ORDER BY turn) AS n FROM ({_GLOBAL_LINES}) q"
+    blocks = f"SELECT path, name, line, string_agg(lpad(CAST(a_t + 1 AS VARCHAR), 6, ' ') || ' | ' || text, chr(10) ORDER BY a_t) AS block FROM ({kept}) z WHERE n <= {most} GROUP BY path, name, line"
+    refs = f"SELECT path, name, line, string_agg(CAST(ref_line + 1 AS VARCHAR), ', ' ORDER BY ref_line) AS refs FROM ({_PLACED}) p WHERE place <= 10 GROUP BY path, name, line"
+    return f"""
+        SELECT g.path, g.name, g.line, 'Global symbol: ' || g.name || chr(10) || 'Declaration line: ' || CAST(g.line + 1 AS VARCHAR) || chr(10)
+            || 'Reference lines: ' || coalesce(p.refs, 'none') || chr(10) || g.block AS context
+        FROM ({blocks}) g LEFT JOIN ({refs}) p ON p.path = g.path AND p.name = g.name AND p.line = g.line"""
+
+
+@query(_global_sql(40))
 def global_symbol_context(t: Tables) -> DataFrame:
     symbols, bindings = _symbols(t)
     return K.global_context(symbols, bindings, t.lines(), 40)
@@ -586,7 +627,26 @@ def global_reference_preview(t: Tables) -> DataFrame:
     return K.reference_preview(symbols, bindings, t.lines()).select("path", "name", "line", "declaration_text", F.array_join("reference_texts", "|").alias("refs"))
 
 
-@query()
+_HEADS = f"SELECT b.*, e.z + 1 AS n_lines FROM ({BATCHES}) b JOIN (SELECT path, max(line) AS z FROM ({I.LINES}) l GROUP BY path) e ON e.path = b.path"
+_ALONE = "scope_type = 'program' AND n = 1"
+_WINDOW = f"""
+    SELECT path, batch_id, unnest(range({_A}, {_Z})) AS line FROM (SELECT DISTINCT path, batch_id, start_row, end_row, n_lines FROM ({_HEADS}) h WHERE NOT ({_ALONE}) AND end_row - start_row + 1 <= 100) w
+    UNION ALL SELECT path, batch_id, line FROM (SELECT *, row_number() OVER (PARTITION BY path, batch_id ORDER BY line) AS r FROM (
+        SELECT DISTINCT path, batch_id, unnest(range(greatest(line - 20, 0), least(line + 20, n_lines))) AS line FROM ({_HEADS}) h WHERE NOT ({_ALONE}) AND end_row - start_row + 1 > 100) x) y WHERE r <= 100"""
+_CONTEXTS = f"""
+    SELECT w.path, w.batch_id, string_agg({_shown()}, chr(10) ORDER BY l.line) AS context FROM ({_WINDOW}) w JOIN ({I.LINES}) l ON l.path = w.path AND l.line = w.line GROUP BY w.path, w.batch_id
+    UNION ALL SELECT b.path, b.batch_id, g.context FROM (SELECT * FROM ({BATCHES}) b WHERE {_ALONE}) b JOIN ({_global_sql(100)}) g ON g.path = b.path AND g.name = b.name AND g.line = b.line"""
+_ASKED = f"SELECT path, batch_id, scope_type, name, min(place) AS place FROM ({BATCHES}) b GROUP BY path, batch_id, scope_type, name"
+
+
+def _once(sql: str) -> str:
+    """The SQL with the batches computed once."""
+    return f"WITH bat AS MATERIALIZED ({BATCHES}) " + sql.replace(f"({BATCHES})", "bat")
+
+
+@query(_once(f"""SELECT q.path, q.batch_id, q.scope_type, q.symbols, CAST(length(c.t) AS INT) AS n_context, sha256(c.t) AS context_digest, CAST(q.k AS INT) AS n_snippets
+    FROM (SELECT path, batch_id, scope_type, string_agg(name, ',' ORDER BY place) AS symbols, count(*) AS k FROM ({_ASKED}) a GROUP BY path, batch_id, scope_type) q
+    JOIN (SELECT path, batch_id, {_middle('context', '4000')} AS t FROM ({_CONTEXTS}) x) c ON c.path = q.path AND c.batch_id = q.batch_id"""))
 def build_requests(t: Tables) -> DataFrame:
     got = K.build_requests(_batches(t), t.lines(), _referred(t), max_lines=100, max_size=4000)
     return got.select("path", "batch_id", "scope_type", F.array_join("symbols", ",").alias("symbols"), F.length("context").alias("n_context"), F.sha2("context", 256).alias("context_digest"), F.size("snippets").alias("n_snippets"))
@@ -604,18 +664,43 @@ def select_round(t: Tables) -> DataFrame:
     return got.select("path", "batch_id", F.array_join(F.transform("identifiers", lambda i: i["name"]), ",").alias("names"), "round_place")
 
 
-_APPLY = f"SELECT path, line, text, regexp_extract(text, '^var ([A-Za-z0-9_$]+)', 1) AS name FROM ({I.LINES}) l"
 _PLAIN = f"SELECT path, rename_key AS name, max_by(new_name, seq) AS new_name FROM ({I.RENAMES}) r WHERE NOT contains(rename_key, ':') GROUP BY path, rename_key"
 _BY_LINE = f"SELECT path, split_part(rename_key, ':', 1) AS name, CAST(split_part(rename_key, ':', 2) AS INT) - 1 AS line, max_by(new_name, seq) AS new_name FROM ({I.RENAMES}) r WHERE contains(rename_key, ':') GROUP BY path, rename_key"
-
-
-@query(f"SELECT a.path, a.line, CASE WHEN a.name <> '' AND coalesce(k.new_name, p.new_name) IS NOT NULL THEN 'var ' || coalesce(k.new_name, p.new_name) || substr(a.text, 5 + length(a.name)) ELSE a.text END AS text FROM ({_APPLY}) a LEFT JOIN ({_PLAIN}) p ON p.path = a.path AND p.name = a.name LEFT JOIN ({_BY_LINE}) k ON k.path = a.path AND k.name = a.name AND k.line = a.line")
+# every line declares at most one name, in the innermost scope around it; the other names refer
+_INNER = "CASE WHEN line BETWEEN 8 AND 20 THEN 'scope_2' WHEN line BETWEEN 5 AND 30 THEN 'scope_1' WHEN line BETWEEN 40 AND 160 THEN 'scope_3' ELSE 'scope_0' END"
+_FIRST = f"SELECT path, line, text, regexp_extract(text, '^(var|function|  return) ([A-Za-z0-9_$]+)', 2) AS name, text[1] AS kind FROM ({I.LINES}) l"
+_NO_WORD = f"name NOT IN {_in(N.RESERVED)}"  # words of the language are no names
+_DECLARED = f"SELECT path, line, name, {_INNER} AS scope_id FROM ({_FIRST}) f WHERE kind <> ' ' AND {_NO_WORD}"
+_GIVEN = f"""
+    SELECT d.*, coalesce(k.new_name, p.new_name) AS new_name FROM ({_DECLARED}) d LEFT JOIN ({_PLAIN}) p ON p.path = d.path AND p.name = d.name
+    LEFT JOIN ({_BY_LINE}) k ON k.path = d.path AND k.name = d.name AND k.line = d.line"""
+_REFERRED = f"""
+    SELECT path, line, name FROM ({_FIRST}) f WHERE kind = ' ' AND {_NO_WORD} UNION SELECT path, line, 'x' FROM ({_FIRST}) f WHERE kind = ' '
+    UNION SELECT path, line, 'a' FROM ({_FIRST}) f WHERE kind <> 'v' UNION SELECT path, line, 'b' FROM ({_FIRST}) f WHERE kind = 'f'"""
+_SCOPE_NEWS = f"SELECT path, scope_id, name, max_by(new_name, line) AS new_name FROM ({_GIVEN}) g GROUP BY path, scope_id, name"
+_AROUND_SCOPES = f"SELECT path, scope_id, scope_seq, start_row, end_row FROM ({I.SCOPES}) s"
+# a reference's scope: of those around it that declare its name the innermost; undeclared: the file's entry
+_BOUND_TO = f"""
+    SELECT r.path, r.line, r.name, max_by(struct_pack(new_name := n.new_name), s.scope_seq) AS n FROM ({_REFERRED}) r JOIN ({_SCOPE_NEWS}) n ON n.path = r.path AND n.name = r.name
+    JOIN ({_AROUND_SCOPES}) s ON s.path = n.path AND s.scope_id = n.scope_id AND r.line BETWEEN s.start_row AND s.end_row GROUP BY r.path, r.line, r.name"""
+_NEW = f"""
+    SELECT r.path, r.line, r.name, coalesce(CASE WHEN b.path IS NOT NULL THEN b.n.new_name ELSE p.new_name END, r.name) AS new_name
+    FROM ({_REFERRED}) r LEFT JOIN ({_BOUND_TO}) b ON b.path = r.path AND b.line = r.line AND b.name = r.name LEFT JOIN ({_PLAIN}) p ON p.path = r.path AND p.name = r.name"""
+
+
+@query(f"""SELECT f.path, f.line, CASE f.kind WHEN 'v' THEN 'var ' || coalesce(g.new_name, f.name) || substr(f.text, 5 + length(f.name))
+        WHEN 'f' THEN 'function ' || coalesce(g.new_name, f.name) || '(' || a.new_name || ', ' || b.new_name || ') {{{{'
+        ELSE '  return ' || coalesce(n.new_name, f.name) || ' + ' || x.new_name || '.' || f.name || ' * ' || a.new_name || ';' END AS text
+    FROM ({_FIRST}) f LEFT JOIN ({_GIVEN}) g ON g.path = f.path AND g.line = f.line LEFT JOIN ({_NEW}) a ON a.path = f.path AND a.line = f.line AND a.name = 'a'
+    LEFT JOIN ({_NEW}) b ON b.path = f.path AND b.line = f.line AND b.name = 'b' LEFT JOIN ({_NEW}) x ON x.path = f.path AND x.line = f.line AND x.name = 'x'
+    LEFT JOIN ({_NEW}) n ON n.path = f.path AND n.line = f.line AND n.name = f.name""")
 def apply_renames(t: Tables) -> DataFrame:
-    merged = A.merge_renames(t.renames())
-    key = N.parse_rename_key(F.col("key"))
-    renames = merged.select("path", F.coalesce(key["name"], F.col("key")).alias("symbol"), key["line"].cast("int").alias("line"), "new_name")
-    tokens = E.extract_bindings(t.lines(), ("variable",)).select("path", "line", "column", "name", F.col("line").alias("decl_line"))
-    return K.apply_renames(t.lines(), tokens, renames)
+    from symloom.jobs.rounds import split_keys
+
+    inner = F.when(F.col("line").between(8, 20), "scope_2").when(F.col("line").between(5, 30), "scope_1").when(F.col("line").between(40, 160), "scope_3").otherwise("scope_0")
+    bindings = E.extract_bindings(t.lines()).withColumn("scope_id", inner)
+    tokens = E.tokens(t.lines(), t.scopes().withColumn("end_col", F.lit(10000)), bindings)
+    return K.apply_renames(t.lines(), tokens, split_keys(A.merge_renames(t.renames())))
 
 
 # Answers and conflicts
@@ -657,7 +742,48 @@ def symbols_of_keys(t: Tables) -> DataFrame:
     return A.symbols_of_keys(t.renames())
 
 
-@query()
+def _conflicts_sql(rows: str, by: str, bindings: str = I.BINDINGS) -> str:
+    """Names given in key order within each group of ``by`` and scope; ``rows`` has ``path, seq,
+    rename_key, symbol, at, new_name`` and the columns of ``by``; ``at`` is the line from 0."""
+    group = f"{by}, scope_id"
+    same = lambda x, y, columns=group: " AND ".join(f"{x}.{c.strip()} = {y}.{c.strip()}" for c in columns.split(","))
+    columns = ", ".join(f"{{}}.{c.strip()}" for c in group.split(","))
+    return f"""
+        WITH RECURSIVE named AS MATERIALIZED (SELECT path, scope_id, name, line, binding_seq FROM ({bindings}) b),
+        homes AS (SELECT path, name, line, coalesce(max_by(scope_id, binding_seq), '') AS scope_id FROM named GROUP BY path, name, line),
+        placed AS MATERIALIZED (SELECT r.*, nullif(h.scope_id, '') AS scope_id FROM ({rows}) r LEFT JOIN homes h ON h.path = r.path AND h.name = r.symbol AND h.line = r.at),
+        held AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY seq, rename_key) AS k FROM placed WHERE scope_id IS NOT NULL),
+        leaving AS (SELECT DISTINCT {group}, symbol AS name FROM held),
+        groups AS (SELECT DISTINCT {group} FROM held),
+        stays AS (SELECT {columns.replace("{}", "g")}, list(n.name) FILTER (n.name IS NOT NULL AND l.name IS NULL) AS used FROM groups g
+            LEFT JOIN (SELECT DISTINCT path, scope_id, name FROM named) n ON n.path = g.path AND n.scope_id = g.scope_id
+            LEFT JOIN leaving l ON {same("l", "g")} AND l.name = n.name GROUP BY ALL),
+        walk AS (
+            SELECT {group}, CAST(0 AS BIGINT) AS k, coalesce(used, []) AS used, CAST(NULL AS VARCHAR) AS got FROM stays
+            UNION ALL SELECT {group}, k, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, got FROM (
+                SELECT {columns.replace("{}", "h")}, h.k, w.used, CASE WHEN NOT list_contains(w.used, h.new_name) THEN h.new_name
+                    WHEN regexp_full_match(h.new_name || '_1', '[A-Za-z_$][A-Za-z0-9_$]*') THEN h.new_name || '_' || CAST(list_filter(range(1, len(w.used) + 2), lambda i: NOT list_contains(w.used, h.new_name || '_' || CAST(i AS VARCHAR)))[1] AS VARCHAR) END AS got
+                FROM walk w JOIN held h ON {same("h", "w")} AND h.k = w.k + 1) s)
+        SELECT {by}, seq, rename_key, new_name, 'accepted' AS outcome FROM placed WHERE scope_id IS NULL
+        UNION ALL SELECT {columns.replace(", {}.scope_id", "").replace("{}", "h")}, h.seq, h.rename_key, coalesce(w.got, h.new_name),
+            CASE WHEN w.got IS NULL THEN 'unresolved' WHEN w.got = h.new_name THEN 'accepted' ELSE 'adjusted' END FROM held h JOIN walk w ON {same("h", "w")} AND h.k = w.k"""
+
+
+_SYMBOL = "split_part(rename_key, ':', 1)"
+_AT = "CAST(nullif(split_part(rename_key, ':', 2), '') AS INT) - 1"
+_ONE_LINE = f"SELECT path, name, min(line) AS line FROM ({I.BINDINGS}) b GROUP BY path, name HAVING count(*) = 1"
+
+
+def _file_conflicts_sql(rows: str) -> str:
+    """Over ``path, seq, rename_key, new_name`` of whole files."""
+    return _conflicts_sql(f"SELECT r.*, {_SYMBOL} AS symbol, coalesce({_AT}, o.line) AS at FROM ({rows}) r LEFT JOIN ({_ONE_LINE}) o ON o.path = r.path AND o.name = r.rename_key", "path")
+
+
+_PARTS = f"SELECT path, 'b' || CAST(seq % 3 AS VARCHAR) AS batch_id, rename_key, min(seq) AS seq, min_by(new_name, seq) AS new_name FROM ({I.RENAMES}) r GROUP BY path, seq % 3, rename_key"
+_PART_LINES = f"SELECT path, 'b' || CAST(binding_seq % 3 AS VARCHAR) AS batch_id, name, min(line) AS line FROM ({I.BINDINGS}) b GROUP BY path, binding_seq % 3, name"
+
+
+@query(_conflicts_sql(f"SELECT r.*, {_SYMBOL} AS symbol, coalesce({_AT}, q.line) AS at FROM ({_PARTS}) r LEFT JOIN ({_PART_LINES}) q ON q.path = r.path AND q.batch_id = r.batch_id AND q.name = r.rename_key", "path, batch_id"))
 def resolve_scope_conflicts(t: Tables) -> DataFrame:
     rows = t.renames().withColumn("batch_id", F.concat(F.lit("b"), (F.col("seq") % 3).cast("string")))
     once = rows.groupBy("path", "batch_id", "key").agg(F.min("seq").alias("seq"), F.min_by("new_name", "seq").alias("new_name"))
@@ -666,7 +792,10 @@ def resolve_scope_conflicts(t: Tables) -> DataFrame:
     return A.resolve_scope_conflicts(once, requests, t.bindings()).withColumnRenamed("key", "rename_key")
 
 
-@query()
+_LAST_WINS = f"SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS BIGINT) AS seq, rename_key, new_name FROM (SELECT path, rename_key, min(seq) AS s, max_by(new_name, seq) AS new_name FROM ({I.RENAMES}) r GROUP BY path, rename_key) m"
+
+
+@query(_file_conflicts_sql(_LAST_WINS))
 def resolve_global_conflicts(t: Tables) -> DataFrame:
     return A.resolve_global_conflicts(A.merge_renames(t.renames()), t.bindings()).withColumnRenamed("key", "rename_key")
 
@@ -689,30 +818,50 @@ def outcome_counts(t: Tables) -> DataFrame:
 
 
 def name_by_rule(frames):
-    """A naming function for the queries: names from the symbols; some errors, by the batch."""
+    """A naming function for the queries: names from the symbols; a seventh of the requests fails."""
     for f in frames:
         rows = []
         for path, batch, symbols in zip(f["path"], f["batch_id"], f["symbols"], strict=True):
             text = ", ".join(f'"{s}": "name{sum(map(ord, s)) % 50}"' for s in symbols)
-            failed = len(batch) % 5 == 0
+            failed = sum(map(ord, path + batch)) % 7 == 0
             rows.append((path, batch, None if failed else "```json\n{" + text + "}\n```", "Error code: 429" if failed else None))
         yield pd.DataFrame(rows, columns=["path", "batch_id", "body", "error"])
 
 
-@query(f"SELECT path, batch_id, 1 AS attempt, length(batch_id) % 5 = 0 AS failed FROM ({_chunks_sql()}) c GROUP BY path, batch_id")
+def _ords(text: str) -> str:
+    return f"CAST(list_sum(list_transform(string_split({text}, ''), lambda c: ord(c))) AS BIGINT)"
+
+
+_FAILED = f"{_ords('path || batch_id')} % 7 = 0"
+
+
+@query(f"SELECT path, batch_id, 1 AS attempt, {_FAILED} AS failed FROM ({_chunks_sql()}) c GROUP BY path, batch_id")
 def dispatch(t: Tables) -> DataFrame:
     requests = K.build_requests(_chunks(t), t.lines(), _referred(t))
     got = A.dispatch(requests, name_by_rule, 8)
     return got.select("path", "batch_id", "attempt", F.col("error").isNotNull().alias("failed"))
 
 
-@query()
+# the first eight batches of a file, each name in the first that holds it
+_TURNS = f"""
+    SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY batch_seq) AS round_place FROM (
+        SELECT *, dense_rank() OVER (PARTITION BY path, name ORDER BY batch_seq) AS turn FROM ({BATCHES}) b) a WHERE turn = 1"""
+_ROUND = f"""
+    SELECT path, batch_id, round_place, name AS rename_key, name AS symbol, max(place) AS last, min(place) AS seq, max_by(line, place) AS at, 'name' || CAST({_ords('name')} % 50 AS VARCHAR) AS new_name
+    FROM ({_TURNS}) t WHERE round_place <= 8 AND NOT {_FAILED} GROUP BY path, batch_id, round_place, name"""
+_ROUND_SCOPED = _conflicts_sql(_ROUND, "path, batch_id", I.FINE_BINDINGS)
+_ROUND_FLAT = f"""
+    SELECT r.path, CAST(row_number() OVER (PARTITION BY r.path ORDER BY p.round_place, r.seq) - 1 AS BIGINT) AS seq, r.rename_key, r.new_name
+    FROM ({_ROUND_SCOPED}) r JOIN (SELECT DISTINCT path, batch_id, round_place FROM ({_ROUND}) x) p ON p.path = r.path AND p.batch_id = r.batch_id WHERE r.outcome <> 'unresolved'"""
+_ROUND_WHOLE = _conflicts_sql(f"SELECT r.*, r.rename_key AS symbol, o.line AS at FROM ({_ROUND_FLAT}) r LEFT JOIN ({_ONE_LINE}) o ON o.path = r.path AND o.name = r.rename_key", "path", I.FINE_BINDINGS)
+
+
+@query(f"SELECT path, seq, rename_key, new_name FROM ({_ROUND_WHOLE}) w WHERE outcome <> 'unresolved'")
 def rename_round(t: Tables) -> DataFrame:
     from symloom.jobs.rounds import rename_round as one_round
 
-    bindings = _referred(t)
-    batches, remaining = _batches(t), D.renamable_symbols(bindings)
-    got = one_round(batches, t.lines(), bindings, remaining, name_by_rule, n=3, concurrency=8)
+    bindings = materialize(E.attach_references(t.fine_bindings(), t.references()), "referred")
+    got = one_round(_batches(t), t.lines(), bindings, D.renamable_symbols(bindings), name_by_rule, concurrency=8, n=8)
     return got.renames.withColumnRenamed("key", "rename_key")
 
 
@@ -850,7 +999,13 @@ def cached_preprocess(t: Tables) -> DataFrame:
     return C.needs_preprocess(rows, cache).select("path")
 
 
-@query()
+_REFOLDED = f"""
+    SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY turn) - 1 AS BIGINT) AS seq, k AS rename_key, new_name FROM (
+        SELECT path, k, min(late * 100000000 + seq) AS turn, min_by(new_name, late * 100000000 + seq) AS new_name FROM ({_FOLDED.replace(f"({I.RENAMES}) r", f"({_LAST_WINS}) r")}) f GROUP BY path, k) q"""
+_VALID_ONES = f"SELECT path, seq, rename_key, trim(new_name) AS new_name FROM ({_REFOLDED}) f WHERE {_VALID.replace('{n}', 'new_name')}"
+
+
+@query(f"SELECT path, seq, rename_key, new_name FROM ({_file_conflicts_sql(_VALID_ONES)}) c WHERE outcome <> 'unresolved'")
 def replay_renames(t: Tables) -> DataFrame:
     saved = A.merge_renames(t.renames()).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "new_name"))).alias("r"))
     state = saved.select(F.col("path").alias("input_file"), F.map_from_entries(F.transform("r", lambda x: F.struct(x["key"], x["new_name"]))).alias("all_renames"))
@@ -881,9 +1036,18 @@ def parse_progress(t: Tables) -> DataFrame:
     return got.select("ts", "path", "event", got["data"]["renamedBindings"].alias("renamed"))
 
 
-@query(f"SELECT CAST(user_id AS VARCHAR) AS path, max(greatest(0, least(CAST(trunc(value) AS BIGINT), 40))) AS renamed, CAST(40 AS BIGINT) AS total FROM events WHERE {_IS_EVENT} GROUP BY user_id")
+# a started event has no number of renamed bindings, a completed one not always, some totals are 0
+_NUMBERS = """event_id, user_id, ts, CASE event_id % 5 WHEN 0 THEN 'started' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'rename_progress' END AS event,
+    CAST(value AS INT) % 60 - 5 AS renamed, event_id % 40 AS total, event_id % 3 = 0 OR event_id % 5 = 0 AS no_number, CASE WHEN event_id % 4 = 0 THEN 'python' ELSE 'js' END AS source"""
+_REPORTS = f"""SELECT ts, CAST(user_id AS STRING) AS path, '__PROGRESS__{{{{"event":"' || event || '","source":"' || source || '"' || CASE WHEN no_number THEN '' ELSE ',"renamedBindings":' || CAST(renamed AS STRING) END
+    || ',"totalBindingsToRename":' || CAST(total AS STRING) || '}}}}' AS raw FROM (SELECT {_NUMBERS} FROM {{events}}) n"""
+_NUMBERS_DUCK = _NUMBERS.replace("CAST(value AS INT)", "CAST(trunc(value) AS INT)")
+
+
+@query(f"""SELECT CAST(user_id AS VARCHAR) AS path, max(greatest(0, least(CASE WHEN no_number THEN total ELSE renamed END, total)))::BIGINT AS renamed, max(total)::BIGINT AS total
+    FROM (SELECT {_NUMBERS_DUCK} FROM {{events}}) n WHERE total > 0 AND ((event = 'rename_progress' AND NOT no_number) OR (event = 'completed' AND source <> 'python')) GROUP BY user_id""")
 def progress_latest(t: Tables) -> DataFrame:
-    return P.progress_latest(_progress(t))
+    return P.progress_latest(P.parse_progress(t.sql(_REPORTS)))
 
 
 @query("SELECT path, b AS stalled_from, ts AS stalled_to FROM (SELECT CAST(user_id AS VARCHAR) AS path, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) e WHERE epoch_us(ts) - epoch_us(b) > 36000000000")
@@ -892,7 +1056,14 @@ def stall_detect(t: Tables) -> DataFrame:
     return P.stalls(events, 36000.0).select("path", "stalled_from", "stalled_to")
 
 
-@query()
+# the next kept event is the first one two hours or more later
+_TIMED = "SELECT CAST(user_id AS VARCHAR) AS path, event_id AS seq, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_TIMED}), firsts AS (SELECT path, us, min(r) AS r FROM e GROUP BY path, us),
+    steps AS MATERIALIZED (SELECT a.path, a.r, f.r AS next FROM e a ASOF JOIN firsts f ON f.path = a.path AND f.us >= a.us + 7200000000),
+    kept AS (SELECT path, r FROM e WHERE r = 1 UNION ALL SELECT k.path, s.next FROM kept k JOIN steps s ON s.path = k.path AND s.r = k.r)
+    SELECT DISTINCT e.path, e.seq FROM e LEFT JOIN kept k ON k.path = e.path AND k.r = e.r WHERE k.r IS NOT NULL OR e.r = e.n""")
 def progress_throttle(t: Tables) -> DataFrame:
     events = t.given("events").select(F.col("user_id").cast("string").alias("path"), "ts", F.col("event_id").alias("seq"))
     return P.throttle(events, 7_200_000).select("path", "seq")

@@ -188,13 +188,14 @@ def clean_round(requests: DataFrame, answers: DataFrame, bindings: DataFrame, or
     meaning: clashes within requests are settled before names are validated, clashes within files
     after.
     """
-    asked = filter_answers(requests, answers)
-    scoped = resolve_scope_conflicts(asked, requests, bindings)
+    # each is read several times below
+    asked = materialize(filter_answers(requests, answers), "asked")
+    scoped = materialize(resolve_scope_conflicts(asked, requests, bindings), "scoped")
     kept = scoped.where("outcome <> 'unresolved'").join(order, ["path", "batch_id"])
     flat = kept.select("path", F.struct("round_place", "seq").alias("seq"), "key", "new_name")
     normal = normalize_keys(merge_renames(flat), name_counts(bindings))
-    valid, invalid = split_invalid(normal)
-    settled = resolve_global_conflicts(valid, bindings)
+    valid, invalid = split_invalid(materialize(normal, "normal"))
+    settled = materialize(resolve_global_conflicts(valid, bindings), "settled")
     whole = F.lit(None).cast("string").alias("batch_id")
     log = scoped.select("path", "batch_id", "key", "outcome")
     log = log.unionByName(invalid.select("path", whole, "key", F.lit("invalid").alias("outcome")))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +77,33 @@ def output_path(path: Column, root: Column | None = None, out: Column | None = N
     return F.concat(out, F.lit("/"), relative)
 
 
-def write_sources(files: DataFrame, out: str) -> None:
-    """Write ``path, source`` as a table of whole files, dealt by Spark."""
-    files.select("path", "source").write.mode("overwrite").parquet(out)
+def write_sources(files: DataFrame) -> int:
+    """Write every ``path, source`` as a file of that name, by the tasks that hold the rows.
+
+    Paths are those of a file system that Arrow knows (a local or shared folder, or a URI such as
+    ``hdfs://`` or ``s3://``). A file is written beside its place and moved there, so that a task
+    that is run again leaves a whole file; of rows that share a path one stays. Returns the files.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for path, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, place = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path.removeprefix("file:"))
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                beside = f"{place}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(beside) as f:
+                    f.write((source or "").encode("utf-8", "surrogatepass"))
+                system.move(beside, place)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return files.select("path", "source").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_table(files: DataFrame, out: str) -> None:
+    """Write ``path, source`` as a new table of whole files; a folder that exists is an error."""
+    files.select("path", "source").write.parquet(out)
 
 
 def write_state(state: DataFrame, folder: str) -> None:

@@ -149,14 +149,31 @@ def _extract_sql(kind: str, pattern: str) -> str:
     return f"""SELECT path, line, name, binding_type FROM (SELECT path, line, unnest(regexp_extract_all(text, '{pattern}', 1)) AS name, '{kind}' AS binding_type FROM ({I.LINES}) l) e"""
 
 
-@query(f"SELECT path, line, name, CAST(4 AS INT) AS col, CAST(4 + length(name) AS INT) AS end_col, binding_type FROM ({_extract_sql('variable', E.VARIABLE)}) v")
+# three declarations a line, at places that differ from line to line
+_CROWDED = f"""
+    SELECT path, binding_seq AS line, repeat(' ', col % 7) || 'var ' || name || ' = 1; const  k' || CAST(quantity AS STRING) || '; function ' || name || '(a) {{{{ // let it' AS text,
+        CAST(col % 7 AS INT) AS pad, name, quantity FROM ({I.BINDINGS}) b WHERE name <> ''"""
+_SECOND = "'k' || CAST(quantity AS VARCHAR)"
+_PLACES = f"""
+    SELECT path, line, name, pad + 4 AS col, 'variable' AS binding_type FROM ({_CROWDED}) c
+    UNION ALL SELECT path, line, {_SECOND}, pad + 4 + length(name) + 13, 'variable' FROM ({_CROWDED}) c
+    UNION ALL SELECT path, line, 'it', pad + 4 + length(name) + 13 + length({_SECOND}) + 11 + length(name) + 13, 'variable' FROM ({_CROWDED}) c
+    UNION ALL SELECT path, line, name, pad + 4 + length(name) + 13 + length({_SECOND}) + 11, 'function' FROM ({_CROWDED}) c"""
+
+
+def _crowded(t: Tables, kind: str) -> DataFrame:
+    lines = t.sql(_CROWDED).select("path", "line", "text")
+    return E.extract_bindings(lines, (kind,)).select("path", "line", "name", F.col("column").alias("col"), F.col("end_column").alias("end_col"), "binding_type")
+
+
+@query(f"SELECT path, line, name, CAST(col AS INT) AS col, CAST(col + length(name) AS INT) AS end_col, binding_type FROM ({_PLACES}) p WHERE binding_type = 'variable'")
 def extract_var_bindings(t: Tables) -> DataFrame:
-    return E.extract_bindings(t.lines(), ("variable",)).select("path", "line", "name", F.col("column").alias("col"), F.col("end_column").alias("end_col"), "binding_type")
+    return _crowded(t, "variable")
 
 
-@query(f"SELECT path, line, name, CAST(9 AS INT) AS col, CAST(9 + length(name) AS INT) AS end_col, binding_type FROM ({_extract_sql('function', E.FUNCTION)}) v")
+@query(f"SELECT path, line, name, CAST(col AS INT) AS col, CAST(col + length(name) AS INT) AS end_col, binding_type FROM ({_PLACES}) p WHERE binding_type = 'function'")
 def extract_func_bindings(t: Tables) -> DataFrame:
-    return E.extract_bindings(t.lines(), ("function",)).select("path", "line", "name", F.col("column").alias("col"), F.col("end_column").alias("end_col"), "binding_type")
+    return _crowded(t, "function")
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS path, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '" + E.VARIABLE + "', 1)) AS name FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '" + E.FUNCTION + "', 1)) AS name FROM pages) x WHERE " + flagged_sql("name") + " GROUP BY page_id, name")

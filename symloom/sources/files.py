@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pa_fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +119,11 @@ def newest_state(state: DataFrame) -> DataFrame:
 
 
 def read_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest readable checkpoint of each input file; unreadable rows count as absent."""
+    """The newest readable checkpoint of each input file; unreadable rows count as absent, as does
+    a folder that is not there."""
+    try:
+        spark.read.format("text").load(folder).schema  # noqa: B018
+    except AnalysisException:
+        return spark.createDataFrame([], schemas.STATE)
     rows = spark.read.schema(schemas.STATE).option("mode", "DROPMALFORMED").json(folder)
     return newest_state(rows.where("input_file is not null"))

@@ -103,18 +103,20 @@ def state_key(path: Column) -> Column:
     return F.concat(stem(path), F.lit("_"), path_hash(path), F.lit("_state.json"))
 
 
-def json_candidates(body: Column) -> Column:
-    """Texts that may be the JSON of an answer, in order: fenced blocks, all, braces."""
+def json_text(body: Column) -> Column:
+    """The first candidate that is JSON, if it is an object; else null.
+
+    Candidates are the fenced blocks, the whole text, then what stands in braces; each kind is
+    looked for only where the ones before gave nothing.
+    """
     space = F.lit(" \t\n\r\f\x0b")
+    good = lambda x: (x != "") & F.try_parse_json(x).isNotNull()
+    first = lambda found: F.get(F.filter(found, good), F.lit(0))
+    whole = F.btrim(body, space)
     fenced = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)\n?```"), F.lit(1)), lambda x: F.btrim(x, space))
     braces = F.regexp_extract_all(body, F.lit(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), F.lit(0))
-    return F.concat(fenced, F.array(F.btrim(body, space)), braces)
-
-
-def json_text(body: Column) -> Column:
-    """The first candidate that is JSON, if it is an object; else null."""
-    good = F.get(F.filter(json_candidates(body), lambda x: (x != "") & F.try_parse_json(x).isNotNull()), F.lit(0))
-    return F.when(F.ltrim(good).startswith("{"), good)
+    found = F.coalesce(F.when(F.contains(body, F.lit("```")), first(fenced)), F.when(good(whole), whole), F.when(F.contains(body, F.lit("{")), first(braces)))
+    return F.when(F.startswith(F.ltrim(found), F.lit("{")), found)
 
 
 def extract_json(body: Column) -> Column:
@@ -142,7 +144,7 @@ def message_text(content: Column, blocks: Column, choice_text: Column, output_te
 
 def error_detail(status: Column, msg: Column, body: Column) -> Column:
     """What an unusable answer says about itself."""
-    text = F.btrim(msg)
+    text = F.btrim(msg)  # the words below are fixed values
     parts = F.concat_ws(", ", F.concat(F.lit("status="), status.cast("string")), F.when(text != "", F.concat(F.lit("msg="), text)), F.concat(F.lit("body="), body))
     return F.when(parts != "", F.concat(F.lit("provider_details: "), parts)).otherwise("provider did not include parseable error details")
 

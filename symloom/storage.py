@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is made and set.
+    Only where the session names none and all runs on one machine (a local master, as in tests), a
+    local folder is made and set; on a cluster that is an error.
     """
     name = "spark.checkpoint.dir"
     found = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
     if not found:
         context = spark.sparkContext
+        if not context.getCheckpointDir() and not context.master.startswith("local"):
+            raise ValueError(f"set {name} to a folder that driver and executors share")
         found = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(found)
         spark.conf.set(name, found)

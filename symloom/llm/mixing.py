@@ -13,8 +13,11 @@ import math
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symloom.llm.common import has_name, materialize, n_words, running
 
@@ -132,24 +135,41 @@ def quota_table(spark: SparkSession, quotas: list[Quota]) -> DataFrame:
     return spark.createDataFrame(rows, "q_source string, source_size long, target double, upto array<long>, blocks long, step long, shift long")
 
 
+def words_of_shards(start: np.ndarray, size: np.ndarray, blocks: np.ndarray, step: np.ndarray, shift: np.ndarray, upto: np.ndarray, block: int) -> np.ndarray:
+    """Words that each shard (columns) takes of each document (rows)."""
+    out = np.zeros((len(start), upto.shape[1] - 1), np.int64)
+    some = np.flatnonzero(size > 0)
+    start, size, blocks, step, shift, upto = (x[some] for x in (start, size, blocks, step, shift, upto))
+    first = start // block
+    n = (start + size - 1) // block - first + 1
+    row = np.repeat(np.arange(len(some)), n)
+    begins = np.cumsum(n) - n
+    j = first[row] + np.arange(len(row)) - begins[row]
+    inside = np.minimum(start[row] + size[row], (j + 1) * block) - np.maximum(start[row], j * block)
+    # block j's turn in the permutation: the seats turn, turn + blocks, ... take it
+    turn = (j % blocks[row] * step[row] + shift[row]) % blocks[row]
+    for m in range(out.shape[1] if len(some) else 0):
+        # of the first x seats as many as there are numbers p with p * blocks + turn < x
+        upper, lower = (np.maximum((upto[row, k] - turn + blocks[row] - 1) // blocks[row], 0) for k in (m + 1, m))
+        out[some, m] = np.add.reduceat(inside * (upper - lower), begins)
+    return out
+
+
 def shard_words(start: Column, size: Column, block: int) -> Column:
     """Words that each shard takes of a document that stands at ``start`` of its source's line.
 
     Reads the columns ``upto, blocks, step, shift`` of its source's quota.
     """
-    blocks = F.col("blocks")
-    block_of = lambda word: F.floor(word / F.lit(block)).cast("long")
-
-    def part(j: Column) -> Column:
-        inside = F.least(start + size, (j + 1) * block) - F.greatest(start, j * block)
-        # block j's turn in the permutation: the seats turn, turn + blocks, ... take it
-        return F.struct(inside.alias("words"), ((j % blocks * F.col("step") + F.col("shift")) % blocks).alias("turn"))
-
-    spans = F.transform(F.sequence(block_of(start), block_of(start + F.greatest(size, F.lit(1)) - 1)), part)
-    spans = F.when(size > 0, spans).otherwise(F.slice(spans, 1, 0))
-    # of the first n seats as many as there are numbers p with p * blocks + turn < n
-    upto = F.transform("upto", lambda n: F.aggregate(spans, F.lit(0).cast("long"), lambda total, x: total + x["words"] * F.greatest(F.floor((n - x["turn"] + blocks - 1) / blocks).cast("long"), F.lit(0).cast("long"))))
-    return F.transform(F.slice(upto, 2, F.size("upto") - 1), lambda n, m: n - F.get(upto, m))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def words(start: pa.Array, size: pa.Array, blocks: pa.Array, step: pa.Array, shift: pa.Array, upto: pa.Array) -> pa.Array:
+        own = [x.to_numpy(zero_copy_only=False) for x in (start, size, blocks, step, shift)]
+        table = upto.flatten().to_numpy(zero_copy_only=False).reshape(len(upto), -1)
+        out = words_of_shards(*own, table, block)
+        ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+
+    return words(start, size, F.col("blocks"), F.col("step"), F.col("shift"), F.col("upto"))
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shards: int = SHARDS, name: str = "mix") -> DataFrame:

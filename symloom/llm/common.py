@@ -13,10 +13,12 @@ from pyspark.sql import Window as W
 
 from symloom.storage import materialize, shared_dir
 
-__all__ = ["WORD", "has_name", "materialize", "n_words", "running", "shared_dir"]
+__all__ = ["WORD", "has_name", "join_spread", "materialize", "n_words", "running", "shared_dir"]
 
 #: Words are runs of characters other than the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key that are joined in one place.
+SPREAD = 1024
 
 
 def has_name(df: DataFrame, stem: str) -> str:
@@ -33,6 +35,24 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, ident: Sequence[str], how: str = "inner", part: int = SPREAD, name: str = "hot") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, where a key may hold most of ``left``.
+
+    ``sizes`` has ``left``'s rows a key as ``n``. The rows of a key with more than ``part`` are dealt
+    to parts by a hash of ``ident``, and its row of ``right`` goes to each part, so ``right`` grows
+    by at most a row for ``part`` rows of ``left``. Large keys are written first: Spark knows their
+    size then, and sends them to all tasks only where they are a small table. Null keys join
+    nothing. Columns must not be named ``_hot``, ``_m``, ``_part``.
+    """
+    hot = materialize(sizes.where(F.col("n") > part).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / part).cast("int").alias("_m")), name)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    parts = F.coalesce("_m", F.lit(1))
+    dealt = left.join(hot, left[key] == hot["_hot"], "left").withColumn("_part", F.pmod(F.xxhash64(F.lit(5), *ident), parts).cast("int"))
+    copies = right.join(hot, right[key] == hot["_hot"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_hot", "_m").join(copies.drop("_hot", "_m"), [key, "_part"], how).drop("_part")
+
+
 def running(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str = "running") -> DataFrame:
     """Add ``before``: the sum of ``value`` over the earlier rows of the same group.
 

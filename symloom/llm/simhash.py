@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symloom.llm.common import has_name, materialize
+from symloom.llm.common import SPREAD, has_name, join_spread, materialize
 
 RADIUS = 3
 BLOCKS = 5
@@ -323,16 +323,19 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keep_one(docs, near_duplicates(docs, radius))
 
 
-def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame, part: int = SPREAD) -> DataFrame:
     """The documents that stay, by ``doc_id, digest, group`` of all of them.
 
+    Groups of more than ``part`` documents are joined with the one that stays in parts.
+
     Those that go are joined away: they are fewer than those that stay, and where their keys are a
     small table, Spark sends it to all tasks and shuffles no text.
     """
-    found = groups.groupBy("group", "doc_id", "digest").count()
+    found = materialize(groups.groupBy("group", "doc_id", "digest").count(), "kept-found")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "digest")).alias("s")
-    stays = found.groupBy("group").agg(least).select(F.col("group").alias("_group"), F.col("s.doc").alias("_doc"), F.col("s.digest").alias("_digest"))
-    placed = found.join(stays, F.col("group") == F.col("_group"))
+    stays = found.groupBy("group").agg(least, F.count("*").alias("n"), F.sum("count").alias("rows")).where("rows > 1")
+    stays = materialize(stays.select("group", "n", F.col("s.doc").alias("_doc"), F.col("s.digest").alias("_digest")), "kept-stays")
+    placed = join_spread(found, stays.drop("n"), "group", stays, ["doc_id", "digest"], part=part)
     first = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))
     gone = placed.where(~first | (F.col("count") > 1)).select(F.col("doc_id").alias("_n_doc"), F.col("digest").alias("_n_digest"), first.alias("_n_first"))
     gone = materialize(gone, "kept-one")

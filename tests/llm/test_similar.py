@@ -62,8 +62,8 @@ def test_stage_drops_copies_from_four_fifths(spark, planted):
     assert got == kept(rows)
 
 
-@pytest.mark.parametrize(("part", "sets"), [(4096, 512), (20, 16)])
-def test_large_keys_are_cut(spark, part, sets):
+@pytest.mark.parametrize(("part", "sets", "spread"), [(4096, 512, 1024), (20, 16, 3)])
+def test_large_keys_are_cut(spark, part, sets, spread):
     """Texts that mostly are one common passage: many sets a key, of several groups."""
     rnd = random.Random(8)
     base = [rnd.choices([f"v{i}" for i in range(500)], k=60) for _ in range(2)]
@@ -73,9 +73,13 @@ def test_large_keys_are_cut(spark, part, sets):
         for at in rnd.sample(range(60), rnd.randint(0, 3)):
             own[at] = f"x{i}"
         rows.append((i, " ".join(own)))
+    rows += [(i, rows[0][1]) for i in range(120, 160)]  # one text as a large group of copies
     want = kept(rows)
     assert 2 < len(want) < 100
-    got = S.similar_groups(spark.createDataFrame(rows, COLUMNS), part=part, sets=sets).collect()
+    docs = spark.createDataFrame(rows, COLUMNS)
+    groups = S.similar_groups(docs, part=part, sets=sets, spread=spread)
+    got = groups.collect()
+    assert sorted(r["doc_id"] for r in S.keep_one(docs, groups, spread).collect()) == want
     least: dict = {}
     for r in got:
         least[r["group"]] = min(r["doc_id"], least.get(r["group"], r["doc_id"]))

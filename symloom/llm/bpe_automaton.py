@@ -37,6 +37,8 @@ END = "</w>"
 TRANSITIONS = 1 << 18
 START = -1
 NEVER = 1 << 60
+#: Key of a node's own number in the tree of letters, whose other keys are letters.
+NUMBER = 0
 
 
 class MergeAutomaton:
@@ -111,14 +113,18 @@ class WordBpe:
         self.labels = {i: t for t, i in vocab.items()}
         self.special = {a["content"]: a["id"] for a in self._added(path)}
         self.labels.update({i: t for t, i in self.special.items()})
-        # live labels as a tree of letters, a word's last letter with its end; "" holds a label's id
-        self.root: dict = {}
+        # live labels as a tree of letters, a word's last letter with its end; "" holds a label's
+        # id, NUMBER the node's place in the list
+        self.nodes: list[dict] = [{NUMBER: 0}]
         self.length = [0] * (max(self.labels, default=-1) + 1)
         for t, i in vocab.items():
             if i not in self.automaton.dead:
-                node = self.root
+                node = self.nodes[0]
                 for c in (own := symbols(t[: -len(END)]) if t.endswith(END) else list(t)):
-                    node = node.setdefault(c, {})
+                    if c not in node:
+                        node[c] = {NUMBER: len(self.nodes)}
+                        self.nodes.append(node[c])
+                    node = node[c]
                 node[""] = i
                 self.length[i] = len(own)
         self._restart()
@@ -132,38 +138,39 @@ class WordBpe:
             return json.load(f)["added_tokens"]
 
     def _restart(self) -> None:
-        # a state is what has begun: (label before, place in the tree of letters) of each label
-        self.begun: list[list[tuple[int, dict]]] = []
-        self.known: dict[tuple, int] = {}
+        # a state is what has begun: label before and number in the tree of letters of each label,
+        # flat, as there are many states
+        self.begun: list[tuple[int, ...]] = []
+        self.known: dict[tuple[int, ...], int] = {}
         self.rows: list[dict[str, tuple[int, int]]] = []
         self.n_transitions = 0
-        self._state([(START, self.root)])
+        self._state((START, 0))
 
-    def _state(self, begun: list[tuple[int, dict]]) -> int:
-        key = tuple((u, id(node)) for u, node in begun)
-        state = self.known.get(key)
+    def _state(self, begun: tuple[int, ...]) -> int:
+        state = self.known.get(begun)
         if state is None:
-            state = self.known[key] = len(self.rows)
+            state = self.known[begun] = len(self.rows)
             self.begun.append(begun)
             self.rows.append({})
         return state
 
     def _advance(self, state: int, letter: str) -> tuple[int, int]:
         """A new transition: the next state, and the label that ends with this letter."""
-        step, begun, ended = self.automaton.step, [], None
-        for u, node in self.begun[state]:
-            node = node.get(letter)
+        step, nodes, begun, ended = self.automaton.step, self.nodes, [], None
+        old = self.begun[state]
+        for u, number in zip(old[::2], old[1::2], strict=True):
+            node = nodes[number].get(letter)
             if node is None:
                 continue
             label = node.get("")
             if label is not None and ended is None and (u == START or step(u, label)):
                 ended = label
-            if len(node) > (label is not None):  # some label goes on
-                begun.append((u, node))
+            if len(node) > 1 + (label is not None):  # some label goes on
+                begun += (u, node[NUMBER])
         if ended is None:
             raise ValueError(f"no accepted sequence with {letter!r}")
-        begun.append((ended, self.root))
-        found = self.rows[state][letter] = (self._state(begun), ended)
+        begun += (ended, 0)
+        found = self.rows[state][letter] = (self._state(tuple(begun)), ended)
         self.n_transitions += 1
         return found
 

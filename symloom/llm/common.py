@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
+from symloom.prefix import running_sums
 from symloom.storage import materialize, shared_dir
 
 __all__ = ["WORD", "has_name", "materialize", "n_words", "running", "shared_dir"]
@@ -34,53 +31,6 @@ def n_words(text: Column) -> Column:
 
 
 def running(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str = "running") -> DataFrame:
-    """Add ``before``: the sum of ``value`` over the earlier rows of the same group.
-
-    No group has to fit into one task: rows are dealt by ranges of (group, order), summed within
-    each partition, and the sums of the earlier partitions of a group, of which there are about
-    as many as partitions, are added. ``value`` is a long without nulls; ties in ``order`` are
-    put in any order, which is then kept, as the numbered rows are written to the shared folder.
-    Columns must not be named ``before``, ``_part``, ``_local``; an empty frame stays empty. The
-    frame, which should be narrow, is written first, as dealing by ranges reads it twice.
-    """
-    keys, df = list(group), materialize(df, name)
-    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in [*keys, *order]])
-    dealt = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in [*keys, *order]])
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        last, total = None, 0
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            own = batch.column(batch.schema.get_field_index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
-            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-            change = np.zeros(n, bool)
-            for c in columns:
-                codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                change[1:] |= codes[1:] != codes[:-1]
-            first = tuple(c[0].as_py() for c in columns)
-            change[0] = first != last
-            before = np.cumsum(own) - own + total
-            at = np.maximum.accumulate(np.where(change, np.arange(n), -1))
-            local = np.where(at >= 0, before - before[np.maximum(at, 0)], before)
-            last = tuple(c[n - 1].as_py() for c in columns)
-            total = int(local[-1] + own[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(local)], names=[*batch.schema.names, "_part", "_local"])
-
-    numbered = materialize(dealt.mapInArrow(number, schema), name)
-    sums = numbered.groupBy("_part", *keys).agg(F.sum(value).alias("_sum"))
-    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_part", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    # a row for each partition and each group that begins or ends in it: partitions + groups;
-    # written, so that Spark knows its size and sends it to all tasks only where it is small
-    right = materialize(sums.select(F.col("_part").alias("_p"), F.col("_base"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), name)
-    on = numbered["_part"] == right["_p"]
-    for i, k in enumerate(keys):
-        on = on & numbered[k].eqNullSafe(right[f"_k{i}"])
-    joined = numbered.join(right, on, "left")
-    return joined.select(*[numbered[c] for c in df.columns], (F.col("_local") + F.col("_base")).alias("before"))
+    """Add ``before``: the sum of ``value`` over the earlier rows of the same group; no group has to
+    fit into one task. See ``running_sums``."""
+    return running_sums(df, group, order, [value], name).withColumnRenamed(f"before_{value}", "before")

@@ -111,4 +111,4 @@ def test_last_stage_encodes(stages):
 
 
 def test_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))

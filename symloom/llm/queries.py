@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import langid, licenses, media, mixing, quality, quotes, sharding, simhash, similar, token_files, trie, winnowing
+from symloom.llm import codebooks, langid, licenses, media, mixing, quality, quotes, sharding, simhash, similar, token_files, trie, winnowing
 from symloom.llm.bpe_automaton import bpe_round_trip
 
 #: The token that ends a document in token files.
@@ -68,6 +68,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -77,12 +81,12 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_files, op2_avi_clips, op3_hash_tree_shards, op4_quote_links, op5_simhash_components, op6_language, op7_quality_rules, op8_source_mix, op9_bpe_automaton, op10_license_scan, op12_winnowing, op13_prefix_trie]
+    own = [op1_token_files, op2_avi_clips, op3_hash_tree_shards, op4_quote_links, op5_simhash_components, op6_language, op7_quality_rules, op8_source_mix, op9_bpe_automaton, op10_license_scan, op11_yinyang_codes, op12_winnowing, op13_prefix_trie]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": licenses.oracle_sql(), "op12_winnowing": winnowing.oracle_sql(), "op13_prefix_trie": trie.oracle_sql()}
+    return {"op10_license_scan": licenses.oracle_sql(), "op11_yinyang_codes": codebooks.oracle_sql(), "op12_winnowing": winnowing.oracle_sql(), "op13_prefix_trie": trie.oracle_sql()}
 
 
 # The stages of the corpus pipeline: each takes documents and returns documents with the same

@@ -716,8 +716,46 @@ def apply_renames(t: Tables) -> DataFrame:
 
     inner = F.when(F.col("line").between(8, 20), "scope_2").when(F.col("line").between(5, 30), "scope_1").when(F.col("line").between(40, 160), "scope_3").otherwise("scope_0")
     bindings = E.extract_bindings(t.lines()).withColumn("scope_id", inner)
-    tokens = E.tokens(t.lines(), t.scopes().withColumn("end_col", F.lit(10000)), bindings)
-    return K.apply_renames(t.lines(), tokens, split_keys(A.merge_renames(t.renames())))
+    renames = materialize(split_keys(A.merge_renames(t.renames())), "merged")
+    # of names that nothing renames no token is looked at
+    tokens = E.tokens(t.lines(), t.scopes().withColumn("end_col", F.lit(10000)), bindings, renames.select("path", F.col("symbol").alias("name")))
+    return K.apply_renames(t.lines(), tokens, renames)
+
+
+#: Ten lines that a file repeats, and what renaming makes of them: ``@`` is a variable, ``%`` its name
+#: where it is none (a key, a member, text), ``~`` a backslash. Comments, templates and strings begin
+#: on one line and end on the next.
+_SYNTAX = [
+    ("var @ = @ + 1;", "var @ = @ + 1;"),
+    ("f({{ %, k: @, %: 1 }});", "f({{ %: @, k: @, %: 1 }});"),
+    ("/* % begins", "/* % begins"),
+    (" % ends */ g(@); // %", " % ends */ g(@); // %"),
+    ("h(`% ${{ @ }}", "h(`% ${{ @ }}"),
+    (" % ${{ @.% }} %`, /%/g, \"%\");", " % ${{ @.% }} %`, /%/g, \"%\");"),
+    ("class C {{ %() {{ return @; }} }}", "class C {{ %() {{ return @; }} }}"),
+    ("o = {{ %() {{}}, p: `${{ @ }}` }};", "o = {{ %() {{}}, p: `${{ @ }}` }};"),
+    ("s = \"% ~", "s = \"% ~"),
+    ("%\" + @ / @;", "%\" + @ / @;"),
+]
+
+
+def _syntax_sql(after: bool) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{texts[after]}'" for i, texts in enumerate(_SYNTAX))
+    text = f"CASE CAST(line % 10 AS INT) {cases} END"
+    name = "'v' || CAST(CAST(floor(line / 10) AS INT) % 7 AS STRING)"
+    new = f"'renamed_' || {name}" if after else name
+    return f"SELECT path, line, replace(replace(replace({text}, '@', {new}), '%', {name}), '~', chr(92)) AS text FROM (SELECT DISTINCT path, line FROM ({I.ITEMS}) i) l"
+
+
+@query(_syntax_sql(True))
+def apply_renames_syntax(t: Tables) -> DataFrame:
+    """Renames of lines with comments, templates, strings, keys, methods and regular expressions."""
+    lines = t.table("syntax", _syntax_sql(False))
+    bindings = E.extract_bindings(lines, ("variable",))
+    names = bindings.select("path", "name").distinct()
+    tokens = E.tokens(lines, S.program_scopes(lines), bindings, names)
+    renames = names.select("path", F.col("name").alias("symbol"), F.lit(None).cast("int").alias("line"), F.concat(F.lit("renamed_"), "name").alias("new_name"))
+    return K.apply_renames(lines, tokens, renames)
 
 
 # Answers and conflicts

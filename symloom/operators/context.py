@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from symloom.functions.lexer import EXPORTED, IMPORTED, SHORT
 from symloom.functions.text import clip_line, limit_prompt, numbered_line
 from symloom.operators.extract import binding_references, occurrences
 from symloom.storage import materialize
@@ -180,7 +181,7 @@ def select_round(batches: DataFrame, remaining: DataFrame, n: int) -> DataFrame:
 
 
 def token_renames(tokens: DataFrame, renames: DataFrame) -> DataFrame:
-    """``path, line, column, name, new_name`` of the tokens that renames change.
+    """``path, line, column, name, new_name, role`` of the tokens that renames change.
 
     ``tokens`` as ``extract.tokens`` gives them; ``renames(path, symbol, line, new_name)`` with the
     line from 1, or null for the whole file. A declaration takes its line's entry, else the
@@ -192,16 +193,24 @@ def token_renames(tokens: DataFrame, renames: DataFrame) -> DataFrame:
     own = tokens.where("is_declaration").join(named, ["path", "name", "line"], "left").join(general, ["path", "name"], "left")
     own = own.withColumn("new_name", F.coalesce("by_line", "by_name")).where("new_name is not null")
     given = own.groupBy("path", "scope_id", "name").agg(F.max_by("new_name", F.struct("line", "column")).alias("new_name"))
-    columns = ["path", "line", "column", "name", "new_name"]
+    columns = ["path", "line", "column", "name", "new_name", "role"]
     bound = tokens.where("not is_declaration and scope_id is not null").join(given, ["path", "scope_id", "name"])
     loose = tokens.where("not is_declaration and scope_id is null").join(general.withColumnRenamed("by_name", "new_name"), ["path", "name"])
     return own.select(*columns).unionByName(bound.select(*columns)).unionByName(loose.select(*columns))
 
 
+def spelled(name: Column, new_name: Column, role: Column) -> Column:
+    """What stands for a renamed token: names that are written short keep what they are called
+    outside (``{a}`` becomes ``{a: b}``, an import ``a as b``, an export ``b as a``)."""
+    longer = F.when(role == SHORT, F.concat(name, F.lit(": "), new_name)).when(role == IMPORTED, F.concat(name, F.lit(" as "), new_name)).when(role == EXPORTED, F.concat(new_name, F.lit(" as "), name))
+    return F.when(name == new_name, name).otherwise(F.coalesce(longer, new_name))
+
+
 def rewrite_lines(lines: DataFrame, hits: DataFrame) -> DataFrame:
-    """Lines with the tokens of ``hits(path, line, column, name, new_name)`` replaced; lines
+    """Lines with the tokens of ``hits(path, line, column, name, new_name, role)`` replaced; lines
     without a hit pass untouched."""
-    own = hits.select("path", "line", F.struct("column", F.length("name").alias("n"), "new_name").alias("h")).distinct()
+    text = spelled(F.col("name"), F.col("new_name"), F.col("role")).alias("new_name")
+    own = hits.select("path", "line", F.struct("column", F.length("name").alias("n"), text).alias("h")).distinct()
     changed = own.groupBy("path", "line").agg(F.array_sort(F.collect_list("h")).alias("h"))
     text, n = F.col("text"), F.size("h")
     start = lambda i: F.when(i > 0, F.get(F.col("h"), i - 1)["column"] + F.get(F.col("h"), i - 1)["n"]).otherwise(0)

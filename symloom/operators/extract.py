@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.functions.names import NOT_A_NAME, is_obfuscated
+from symloom.functions.names import is_obfuscated
+from symloom.storage import materialize
 
 #: The patterns that say what counts as a declaration.
 VARIABLE = r"\b(?:var|let|const)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)"
@@ -44,76 +45,187 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
 
-#: Words that are no names; fixed values of the language.
-_SKIPPED = frozenset(NOT_A_NAME) - {"constructor"}
-_STRING = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|//.*|/\*.*?\*/"""
-_NAME_OR_STRING = re.compile(f"(?:{_STRING})|({TOKEN})")
+#: Lines that are read together; what is open at the start of a block comes from the blocks before.
+BLOCK_LINES = 1024
 
 
-def line_identifiers(lines: DataFrame) -> DataFrame:
-    """``path, line, column, name`` of the identifiers of each line that may be variables.
+def _whole_blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Keys (the first ``n`` columns) and rows of consecutive rows of one key."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:n], []
+            rows.append(row[n:])
+    if rows:
+        yield key, rows
 
-    Left out are reserved words, members after a dot, keys of object literals, and what stands in
-    strings and comments that end in their line. Places need offsets, which no SQL function gives.
+
+def block_states(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
+    """``path, block, state, stack, after`` of the blocks of lines of files that have several.
+
+    A segmented scan: each block is read by itself, from every state, to a map from what stands
+    before it to what stands after it; then a file's maps, a narrow row a block, are followed in
+    order. ``after`` is the first token behind a block.
     """
+    import json
+
+    from symloom.functions.lexer import START, block_map, follow
+
+    last = lines.groupBy("path").agg(F.max("line").alias("_last"))
+    long = last.where(F.col("_last") >= block).select("path")
+    if long.isEmpty():  # each file is one block, which starts anew
+        return lines.sparkSession.createDataFrame([], "path string, block int, state string, stack string, after string")
+    rows = lines.join(long, "path", "left_semi").select("path", F.floor(F.col("line") / block).cast("int").alias("block"), "line", "text")
+    rows = rows.repartition("path", "block").sortWithinPartitions("path", "block", "line")
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (path, number), own in _whole_blocks(batches, 2):
+            mapped = block_map([text or "" for _, text in own])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([number], pa.int32()), pa.array([json.dumps(mapped)])], names=["path", "block", "mapped"])
+
+    mapped = materialize(rows.mapInArrow(maps, "path string, block int, mapped string"), "blocks")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, state, stack, waiting = None, START, [], []
+
+        def told(after: str | None) -> Iterator[pa.RecordBatch]:
+            if waiting:
+                columns = zip(*[(*w, after) for w in waiting], strict=True)
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "block", "state", "stack", "after"])
+                waiting.clear()
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for m in _NAME_OR_STRING.finditer(text or ""):
-                    name = m[1]
-                    if name is None or name in _SKIPPED:
-                        continue
-                    if text[m.end() :].lstrip()[:1] == ":" and text[: m.start()].rstrip()[-1:] in ("", "{", ","):
-                        continue
-                    out.append((path, row, m.start(), name))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "line", "column", "name"])
+            for file, number, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != path:
+                    yield from told(None)
+                    path, state, stack = file, START, []
+                own = json.loads(text)
+                first = own["first"][state]
+                if first is not None:  # of blocks without a token too
+                    yield from told(first)
+                waiting.append((file, number, state, "".join(stack)))
+                state = follow(own, state, stack)
+        yield from told(None)
+
+    dealt = mapped.repartition("path").sortWithinPartitions("path", "block")
+    return materialize(dealt.mapInArrow(walk, "path string, block int, state string, stack string, after string"), "blocks")
+
+
+def line_identifiers(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
+    """``path, line, column, name, role`` of the identifiers of each line that may be variables.
+
+    Left out are reserved words, members after a dot, keys of objects and classes, labels, and what
+    stands in strings, comments, template texts and regular expressions, also in those that began
+    lines before. ``role`` tells names that are written short (see ``functions.lexer``). Lines are
+    read by blocks, whose states at the start come from ``block_states``; no file is one task.
+    """
+    from symloom.functions.lexer import START, variable_names
+
+    rows = lines.select(F.col("path").cast("string").alias("path"), F.col("line").cast("int").alias("line"), "text", F.floor(F.col("line") / block).cast("int").alias("block"))
+    states = block_states(rows, block).select(F.col("path").alias("_path"), F.col("block").alias("_block"), "state", "stack", "after")
+    rows = rows.repartition("path", "block").join(states, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")), "left")
+    rows = rows.select("path", "block", "line", "text", "state", "stack", "after").repartition("path", "block").sortWithinPartitions("path", "block", "line")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "line", "column", "name", "role"])
 
-    rows = lines.select(F.col("path").cast("string").alias("path"), F.col("line").cast("int").alias("line"), "text")
-    return rows.mapInArrow(find, "path string, line int, column int, name string")
+        for (path, _), own in _whole_blocks(batches, 2):
+            _, _, state, stack, after = own[0]
+            out.extend((path, *x) for x in variable_names([(row, text or "") for row, text, *_ in own], state or START, stack or "", after))
+            if len(out) > 1 << 14:
+                yield told()
+        yield told()
 
+    return rows.mapInArrow(find, "path string, line int, column int, name string, role int")
 
-def tokens(lines: DataFrame, scopes: DataFrame, bindings: DataFrame) -> DataFrame:
-    """``path, line, column, name, scope_id, is_declaration`` of every identifier.
+
+def tokens(lines: DataFrame, scopes: DataFrame, bindings: DataFrame, names: DataFrame | None = None, block: int = BLOCK_LINES) -> DataFrame:
+    """``path, line, column, name, scope_id, is_declaration, role`` of every identifier.
 
     ``scope_id`` is the scope in which the identifier is declared: a declaration's own, else the
-    innermost one around it that declares the name, null if none does. Scopes nest, so the
-    declaring scopes of one name, sorted with its tokens by place, are a stack: partitions are
-    sorted by (path, name, place) and pass row by row, and no name's tokens meet all its scopes.
+    innermost one around it that declares the name, null if none does. With ``names(path, name)``
+    only these are looked at.
+
+    Scopes nest, so the declaring scopes of one name, sorted with its tokens by place, are a stack.
+    Rows are dealt by ranges of (path, name, place), so a name that stands in half of all lines is
+    many tasks: each resolves what its own scopes enclose and hands the scopes that are still open
+    at its end, as many as scopes nest, to the tasks that go on with the same name.
     """
-    far = F.struct((-F.col("end_row")).alias("a"), (-F.col("end_col")).alias("b"))
-    none, far_none = F.lit(None).cast("int"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    keys = ["path", "name", "row", "col"]
+    far = [(-F.col("end_row")).alias("far_a"), (-F.col("end_col")).alias("far_b")]
+    none, zero = F.lit(None).cast("int"), F.lit(0)
+    blank = [zero.alias("far_a"), zero.alias("far_b"), none.alias("end_row"), none.alias("end_col")]
     opens = bindings.select("path", "name", "scope_id").distinct().join(scopes.select("path", "scope_id", "start_row", "start_col", "end_row", "end_col"), ["path", "scope_id"])
-    opens = opens.select("path", "name", F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(0).alias("kind"), far.alias("far"), "end_row", "end_col", "scope_id")
-    marks = bindings.select("path", "name", F.col("line").alias("row"), F.col("column").alias("col"), F.lit(1).alias("kind"), far_none.alias("far"), none.alias("end_row"), none.alias("end_col"), F.coalesce("scope_id", F.lit("")).alias("scope_id"))
-    seen = line_identifiers(lines).select("path", "name", F.col("line").alias("row"), F.col("column").alias("col"), F.lit(2).alias("kind"), far_none.alias("far"), none.alias("end_row"), none.alias("end_col"), F.lit(None).cast("string").alias("scope_id"))
-    dealt = opens.unionByName(marks).unionByName(seen).repartition("path", "name").sortWithinPartitions("path", "name", "row", "col", "kind", "far", "scope_id")
+    opens = opens.select("path", "name", F.col("start_row").alias("row"), F.col("start_col").alias("col"), zero.alias("kind"), *far, "end_row", "end_col", "scope_id", zero.alias("role"))
+    marks = bindings.select("path", "name", F.col("line").alias("row"), F.col("column").alias("col"), F.lit(1).alias("kind"), *blank, F.coalesce("scope_id", F.lit("")).alias("scope_id"), zero.alias("role"))
+    seen = line_identifiers(lines, block).select("path", "name", F.col("line").alias("row"), F.col("column").alias("col"), F.lit(2).alias("kind"), *blank, F.lit(None).cast("string").alias("scope_id"), "role")
+    rows = opens.unionByName(marks).unionByName(seen)
+    if names is not None:
+        rows = rows.join(names.select("path", "name").distinct(), ["path", "name"], "left_semi")
+    # written, as dealing by ranges reads it twice
+    rows = materialize(rows.select("path", "name", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "kind", "far_a", "far_b", "end_row", "end_col", "scope_id", "role"), "marks")
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "kind", "far_a", "far_b", "scope_id")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, stack, mark = None, [], None
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        # what: token, token that waits for the tasks before, open scope at the end, the first place
+        key, first, stack, mark = None, None, [], None
         for batch in batches:
             out = []
-            for path, name, row, col, kind, end_row, end_col, scope in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6, 7, 8)), strict=True):
+            for path, name, row, col, kind, _, _, end_row, end_col, scope, role in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (path, name):
                     key, stack, mark = (path, name), [], None
+                if first is None:
+                    first = key
+                    out.append((part, "first", path, name, row, col, None, None, None, None, None))
                 while stack and stack[-1][0] <= (row, col):
                     stack.pop()
                 if kind == 0:
-                    stack.append(((end_row, end_col), scope))
+                    stack.append(((end_row, end_col), scope, (row, col)))
                 elif kind == 1:
                     mark = (row, col, scope)
                 elif mark is not None and mark[:2] == (row, col):
-                    out.append((path, row, col, name, mark[2], True))
+                    out.append((part, "token", path, name, row, col, None, None, mark[2], True, role))
+                elif stack:
+                    out.append((part, "token", path, name, row, col, None, None, stack[-1][1], False, role))
                 else:
-                    out.append((path, row, col, name, stack[-1][1] if stack else None, False))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "line", "column", "name", "scope_id", "is_declaration"])
-
-    return dealt.mapInArrow(resolve, "path string, line int, column int, name string, scope_id string, is_declaration boolean")
+                    out.append((part, "waits" if key == first else "token", path, name, row, col, None, None, None, False, role))
+            yield _resolved(out)
+        yield _resolved([(part, "open", *key, *start, *end, scope, None, None) for end, scope, start in stack])
+
+    found = materialize(dealt.mapInArrow(resolve, _RESOLVED), "resolved")
+    opened = found.where("what = 'open'").select(F.col("part").alias("_from"), "path", "name", F.struct("row", "col", (-F.col("end_row")).alias("a"), (-F.col("end_col")).alias("b"), "scope_id").alias("o"))
+    begins = found.where("what = 'first'").select("part", "path", "name", "row", "col")
+    after = F.struct(-F.col("o.a"), -F.col("o.b")) > F.struct("row", "col")
+    carried = begins.join(opened, ["path", "name"]).where((F.col("_from") < F.col("part")) & after)
+    carried = materialize(carried.groupBy(F.col("part").alias("_part")).agg(F.array_sort(F.collect_list("o")).alias("stack")), "carried")
+    waits = found.where("what = 'waits'").join(carried, F.col("part") == F.col("_part"), "left")
+    here = F.filter("stack", lambda o: F.struct(-o["a"], -o["b"]) > F.struct("row", "col"))
+    columns = ["path", F.col("row").alias("line"), F.col("col").alias("column"), "name"]
+    known = found.where("what = 'token'").select(*columns, "scope_id", "is_declaration", "role")
+    return known.unionByName(waits.select(*columns, F.try_element_at(here, F.lit(-1))["scope_id"].alias("scope_id"), "is_declaration", "role"))
+
+
+_RESOLVED = "part int, what string, path string, name string, row int, col int, end_row int, end_col int, scope_id string, is_declaration boolean, role int"
+
+
+def _resolved(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _RESOLVED.split(", ")]
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k.split()[1]]) for c, k in zip(columns, _RESOLVED.split(", "), strict=True)], names=names)
 
 
 def occurrences(lines: DataFrame, names: DataFrame) -> DataFrame:

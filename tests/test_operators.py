@@ -138,23 +138,35 @@ SCOPE = "path string, scope_id string, scope_seq int, scope_type string, start_r
 
 def rewritten(spark, text, renames, scopes=None, bindings=None):
     """Lines of one file after renames ``(symbol, line from 1 or None, new name)``."""
-    lines = text_lines(spark, text)
+    return rewritten_files(spark, [(text, renames)], scopes, bindings)[0]
+
+
+def rewritten_files(spark, cases, scopes=None, bindings=None):
+    """Lines of several files, each with its renames."""
+    path = lambda i: "f" if i == 0 else f"f{i}"
+    lines = S.explode_lines(spark.createDataFrame([(path(i), t) for i, (t, _) in enumerate(cases)], "path string, source string"))
     if scopes is None:
         bindings = E.extract_bindings(lines, ("variable",)).withColumn("binding_seq", F.col("line"))
         scopes = S.program_scopes(lines)
     tokens = E.tokens(lines, scopes, bindings)
-    given = spark.createDataFrame([("f", *r) for r in renames], "path string, symbol string, line int, new_name string")
-    return [r["text"] for r in K.apply_renames(lines, tokens, given).orderBy("line").collect()]
+    given = spark.createDataFrame([(path(i), *r) for i, (_, own) in enumerate(cases) for r in own], "path string, symbol string, line int, new_name string")
+    rows = K.apply_renames(lines, tokens, given).orderBy("line").collect()
+    return [[r["text"] for r in rows if r["path"] == path(i)] for i in range(len(cases))]
 
 
 def test_apply_renames(spark):
-    assert rewritten(spark, "var a = 1; console.log(a);", [("a", None, "value")]) == ["var value = 1; console.log(value);"]
-    assert rewritten(spark, "var a = 1;\nvar a = 2;\nconsole.log(a);", [("a", 2, "second_a")]) == ["var a = 1;", "var second_a = 2;", "console.log(second_a);"]
-    assert rewritten(spark, "var ab = 1; var abc = 2;", [("ab", None, "first")]) == ["var first = 1; var abc = 2;"]
-    assert rewritten(spark, "var a = 1; var b = 2; console.log(a + b);", [("a", None, "first"), ("b", None, "second")]) == ["var first = 1; var second = 2; console.log(first + second);"]
-    assert rewritten(spark, "var a = 1;", []) == ["var a = 1;"]
     odd = 'var a = {a: 1, b: a.a}; f("a", \'a\', a ? a : b); // a\nnothing'
-    assert rewritten(spark, odd, [("a", None, "x"), ("f", None, "call"), ("b", 9, "no")]) == ['var x = {a: 1, b: x.a}; call("a", \'a\', x ? x : b); // a', "nothing"]
+    cases = [
+        ("var a = 1; console.log(a);", [("a", None, "value")], ["var value = 1; console.log(value);"]),
+        ("var a = 1;\nvar a = 2;\nconsole.log(a);", [("a", 2, "second_a")], ["var a = 1;", "var second_a = 2;", "console.log(second_a);"]),
+        ("var ab = 1; var abc = 2;", [("ab", None, "first")], ["var first = 1; var abc = 2;"]),
+        ("var a = 1; var b = 2; console.log(a + b);", [("a", None, "first"), ("b", None, "second")], ["var first = 1; var second = 2; console.log(first + second);"]),
+        ("var a = 1;", [], ["var a = 1;"]),
+        (odd, [("a", None, "x"), ("f", None, "call"), ("b", 9, "no")], ['var x = {a: 1, b: x.a}; call("a", \'a\', x ? x : b); // a', "nothing"]),
+        ("var a = 1;\nf({a}); /* about\n a here */ g(`a ${a}\n a`, /a/);", [("a", None, "n")], ["var n = 1;", "f({a: n}); /* about", " a here */ g(`a ${n}", " a`, /a/);"]),
+        ("class C { a() {} }\nvar a = {a() {}, b: a};\nexport {a};", [("a", None, "n")], ["class C { a() {} }", "var n = {a() {}, b: n};", "export {n as a};"]),
+    ]
+    assert rewritten_files(spark, [c[:2] for c in cases]) == [c[2] for c in cases]
 
 
 def test_references_take_their_own_declaration(spark):

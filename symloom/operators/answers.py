@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symloom.functions.names import IDENTIFIER, NOT_A_NAME, is_obfuscated, is_valid_identifier, parse_rename_key
 from symloom.functions.text import answer_keys, classify_error, compact_prompt, extract_json
 from symloom.operators.indexes import name_counts, names_of_scope, scope_of_line
+from symloom.prefix import ranked
 from symloom.storage import materialize
 
 Naming = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -62,6 +62,13 @@ def split_invalid(renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     return renames.where(good).withColumn("new_name", F.btrim("new_name", F.lit(" \t\n\r\f\x0b"))), renames.where(~good)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``path, seq, key, new_name`` of ``(path, key, turn, new_name)``: places from 0 by ``turn``;
+    a file of many renames is many tasks."""
+    rows = ranked(rows, ["path"], ["turn"], "_place", "renames")
+    return rows.select("path", (F.col("_place") - 1).cast("long").alias("seq"), "key", "new_name")
+
+
 def normalize_keys(renames: DataFrame, counts: DataFrame) -> DataFrame:
     """``path, seq, key, new_name``: ``name:line`` becomes ``name`` where a name is declared once.
 
@@ -72,8 +79,7 @@ def normalize_keys(renames: DataFrame, counts: DataFrame) -> DataFrame:
     folded = F.when(F.col("k").isNull(), F.col("key")).when(F.col("n") == 1, F.col("k.name")).otherwise(F.col("key"))
     rows = rows.select("path", folded.alias("key"), F.struct(F.col("k").isNotNull().cast("int").alias("late"), "seq").alias("turn"), "new_name")
     best = rows.groupBy("path", "key").agg(F.min("turn").alias("turn"), F.min_by("new_name", "turn").alias("new_name"))
-    seq = F.row_number().over(W.partitionBy("path").orderBy("turn")) - 1
-    return best.select("path", seq.cast("long").alias("seq"), "key", "new_name")
+    return _numbered(best)
 
 
 def symbols_of_keys(renames: DataFrame) -> DataFrame:
@@ -91,8 +97,7 @@ def merge_renames(*parts: DataFrame) -> DataFrame:
         rows = p.select("path", F.struct(F.lit(i).alias("part"), F.col("seq").alias("seq")).alias("turn"), "key", "new_name")
         whole = rows if whole is None else whole.unionByName(rows)
     best = whole.groupBy("path", "key").agg(F.min("turn").alias("turn"), F.max_by("new_name", "turn").alias("new_name"))
-    seq = F.row_number().over(W.partitionBy("path").orderBy("turn")) - 1
-    return best.select("path", seq.cast("long").alias("seq"), "key", "new_name")
+    return _numbered(best)
 
 
 def _settle(names: list[str], blocked: set[str]) -> list[tuple[str | None, bool]]:

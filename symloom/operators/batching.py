@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symloom.functions.names import is_obfuscated
+from symloom.prefix import block_sums, ranked
 from symloom.storage import materialize
 
 FUNCTIONS = ["function", "arrow", "method"]
@@ -30,10 +31,12 @@ def scope_identifiers(bindings: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def prefix_chars(lines: DataFrame) -> DataFrame:
-    """``path, line, chars``: characters and newlines of a file up to and with a line."""
-    upto = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # narrow before the window: the text itself is not sorted
-    return lines.select("path", "line", (F.length("text") + 1).alias("n")).select("path", "line", F.sum("n").over(upto).alias("chars"))
+    """``path, line, chars``: characters and newlines of a file up to and with a line.
+
+    Summed by blocks of lines (``block_sums``): no file is one task, and the text is not sorted.
+    """
+    narrow = lines.select("path", "line", (F.length("text") + 1).alias("n"))
+    return block_sums(narrow, "path", "line", F.col("n"), "chars")
 
 
 def small_ranges(ranges: DataFrame, lines: DataFrame, max_chars: int, max_lines: int) -> DataFrame:
@@ -149,8 +152,10 @@ def singletons(ids: DataFrame, batch: str = "_single_") -> DataFrame:
 def order_batches(batches: DataFrame) -> DataFrame:
     """``batch_seq`` from 1 in each file: small scopes and small batches first, then from the top."""
     span = F.greatest(F.col("end_row") - F.col("start_row") + 1, F.lit(1))
-    order = W.partitionBy("path").orderBy(span, "n_identifiers", "start_row", "batch_id")
-    return batches.withColumn("batch_seq", F.row_number().over(order))
+    keys = batches.select("path", "batch_id", "n_identifiers", "start_row", span.alias("_span"))
+    # keys alone are dealt by ranges and numbered, so that a file of many batches is many tasks
+    places = ranked(keys, ["path"], ["_span", "n_identifiers", "start_row", "batch_id"], "batch_seq", "order")
+    return batches.join(places.select("path", "batch_id", "batch_seq"), ["path", "batch_id"])
 
 
 def merge_ids(merged: DataFrame, scopes: DataFrame) -> DataFrame:

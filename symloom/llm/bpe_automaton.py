@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symloom.llm.common import holds
 from symloom.llm.wordsplit import SPECIAL, ChunkCache, is_plain, letters
 
 END = "</w>"
@@ -240,6 +241,7 @@ def bpe_encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
+        holds("bpe", compiled.cache_clear)
         bpe = compiled(path)
         return pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
 
@@ -251,6 +253,7 @@ def bpe_decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
+        holds("bpe", compiled.cache_clear)
         bpe = compiled(path)
         return pa.array([bpe.decode(r or ()) for r in rows.to_pylist()], pa.string())
 
@@ -262,6 +265,7 @@ def bpe_digests(text: Column, path: str) -> Column:
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pa.Array) -> pa.Array:
+        holds("bpe", compiled.cache_clear)
         bpe = compiled(path)
         n, ids, decoded = [], [], []
         for t in texts:

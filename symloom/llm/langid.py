@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symloom.llm.common import holds
+
 #: Labelled documents of each language that a model is trained on, about, by a hash of doc_id.
 PER_LANG = 150
 BUCKETS = 1 << 15
@@ -220,6 +222,7 @@ def predict_column(docs: DataFrame, model: LanguageModel | None) -> Column:
 
     @F.arrow_udf(_TYPE)
     def predict(texts: pa.Array) -> pa.Array:
+        holds("langid", _PREDICTORS.clear)
         own = predictor(token, shared)
         rows = np.array([own.sums(t.as_py()) for t in texts]).reshape(len(texts), -1)
         p = own.model.chances(rows[:, :-1], rows[:, -1])

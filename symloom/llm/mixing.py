@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symloom.llm.common import has_name, materialize, n_words, running
+from symloom.llm.common import has_name, holds, materialize, n_words, running
 
 #: Words of a block.
 BLOCK = 256
@@ -163,6 +163,7 @@ def shard_words(start: Column, size: Column, block: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def words(start: pa.Array, size: pa.Array, blocks: pa.Array, step: pa.Array, shift: pa.Array, upto: pa.Array) -> pa.Array:
+        holds("mixing")
         own = [x.to_numpy(zero_copy_only=False) for x in (start, size, blocks, step, shift)]
         table = upto.flatten().to_numpy(zero_copy_only=False).reshape(len(upto), -1)
         out = words_of_shards(*own, table, block)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symloom.llm.common import holds
+
 #: Labelled documents that a list is learned from at most, by order of a hash of doc_id.
 SAMPLE = 4000
 #: Bad rows that a rule has to catch, in all and of those that it grows on.
@@ -78,6 +80,7 @@ _COUNT_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
 @F.arrow_udf(_COUNT_TYPE)
 def _counts(texts: pa.Array) -> pa.Array:
+    holds("quality")
     rows = np.array([text_counts(t.as_py()) for t in texts], np.int64).reshape(len(texts), len(COUNTS))
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(COUNTS))], list(COUNTS))
 

@@ -5,14 +5,14 @@ more. That is about 38 of 256 differing bits of a SimHash, more than keys of equ
 So sets meet in blocks if they share an anchor, the least shingle in one of eight orders (near sets
 share none with a chance of 0.2 ** 8 at most), a block is compared bit-sliced over 256-bit
 fingerprints within a wide radius (a near pair passes it but for a chance below 1e-4), and what
-passes is compared exactly, within the groups that it forms. Both steps cut blocks that are too
-large into parts, so that every two of their sets meet.
+passes is compared exactly, within the same blocks: whole sets meet by their first two anchors, and
+by the others only where a block still holds sets of different groups. Both steps cut blocks that
+are too large into parts, so that every two of their sets meet; no block is left out for its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symloom.llm.common import materialize
+from symloom.llm.common import holds, materialize
 from symloom.llm.simhash import PART, BitPlanes, connected_components, deal, keep_one, linked
 
 WIDTH = 5
@@ -31,6 +31,8 @@ SHARED, OF = 4, 5
 LONGS, RADIUS = 4, 72
 #: Orders of shingles whose least ones are anchors.
 ANCHORS = 8
+#: The anchors by which whole sets meet first: 24 of 25 near pairs share one of two.
+EARLY = 2
 #: Whole sets that are compared in one block, and bytes of sets that a task holds at once.
 SETS, HELD = 512, 1 << 26
 ROWS = 1 << 16
@@ -99,6 +101,7 @@ def _shingles(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StructType([T.StructField("sig", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("anchors", T.ArrayType(T.LongType()))]))
 def _prints(texts: pa.Array) -> pa.Array:
+    holds("similar")
     sets = [shingles_of(t.as_py()) for t in texts]
     sig = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets), np.uint64, len(sets)).view(np.int64)
     return pa.StructArray.from_arrays([pa.array(sig), _lists([fingerprint_of(s) for s in sets]), _lists([anchors_of(s) for s in sets])], ["sig", "fp", "anchors"])
@@ -109,24 +112,9 @@ def prints(text: Column) -> Column:
     return _prints(text)
 
 
-def block_keys(one: DataFrame, part: int = PART) -> DataFrame:
-    """``sig, fp, t, key``: the blocks of distinct sets ``(sig, fp, anchors)``.
-
-    One for each anchor; where more than ``part`` sets share one, as texts around a common passage
-    do, those with each other anchor too instead: near sets that share the one share another of
-    the seven but for a chance of 0.2 ** 7.
-    """
-    keys = one.select("sig", "fp", F.posexplode("anchors").alias("t", "key"))
-    hot = keys.groupBy("t", "key").count().where(F.col("count") > part).select(F.col("t").alias("_t"), F.col("key").alias("_key"))
-    hot = materialize(hot, "similar-hot")
-    if hot.isEmpty():
-        return keys
-    on = (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key"))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations(range(ANCHORS), 2)])
-    rows = one.select("sig", "fp", "anchors", F.posexplode("anchors").alias("t", "key")).join(hot, on, "left_semi")
-    both = rows.select("sig", "fp", "anchors", F.explode(F.filter(pairs, lambda p: (p["a"] == F.col("t")) | (p["b"] == F.col("t")))).alias("p"))
-    both = both.select("sig", "fp", (F.lit(ANCHORS) + F.col("p.a") * ANCHORS + F.col("p.b")).cast("int").alias("t"), F.xxhash64(F.get("anchors", F.col("p.a")), F.get("anchors", F.col("p.b"))).alias("key"))
-    return keys.join(hot, on, "left_anti").unionByName(both.dropDuplicates(["sig", "t"]))
+def block_keys(one: DataFrame) -> DataFrame:
+    """``sig, fp, t, key``: the blocks of distinct sets ``(sig, fp, anchors)``, one for each anchor."""
+    return one.select("sig", "fp", F.posexplode("anchors").alias("t", "key"))
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, held: int) -> Iterator[pa.Table]:
@@ -189,18 +177,20 @@ def close_links(keys: DataFrame, part: int = PART) -> DataFrame:
     return deal(keys, "sig", part).mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_links(groups: DataFrame, part: int = SETS) -> DataFrame:
-    """Links ``(a, b)``, a > b, that join what near sets of one group ``(sig, t, key, s)`` join.
+def near_links(blocks: DataFrame, part: int = SETS) -> DataFrame:
+    """Links ``(a, b)``, a > b, that join what near sets of one block ``(sig, t, key, fp, g, s)`` join.
 
-    Pairs that are joined already in their block are passed over, as are those beyond the radius.
+    Pairs of one group ``g``, or joined already in their block, are passed over, as are those beyond
+    the radius.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("similar")
         for table in whole_blocks(batches, _BLOCK, ROWS, HELD):
             bucket, lists = _buckets(table, _BLOCK), table.column("s").combine_chunks()
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *lists.value_lengths().to_pylist()])
             sets = [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            sig, c, root = table.column("sig").to_numpy(), table.column("c").to_numpy(), np.arange(table.num_rows)
+            sig, c, g, root = table.column("sig").to_numpy(), table.column("c").to_numpy(), table.column("g").to_numpy(), np.arange(table.num_rows)
             cross = table.column("lo").to_numpy() != table.column("hi").to_numpy()
             planes = BitPlanes(_columns(table, "fp"))
 
@@ -214,7 +204,9 @@ def near_links(groups: DataFrame, part: int = SETS) -> DataFrame:
                 same = bucket[:-lag] == bucket[lag:]
                 if not same.any():
                     break
-                same &= ~cross[:-lag] | (c[:-lag] != c[lag:])
+                same &= (~cross[:-lag] | (c[:-lag] != c[lag:])) & (g[:-lag] != g[lag:])
+                if not same.any():
+                    continue
                 for i in planes.within(lag, same, RADIUS).tolist():
                     a, b = find(i), find(i + lag)
                     if a != b and is_near(sets[i], sets[i + lag]):
@@ -224,7 +216,25 @@ def near_links(groups: DataFrame, part: int = SETS) -> DataFrame:
             a, b = sig[moved], sig[up[moved]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return deal(groups, "sig", part).mapInArrow(compare, "a long, b long").distinct()
+    return deal(blocks, "sig", part).mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
+def shared_blocks(wanted: DataFrame, groups: DataFrame | None, first: int, last: int, name: str) -> DataFrame:
+    """``sig, t, key, g``: sets of ``wanted(sig, root, anchors)`` in the blocks of anchors ``first`` to
+    ``last`` in which sets of different groups meet; written.
+
+    A block is one anchor within what the radius has joined; ``groups(node, root)`` are the groups
+    so far, without it each set is its own.
+    """
+    own = wanted.select("sig", F.col("root").alias("_root"), F.posexplode(F.slice("anchors", first + 1, last - first)).alias("t", "anchor"))
+    own = own.select("sig", "t", F.xxhash64("_root", "anchor").alias("key"))
+    if groups is None:
+        own = own.withColumn("g", F.col("sig"))
+    else:
+        own = own.join(groups.select("node", "root"), F.col("sig") == F.col("node"), "left").select("sig", "t", "key", F.coalesce("root", "sig").alias("g"))
+    own = materialize(own, name)
+    mixed = own.groupBy("t", "key").agg(F.min("g").alias("_a"), F.max("g").alias("_b")).where("_a <> _b").select(F.col("t").alias("_t"), F.col("key").alias("_key"))
+    return materialize(own.join(mixed, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key")), "left_semi"), name)
 
 
 def similar_groups(docs: DataFrame, name: str = "similar", part: int = PART, sets: int = SETS) -> DataFrame:
@@ -235,16 +245,24 @@ def similar_groups(docs: DataFrame, name: str = "similar", part: int = PART, set
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), prints(F.col("text")).alias("p"))
     rows = materialize(rows.select("doc_id", "digest", "p.*"), name)
-    one = materialize(rows.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.min("digest").alias("digest")), name)
-    close = materialize(connected_components(close_links(block_keys(one, part), part), name), name)
+    # one text of each set, named by doc_id and digest: of a text that stands there a thousand times one row
+    some = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "digest")).alias("d")
+    one = materialize(rows.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), some), name)
+    close = materialize(connected_components(close_links(block_keys(one), part), name), name)
+    wanted = materialize(one.join(close, F.col("sig") == F.col("node")).select("sig", "fp", "anchors", "root", F.col("d.doc").alias("_doc"), F.col("d.digest").alias("_digest")), name)
     # whole sets of those that have a close one, made anew from one of their texts
-    wanted = materialize(one.join(close, F.col("sig") == F.col("node")).select("sig", "fp", "root", F.col("digest").alias("_digest")), name)
-    texts = docs.select("text", F.xxhash64("text").alias("digest")).join(wanted, F.col("digest") == F.col("_digest"))
-    # copies of one text are one row before sets are made
-    found = texts.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("root").alias("key"), F.first("text").alias("text"))
-    groups = materialize(found.select("sig", F.lit(0).alias("t"), "key", "fp", _shingles("text").alias("s")), name)
-    nodes = materialize(connected_components(near_links(groups, sets), name), name)
-    return rows.join(nodes, F.col("sig") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "sig").alias("group"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    names = wanted.select(F.col("sig").alias("_sig"), F.col("fp").alias("_fp"), "_doc", "_digest")
+    texts = keyed.join(names, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    whole = materialize(texts.select("_sig", "_fp", _shingles("text").alias("s")), name)
+    links, groups = None, None
+    for first, last in ((0, EARLY), (EARLY, ANCHORS)):
+        blocks = shared_blocks(wanted, groups, first, last, name)
+        found = blocks.join(whole, F.col("sig") == F.col("_sig")).select("sig", "t", "key", "g", F.col("_fp").alias("fp"), "s")
+        new = materialize(near_links(found, sets), name)
+        links = new if links is None else links.unionByName(new)
+        groups = materialize(connected_components(links, name), name)
+    return rows.join(groups, F.col("sig") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "sig").alias("group"))
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:

@@ -67,12 +67,16 @@ def classify_error(message: Column) -> Column:
     return F.when(message.isNull(), None).when(~has(TOO_LONG), "too_long").when(~has(FATAL), "fatal").when(~has(RETRYABLE), "retryable").otherwise("skip")
 
 
+# Seconds before the second attempt, at most, of jitter, and the bounds of a provider's hint.
+FIRST_DELAY, MOST_DELAY, JITTER, HINTS = 1.5, 60.0, 0.8, (1.0, 120.0)
+
+
 def request_delay(attempt: Column, hint: Column | None = None, jitter: bool = True) -> Column:
     """Seconds before a request is tried again; a provider's hint is clamped to 1 to 120."""
-    own = F.least(F.lit(60.0), F.lit(1.5) * F.pow(F.lit(2.0), attempt - 1))
+    own = F.least(F.lit(MOST_DELAY), F.lit(FIRST_DELAY) * F.pow(F.lit(2.0), attempt - 1))
     if jitter:
-        own = own + F.rand() * 0.8
-    return own if hint is None else F.when(hint.isNotNull(), F.least(F.lit(120.0), F.greatest(F.lit(1.0), hint.cast("double")))).otherwise(own)
+        own = own + F.rand() * JITTER
+    return own if hint is None else F.when(hint.isNotNull(), F.least(F.lit(HINTS[1]), F.greatest(F.lit(HINTS[0]), hint.cast("double")))).otherwise(own)
 
 
 def round_delay(streak: Column) -> Column:

@@ -890,10 +890,10 @@ def _ords(text: str) -> str:
 _FAILED = f"{_ords('path || batch_id')} % 7 = 0"
 
 
-@query(f"SELECT path, batch_id, 1 AS attempt, {_FAILED} AS failed FROM ({_chunks_sql()}) c GROUP BY path, batch_id")
+@query(f"SELECT path, batch_id, CASE WHEN {_FAILED} THEN 3 ELSE 1 END AS attempt, {_FAILED} AS failed FROM ({_chunks_sql()}) c GROUP BY path, batch_id")
 def dispatch(t: Tables) -> DataFrame:
     requests = K.build_requests(_chunks(t), t.lines(), _referred(t))
-    got = A.dispatch(requests, name_by_rule, 8)
+    got = A.dispatch(requests, name_by_rule, 8, attempts=3, pace=0.01)
     return got.select("path", "batch_id", "attempt", F.col("error").isNotNull().alias("failed"))
 
 
@@ -916,7 +916,7 @@ def rename_round(t: Tables) -> DataFrame:
     from symloom.jobs.rounds import rename_round as one_round
 
     bindings = materialize(E.attach_references(t.fine_bindings(), t.references()), "referred")
-    got = one_round(_batches(t), t.lines(), bindings, D.renamable_symbols(bindings), name_by_rule, concurrency=8, n=8)
+    got = one_round(_batches(t), t.lines(), bindings, D.renamable_symbols(bindings), name_by_rule, concurrency=8, n=8, attempts=2, pace=0.01)
     return got.renames.withColumnRenamed("key", "rename_key")
 
 

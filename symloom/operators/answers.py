@@ -3,40 +3,42 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions.names import IDENTIFIER, NOT_A_NAME, is_obfuscated, is_valid_identifier, parse_rename_key
 from symloom.functions.text import answer_keys, classify_error, compact_prompt, extract_json
+from symloom.operators.attempts import ATTEMPTS, Naming, with_attempts
 from symloom.operators.indexes import name_counts, names_of_scope, scope_of_line
 from symloom.prefix import ranked
 from symloom.storage import materialize
 
-Naming = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 #: Suffixes that are tried before a clash counts as unresolved.
 MOST_SUFFIXES = 10000
 IDENTIFIER_PATTERN = re.compile(IDENTIFIER)
 
 
-def dispatch(requests: DataFrame, fn: Naming, concurrency: int, max_size: int = 32000) -> DataFrame:
+def dispatch(requests: DataFrame, fn: Naming, concurrency: int, max_size: int = 32000, attempts: int = ATTEMPTS, pace: float = 1.0) -> DataFrame:
     """Ask the naming function: ``(path, batch_id, attempt, body, error)`` of each request.
 
-    ``fn`` maps frames of requests to frames ``path, batch_id, body, error``. As many partitions
-    ask at once as ``concurrency`` says. Answers are written before anything reads them, so none
-    is asked for twice; requests that were too long are asked once more with compact limits.
+    ``fn`` maps frames of requests to frames ``path, batch_id, body, error`` and, where a provider
+    gives it, ``retry_after``. As many partitions ask at once as ``concurrency`` says. An answer that
+    may be tried again is, up to ``attempts`` times, when it is due (``with_attempts``). Answers are
+    written before anything reads them, so none is asked for twice; requests that were too long
+    are asked once more with compact limits.
     """
-    answer = "path string, batch_id string, body string, error string"
-    first = materialize(requests.repartition(concurrency).mapInPandas(fn, answer), "answers")
-    again = first.where(classify_error(F.col("error")) == "too_long").select("path", "batch_id")
-    short = requests.join(again, ["path", "batch_id"], "left_semi").withColumn("_c", compact_prompt(F.col("context"), F.col("snippets"), max_size))
+    asking, answer = with_attempts(fn, attempts, pace), "path string, batch_id string, body string, error string, asked int"
+    first = materialize(requests.repartition(concurrency).mapInPandas(asking, answer), "answers")
+    again = first.where(classify_error(F.col("error")) == "too_long").select("path", "batch_id", F.col("asked").alias("_before"))
+    short = requests.join(again, ["path", "batch_id"]).withColumn("_c", compact_prompt(F.col("context"), F.col("snippets"), max_size))
     short = short.withColumn("context", F.col("_c.context")).withColumn("snippets", F.col("_c.snippets")).drop("_c")
-    second = materialize(short.repartition(concurrency).mapInPandas(fn, answer), "answers")
-    kept = first.join(again, ["path", "batch_id"], "left_anti").withColumn("attempt", F.lit(1))
-    return kept.unionByName(second.withColumn("attempt", F.lit(2))).select("path", "batch_id", "attempt", "body", "error")
+    second = materialize(short.drop("_before").repartition(concurrency).mapInPandas(asking, answer), "answers")
+    second = second.join(again, ["path", "batch_id"]).withColumn("attempt", F.col("asked") + F.col("_before"))
+    kept = first.join(again, ["path", "batch_id"], "left_anti").withColumn("attempt", F.col("asked"))
+    columns = ["path", "batch_id", "attempt", "body", "error"]
+    return kept.select(*columns).unionByName(second.select(*columns))
 
 
 def filter_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:

@@ -80,15 +80,15 @@ def large_scope_context(requests: DataFrame, lines: DataFrame, max_lines: int =
     return _block(rows.join(lines, ["path", "line"]), ["path", "batch_id"], numbered_line(F.col("line"), F.col("text")), "context")
 
 
-def symbol_references(symbols: DataFrame, bindings: DataFrame, lines: DataFrame, most: int | None = None) -> DataFrame:
+def symbol_references(symbols: DataFrame, bindings: DataFrame, lines: DataFrame, most: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """``path, name, line, place, ref_line``: where a declared name is referred to, in order.
 
     ``symbols(path, name, line)``. The binding's own references, or, where it has none, the other
-    lines in which the name occurs; ``place`` counts from 1.
+    lines in which the name occurs (by ``index``, if there is one); ``place`` counts from 1.
     """
     known = symbols.join(binding_references(bindings), ["path", "name", "line"], "left")
     own = known.where("reference_lines is not null").select("path", "name", "line", F.explode("reference_lines").alias("ref_line"))
-    seen = known.where("reference_lines is null").select("path", "name", "line").join(occurrences(lines, symbols).withColumnRenamed("line", "ref_line"), ["path", "name"]).where("ref_line <> line")
+    seen = known.where("reference_lines is null").select("path", "name", "line").join(occurrences(lines, symbols, index).withColumnRenamed("line", "ref_line"), ["path", "name"]).where("ref_line <> line")
     rows = own.unionByName(seen)
     rows = rows.withColumn("place", F.row_number().over(W.partitionBy("path", "name", "line").orderBy("ref_line")))
     return rows if most is None else rows.where(F.col("place") <= most)
@@ -140,31 +140,90 @@ def reference_preview(symbols: DataFrame, bindings: DataFrame, lines: DataFrame,
     return out.withColumn("reference_texts", F.coalesce("reference_texts", F.array().cast("array<string>")))
 
 
-def build_requests(batches: DataFrame, lines: DataFrame, bindings: DataFrame, max_lines: int = 200, max_size: int = 32000) -> DataFrame:
+def _near(center: Column, radius: int) -> Column:
+    """Line numbers around a line, from 0."""
+    return F.sequence(F.greatest(center - radius, F.lit(0)), center + radius)
+
+
+def request_lines(batches: DataFrame, references: DataFrame, max_lines: int = 200, around: int = 20) -> DataFrame:
+    """``path, batch_id, role, place, part, center, line``: every line that a request shows.
+
+    ``batches`` with ``n_lines`` of their files; ``references(path, batch_id, place, refs)`` of
+    top-level symbols, at most ten each, in order. Role 0 is the context (see
+    ``small_scope_context``, ``large_scope_context``, ``global_context``), role 1 the snippet of the
+    symbol at ``place``, role 2 that of a top-level one: its declaration (part 0) and the first three
+    references. Line numbers come from arrays of one batch or symbol, so nothing is sorted here.
+    """
+    top, alone = F.col("scope_type") == "program", (F.col("scope_type") == "program") & (F.size("identifiers") == 1)
+    ends = lambda own: F.filter(own, lambda x: x < F.col("n_lines"))
+    small = _between(F.greatest(F.col("start_row") - PADDING, F.lit(0)), F.least(F.col("end_row") + PADDING, F.col("n_lines")))
+    near = F.flatten(F.transform("identifiers", lambda i: F.sequence(F.greatest(i["line"] - around, F.lit(0)), i["line"] + (around - 1))))
+    large = F.slice(F.array_sort(F.array_distinct(ends(near))), 1, max_lines)
+    shown = F.when(F.col("end_row") - F.col("start_row") + 1 <= max_lines, small).otherwise(large)
+    none, zero = F.lit(None).cast("int"), F.lit(0)
+    scoped = batches.where(~alone).select("path", "batch_id", zero.alias("role"), zero.alias("place"), zero.alias("part"), none.alias("center"), F.explode(shown).alias("line"))
+    ids = batches.select("path", "batch_id", "n_lines", top.alias("top"), alone.alias("alone"), F.posexplode("identifiers").alias("place", "i"))
+    ids = ids.select("path", "batch_id", "n_lines", "top", "alone", "place", F.col("i.line").alias("own"))
+    inner = ids.where("not top").select("path", "batch_id", F.lit(1).alias("role"), "place", zero.alias("part"), F.col("own").alias("center"), F.explode(_near(F.col("own"), 3)).alias("line"))
+    known = ids.where("top").join(references, ["path", "batch_id", "place"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<int>")))
+    # declaration first, then the references in order: each line once, as far as there is room
+    turns = F.array_distinct(ends(F.concat(_near(F.col("own"), 12), F.flatten(F.transform("refs", lambda r: _near(r, 2))))))
+    lone = known.where("alone").select("path", "batch_id", zero.alias("role"), "place", zero.alias("part"), none.alias("center"), F.explode(F.slice(turns, 1, max_lines)).alias("line"))
+    parts = known.select("path", "batch_id", "place", F.posexplode(F.concat(F.array("own"), F.slice("refs", 1, 3))).alias("part", "center"))
+    outer = parts.select("path", "batch_id", F.lit(2).alias("role"), "place", "part", "center", F.explode(_near(F.col("center"), 3)).alias("line"))
+    return scoped.unionByName(inner).unionByName(lone).unionByName(outer)
+
+
+def build_requests(batches: DataFrame, lines: DataFrame, bindings: DataFrame, max_lines: int = 200, max_size: int = 32000, index: DataFrame | None = None) -> DataFrame:
     """Request rows of batches: symbols, their lines (from 1; the last one of a name), context by
-    the kind and size of the scope, snippets, all within the size limits."""
-    batches = materialize(batches, "batches")
-    ids = batches.select("path", "batch_id", "scope_type", F.size("identifiers").alias("n"), F.posexplode("identifiers").alias("place", "i")).select("path", "batch_id", "scope_type", "n", "place", F.col("i.name").alias("name"), F.col("i.line").alias("line"))
-    symbol = ids.where("scope_type = 'program' and n = 1")
-    top = ids.where("scope_type = 'program'").select("path", "name", "line").distinct()
-    # looked up once, for contexts and snippets
-    references = materialize(symbol_references(top, bindings, lines, 10), "references")
-    single = symbol.select("path", "name", "line").distinct()
-    alone = global_context(single, bindings, lines, max_lines, references=references.join(single, ["path", "name", "line"], "left_semi")).join(symbol, ["path", "name", "line"]).select("path", "batch_id", "context")
-    rest = batches.where((F.col("scope_type") != "program") | (F.size("identifiers") != 1))
-    contexts = alone.unionByName(small_scope_context(rest, lines, max_lines)).unionByName(large_scope_context(rest, lines, max_lines))
-    inner = ids.where("scope_type <> 'program'")
-    snippets = inner.join(line_snippets(inner, lines, clip=500), ["path", "line"]).select("path", "batch_id", "place", "name", "line", "snippet")
-    snippets = snippets.unionByName(ids.where("scope_type = 'program'").join(global_snippets(top, bindings, lines, references=references), ["path", "name", "line"]).select("path", "batch_id", "place", "name", "line", "snippet"))
+    the kind and size of the scope, snippets, all within the size limits.
+
+    All lines that requests show, for contexts and snippets alike, are one narrow table, which meets
+    the text in one join and is put together again by request.
+    """
+    batches = materialize(batches.join(file_ends(lines), "path"), "batches")
+    top = batches.where("scope_type = 'program'").select("path", "batch_id", F.posexplode("identifiers").alias("place", "i")).select("path", "batch_id", "place", F.col("i.name").alias("name"), F.col("i.line").alias("line"))
+    found = symbol_references(top.select("path", "name", "line").distinct(), bindings, lines, 10, index)
+    found = found.groupBy("path", "name", "line").agg(F.array_sort(F.collect_list(F.struct("place", "ref_line"))).alias("r")).select("path", "name", "line", F.transform("r", lambda x: x["ref_line"]).alias("refs"))
+    references = materialize(top.join(found, ["path", "name", "line"]).select("path", "batch_id", "place", "refs"), "references")
+    wanted = materialize(request_lines(batches, references, max_lines), "wanted")
+    shown = wanted.join(lines.select("path", "line", "text"), ["path", "line"]).repartition("path", "batch_id")
+    # contexts and the snippets of a scope's own names are clipped, those of top-level names are not
+    text = numbered_line(F.col("line"), F.col("text"))
+    here = F.col("line") == F.col("center")
+    text = F.when(F.col("role") == 0, text).when(F.col("role") == 1, _marked(text, here)).otherwise(_marked(numbered_line(F.col("line"), F.col("text"), 0), here))
+    # both groupings read what one exchange by request has dealt
+    block = F.transform(F.array_sort(F.collect_list(F.struct("line", text.alias("t")))), lambda x: x["t"])
+    blocks = shown.groupBy("path", "batch_id", "role", "place", "part").agg(F.max("center").alias("center"), F.array_join(block, "\n").alias("block"))
+    key = F.when(F.col("role") == 0, F.lit(-1)).otherwise(F.col("place") * 4 + F.col("part"))
+    own = blocks.groupBy("path", "batch_id").agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct("center", "block")))).alias("blocks"))
+    alone = (F.col("scope_type") == "program") & (F.size("identifiers") == 1)
+    heads = batches.join(references.where("place = 0").select("path", "batch_id", "refs"), ["path", "batch_id"], "left")
+    heads = heads.select("path", "batch_id", "scope_id", "scope_type", F.col("start_row").alias("range_start_row"), F.col("end_row").alias("range_end_row"), alone.alias("alone"), "identifiers", "refs")
+    out = heads.join(own, ["path", "batch_id"])
+    name = lambda i: F.get("identifiers", i)["name"]
+    at = lambda k: F.try_element_at("blocks", k)
+    listed = F.nullif(F.array_join(F.transform(F.array_sort("refs"), lambda x: (x + 1).cast("string")), ", "), F.lit(""))
+    header = F.concat(F.lit("Global symbol: "), name(F.lit(0)), F.lit("\nDeclaration line: "), (F.get("identifiers", F.lit(0))["line"] + 1).cast("string"), F.lit("\nReference lines: "), F.coalesce(listed, F.lit("none")), F.lit("\n"))
+    body = F.coalesce(at(F.lit(-1))["block"], F.lit(""))
+    context = F.when(F.col("alone"), F.concat(header, body)).otherwise(body)
+
+    def snippet(place: Column) -> Column:
+        titled = lambda p: F.when(p == 0, F.lit("Declaration:\n")).otherwise(F.concat(F.lit("Reference "), p.cast("string"), F.lit(" (line "), (at(place * 4 + p)["center"] + 1).cast("string"), F.lit("):\n")))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.concat(titled(p), at(place * 4 + p)["block"]))
+        outer = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n\n")
+        return F.coalesce(F.when(F.col("scope_type") == "program", outer).otherwise(at(place * 4)["block"]), F.lit(""))
+
+    places = F.sequence(F.lit(0), F.size("identifiers") - 1)
     # a name that stands twice in a batch keeps its first place and its last line and snippet
-    one = snippets.groupBy("path", "batch_id", "name").agg(F.min("place").alias("place"), F.max_by(F.struct((F.col("line") + 1).alias("line"), "snippet"), "place").alias("s"))
-    rows = F.array_sort(F.collect_list(F.struct("place", "name", "s")))
-    own = one.groupBy("path", "batch_id").agg(rows.alias("r"))
-    own = own.select("path", "batch_id", F.transform("r", lambda x: x["name"]).alias("symbols"), F.map_from_entries(F.transform("r", lambda x: F.struct(x["name"], x["s"]["line"]))).alias("symbol_lines"), F.map_from_entries(F.transform("r", lambda x: F.struct(x["name"], x["s"]["snippet"]))).alias("snippets"))
-    head = batches.select("path", "batch_id", "scope_id", "scope_type", F.col("start_row").alias("range_start_row"), F.col("end_row").alias("range_end_row"))
-    out = head.join(own, ["path", "batch_id"]).join(contexts, ["path", "batch_id"], "left")
-    limited = limit_prompt(F.coalesce("context", F.lit("")), F.col("snippets"), max_size)
-    return out.withColumn("_l", limited).select("path", "batch_id", "scope_id", "scope_type", "range_start_row", "range_end_row", "symbols", "symbol_lines", F.col("_l.context").alias("context"), F.col("_l.snippets").alias("snippets"))
+    first = F.filter(places, lambda p: F.array_position(F.transform("identifiers", lambda i: i["name"]), name(p)) == p + 1)
+    last = F.transform(first, lambda p: F.array_max(F.filter(places, lambda q: name(q) == name(p))))
+    symbols = F.transform(first, name)
+    symbol_lines = F.map_from_arrays(symbols, F.transform(last, lambda q: F.get("identifiers", q)["line"] + 1))
+    snippets = F.map_from_arrays(symbols, F.transform(last, snippet))
+    keep = ["path", "batch_id", "scope_id", "scope_type", "range_start_row", "range_end_row"]
+    out = out.select(*keep, symbols.alias("symbols"), symbol_lines.alias("symbol_lines"), limit_prompt(context, snippets, max_size).alias("_l"))
+    return out.select(*keep, "symbols", "symbol_lines", F.col("_l.context").alias("context"), F.col("_l.snippets").alias("snippets"))
 
 
 def select_round(batches: DataFrame, remaining: DataFrame, n: int) -> DataFrame:
@@ -219,6 +278,16 @@ def rewrite_lines(lines: DataFrame, hits: DataFrame) -> DataFrame:
     return lines.join(changed, ["path", "line"], "left").select("path", "line", F.when(F.col("h").isNull(), text).otherwise(rebuilt).alias("text"))
 
 
+def changed_lines(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """``path, line`` of the lines that other hits rewrite than before, or rewrite otherwise."""
+    columns = ["path", "line", "column", "new_name"]
+    now = after.select(*columns).distinct()
+    if before is None:
+        return now.select("path", "line").distinct()
+    old = before.select(*columns).distinct()
+    return now.join(old, columns, "left_anti").unionByName(old.join(now, columns, "left_anti")).select("path", "line").distinct()
+
+
 def apply_renames(lines: DataFrame, tokens: DataFrame, renames: DataFrame) -> DataFrame:
     """Lines with their identifiers renamed; see ``token_renames`` for who takes which name."""
     return rewrite_lines(lines, token_renames(tokens, renames))

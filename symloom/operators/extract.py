@@ -228,14 +228,30 @@ def _resolved(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k.split()[1]]) for c, k in zip(columns, _RESOLVED.split(", "), strict=True)], names=names)
 
 
-def occurrences(lines: DataFrame, names: DataFrame) -> DataFrame:
+def line_names(lines: DataFrame) -> DataFrame:
+    """An inverted index: ``path, name, line`` of every identifier, each line once.
+
+    Rows lie by (path, name), sorted, so that written files hold runs of one name with rising lines,
+    which Parquet stores as differences.
+    """
+    cut = lines.select("path", "line", F.explode(identifiers(F.col("text"))).alias("name"))
+    return cut.select("path", "name", "line").repartition("path", "name").sortWithinPartitions("path", "name", "line")
+
+
+def updated_names(index: DataFrame, lines: DataFrame, changed: DataFrame) -> DataFrame:
+    """The index after some lines have changed: only ``changed(path, line)`` are cut anew."""
+    kept = index.join(changed, ["path", "line"], "left_anti").select("path", "name", "line")
+    return kept.unionByName(line_names(lines.join(changed, ["path", "line"], "left_semi")))
+
+
+def occurrences(lines: DataFrame, names: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``path, name, line`` wherever one of ``names(path, name)`` occurs as an identifier.
 
-    Each line is cut into identifiers once; the join is on (path, name), so names that stand in
-    every file meet only their own file's lines.
+    Each line is cut into identifiers once, or not at all where ``index`` has them; the join is on
+    (path, name), so names that stand in every file meet only their own file's lines.
     """
-    tokens = lines.select("path", "line", F.explode(identifiers(F.col("text"))).alias("name"))
-    return tokens.join(names.select("path", "name").distinct(), ["path", "name"], "left_semi").select("path", "name", "line")
+    cut = lines.select("path", "line", F.explode(identifiers(F.col("text"))).alias("name")) if index is None else index
+    return cut.join(names.select("path", "name").distinct(), ["path", "name"], "left_semi").select("path", "name", "line")
 
 
 def binding_references(bindings: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom import schemas
+from symloom.sources import statelog
 
 
 def read_sources(spark: SparkSession, root: str, pattern: str = "*.js") -> DataFrame:
@@ -64,10 +65,24 @@ def flatten_parse(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scopes, bindings
 
 
+def read_parse_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, scopes, error`` of every file of a folder of parser output, one JSON object a file.
+
+    A file that is no JSON object, empty ones too, has null scopes and an error; every file has a
+    row. An object without scopes has an empty map, as the parser's own reader takes it.
+    """
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(root)
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("_text"))
+    rows = rows.withColumn("_p", F.from_json("_text", schemas.SCOPE_JSON))
+    object_ = F.coalesce(F.schema_of_variant(F.try_parse_json("_text")).startswith("OBJECT"), F.lit(False))
+    scopes = F.when(object_, F.coalesce("_p.scopes", F.create_map().cast(rows.schema["_p"].dataType["scopes"].dataType)))
+    return rows.select("path", scopes.alias("scopes"), F.when(~object_, F.lit("parser output is not a JSON object")).alias("error"))
+
+
 def read_parse_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Scopes and bindings of a folder of parser output, one JSON object a file."""
-    files = spark.read.schema(schemas.SCOPE_JSON).option("multiLine", True).option("recursiveFileLookup", True).json(root)
-    return flatten_parse(files.select(F.col("_metadata.file_path").alias("path"), "scopes"))
+    """Scopes and bindings of a folder of parser output; for files that cannot be read there are
+    none (``read_parse_files`` tells which, ``parse_or_pattern`` reads their sources by pattern)."""
+    return flatten_parse(read_parse_files(spark, root).where("error is null").select("path", "scopes"))
 
 
 def output_path(path: Column, root: Column | None = None, out: Column | None = None) -> Column:
@@ -82,8 +97,9 @@ def write_sources(files: DataFrame) -> int:
     """Write every ``path, source`` as a file of that name, by the tasks that hold the rows.
 
     Paths are those of a file system that Arrow knows (a local or shared folder, or a URI such as
-    ``hdfs://`` or ``s3://``). A file is written beside its place and moved there, so that a task
-    that is run again leaves a whole file; of rows that share a path one stays. Returns the files.
+    ``hdfs://`` or ``s3://``). A file is written to a folder ``_parts`` beside its place and moved
+    there, so that a task that is run again leaves a whole file; of rows that share a path one
+    stays. Returns the files.
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +107,10 @@ def write_sources(files: DataFrame) -> int:
         for batch in batches:
             for path, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, place = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path.removeprefix("file:"))
-                system.create_dir(place.rpartition("/")[0], recursive=True)
-                beside = f"{place}.{uuid.uuid4().hex}.part"
+                folder, _, name = place.rpartition("/")
+                # a folder that no reader of sources enters; what a failed task leaves stays there
+                system.create_dir(f"{folder}/_parts", recursive=True)
+                beside = f"{folder}/_parts/{name}.{uuid.uuid4().hex}"
                 with system.open_output_stream(beside) as f:
                     f.write((source or "").encode("utf-8", "surrogatepass"))
                 system.move(beside, place)
@@ -120,7 +138,10 @@ def newest_state(state: DataFrame) -> DataFrame:
 
 def read_state(spark: SparkSession, folder: str) -> DataFrame:
     """The newest readable checkpoint of each input file; unreadable rows count as absent, as does
-    a folder that is not there."""
+    a folder that is not there. The folder has JSON lines or a log (``statelog``)."""
+    if statelog.versions(spark, folder):
+        names = [c.split()[0] for c in spark.createDataFrame([], schemas.STATE).columns]
+        return statelog.read_log(spark, folder).select(*names)
     try:
         spark.read.format("text").load(folder).schema  # noqa: B018
     except AnalysisException:

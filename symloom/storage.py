@@ -36,3 +36,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def whole_folders(spark: SparkSession, folder: str) -> list[str]:
+    """Sub-folders that a finished write has marked; none if the folder is not there."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    marks = system.globStatus(context._jvm.org.apache.hadoop.fs.Path(path, "*/_SUCCESS"))
+    return sorted(m.getPath().getParent().toString() for m in marks or [])
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a written table; only where nothing that is still to run reads it."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-The seats of the mix are blocks of equally many words. Sources take seats in the order of the
-quotients ``target / (2 k + 1)``; as the order of seats does not depend on their number, the mix is
-cut into shards along it, and every shard has an integer quota of every source. A source's
-documents, put in a seeded order, are a line of words cut into blocks; its seats, shard after
-shard, take blocks in a seeded permutation, again and again until the quotas are used.
+A source's documents, put in a seeded order, are a line of words that is cut into equal blocks of
+at most ``BLOCK`` words: as few as that takes, so blocks of a source differ by one word at most, and
+a source of a few words is one small block. Sources take blocks in the order of the quotients
+``(target / words of a block) / (2 k + 1)``; as this order does not depend on the number of seats, the
+mix is cut into shards along it, and every shard has an integer quota of every source. A source's
+seats, shard after shard, take blocks in a seeded permutation, again and again until the quotas are
+used.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 
 from symloom.llm.common import has_name, holds, materialize, n_words, running
 
-#: Words of a block.
+#: Words of a block at most.
 BLOCK = 256
 #: No source, and so no document, is taken more often than this.
 MOST = 3
@@ -98,13 +100,20 @@ class Quota:
         return self.upto[-1]
 
 
+def n_blocks(size: int, block: int = BLOCK) -> int:
+    """Blocks that a source of so many words is cut into."""
+    return -(-size // block)
+
+
 def shard_quotas(sizes: dict[str | None, int], shards: int = SHARDS, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[dict[str | None, int]]:
     """Integer quotas of each shard of the mix; seats are cut in the order of their quotients."""
     goal = targets(sizes, weights, most)
-    sources, limits = list(goal), [most * -(-sizes[s] // block) for s in goal]
-    total, before, out = round(sum(goal.values()) / block), [0] * len(goal), []
+    sources, limits = list(goal), [most * n_blocks(sizes[s], block) for s in goal]
+    # seats that a source wants: its target by the words of its blocks
+    wanted = [goal[s] * n_blocks(sizes[s], block) / max(1, sizes[s]) for s in sources]
+    total, before, out = round(sum(wanted)), [0] * len(goal), []
     for m in range(1, shards + 1):
-        upto = apportion([goal[s] for s in sources], total * m // shards, limits)
+        upto = apportion(wanted, total * m // shards, limits)
         out.append({s: b - a for s, a, b in zip(sources, before, upto, strict=True)})
         before = upto
     return out
@@ -115,7 +124,7 @@ def plan(sizes: dict[str | None, int], block: int = BLOCK, seed: int = SEED, sha
     goal, quotas = targets(sizes, weights, most), shard_quotas(sizes, shards, block, weights, most)
     out = []
     for i, s in enumerate(goal):
-        blocks = -(-sizes[s] // block)
+        blocks = n_blocks(sizes[s], block)
         m = max(1, blocks)
         step = (seed * 2654435761 + i * 40503 + 12345) % m or 1
         while math.gcd(step, m) > 1:
@@ -135,19 +144,30 @@ def quota_table(spark: SparkSession, quotas: list[Quota]) -> DataFrame:
     return spark.createDataFrame(rows, "q_source string, source_size long, target double, upto array<long>, blocks long, step long, shift long")
 
 
-def words_of_shards(start: np.ndarray, size: np.ndarray, blocks: np.ndarray, step: np.ndarray, shift: np.ndarray, upto: np.ndarray, block: int) -> np.ndarray:
+def times_modulo(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``a * b % m`` of numbers below 2 ** 40, whose product need not fit a long."""
+    high = a % m * (b >> 20) % m
+    return ((high << 20) % m + a % m * (b & 0xFFFFF)) % m
+
+
+def words_of_shards(start: np.ndarray, size: np.ndarray, source_size: np.ndarray, blocks: np.ndarray, step: np.ndarray, shift: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """Words that each shard (columns) takes of each document (rows)."""
     out = np.zeros((len(start), upto.shape[1] - 1), np.int64)
     some = np.flatnonzero(size > 0)
-    start, size, blocks, step, shift, upto = (x[some] for x in (start, size, blocks, step, shift, upto))
-    first = start // block
-    n = (start + size - 1) // block - first + 1
+    start, size, source_size, blocks, step, shift, upto = (x[some] for x in (start, size, source_size, blocks, step, shift, upto))
+    # the first ``longer`` blocks of a source have one word more than the others
+    words, longer = source_size // np.maximum(blocks, 1), source_size % np.maximum(blocks, 1)
+    split = longer * (words + 1)
+    at = lambda x: np.where(x < split, x // (words + 1), longer + (x - split) // np.maximum(words, 1))
+    first = at(start)
+    n = at(start + size - 1) - first + 1
     row = np.repeat(np.arange(len(some)), n)
     begins = np.cumsum(n) - n
     j = first[row] + np.arange(len(row)) - begins[row]
-    inside = np.minimum(start[row] + size[row], (j + 1) * block) - np.maximum(start[row], j * block)
+    edge = lambda k: k * words[row] + np.minimum(k, longer[row])
+    inside = np.minimum(start[row] + size[row], edge(j + 1)) - np.maximum(start[row], edge(j))
     # block j's turn in the permutation: the seats turn, turn + blocks, ... take it
-    turn = (j % blocks[row] * step[row] + shift[row]) % blocks[row]
+    turn = (times_modulo(j, step[row], blocks[row]) + shift[row]) % blocks[row]
     for m in range(out.shape[1] if len(some) else 0):
         # of the first x seats as many as there are numbers p with p * blocks + turn < x
         upper, lower = (np.maximum((upto[row, k] - turn + blocks[row] - 1) // blocks[row], 0) for k in (m + 1, m))
@@ -155,22 +175,22 @@ def words_of_shards(start: np.ndarray, size: np.ndarray, blocks: np.ndarray, ste
     return out
 
 
-def shard_words(start: Column, size: Column, block: int) -> Column:
+def shard_words(start: Column, size: Column) -> Column:
     """Words that each shard takes of a document that stands at ``start`` of its source's line.
 
-    Reads the columns ``upto, blocks, step, shift`` of its source's quota.
+    Reads the columns ``source_size, blocks, step, shift, upto`` of its source's quota.
     """
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def words(start: pa.Array, size: pa.Array, blocks: pa.Array, step: pa.Array, shift: pa.Array, upto: pa.Array) -> pa.Array:
+    def words(start: pa.Array, size: pa.Array, source_size: pa.Array, blocks: pa.Array, step: pa.Array, shift: pa.Array, upto: pa.Array) -> pa.Array:
         holds("mixing")
-        own = [x.to_numpy(zero_copy_only=False) for x in (start, size, blocks, step, shift)]
+        own = [x.to_numpy(zero_copy_only=False) for x in (start, size, source_size, blocks, step, shift)]
         table = upto.flatten().to_numpy(zero_copy_only=False).reshape(len(upto), -1)
-        out = words_of_shards(*own, table, block)
+        out = words_of_shards(*own, table)
         ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
-    return words(start, size, F.col("blocks"), F.col("step"), F.col("shift"), F.col("upto"))
+    return words(start, size, *[F.col(c) for c in ("source_size", "blocks", "step", "shift", "upto")])
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shards: int = SHARDS, name: str = "mix") -> DataFrame:
@@ -189,7 +209,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shards:
     sizes = {r["source"]: int(r["n"]) for r in lines.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     quotas = quota_table(spark, plan(sizes, block, seed, shards))
     joined = lines.join(quotas, lines["source"].eqNullSafe(quotas["q_source"]))
-    rows = joined.withColumn("shard_taken", shard_words(F.col("before"), F.col("size"), block))
+    rows = joined.withColumn("shard_taken", shard_words(F.col("before"), F.col("size")))
     taken = F.aggregate("shard_taken", F.lit(0).cast("long"), lambda a, b: a + b)
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard_taken", "digest")
 

@@ -4,11 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
-from symloom.llm.mixing import apportion, mix_documents, mixed, plan, shard_quotas, shard_words, targets
+from symloom.llm.mixing import apportion, mix_documents, mixed, n_blocks, plan, shard_quotas, shard_words, targets, times_modulo
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,19 +82,21 @@ def test_shards_take_their_quotas(docs, rows):
     sizes = {s: sum(r["size"] for r in own) for s, own in lines.items()}
     quotas = {q.source: q for q in plan(sizes, block, shards=shards)}
     goal = targets(sizes)
-    total, seats, shard_of = round(sum(goal.values()) / block), dict.fromkeys(goal, 0), {s: [] for s in goal}
+    # what a source wants, in blocks of its own size
+    want = {s: goal[s] * n_blocks(sizes[s], block) / max(1, sizes[s]) for s in goal}
+    total, seats, shard_of = round(sum(want.values())), dict.fromkeys(goal, 0), {s: [] for s in goal}
     for seat in range(total):
         open_ones = [s for s in goal if seats[s] < 3 * -(-sizes[s] // block) and goal[s] > 0]
         if not open_ones:
             break
-        s = max(open_ones, key=lambda s: goal[s] / (2 * seats[s] + 1))
+        s = max(open_ones, key=lambda s: want[s] / (2 * seats[s] + 1))
         seats[s] += 1
         shard_of[s].append(next(m for m in range(shards) if seat < total * (m + 1) // shards))
     for s, own in lines.items():
         q = quotas[s]
         assert q.seats == seats[s] and [shard_of[s].count(m) for m in range(shards)] == [b - a for a, b in zip(q.upto, q.upto[1:], strict=False)]
         at = {(q.step * j + q.shift) % max(1, q.blocks): j for j in range(q.blocks)}
-        inside = [min(block, sizes[s] - j * block) for j in range(q.blocks)]
+        inside = [sizes[s] // q.blocks + (j < sizes[s] % q.blocks) for j in range(q.blocks)]
         by_shard = [sum(inside[at[k % q.blocks]] for k, m in enumerate(shard_of[s]) if m == x) for x in range(shards)]
         assert [sum(r["shard_taken"][m] for r in own) for m in range(shards)] == by_shard
         assert all(sum(r["shard_taken"]) == r["taken"] and min(r["shard_taken"]) >= 0 for r in own)
@@ -103,14 +105,42 @@ def test_shards_take_their_quotas(docs, rows):
 @pytest.mark.parametrize("at", range(0, 64, 5))
 def test_words_of_one_document(spark, at):
     """Each word's block and its turns, by going through all seats."""
-    block, size, blocks, step, shift, upto = 8, 21, 11, 7, 4, [0, 3, 3, 19, 25]
+    whole, size, blocks, step, shift, upto = 86, 21, 11, 7, 4, [0, 3, 3, 19, 25]
+    block_of = [j for j in range(blocks) for _ in range(whole // blocks + (j < whole % blocks))]
     want = [0] * 4
     for word in range(at, at + size):
-        turn = (word // block % blocks * step + shift) % blocks
+        turn = (block_of[word] * step + shift) % blocks
         for m in range(4):
             want[m] += sum(1 for seat in range(upto[m], upto[m + 1]) if seat % blocks == turn)
-    df = spark.createDataFrame([(at, size, blocks, step, shift, upto)], "before long, size long, blocks long, step long, shift long, upto array<long>")
-    assert df.select(shard_words(F.col("before"), F.col("size"), block).alias("w")).first()["w"] == want
+    df = spark.createDataFrame([(at, size, whole, blocks, step, shift, upto)], "before long, size long, source_size long, blocks long, step long, shift long, upto array<long>")
+    assert df.select(shard_words(F.col("before"), F.col("size")).alias("w")).first()["w"] == want
+
+
+def test_products_beyond_a_long():
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(m), rnd.randrange(m), m) for m in (rnd.randrange(1, 1 << 40) for _ in range(500))]
+    a, b, m = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    assert times_modulo(a, b, m).tolist() == [x * y % z for x, y, z in rows]
+
+
+@pytest.mark.parametrize(("seed", "large"), [(1, 20000), (2, 3000), (3, 0)])
+def test_small_sources_come_near_their_targets(spark, seed, large):
+    """Sources of 1 to 1000 words: within one block or one document of the target."""
+    rnd = random.Random(seed)
+    sizes = {"a": [100], "b": [300], "c": [10], "d": [1], "e": [rnd.randint(1, 1000)], "f": [7] * 30, "g": [rnd.randint(1, 40) for _ in range(9)], "z": [200] * (large // 200)}
+    rows = [(i * 100 + k, " ".join(["w"] * n), s) for i, (s, own) in enumerate(sizes.items()) for k, n in enumerate(own)]
+    got = mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken: Counter = Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    goal = {r["source"]: r["target"] for r in got}
+    for s, own in sizes.items():
+        if own:
+            block = -(-sum(own) // n_blocks(sum(own)))
+            assert abs(taken[s] - goal[s]) <= max(block, max(own)), (s, taken[s], goal[s])
+    if large == 20000:
+        assert (taken["a"], taken["c"], taken["d"]) == (300, 30, 3) and abs(taken["b"] - 900) <= 150
 
 
 def test_twins_share_their_copies(spark):

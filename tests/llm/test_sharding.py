@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symloom.llm.common import running
-from symloom.llm.sharding import RACK, REGION, SHARD, grow, node_draw, place, shard_documents, shard_tree
+from symloom.llm.sharding import grow, place, shard_documents, shard_draw, shard_tree
 
 
 def placed(spark, n, *trees):
@@ -18,59 +18,59 @@ def placed(spark, n, *trees):
     return rows.collect()
 
 
-@pytest.mark.parametrize("n", [1, 4, 5, 8, 16])
-def test_one_more_shard_takes_rows_only_into_itself(spark, n):
-    rows = placed(spark, 3000, shard_tree(n), grow(shard_tree(n)))
-    assert all(r["t1"]["shard"] in (r["t0"]["shard"], n) for r in rows)
-    grown = Counter(r["t1"]["shard"] for r in rows)
-    assert all(0.7 < grown[s] * (n + 1) / 3000 < 1.3 for s in range(n + 1))
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    """For every number of shards to 40, in the tree of one more, and grown as a region."""
+    rows = spark.range(1500)
+    for n in range(1, 42):
+        rows = place(rows, "id", shard_tree(n)).select("id", *[c for c in rows.columns if c != "id"], F.col("shard").alias(f"n{n}"))
+    rows = rows.collect()
+    for n in range(1, 41):
+        assert all(r[f"n{n + 1}"] in (r[f"n{n}"], n) for r in rows)
+        shares = Counter(r[f"n{n}"] for r in rows)
+        assert all(abs(shares[s] - 1500 / n) < 5 * (1500 / n) ** 0.5 + 1 for s in range(n))
+    grown = placed(spark, 1500, shard_tree(16), grow(shard_tree(16)), shard_tree(17))
+    assert all(r["t1"]["shard"] == r["t2"]["shard"] for r in grown)
 
 
-def test_levels_draw_by_themselves(spark):
-    """Plain descents: each level's least draw below the winner of the level above."""
+@pytest.mark.parametrize("n", [1, 7, 16, 39])
+def test_grown_shard_is_the_placing_of_one_more(spark, docs, n):
+    of = lambda r: (str(r["doc_id"]), r["text_crc32"])
+    now, more = shard_documents(docs, n).collect(), shard_documents(docs, n + 1).collect()
+    assert {(*of(r), r["grown_shard"]) for r in now} == {(*of(r), r["shard"]) for r in more}
+
+
+def test_every_level_takes_its_least_draw(spark):
+    """Plain descents: nodes draw the least of their shards' draws; shares go by weight."""
     weights = [1.0 + s % 3 for s in range(16)]
     tree = shard_tree(16, weights=weights)
+    draws = spark.range(800).select("id", *[shard_draw(F.col("id"), F.lit(s), F.lit(weights[s])).alias(str(s)) for s in range(16)]).collect()
+
+    def descend(draw):
+        rack = lambda shards: min(draw[s] for s in shards)
+        region = min(tree, key=lambda g: min(map(rack, tree[g].values())))
+        name = min(tree[region], key=lambda r: rack(tree[region][r]))
+        return region, name, min(tree[region][name], key=lambda s: draw[s])
 
-    def descend(draws):
-        of = lambda level, rows: min((draws[level, n], n) for n in rows)[1]
-        region = of(REGION, tree)
-        rack = of(RACK, tree[region])
-        return region, rack, of(SHARD, tree[region][rack])
-
-    names = [(REGION, g, sum(sum(x.values()) for x in racks.values())) for g, racks in tree.items()]
-    names += [(RACK, r, sum(x.values())) for racks in tree.values() for r, x in racks.items()]
-    names += [(SHARD, s, w) for racks in tree.values() for x in racks.values() for s, w in x.items()]
-    draws = spark.range(500).select("id", *[node_draw(F.col("id"), level, F.lit(n), F.lit(w)).alias(str(i)) for i, (level, n, w) in enumerate(names)]).collect()
-    want = {r["id"]: descend({(level, n): r[str(i)] for i, (level, n, _) in enumerate(names)}) for r in draws}
-    assert {r["id"]: tuple(r["t0"]) for r in placed(spark, 500, tree)} == want
+    want = {r["id"]: descend([r[str(s)] for s in range(16)]) for r in draws}
+    assert {r["id"]: tuple(r["t0"]) for r in placed(spark, 800, tree)} == want
     shares = Counter(x[0] for x in want.values())
-    assert abs(shares["region0"] / 500 - sum(weights[:8]) / sum(weights)) < 0.08
+    assert abs(shares["region0"] / 800 - sum(weights[:8]) / sum(weights)) < 0.06
 
 
-def test_movement_stays_in_changed_subtrees(spark):
-    """A heavier shard: other regions only lose keys to its region, other racks of the region only
-    to its rack, other shards of the rack only to it; a lighter one the other way round."""
+def test_movement_stays_with_changed_weights(spark):
+    """A heavier shard takes keys from all, a lighter one gives them away; nothing else moves."""
     weights = [1.0] * 16
     more = [*weights]
     more[5] = 3.0
     rows = placed(spark, 4000, shard_tree(16, weights=weights), shard_tree(16, weights=more))
     moved = [r for r in rows if r["t0"] != r["t1"]]
-    assert moved
-    for a, b in [(r["t0"], r["t1"]) for r in moved]:
-        if a["region"] != b["region"]:
-            assert b["region"] == "region0"
-        elif a["rack"] != b["rack"]:
-            assert a["region"] == "region0" and b["rack"] == "rack1"
-        else:
-            assert a["rack"] == "rack1" and b["shard"] == 5
+    assert moved and all(tuple(r["t1"]) == ("region0", "rack1", 5) for r in moved)
     share = sum(r["t1"]["shard"] == 5 for r in rows) / len(rows)
     assert 0.13 < share < 0.2  # 3 of 18
     none = [*weights]
     none[0] = 0.0
     rows = placed(spark, 4000, shard_tree(16, weights=weights), shard_tree(16, weights=none))
-    for a, b in [(r["t0"], r["t1"]) for r in rows if r["t0"] != r["t1"]]:
-        assert a["region"] == "region0" and (a["region"] != b["region"] or a["rack"] == "rack0")
-        assert a["rack"] != b["rack"] or a["shard"] == 0
+    assert all(r["t0"]["shard"] == 0 for r in rows if r["t0"] != r["t1"])
     assert all(r["t1"]["shard"] != 0 for r in rows)
 
 

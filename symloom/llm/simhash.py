@@ -186,6 +186,9 @@ def linked(fingerprints: np.ndarray, bucket: np.ndarray, side: np.ndarray | None
             break
         if side is not None:
             same &= side[:-lag] != side[lag:]
+        same &= root[:-lag] != root[lag:]  # what is joined already is not compared
+        if not same.any():
+            continue
         near = planes.within(lag, same, radius)
         near = near[root[near] != root[near + lag]]
         if len(near):

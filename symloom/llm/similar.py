@@ -2,17 +2,20 @@
 
 Two texts are near if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
 more. That is about 38 of 256 differing bits of a SimHash, more than keys of equal bits can search.
-So sets meet in blocks if they share an anchor, the least shingle in one of eight orders (near sets
-share none with a chance of 0.2 ** 8 at most), a block is compared bit-sliced over 256-bit
-fingerprints within a wide radius (a near pair passes it but for a chance below 1e-4), and what
-passes is compared exactly, within the same blocks: whole sets meet by their first two anchors, and
-by the others only where a block still holds sets of different groups. Both steps cut blocks that
-are too large into parts, so that every two of their sets meet; no block is left out for its size.
+So sets meet in blocks if they share two anchors, the least shingles in two of eight orders: near
+sets share two with a chance of 1 - 9e-5 at least, while texts around a common passage, which has a
+tenth of their words, share a given two with a chance of a hundredth. A block is compared
+bit-sliced over 256-bit fingerprints within a wide radius (a near pair passes it but for a chance
+below 1e-4), and what passes is compared exactly, within blocks of the same kind: whole sets meet
+by three disjoint pairs of anchors first, and by the others only where a block still holds sets of
+different groups. Blocks of any size are treated alike; those that are too large for a task are
+cut into parts, so that every two of their sets meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,11 @@ SHARED, OF = 4, 5
 LONGS, RADIUS = 4, 72
 #: Orders of shingles whose least ones are anchors.
 ANCHORS = 8
-#: The anchors by which whole sets meet first: 24 of 25 near pairs share one of two.
-EARLY = 2
+#: Pairs of anchors that are keys; the first four share none.
+PAIRS = [(0, 1), (2, 3), (4, 5), (6, 7)]
+PAIRS += [p for p in combinations(range(ANCHORS), 2) if p not in PAIRS]
+#: The pairs by which whole sets meet first: 19 of 20 near pairs share one of three.
+EARLY = 3
 #: Whole sets that are compared in one block, and bytes of sets that a task holds at once.
 SETS, HELD = 512, 1 << 26
 ROWS = 1 << 16
@@ -112,9 +118,19 @@ def prints(text: Column) -> Column:
     return _prints(text)
 
 
-def block_keys(one: DataFrame) -> DataFrame:
-    """``sig, fp, t, key``: the blocks of distinct sets ``(sig, fp, anchors)``, one for each anchor."""
-    return one.select("sig", "fp", F.posexplode("anchors").alias("t", "key"))
+def pair_keys(anchors: Column, first: int = 0, last: int = len(PAIRS)) -> Column:
+    """Array of the keys of anchors: a hash of each pair from number ``first`` to before ``last``."""
+    return F.array(*[F.xxhash64(F.get(anchors, F.lit(a)), F.get(anchors, F.lit(b))) for a, b in PAIRS[first:last]])
+
+
+def block_keys(one: DataFrame, name: str = "similar") -> DataFrame:
+    """``sig, fp, t, key``: the blocks of distinct sets ``(sig, fp, anchors)``, one for each pair of
+    anchors that several sets share. Most sets share none: keys are counted before fingerprints
+    are put to them."""
+    keys = one.select("sig", F.posexplode(pair_keys(F.col("anchors"))).alias("t", "key"))
+    shared = keys.groupBy("t", "key").count().where(F.col("count") > 1).select(F.col("t").alias("_t"), F.col("key").alias("_key"))
+    kept = materialize(keys.join(shared, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key")), "left_semi"), name)
+    return kept.join(one.select(F.col("sig").alias("_sig"), "fp"), F.col("sig") == F.col("_sig")).select("sig", "fp", "t", "key")
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, held: int) -> Iterator[pa.Table]:
@@ -204,7 +220,7 @@ def near_links(blocks: DataFrame, part: int = SETS) -> DataFrame:
                 same = bucket[:-lag] == bucket[lag:]
                 if not same.any():
                     break
-                same &= (~cross[:-lag] | (c[:-lag] != c[lag:])) & (g[:-lag] != g[lag:])
+                same &= (~cross[:-lag] | (c[:-lag] != c[lag:])) & (g[:-lag] != g[lag:]) & (root[:-lag] != root[lag:])
                 if not same.any():
                     continue
                 for i in planes.within(lag, same, RADIUS).tolist():
@@ -220,14 +236,14 @@ def near_links(blocks: DataFrame, part: int = SETS) -> DataFrame:
 
 
 def shared_blocks(wanted: DataFrame, groups: DataFrame | None, first: int, last: int, name: str) -> DataFrame:
-    """``sig, t, key, g``: sets of ``wanted(sig, root, anchors)`` in the blocks of anchors ``first`` to
+    """``sig, t, key, g``: sets of ``wanted(sig, root, anchors)`` in the blocks of pairs ``first`` to
     ``last`` in which sets of different groups meet; written.
 
-    A block is one anchor within what the radius has joined; ``groups(node, root)`` are the groups
-    so far, without it each set is its own.
+    A block is one pair of anchors within what the radius has joined; ``groups(node, root)`` are the
+    groups so far, without it each set is its own.
     """
-    own = wanted.select("sig", F.col("root").alias("_root"), F.posexplode(F.slice("anchors", first + 1, last - first)).alias("t", "anchor"))
-    own = own.select("sig", "t", F.xxhash64("_root", "anchor").alias("key"))
+    own = wanted.select("sig", F.col("root").alias("_root"), F.posexplode(pair_keys(F.col("anchors"), first, last)).alias("t", "pair"))
+    own = own.select("sig", "t", F.xxhash64("_root", "pair").alias("key"))
     if groups is None:
         own = own.withColumn("g", F.col("sig"))
     else:
@@ -248,7 +264,7 @@ def similar_groups(docs: DataFrame, name: str = "similar", part: int = PART, set
     # one text of each set, named by doc_id and digest: of a text that stands there a thousand times one row
     some = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "digest")).alias("d")
     one = materialize(rows.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), some), name)
-    close = materialize(connected_components(close_links(block_keys(one), part), name), name)
+    close = materialize(connected_components(close_links(block_keys(one, name), part), name), name)
     wanted = materialize(one.join(close, F.col("sig") == F.col("node")).select("sig", "fp", "anchors", "root", F.col("d.doc").alias("_doc"), F.col("d.digest").alias("_digest")), name)
     # whole sets of those that have a close one, made anew from one of their texts
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
@@ -256,7 +272,7 @@ def similar_groups(docs: DataFrame, name: str = "similar", part: int = PART, set
     texts = keyed.join(names, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     whole = materialize(texts.select("_sig", "_fp", _shingles("text").alias("s")), name)
     links, groups = None, None
-    for first, last in ((0, EARLY), (EARLY, ANCHORS)):
+    for first, last in ((0, EARLY), (EARLY, len(PAIRS))):
         blocks = shared_blocks(wanted, groups, first, last, name)
         found = blocks.join(whole, F.col("sig") == F.col("_sig")).select("sig", "t", "key", "g", F.col("_fp").alias("fp"), "s")
         new = materialize(near_links(found, sets), name)

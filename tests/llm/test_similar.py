@@ -90,7 +90,7 @@ def changed(rnd, own, n):
 
 
 def test_near_sets_meet_and_pass():
-    """Pairs just above the similarity share an anchor and lie within the radius; others do not."""
+    """Pairs just above the similarity share two anchors and lie within the radius; others do not."""
     rnd, near, met, far = random.Random(5), 0, 0, 0
     for i in range(600):
         own = [f"w{rnd.random()}" for _ in range(rnd.choice([14, 40, 120, 400]))]
@@ -100,7 +100,7 @@ def test_near_sets_meet_and_pass():
         distance = lambda x, y: sum(int(p ^ q).bit_count() for p, q in zip(S.fingerprint_of(x).tolist(), S.fingerprint_of(y).tolist(), strict=True))
         if S.is_near(a, b):
             near += 1
-            met += bool((S.anchors_of(a) == S.anchors_of(b)).any()) and distance(a, b) <= S.RADIUS
+            met += (S.anchors_of(a) == S.anchors_of(b)).sum() >= 2 and distance(a, b) <= S.RADIUS
         far += len(own) > 14 and distance(a, other) <= S.RADIUS
     assert near > 200 and met == near and far < 20
 

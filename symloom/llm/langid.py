@@ -3,9 +3,9 @@
 A text's vector is the mean of the embeddings of its words' hashed character n-grams; a linear
 layer and a softmax give the languages' chances. Embeddings and layer are trained together by
 stochastic gradient descent on a bounded sample of labelled documents; a parameter's steps shrink
-with the gradients it has had, so that neither frequent nor rare subwords run away. A temperature fitted on
-held-back rows calibrates the chances, and a threshold from the same rows rejects what none of
-the languages explains. As everything after the embeddings is linear, a word is worth one row of
+with the gradients it has had, so that neither frequent nor rare subwords run away. A temperature
+fitted on short windows of held-back rows calibrates the chances, and a threshold that parts known
+from left-out languages rejects what none of the languages explains. As everything after the embeddings is linear, a word is worth one row of
 sums, which is what predictions add up.
 """
 
@@ -29,6 +29,13 @@ PER_LANG = 150
 BUCKETS = 1 << 15
 DIM = 16
 UNKNOWN = "und"
+#: Words of the windows that the temperature is fitted on, and of those that the threshold sees
+#: beside whole texts.
+SHORT, PART = 4, 12
+#: Share of held-back rows and windows of known languages that has to pass at least.
+PASS = 0.999
+#: Groups of languages that are left out in turn at most, and windows a language these models learn from.
+FOLDS, FOLD_WINDOWS = 8, 400
 #: Words that a worker's cache holds before it starts anew.
 CACHE = 1 << 18
 _LETTERS = regex.compile(r"\p{L}+")
@@ -62,29 +69,11 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 4, rate: float = 0.1, batch: int = 16) -> LanguageModel | None:
-    """A model of (text, lang) rows; None without any usable row.
-
-    All words of a row are learned from, in windows. Every fifth row calibrates, as a whole text,
-    which is what predictions see. With one language every text with a letter is of it.
-    """
-    langs = sorted({lang for _, lang in examples})
-    if not langs:
-        return None
-    index = {lang: i for i, lang in enumerate(langs)}
-    fit, held, whole = [], [], []
-    for k, (text, lang) in enumerate(examples):
-        own = window_ids(text)
-        if own and k % 5 == 4:
-            held.append((np.concatenate(own), index[lang]))
-        elif own:
-            fit.extend((ids, index[lang]) for ids in own)
-            whole.append((len(fit) - len(own), len(fit), index[lang]))
-    if not fit:
-        return None
+def _fitted(fit: list[tuple[np.ndarray, int]], n_langs: int, seed: int, epochs: int, rate: float, batch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's embedding times the layer, and the bias, by gradient descent on windows."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    layer, bias = np.zeros((len(langs), DIM), np.float32), np.zeros(len(langs), np.float32)
+    layer, bias = np.zeros((n_langs, DIM), np.float32), np.zeros(n_langs, np.float32)
     # sums of squared gradients: of each bucket's row, of the layer and the bias
     seen, seen_layer, seen_bias = np.full(BUCKETS, 1e-10, np.float32), np.full_like(layer, 1e-6), np.full_like(bias, 1e-6)
     done, total = 0, epochs * len(fit)
@@ -115,22 +104,69 @@ def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 4, rate:
             emb[unique] -= step * slopes / np.sqrt(seen[unique])[:, None]
             done += len(rows)
     emb[seen <= np.float32(1e-10)] = 0  # subwords that no row has speak for no language
-    model = LanguageModel(langs, emb @ layer.T, bias.astype(np.float64), 1.0, 0.0)
-    check = held or [(np.concatenate([ids for ids, _ in fit[a:b]]), y) for a, b, y in whole]
-    sums = np.array([model.rows[ids].sum(axis=0) for ids, _ in check], np.float64)
-    n, y = np.array([len(ids) for ids, _ in check]), np.array([k for _, k in check])
+    return emb @ layer.T, bias.astype(np.float64)
+
+
+def _sums(model: LanguageModel, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([model.rows[x].sum(axis=0) for x in ids], np.float64).reshape(len(ids), -1), np.array([len(x) for x in ids])
+
+
+def train(examples: list[tuple[str, str]], seed: int = 1, epochs: int = 4, rate: float = 0.1, batch: int = 16) -> LanguageModel | None:
+    """A model of (text, lang) rows; None without any usable row.
+
+    All words of a row are learned from, in windows. Every fifth row calibrates, whole and in short
+    windows: the temperature makes the chances of windows of ``SHORT`` words true, as whole rows are
+    nearly all certain. For the threshold, languages are left out in turn: what a model without
+    them says of their held-back rows is what an unknown language looks like, and the threshold is
+    the median of that, but lets nearly all held-back rows and windows of known languages pass
+    (``PASS``). Of text that is further from all languages than they are from each other less
+    passes. With two languages none can be left out: what is a third of the way from a guess to
+    certainty passes; with one every text with a letter is of it.
+    """
+    langs = sorted({lang for _, lang in examples})
+    if not langs:
+        return None
+    index = {lang: i for i, lang in enumerate(langs)}
+    fit, held = [], []
+    for k, (text, lang) in enumerate(examples):
+        own, y = window_ids(text), index[lang]
+        if own and k % 5 == 4:
+            held.append((text, y))
+        elif own:
+            fit.extend((ids, y) for ids in own)
+    if not fit:
+        return None
+    rows, bias = _fitted(fit, len(langs), seed, epochs, rate, batch)
+    model = LanguageModel(langs, rows, bias, 1.0, 0.0)
+    held = held or [(text, index[lang]) for text, lang in examples if window_ids(text)]
+    short = [(ids, y) for text, y in held for ids in window_ids(text, SHORT)]
+    sums, n = _sums(model, [ids for ids, _ in short])
+    y = np.array([k for _, k in short])
 
     def loss(t: float) -> float:
         model.temperature = t
         return float(-np.log(np.maximum(model.chances(sums, n)[np.arange(len(y)), y], 1e-12)).mean())
 
-    # rows that are all told apart would ask for ever sharper chances
-    model.temperature = min(np.geomspace(0.25, 8, 40).tolist(), key=loss)
-    best = model.chances(sums, n).max(axis=1)
-    # nearly all known text has to pass, and all that is a third of the way from a guess (one of
-    # the languages has at least that chance) to certainty; with four languages that is one half
+    model.temperature = min(np.geomspace(1 / 16, 16, 65).tolist(), key=loss)
+    best = lambda m, texts, size: m.chances(*_sums(m, [ids for t in texts for ids in window_ids(t, size)])).max(axis=1)
+    texts = [t for t, _ in held]
+    parts, whole = best(model, texts, PART), best(model, texts, 1 << 30)
+    most = min(float(np.quantile(whole, 1 - PASS)), float(np.quantile(parts, 1 - PASS)))
+    unknown = []
+    folds = min(len(langs), FOLDS) if len(langs) > 2 else 0
+    for f in range(folds):
+        kept = [k for k in range(len(langs)) if k % folds != f]
+        place = {k: i for i, k in enumerate(kept)}
+        some = [(ids, place[k]) for ids, k in fit if k in place]
+        some = some[:: max(1, len(some) // (FOLD_WINDOWS * len(kept)))]
+        other = LanguageModel([langs[k] for k in kept], *_fitted(some, len(kept), seed, 2, rate, batch), model.temperature, 0.0)
+        strange = [t for t, k in held if k not in place]
+        unknown += [best(other, strange, 1 << 30)] if strange else []
     guess = 1 / len(langs)
-    model.threshold = float(min(guess + (1 - guess) / 3, np.quantile(best, 0.001)))
+    if unknown:
+        model.threshold = min(most, float(np.median(np.concatenate(unknown))))
+    else:
+        model.threshold = min(most, guess + (1 - guess) / 3) if len(langs) > 1 else 0.0
     return model
 
 

@@ -88,14 +88,13 @@ Unless required by applicable law or agreed to in writing, software distributed
 """
 #: Fixed values: (licence, what the text is, text) of known licences and short notices.
 KNOWN = [
-    ("MIT", "text", _MIT_GRANT + _MIT_NONE), ("MIT", "titled", "MIT License\n" + _MIT_GRANT + _MIT_NONE), ("MIT", "titled", "The MIT License (MIT)\n" + _MIT_GRANT + _MIT_NONE),
+    ("MIT", "text", _MIT_GRANT + _MIT_NONE),
     ("MIT-0", "text", _MIT_GRANT.split(", subject to")[0] + ".\n" + _MIT_NONE),
     ("ISC", "text", _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_NONE),
-    ("ISC", "titled", "ISC License\n" + _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_NONE),
     ("0BSD", "text", _ISC_GRANT + ".\n" + _ISC_NONE),
-    ("BSD-2-Clause", "text", _BSD_HEAD + _BSD_TWO + _BSD_NONE), ("BSD-2-Clause", "titled", "BSD 2-Clause License\n" + _BSD_HEAD + _BSD_TWO + _BSD_NONE),
-    ("BSD-3-Clause", "text", _BSD_HEAD + _BSD_TWO + _BSD_THREE + _BSD_NONE), ("BSD-3-Clause", "titled", "BSD 3-Clause License\n" + _BSD_HEAD + _BSD_TWO + _BSD_THREE + _BSD_NONE),
-    ("Zlib", "text", _ZLIB), ("Zlib", "titled", "zlib License\n" + _ZLIB), ("WTFPL", "text", _WTFPL),
+    ("BSD-2-Clause", "text", _BSD_HEAD + _BSD_TWO + _BSD_NONE),
+    ("BSD-3-Clause", "text", _BSD_HEAD + _BSD_TWO + _BSD_THREE + _BSD_NONE),
+    ("Zlib", "text", _ZLIB), ("WTFPL", "text", _WTFPL),
     ("Unlicense", "text", _UNLICENSE), ("Unlicense", "text", _UNLICENSE + _UNLICENSE_LINK.format("http://unlicense.org/")), ("Unlicense", "text", _UNLICENSE + _UNLICENSE_LINK.format("https://unlicense.org")),
     ("Apache-2.0", "notice", _APACHE_NOTICE),
     ("MIT", "notice", "Released under the MIT License."), ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
@@ -121,6 +120,23 @@ LONG_TEXTS = [
 ]
 
 
+#: Titles that may stand above a licence, in canonical form.
+TITLES = {
+    "MIT": ["mit license", "the mit license", "the mit license mit", "mit license mit", "the mit license expat"],
+    "MIT-0": ["mit no attribution", "mit 0", "mit no attribution license"],
+    "ISC": ["isc license", "the isc license", "isc license isc", "the isc license isc"],
+    "0BSD": ["bsd zero clause license", "zero clause bsd", "zero clause bsd license", "0bsd license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "the bsd 2 clause license", "bsd 2 clause simplified license", "simplified bsd license", "the simplified bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "the bsd 3 clause license", "bsd 3 clause new or revised license", "new bsd license", "the new bsd license", "modified bsd license"],
+    "Zlib": ["zlib license", "the zlib license", "zlib libpng license", "the zlib libpng license"],
+    "Unlicense": ["the unlicense", "unlicense"],
+}
+_OF_TITLE = {t: k for k, own in TITLES.items() for t in own}
+#: What may follow a title: the licences' first words.
+_FIRST = "permission is hereby|permission to use|redistribution and use|this software is provided|this is free and"
+TITLE_PATTERN = "^(" + "|".join(sorted(_OF_TITLE, key=lambda t: (-len(t), t))) + f") (?:{_FIRST})"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of whole texts; null stays null."""
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -148,12 +164,20 @@ def canonical_of(text: str) -> str:
     return own.strip(" ")
 
 
+def untitled(form: Column, title: Column) -> Column:
+    """A canonical form without its title."""
+    return F.when(title != "", F.substr(form, F.length(title) + 2)).otherwise(form)
+
+
 def known_rows(known: list[tuple[str, str, str]] | None = None) -> dict[str, tuple[str, str]]:
     """(licence, kind) by digest of known texts, the first one named; by default all that this
     module knows."""
     rows: dict[str, tuple[str, str]] = {}
     for license_id, kind, text in KNOWN if known is None else known:
-        rows.setdefault(hashlib.sha256(canonical_of(text).encode()).hexdigest(), (license_id, kind))
+        form = canonical_of(text)
+        if m := re.match(TITLE_PATTERN, form):  # as documents' forms are
+            form = form[m.end(1) + 1 :]
+        rows.setdefault(hashlib.sha256(form.encode()).hexdigest(), (license_id, kind))
     for license_id, digest in LONG_TEXTS if known is None else []:
         rows.setdefault(digest, (license_id, "text"))
     return rows
@@ -169,22 +193,29 @@ def folder_digests(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     licence (an ending ``.txt`` or ``.md`` apart); to be given to ``scan_licenses`` as ``known``."""
     files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(folder)
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.(txt|md)$", "")
-    rows = files.select(name.alias("license"), canonical(F.col("value")).alias("c")).where("c <> ''")
+    rows = files.select(name.alias("license"), canonical(F.col("value")).alias("c"))
+    rows = rows.select("license", untitled(F.col("c"), F.regexp_extract("c", TITLE_PATTERN, 1)).alias("c")).where("c <> ''")
     return rows.groupBy(F.sha2("c", 256).alias("k_digest")).agg(F.min("license").alias("license")).withColumn("kind", F.lit("text"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``doc_id, n_canonical, digest, license, kind`` of every document.
 
-    ``license`` is null unless the whole text, normalised, is a known one. Null texts have null
+    ``license`` is null unless the whole text, normalised, is a known one. A title of a licence
+    (``TITLES``) may stand above the text, whose ``kind`` then is ``titled``; it is not part of the form,
+    and the title of another licence makes it no match. Null texts have null
     lengths and digests; texts of punctuation alone normalise to the empty text and match
     nothing. Repeated rows stay; an empty table gives an empty result; further columns are left
     out. ``known`` has one row a digest; Spark broadcasts it where it is small, as lists of licences
     are, and then shuffles no row; texts are never shuffled.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    rows = docs.select("doc_id", canonical(F.col("text")).alias("c")).select("doc_id", F.length("c").cast("long").alias("n_canonical"), F.sha2("c", 256).alias("digest"))
-    return rows.join(known, (F.col("digest") == F.col("k_digest")) & (F.col("n_canonical") > 0), "left").select("doc_id", "n_canonical", "digest", "license", "kind")
+    rows = docs.select("doc_id", canonical(F.col("text")).alias("c")).select("doc_id", "c", F.regexp_extract("c", TITLE_PATTERN, 1).alias("title"))
+    rows = rows.select("doc_id", "title", untitled(F.col("c"), F.col("title")).alias("c")).select("doc_id", "title", F.length("c").cast("long").alias("n_canonical"), F.sha2("c", 256).alias("digest"))
+    titles = F.create_map(*[F.lit(x) for t, k in _OF_TITLE.items() for x in (t, k)])
+    fits = (F.col("digest") == F.col("k_digest")) & (F.col("n_canonical") > 0) & ((F.coalesce("title", F.lit("")) == "") | (titles[F.col("title")] == F.col("license")))
+    kind = F.when((F.col("title") != "") & (F.col("kind") == "text"), F.lit("titled")).otherwise(F.col("kind"))
+    return rows.join(known, fits, "left").select("doc_id", "n_canonical", "digest", "license", kind.alias("kind"))
 
 
 def oracle_sql() -> str:
@@ -199,8 +230,13 @@ def oracle_sql() -> str:
     for found, taken in SPELLINGS:
         own = f"replace({own}, ' {found} ', ' {taken} ')"
     table = ", ".join(f"('{d}', '{license_id}', '{kind}')" for d, (license_id, kind) in known_rows().items())
+    titles = ", ".join(f"('{t}', '{k}')" for t, k in _OF_TITLE.items())
     return f"""
-        WITH c AS (SELECT doc_id, trim({own}, ' ') AS c FROM documents),
-             d AS (SELECT doc_id, CAST(length(c) AS BIGINT) AS n_canonical, sha256(c) AS digest FROM c),
-             k(k_digest, license, kind) AS (VALUES {table})
-        SELECT doc_id, n_canonical, digest, license, kind FROM d LEFT JOIN k ON digest = k_digest AND n_canonical > 0"""
+        WITH a AS (SELECT doc_id, trim({own}, ' ') AS a FROM documents),
+             b AS (SELECT doc_id, a, regexp_extract(a, '{TITLE_PATTERN}', 1) AS title FROM a),
+             c AS (SELECT doc_id, title, CASE WHEN title <> '' THEN substr(a, length(title) + 2) ELSE a END AS c FROM b),
+             d AS (SELECT doc_id, title, CAST(length(c) AS BIGINT) AS n_canonical, sha256(c) AS digest FROM c),
+             k(k_digest, license, kind) AS (VALUES {table}),
+             t(t_title, t_license) AS (VALUES {titles})
+        SELECT doc_id, n_canonical, digest, license, CASE WHEN title <> '' AND kind = 'text' THEN 'titled' ELSE kind END AS kind
+        FROM d LEFT JOIN t ON t_title = title LEFT JOIN k ON digest = k_digest AND n_canonical > 0 AND (coalesce(title, '') = '' OR t_license = license)"""

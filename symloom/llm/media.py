@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,36 +120,108 @@ class Movie:
     frames: list[bytes]
 
 
-def read_avi(data: bytes) -> Movie:
-    """An AVI file's frames by its index; without an index by walking the chunks."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
-        raise ValueError("not an AVI file")
-    at, fps, movi, index = 12, float(FPS), None, None
-    while at + 8 <= len(data):
+def _parts(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, begin, end) of the chunks of a stretch; of lists the kind is that of the list, and they
+    begin behind it. What reaches beyond the stretch ends with it."""
+    while at + 8 <= end:
         kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if kind == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, at + 8 + size)
-        elif kind == b"LIST" and (found := data.find(b"strh", at, at + 8 + size)) >= 0:
-            scale, rate = struct.unpack_from("<II", data, found + 8 + 20)
-            fps = rate / scale if scale and rate else fps
-        elif kind == b"idx1":
-            index = np.frombuffer(data, "<u4", size // 16 * 4, at + 8).reshape(-1, 4)
+        if kind in (b"LIST", b"RIFF"):
+            yield data[at + 8 : at + 12], at + 12, min(end, at + 8 + size)
+        else:
+            yield kind, at + 8, min(end, at + 8 + size)
         at += 8 + size + (size & 1)
-    if movi is None:
+
+
+def _walked(data: bytes, at: int, end: int, kinds: tuple[bytes, ...]) -> Iterator[tuple[int, int]]:
+    """Begin and end of a stream's chunks in a movie list, by walking it and the lists in it."""
+    for kind, a, b in _parts(data, at, end):
+        if kind == b"rec ":
+            yield from _walked(data, a, b, kinds)
+        elif kind in kinds:
+            yield a, b
+
+
+def _standard_index(data: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of the chunks that an index chunk of one stream lists."""
+    per, _, kind, n, _, base = struct.unpack_from("<HBBI4sQ", data, at)
+    if kind != 1 or per < 2 or at + 24 + 4 * per * n > end:
+        raise ValueError("broken index in the AVI file")
+    for k in range(n):
+        offset, size = struct.unpack_from("<II", data, at + 24 + 4 * per * k)
+        yield base + offset, base + offset + (size & 0x7FFFFFFF)
+
+
+def read_avi(data: bytes) -> Movie:
+    """The frames of an AVI file's first video stream, by its indexes.
+
+    Large files are several RIFF parts: an index of indexes in the stream's header names an index
+    chunk of each part. Without it the first part has its own index, or none; parts and lists
+    without an index are walked. Frames that lie outside the file, or that an index has and the
+    walked parts do not, are an error, never left out.
+    """
+    riffs = list(_parts(data, 0, len(data)))
+    if data[:4] != b"RIFF" or not riffs or riffs[0][0] != b"AVI ":
+        raise ValueError("not an AVI file")
+    fps, stream, found, above = float(FPS), None, 0, []
+    movies, index = [], None
+    for form, begin, end in riffs:
+        if form not in (b"AVI ", b"AVIX"):
+            continue
+        own = None
+        for kind, a, b in _parts(data, begin, end):
+            if kind == b"movi":
+                own = (a, b)
+            elif kind == b"idx1" and form == b"AVI ":
+                index = np.frombuffer(data, "<u4", (b - a) // 16 * 4, a).reshape(-1, 4)
+            elif kind == b"hdrl":
+                for _, c, d in (x for x in _parts(data, a, b) if x[0] == b"strl"):
+                    parts = {k: (e, f) for k, e, f in _parts(data, c, d)}
+                    if b"strh" in parts and data[parts[b"strh"][0] : parts[b"strh"][0] + 4] == b"vids" and stream is None:
+                        stream = found
+                        scale, rate = struct.unpack_from("<II", data, parts[b"strh"][0] + 20)
+                        fps = rate / scale if scale and rate else fps
+                        if b"indx" in parts:
+                            above = list(_index_of_indexes(data, *parts[b"indx"]))
+                    found += 1
+        if own is not None:
+            movies.append(own)
+    if not movies:
         raise ValueError("no movie in the AVI file")
-    if index is not None:
-        video = int.from_bytes(b"00dc", "little")
-        rows = index[index[:, 0] == video][:, 2:].astype(np.int64)
-        # offsets count from the list's kind, in some files from the start of the file
-        base = movi[0] if not len(rows) or data[movi[0] + rows[0, 0] : movi[0] + rows[0, 0] + 4] == b"00dc" else 0
-        return Movie(fps, [data[a : a + n] for a, n in (rows + [base + 8, 0]).tolist()])
-    frames, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
-        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if kind == b"00dc":
-            frames.append(data[at + 8 : at + 8 + size])
-        at += 8 + size + (size & 1)
-    return Movie(fps, frames)
+    kinds = tuple(b"%02d" % (stream or 0) + x for x in (b"dc", b"db"))
+    if above:
+        places = [x for at in above for x in _standard_index(data, *at)]
+    else:
+        places = []
+        for k, (a, b) in enumerate(movies):
+            listed = [(c, d) for kind, c, d in _parts(data, a, b) if kind == b"ix%02d" % (stream or 0)]
+            if listed:
+                places += [x for at in listed for x in _standard_index(data, *at)]
+            elif k == 0 and index is not None:
+                rows = index[np.isin(index[:, 0], [int.from_bytes(x, "little") for x in kinds])][:, 2:].astype(np.int64)
+                # offsets count from the list's kind, in some files from the start of the file
+                base = a - 4 if not len(rows) or data[a - 4 + rows[0, 0] : a + rows[0, 0]] in kinds else 0
+                places += [(base + 8 + o, base + 8 + o + n) for o, n in rows.tolist()]
+            else:
+                places += _walked(data, a, b, kinds)
+    if any(a < 0 or b > len(data) for a, b in places):
+        raise ValueError("a frame lies outside the AVI file")
+    return Movie(fps, [data[a:b] for a, b in places])
+
+
+def _index_of_indexes(data: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of the index chunks that a stream's header names; if it is an index of chunks
+    itself, its own."""
+    per, _, kind, n = struct.unpack_from("<HBBI", data, at)
+    if kind == 1:
+        yield at, end
+        return
+    if per < 4 or at + 24 + 16 * n > end:
+        raise ValueError("broken index in the AVI file")
+    for k in range(n):
+        offset = struct.unpack_from("<Q", data, at + 24 + 4 * per * k)[0]
+        if offset + 8 > len(data):
+            raise ValueError("an index lies outside the AVI file")
+        yield offset + 8, min(len(data), offset + 8 + struct.unpack_from("<I", data, offset + 4)[0])
 
 
 def _standard_tables() -> dict[tuple[int, int], dict[tuple[int, int], int]]:
@@ -158,8 +230,14 @@ def _standard_tables() -> dict[tuple[int, int], dict[tuple[int, int], int]]:
     The lists are fixed values of the standard; the longest codes are the other (run, size) pairs.
     """
     pairs = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
-    light = bytes.fromhex("0102030004110512213141061351610722711432" + "8191a1082342b1c11552d1f02433627282")
-    tint = bytes.fromhex("0001020311040521310612415107617113223281" + "08144291a1b1c109233352f0156272d10a162434e125f1")
+    light = [
+        0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08,
+        0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82,
+    ]
+    tint = [
+        0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91,
+        0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1,
+    ]
     whole = lambda head: [*head, *sorted(set(pairs) - set(head))]
     counts = {
         (0, 0): [0, 1, 5, 1, 1, 1, 1, 1, 1], (0, 1): [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1],

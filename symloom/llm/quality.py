@@ -25,7 +25,8 @@ from symloom.llm.common import holds
 SAMPLE = 4000
 #: Bad rows that a rule has to catch, in all and of those that it grows on.
 SUPPORT, GROWN = 5, 3
-#: Thresholds of a statistic that are tried for a condition: those between the most rows.
+#: Thresholds of a statistic that are tried for a condition: those between the most rows. A bound of
+#: the work of learning, not of the rows that are judged.
 CUTS = 64
 #: What a condition's likelihood ratio has to pass (one degree of freedom, 99 %).
 CHANCE = 6.63
@@ -217,22 +218,25 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray, preci
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Counts and label of at most ``sample`` labelled documents, by order of a hash of doc_id."""
+    """Counts and label of at most ``sample`` labelled documents, by order of a hash of doc_id; of
+    documents that share a doc_id one counts, by a hash of the text, so there is a row a doc_id."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_l_doc"), F.col("quality").alias("_l_quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_l_doc"))
-    return rows.select(F.col("_l_doc").alias("doc_id"), F.col("_l_quality").alias("quality"), counts(F.col("text")).alias("c"))
+    rows = rows.select(F.col("_l_doc").alias("doc_id"), F.col("_l_quality").alias("quality"), F.xxhash64("text").alias("h"), counts(F.col("text")).alias("c"))
+    return rows.groupBy("doc_id", "quality").agg(F.min_by("c", "h").alias("c"))
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """The decision list of labelled documents (quality 0 is bad); no labels, no rules.
 
-    Rows that fail the base rule are left out. Only statistics of the sample reach the driver.
+    Rows that fail the base rule are left out. Only statistics of the sample, at most ``sample``
+    rows, reach the driver.
     """
     rows, values = labelled_counts(docs, labels, sample), ratios(F.col("c"))
     # as columns: a filter on the counts would be pushed below the join, onto every document
     got = rows.select(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)).alias("turn"), (F.col("quality") == 0).alias("bad"), base_failed(F.col("c")).alias("failed"), *[v.alias(k) for k, v in values.items()])
-    got = got.orderBy("turn", *values).limit(2 * sample).toPandas()
+    got = got.orderBy("turn", *values).toPandas()
     got = got[~got["failed"]]
     if not len(got) or not got["bad"].any():
         return []

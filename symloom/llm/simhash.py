@@ -165,10 +165,12 @@ class BitPlanes:
         return alive & ~above([ones, twos, fours, *high], radius)
 
 
-def linked(fingerprints: np.ndarray, bucket: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
+def linked(fingerprints: np.ndarray, bucket: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS, sizes: np.ndarray | None = None, share: tuple[int, int] = (0, 1)) -> np.ndarray:
     """For each row the first row of its group: linked rows of one bucket, buckets contiguous.
 
-    ``side``: where given, only rows of different sides are compared.
+    ``side``: where given, only rows of different sides are compared. ``sizes``, ascending in each
+    bucket: only rows whose sizes are at least as ``share`` (a fraction) are compared, so rows are
+    held against their neighbours in size and no others.
     """
     n = len(fingerprints)
     root = np.arange(n)
@@ -182,6 +184,8 @@ def linked(fingerprints: np.ndarray, bucket: np.ndarray, side: np.ndarray | None
 
     for lag in range(1, n):
         same = bucket[:-lag] == bucket[lag:]
+        if sizes is not None:
+            same &= share[1] * sizes[:-lag] >= share[0] * sizes[lag:]
         if not same.any():
             break
         if side is not None:
@@ -201,8 +205,9 @@ def linked(fingerprints: np.ndarray, bucket: np.ndarray, side: np.ndarray | None
     return root
 
 
-def deal(keys: DataFrame, ident: str, part: int) -> DataFrame:
-    """Rows ``(ident, ..., t, key)`` dealt to blocks ``(t, key, lo, hi)``, sorted by them.
+def deal(keys: DataFrame, ident: str, part: int, order: str | None = None) -> DataFrame:
+    """Rows ``(ident, ..., t, key)`` dealt to blocks ``(t, key, lo, hi)``, sorted by them, then by
+    ``order`` (else ``ident``).
 
     A key with more than ``part`` rows is cut into parts by a hash of ``ident``, ``c`` is a row's
     own, and each pair of parts is a block: every two rows of a key meet in one.
@@ -212,7 +217,10 @@ def deal(keys: DataFrame, ident: str, part: int) -> DataFrame:
     parts, own = F.coalesce("m", F.lit(1)), keys.columns
     dealt = dealt.select(*own, F.pmod(F.xxhash64(F.lit(7), ident), parts).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
     dealt = dealt.select(*own, "c", F.least("c", "o").cast("int").alias("lo"), F.greatest("c", "o").cast("int").alias("hi"))
-    return dealt.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", ident)
+    # a number of partitions is named, as their rows are small but their work is not: Spark would
+    # join small partitions to a few tasks
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", order or ident)
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:

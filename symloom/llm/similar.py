@@ -8,7 +8,8 @@ tenth of their words, share a given two with a chance of a hundredth. A block is
 bit-sliced over 256-bit fingerprints within a wide radius (a near pair passes it but for a chance
 below 1e-4), and what passes is compared exactly, within blocks of the same kind: whole sets meet
 by three disjoint pairs of anchors first, and by the others only where a block still holds sets of
-different groups. Blocks of any size are treated alike; those that are too large for a task are
+different groups. Near sets have sizes of 4 to 5 at least, so a block lies by size and its sets are
+held against their neighbours only. Blocks of any size are treated alike; those that are too large for a task are
 cut into parts, so that every two of their sets meet.
 """
 
@@ -105,16 +106,18 @@ def _shingles(texts: pa.Array) -> pa.Array:
     return _lists([shingles_of(t.as_py()) for t in texts])
 
 
-@F.arrow_udf(T.StructType([T.StructField("sig", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("anchors", T.ArrayType(T.LongType()))]))
+@F.arrow_udf(T.StructType([T.StructField("sig", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("anchors", T.ArrayType(T.LongType()))]))
 def _prints(texts: pa.Array) -> pa.Array:
     holds("similar")
     sets = [shingles_of(t.as_py()) for t in texts]
     sig = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets), np.uint64, len(sets)).view(np.int64)
-    return pa.StructArray.from_arrays([pa.array(sig), _lists([fingerprint_of(s) for s in sets]), _lists([anchors_of(s) for s in sets])], ["sig", "fp", "anchors"])
+    sizes = pa.array([len(s) for s in sets], pa.int32())
+    return pa.StructArray.from_arrays([pa.array(sig), sizes, _lists([fingerprint_of(s) for s in sets]), _lists([anchors_of(s) for s in sets])], ["sig", "n", "fp", "anchors"])
 
 
 def prints(text: Column) -> Column:
-    """Struct (sig, fp, anchors) of whole texts: a hash of the set, its fingerprint, its anchors."""
+    """Struct (sig, n, fp, anchors) of whole texts: a hash of the set, its size, its fingerprint, its
+    anchors."""
     return _prints(text)
 
 
@@ -124,13 +127,13 @@ def pair_keys(anchors: Column, first: int = 0, last: int = len(PAIRS)) -> Column
 
 
 def block_keys(one: DataFrame, name: str = "similar") -> DataFrame:
-    """``sig, fp, t, key``: the blocks of distinct sets ``(sig, fp, anchors)``, one for each pair of
+    """``sig, n, fp, t, key``: the blocks of distinct sets ``(sig, n, fp, anchors)``, one for each pair of
     anchors that several sets share. Most sets share none: keys are counted before fingerprints
     are put to them."""
     keys = one.select("sig", F.posexplode(pair_keys(F.col("anchors"))).alias("t", "key"))
     shared = keys.groupBy("t", "key").count().where(F.col("count") > 1).select(F.col("t").alias("_t"), F.col("key").alias("_key"))
     kept = materialize(keys.join(shared, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key")), "left_semi"), name)
-    return kept.join(one.select(F.col("sig").alias("_sig"), "fp"), F.col("sig") == F.col("_sig")).select("sig", "fp", "t", "key")
+    return kept.join(one.select(F.col("sig").alias("_sig"), "n", "fp"), F.col("sig") == F.col("_sig")).select("sig", "n", "fp", "t", "key")
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, held: int) -> Iterator[pa.Table]:
@@ -179,25 +182,25 @@ def close_links(keys: DataFrame, part: int = PART) -> DataFrame:
             bucket = _buckets(table, _BLOCK)
             sizes = np.bincount(bucket)
             small = np.flatnonzero((sizes[bucket] > 1) & (sizes[bucket] <= 64))
-            sig, fp, c = table.column("sig").to_numpy(), _columns(table, "fp"), table.column("c").to_numpy()
+            sig, fp, c, n = table.column("sig").to_numpy(), _columns(table, "fp"), table.column("c").to_numpy(), table.column("n").to_numpy().astype(np.int64)
             cross = table.column("lo").to_numpy() != table.column("hi").to_numpy()
             for at in [small, *(np.flatnonzero(bucket == b) for b in np.flatnonzero(sizes > 64))]:
                 if len(at) < 2:
                     continue
                 side = c[at] if at is not small and cross[at[0]] else None
-                root = linked(fp[at], bucket[at], side, RADIUS)
+                root = linked(fp[at], bucket[at], side, RADIUS, n[at], (SHARED, OF))
                 moved = np.flatnonzero(root != np.arange(len(at)))
                 a, b = sig[at][moved], sig[at][root[moved]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return deal(keys, "sig", part).mapInArrow(compare, "a long, b long").distinct()
+    return deal(keys, "sig", part, "n").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_links(blocks: DataFrame, part: int = SETS) -> DataFrame:
-    """Links ``(a, b)``, a > b, that join what near sets of one block ``(sig, t, key, fp, g, s)`` join.
+    """Links ``(a, b)``, a > b, that join what near sets of one block ``(sig, n, t, key, fp, g, s)`` join.
 
     Pairs of one group ``g``, or joined already in their block, are passed over, as are those beyond
-    the radius.
+    the radius and those of too different sizes; rows of a block lie by size.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +219,9 @@ def near_links(blocks: DataFrame, part: int = SETS) -> DataFrame:
                     i = root[i]
                 return i
 
+            n = np.array([len(x) for x in sets], np.int64)
             for lag in range(1, len(sets)):
-                same = bucket[:-lag] == bucket[lag:]
+                same = (bucket[:-lag] == bucket[lag:]) & (OF * n[:-lag] >= SHARED * n[lag:])
                 if not same.any():
                     break
                 same &= (~cross[:-lag] | (c[:-lag] != c[lag:])) & (g[:-lag] != g[lag:]) & (root[:-lag] != root[lag:])
@@ -232,7 +236,7 @@ def near_links(blocks: DataFrame, part: int = SETS) -> DataFrame:
             a, b = sig[moved], sig[up[moved]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return deal(blocks, "sig", part).mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return deal(blocks, "sig", part, "n").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def shared_blocks(wanted: DataFrame, groups: DataFrame | None, first: int, last: int, name: str) -> DataFrame:
@@ -263,18 +267,18 @@ def similar_groups(docs: DataFrame, name: str = "similar", part: int = PART, set
     rows = materialize(rows.select("doc_id", "digest", "p.*"), name)
     # one text of each set, named by doc_id and digest: of a text that stands there a thousand times one row
     some = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "digest")).alias("d")
-    one = materialize(rows.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), some), name)
+    one = materialize(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), some), name)
     close = materialize(connected_components(close_links(block_keys(one, name), part), name), name)
     wanted = materialize(one.join(close, F.col("sig") == F.col("node")).select("sig", "fp", "anchors", "root", F.col("d.doc").alias("_doc"), F.col("d.digest").alias("_digest")), name)
     # whole sets of those that have a close one, made anew from one of their texts
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
     names = wanted.select(F.col("sig").alias("_sig"), F.col("fp").alias("_fp"), "_doc", "_digest")
     texts = keyed.join(names, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    whole = materialize(texts.select("_sig", "_fp", _shingles("text").alias("s")), name)
+    whole = materialize(texts.select("_sig", "_fp", _shingles("text").alias("s")).withColumn("n", F.size("s")), name)
     links, groups = None, None
     for first, last in ((0, EARLY), (EARLY, len(PAIRS))):
         blocks = shared_blocks(wanted, groups, first, last, name)
-        found = blocks.join(whole, F.col("sig") == F.col("_sig")).select("sig", "t", "key", "g", F.col("_fp").alias("fp"), "s")
+        found = blocks.join(whole, F.col("sig") == F.col("_sig")).select("sig", "n", "t", "key", "g", F.col("_fp").alias("fp"), "s")
         new = materialize(near_links(found, sets), name)
         links = new if links is None else links.unionByName(new)
         groups = materialize(connected_components(links, name), name)

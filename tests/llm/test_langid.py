@@ -100,3 +100,26 @@ def test_training_stays_finite_on_the_given_tables(spark):
     hits = [r["lang"] == r["lang_pred"] for r in rows]
     assert len(hits) > 40 and np.mean(hits) > 0.95
     assert np.mean([r["rejected"] for r in rows]) < 0.02
+
+
+def test_threshold_comes_from_left_out_languages():
+    """Languages of their own syllables: known text passes, text of a language that no row has goes."""
+    import random
+
+    from symloom.llm import langid as G
+
+    rnd = random.Random(7)
+    syllables = {lang: ["".join(rnd.choices(letters, k=2)) for _ in range(25)] for lang, letters in {"a": "aeioklmn", "b": "uyrstgh", "c": "bdfaeipz", "d": "vwxjoqcu", "strange": "ghjklzxc"}.items()}
+    word = lambda lang: "".join(rnd.choices(syllables[lang], k=rnd.randint(1, 4)))
+    text = lambda lang, n: " ".join(word(lang) for _ in range(n))
+    model = G.train([(text(lang, rnd.randint(10, 200)), lang) for _ in range(60) for lang in "abcd"])
+    assert 1 / 4 < model.threshold < 1
+    predictor = G.Predictor(model)
+
+    def passes(t):
+        v = predictor.sums(t)
+        return model.chances(v[None, :-1], v[None, -1]).max() >= model.threshold
+
+    known = [passes(text(lang, 12)) for _ in range(100) for lang in "abcd"]
+    strange = [passes(text("strange", 60)) for _ in range(100)]
+    assert sum(known) >= 0.98 * len(known) and sum(strange) <= 0.75 * len(strange), (sum(known), sum(strange), model.threshold)

@@ -93,3 +93,18 @@ def test_spark_and_plain_form_agree(docs, rows):
     got = docs.select("text", canonical(F.col("text")).alias("c")).where("text is not null").collect()
     assert all(r["c"] == canonical_of(r["text"]) for r in got)
     assert "documents" in licenses.oracle_sql()
+
+
+def test_titles_are_an_optional_line(spark):
+    """A licence's own titles above its text, in any dress; another licence's title is no match."""
+    mit = next(t for k, kind, t in licenses.KNOWN if (k, kind) == ("MIT", "text"))
+    bsd = next(t for k, kind, t in licenses.KNOWN if (k, kind) == ("BSD-3-Clause", "text"))
+    texts = {
+        "plain": mit, "a": "The MIT License\n\n" + mit, "b": "(The MIT License)\n\nCopyright (c) 2020 Jane Doe\n\n" + mit, "c": "MIT LICENCE\r\n" + mit, "d": "# The MIT License (MIT)\n" + mit,
+        "e": "New BSD License\n" + bsd, "f": 'BSD 3-Clause "New" or "Revised" License\n' + bsd, "wrong": "ISC License\n" + mit, "more": "The MIT License\nand a word more " + mit, "alone": "The MIT License",
+    }
+    rows = scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")).orderBy("doc_id").collect()
+    got = dict(zip(texts, ((r["license"], r["kind"]) for r in rows), strict=True))
+    assert got["plain"] == ("MIT", "text") and all(got[k] == ("MIT", "titled") for k in "abcd") and all(got[k] == ("BSD-3-Clause", "titled") for k in "ef")
+    assert all(got[k] == (None, None) for k in ("wrong", "more", "alone"))
+    assert all(title == canonical_of(title) for own in licenses.TITLES.values() for title in own)

@@ -154,3 +154,60 @@ def test_clip_rows(docs, empty):
     assert got[0]["first_frame"] == 0 and all(b["first_frame"] == a["first_frame"] + a["n_frames"] for a, b in zip(got, got[1:], strict=False))
     assert all(r["end_s"] > r["start_s"] for r in got)
     assert clip_rows(empty.select("doc_id", text_to_avi(empty["text"]).alias("avi")), "doc_id", "avi").collect() == []
+
+
+def parts_of_avi(frames, per, indexed=True, lists=False, stray=False):
+    """A large AVI file: several RIFF parts, an index of indexes, the video as the second stream."""
+    plain = store(bytes(192))
+    head = plain[12 : plain.index(b"movi") - 8]
+    strl = head[head.index(b"strl") - 8 :]
+    audio = media._list(b"strl", media._chunk(b"strh", b"auds" + bytes(52)))
+    groups = [frames[i : i + per] for i in range(0, len(frames), per)]
+
+    def movie(group, at):
+        """A part's list with sound between the frames, and its index chunk at the end."""
+        body, places = b"", []
+        for f in group:
+            body += media._chunk(b"00wb", b"sound")
+            places.append((at + 12 + len(body) + 8, len(f)))
+            c = media._chunk(b"01dc", f)
+            if lists:
+                c = media._list(b"rec ", c)
+                places[-1] = (places[-1][0] + 12, len(f))
+            body += c
+        ix = media.struct.pack("<HBBI4sQI", 2, 0, 1, len(group), b"01dc", at, 0) + b"".join(media.struct.pack("<II", a - at, n | 1 << 31) for a, n in places)
+        return media._list(b"movi", body + (media._chunk(b"ix01", ix) if indexed else b"")), at + 12 + len(body)
+
+    def whole(entries):
+        indx = media.struct.pack("<HBBI4s12x", 4, 0, 0, len(entries), b"01dc") + b"".join(media.struct.pack("<QII", a, n, 1) for a, n in entries)
+        own = media._list(b"strl", strl[12:] + (media._chunk(b"indx", indx) if indexed and not stray else b""))
+        hdrl = media._list(b"hdrl", audio + own)
+        out, places = b"", []
+        for k, group in enumerate(groups):
+            before = len(out) + 12 + (len(hdrl) if k == 0 else 0)
+            m, ix = movie(group, before)
+            places.append((ix, 24 + 8 * len(group)))
+            body = (b"AVI " + hdrl if k == 0 else b"AVIX") + m
+            out += b"RIFF" + media.struct.pack("<I", len(body)) + body
+        return out, places
+
+    _, places = whole([(0, 0)] * len(groups))
+    return whole(places)[0]
+
+
+@pytest.mark.parametrize("kind", [{}, {"indexed": False}, {"indexed": False, "lists": True}, {"stray": True}, {"lists": True}])
+def test_files_of_several_parts(kind):
+    """Every frame of every part comes, by indexes and without them, also from lists of records."""
+    frames = read_avi(store(bytes(range(192)) * 12)).frames
+    assert read_avi(parts_of_avi(frames, 5, **kind)).frames == frames
+
+
+def test_index_beyond_the_file_is_an_error():
+    frames = read_avi(store(bytes(range(192)) * 12)).frames
+    data = parts_of_avi(frames, 5)
+    with pytest.raises(ValueError, match="outside"):
+        read_avi(data[: len(data) - 600])
+    one = store(bytes(384))
+    at = one.index(b"idx1") + 8 + 16
+    with pytest.raises(ValueError, match="outside"):
+        read_avi(one[: at + 8] + media.struct.pack("<I", 1 << 30) + one[at + 12 :])

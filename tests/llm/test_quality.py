@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from symloom.llm import quality
 from symloom.llm.quality import COUNTS, Condition, Rule, drop_bad, judge, learn, learn_rules, midpoints, repeated_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,3 +105,17 @@ def test_rules_of_the_given_tables_hold_for_others(spark, sf):
     dropped = [r["quality"] for r in rows if not r["kept"]]
     bad = sum(r["quality"] == 0 for r in rows)
     assert bad >= 5 and dropped.count(0) >= 0.9 * bad and dropped.count(0) >= 0.95 * len(dropped)
+
+
+def test_repeated_doc_ids_count_once(spark):
+    """A document that stands there many times is one example, and pushes no other one out."""
+    good = [(i, " ".join(f"w{i}_{k}" for k in range(40))) for i in range(60)]
+    bad = [(100 + i, " ".join(f"w{i}_{k} ##$$%%" for k in range(40))) for i in range(30)]
+    rows = [*good, *bad, *[good[0]] * 300, *[(0, f"another text under the first id {i} and some more words here") for i in range(50)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d < 100)) for d, _ in good + bad], "doc_id long, quality int")
+    got = quality.labelled_counts(docs, labels, sample=90)
+    assert got.count() == 90
+    rules = quality.learn_rules(docs, labels, sample=90)
+    kept = {r["doc_id"] for r in quality.judge(docs, rules).where("kept").collect()}
+    assert kept == {d for d, _ in good}

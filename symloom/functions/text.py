@@ -120,7 +120,8 @@ def json_text(body: Column) -> Column:
     fenced = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)\n?```"), F.lit(1)), lambda x: F.btrim(x, space))
     braces = F.regexp_extract_all(body, F.lit(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), F.lit(0))
     found = F.coalesce(F.when(F.contains(body, F.lit("```")), first(fenced)), F.when(good(whole), whole), F.when(F.contains(body, F.lit("{")), first(braces)))
-    return F.when(F.startswith(F.ltrim(found), F.lit("{")), found)
+    # named once: a lambda's argument is computed once, however often its body speaks of it
+    return F.transform(F.array(found), lambda x: F.when(F.startswith(F.ltrim(x), F.lit("{")), x))[0]
 
 
 def extract_json(body: Column) -> Column:

@@ -861,9 +861,10 @@ def merge_renames(t: Tables) -> DataFrame:
     return A.merge_renames(rows.where("seq % 2 = 0"), rows.where("seq % 2 <> 0")).withColumnRenamed("key", "rename_key")
 
 
-@query(f"SELECT DISTINCT path, name FROM ({FLAGGED}) f WHERE NOT EXISTS (SELECT 1 FROM ({I.RENAMES}) r WHERE r.path = f.path AND r.rename_key = f.name AND r.seq % 9 = 0) AND NOT EXISTS (SELECT 1 FROM ({I.BINDINGS}) b WHERE b.path = f.path AND b.name = f.name AND b.binding_seq % 40 = 1)")
+@query(f"SELECT DISTINCT path, name FROM ({FLAGGED}) f WHERE NOT EXISTS (SELECT 1 FROM ({I.RENAMES}) r WHERE r.path = f.path AND r.rename_key = f.name) AND NOT EXISTS (SELECT 1 FROM ({I.BINDINGS}) b WHERE b.path = f.path AND b.name = f.name AND b.quantity = 50)")
 def remaining_symbols(t: Tables) -> DataFrame:
-    return A.remaining_symbols(t.bindings(), t.renames().where("seq % 9 = 0"), t.bindings().where("binding_seq % 40 = 1"))
+    """Names that no rename speaks of; those of quantity 50 were skipped."""
+    return A.remaining_symbols(t.bindings(), t.renames(), t.bindings().where("quantity = 50"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS path, event_type AS batch_id, event_id % 5 AS round, " + ", ".join(f"count(*) FILTER (event_id % 7 = {i}) AS {o}" for i, o in enumerate(A.OUTCOMES)) + " FROM events GROUP BY ALL")
@@ -957,12 +958,12 @@ def uniquify_names(t: Tables) -> DataFrame:
 
 
 _STATS = f"""SELECT coalesce(b.path, r.path) AS path, coalesce(b.s, 0)::BIGINT AS symbols_found, coalesce(b.n, 0)::BIGINT AS scopes_processed, coalesce(r.n, 0)::BIGINT AS symbols_renamed, CASE WHEN coalesce(b.path, r.path) LIKE '%7' THEN 'bad file' END AS error
-    FROM (SELECT path, count(*) AS s, count(DISTINCT batch_id) AS n FROM ({_chunks_sql()}) c GROUP BY path) b FULL JOIN (SELECT path, count(*) AS n FROM ({I.RENAMES}) r WHERE seq % 10 = 0 GROUP BY path) r ON r.path = b.path"""
+    FROM (SELECT path, count(*) AS s, count(DISTINCT batch_id) AS n FROM ({_chunks_sql()}) c GROUP BY path) b FULL JOIN (SELECT path, count(*) AS n FROM ({I.RENAMES}) r GROUP BY path) r ON r.path = b.path"""
 
 
 def _stats(t: Tables) -> DataFrame:
     errors = t.lines().where("path like '%7'").select("path").distinct().withColumn("error", F.lit("bad file"))
-    return D.file_stats(_chunks(t), t.renames().where("seq % 10 = 0"), errors)
+    return D.file_stats(_chunks(t), t.renames(), errors)
 
 
 @query(_STATS)
@@ -1151,3 +1152,29 @@ def transform_chain(t: Tables) -> DataFrame:
     counted = Chain().add(D.name_counts, priority=10)
     rest = Chain().add(lambda d: d.where("n > 1"), priority=30).add(lambda d: d.where(N.is_obfuscated(F.col("name"))), priority=20).add(lambda d: d.limit(0), priority=40, should_run=lambda d: "absent" in d.columns)
     return (rest | counted).run(t.bindings())
+
+
+# The whole run over a tree of files
+
+
+_TREE_LINES = f"SELECT path, line, CASE WHEN line = 0 THEN 'var q0 = {{{{}}}};' ELSE 'var q' || CAST(line AS STRING) || ' = f(q' || CAST(line - 1 AS STRING) || ', {{{{q0}}}}); // q' || CAST(line AS STRING) END AS text FROM (SELECT DISTINCT path, line FROM ({I.ITEMS}) i) l"
+
+
+def name_after_symbol(frames):
+    """A naming function: every symbol gets a name that tells which it was."""
+    for f in frames:
+        rows = [(path, batch, "{" + ", ".join(f'"{s}": "name_{s}"' for s in symbols) + "}", None) for path, batch, symbols in zip(f["path"], f["batch_id"], f["symbols"], strict=True)]
+        yield pd.DataFrame(rows, columns=["path", "batch_id", "body", "error"])
+
+
+@query("SELECT path || '.js' AS file, line, CASE WHEN line = 0 THEN 'var name_q0 = {{}};' ELSE 'var name_q' || CAST(line AS VARCHAR) || ' = f(name_q' || CAST(line - 1 AS VARCHAR) || ', {{q0: name_q0}}); // q' || CAST(line AS VARCHAR) END AS text FROM (" + _TREE_LINES + ") t")
+def directory_run(t: Tables) -> DataFrame:
+    """Files of the tables' lines, written as a tree, renamed by the job, and read back."""
+    from symloom.jobs.directory import join_lines, run_directory
+
+    folder = f"{shared_dir(t.spark)}/tree-{uuid.uuid4().hex}"
+    files = join_lines(t.table("tree_lines", _TREE_LINES))
+    S.write_sources(files.select(F.concat(F.lit(f"{folder}/src/"), "path", F.lit(".js")).alias("path"), "source"))
+    run_directory(t.spark, f"{folder}/src", f"{folder}/work", name_after_symbol, 8, f"{folder}/out", n=64, program_max=50)
+    lines = S.explode_lines(S.read_sources(t.spark, f"{folder}/out"))
+    return lines.select(F.element_at(F.split("path", "/"), -1).alias("file"), "line", "text")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _watched:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes within go at the end: for work whose result is written
+    elsewhere by then. After an error they stay."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched.remove(made)
+    for path in made:
+        remove(spark, path)
+
+
 def whole_folders(spark: SparkSession, folder: str) -> list[str]:
     """Sub-folders that a finished write has marked; none if the folder is not there."""
     context = spark.sparkContext

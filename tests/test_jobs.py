@@ -130,17 +130,15 @@ def test_readers_of_a_log_see_one_state(spark, tmp_path):
     assert states(spark, folder) == {"f": (3, "in_progress", {"a": "z", "b": "y"})}
 
 
-NAMES = {"a": "first", "b": "second", "qq": "third"}
-
-
-def naming(frames):
-    for f in frames:
-        rows = [(p, b, json.dumps({s: NAMES[s] for s in symbols}), None) for p, b, symbols in zip(f["path"], f["batch_id"], f["symbols"], strict=True)]
-        yield pd.DataFrame(rows, columns=COLUMNS)
-
-
 def test_files_whose_parser_output_is_broken(spark, tmp_path):
     """Every file is in the summary: by the parser, by pattern where its JSON is broken or missing."""
+    names = {"a": "first", "b": "second", "qq": "third"}
+
+    def naming(frames):
+        for f in frames:
+            rows = [(p, b, json.dumps({s: names[s] for s in symbols}), None) for p, b, symbols in zip(f["path"], f["batch_id"], f["symbols"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "batch_id", "body", "error"])
+
     src, parsed = tmp_path / "src", tmp_path / "parsed"
     (src / "deep").mkdir(parents=True)
     (parsed / "deep").mkdir(parents=True)
@@ -156,7 +154,7 @@ def test_files_whose_parser_output_is_broken(spark, tmp_path):
     got = run_directory(spark, str(src), str(tmp_path / "work"), naming, 1, str(tmp_path / "out"), parsed=str(parsed))
     rows = {r["path"].rpartition("/")[2]: (r["status"], r["symbols_renamed"], r["note"]) for r in got.collect()}
     assert rows == {"one.js": ("ok", 1, None), "two.js": ("ok", 1, "parser output is not a JSON object"), "three.js": ("ok", 1, "no parser output")}
-    assert (tmp_path / "out/one.js").read_text() == "function f(first) { return first; }\nuse({a});"
+    assert (tmp_path / "out/one.js").read_text() == "function f(first) { return first; }\nuse({a: first});"  # undeclared: the entry of the file
     assert (tmp_path / "out/deep/two.js").read_text() == "var third = 2; use(third);" and (tmp_path / "out/three.js").read_text() == "var second = 1;"
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.common import holds
-from symloom.llm.wordsplit import SPECIAL, ChunkCache, is_plain, letters
+from symloom.llm.wordsplit import CHUNKS, SPECIAL, WORDS, ChunkCache, is_plain, letters
 
 END = "</w>"
 #: Transitions kept before a table starts anew; this bounds memory, not results.
@@ -105,7 +105,8 @@ def symbols(mapped: str) -> list[str]:
 class WordBpe:
     """A vocabulary file with word ends, compiled: words to ids and ids to labels."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = WORDS):
+        self.most = held  # words in the cache's young half, and transitions
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab: dict[str, int] = model["vocab"]
@@ -131,7 +132,7 @@ class WordBpe:
         self._restart()
         self.text = [f"{i}" for i in range(max(self.labels, default=-1) + 1)]
         self._tokenizer, self.path = None, path
-        self.cache = ChunkCache(lambda w: self._value(self.word(letters(w))), self._joined)
+        self.cache = ChunkCache(lambda w: self._value(self.word(letters(w))), self._joined, min(CHUNKS, held), held)
 
     @staticmethod
     def _added(path: str) -> list[dict]:
@@ -177,7 +178,7 @@ class WordBpe:
 
     def word(self, mapped: str) -> list[int]:
         """Ids of one word, given as byte letters: one transition a letter."""
-        if self.n_transitions > TRANSITIONS:
+        if self.n_transitions > self.most:
             self._restart()
         rows, state, ends = self.rows, 0, []
         for c in symbols(mapped):
@@ -230,10 +231,10 @@ class WordBpe:
         return " ".join([self.labels[i] for i in ids if i in self.labels])
 
 
-@lru_cache(maxsize=2)
-def compiled(path: str) -> WordBpe:
-    """The compiled vocabulary of this process."""
-    return WordBpe(path)
+@lru_cache(maxsize=1)
+def compiled(path: str, held: int = WORDS) -> WordBpe:
+    """The compiled vocabulary of this process; its caches hold about ``held`` words twice."""
+    return WordBpe(path, held)
 
 
 def bpe_encode(text: Column, path: str) -> Column:
@@ -260,13 +261,13 @@ def bpe_decode(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def bpe_digests(text: Column, path: str) -> Column:
+def bpe_digests(text: Column, path: str, held: int = WORDS) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of whole texts, encoded and decoded again."""
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pa.Array) -> pa.Array:
         holds("bpe", compiled.cache_clear)
-        bpe = compiled(path)
+        bpe = compiled(path, held)
         n, ids, decoded = [], [], []
         for t in texts:
             own, labels, k = bpe.coded(t.as_py() or "")

@@ -113,8 +113,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: a row a document with its ids' digests, its source and language."""
+    """The last stage: a row a document with its ids' digests, its source and language.
+
+    Its workers' caches are a quarter of those of ``op9``: an executor keeps all the workers that the
+    stages before have used, and each fills its own.
+    """
     from symloom.llm.bpe_automaton import bpe_digests
 
-    rows = docs.select("doc_id", "source", "lang", bpe_digests(F.col("text"), vocabulary()).alias("r"))
+    rows = docs.select("doc_id", "source", "lang", bpe_digests(F.col("text"), vocabulary(), 1 << 16).alias("r"))
     return rows.select("doc_id", "source", "lang", "r.*")

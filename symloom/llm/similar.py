@@ -257,6 +257,18 @@ def shared_blocks(wanted: DataFrame, groups: DataFrame | None, first: int, last:
     return materialize(own.join(mixed, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_key")), "left_semi"), name)
 
 
+def joined_groups(groups: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``node, root`` of groups that further links ``(a, b)`` join, and of what these join to them."""
+    of = lambda c: groups.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_r{c}"))
+    ends = links.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+    ends = ends.select(F.coalesce("_ra", "a").alias("x"), F.coalesce("_rb", "b").alias("y")).where("x <> y").distinct()
+    more = materialize(connected_components(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), name), name)
+    new = more.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    moved = groups.join(new, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
+    # nodes that had no group so far
+    return moved.unionByName(more.join(groups.select("node"), "node", "left_anti"))
+
+
 def similar_groups(docs: DataFrame, name: str = "similar", part: int = PART, sets: int = SETS) -> DataFrame:
     """``doc_id, digest, group`` of every document; ``digest`` is a hash of the text.
 
@@ -275,13 +287,11 @@ def similar_groups(docs: DataFrame, name: str = "similar", part: int = PART, set
     names = wanted.select(F.col("sig").alias("_sig"), F.col("fp").alias("_fp"), "_doc", "_digest")
     texts = keyed.join(names, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     whole = materialize(texts.select("_sig", "_fp", _shingles("text").alias("s")).withColumn("n", F.size("s")), name)
-    links, groups = None, None
-    for first, last in ((0, EARLY), (EARLY, len(PAIRS))):
-        blocks = shared_blocks(wanted, groups, first, last, name)
-        found = blocks.join(whole, F.col("sig") == F.col("_sig")).select("sig", "n", "t", "key", "g", F.col("_fp").alias("fp"), "s")
-        new = materialize(near_links(found, sets), name)
-        links = new if links is None else links.unionByName(new)
-        groups = materialize(connected_components(links, name), name)
+    meet = lambda groups, first, last: near_links(shared_blocks(wanted, groups, first, last, name).join(whole, F.col("sig") == F.col("_sig")).select("sig", "n", "t", "key", "g", F.col("_fp").alias("fp"), "s"), sets)
+    groups = materialize(connected_components(meet(None, 0, EARLY), name), name)
+    late = materialize(meet(groups, EARLY, len(PAIRS)), name)
+    if not late.isEmpty():  # few: they join groups, so only groups are walked again
+        groups = materialize(joined_groups(groups, late, name), name)
     return rows.join(groups, F.col("sig") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "sig").alias("group"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.storage import materialize
+from symloom.storage import broadcast_by_measure, materialize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
@@ -78,6 +78,16 @@ RENAMES = f"""
     SELECT path, CAST(binding_seq AS BIGINT) AS seq, CASE WHEN binding_seq % 6 = 0 THEN name || ':' || CAST(line + 1 AS STRING) ELSE name END AS rename_key,
         CASE WHEN binding_seq % 11 = 0 THEN 'class' WHEN binding_seq % 13 = 0 THEN ' spaced' || CAST(quantity AS STRING) || ' ' WHEN binding_seq % 17 = 0 THEN '9' || name ELSE 'item' || CAST(quantity AS STRING) END AS new_name
     FROM ({BINDINGS}) b WHERE binding_seq % 5 <> 4"""
+# What Spark runs for BINDINGS: the same rows, but a file's line items meet once, as they were given,
+# and the strings are made behind the shuffle. ``first`` tells the first binding of a line.
+_RAW = "l_suppkey, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate"
+_RANK = "dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey % 200)"
+_PLACED = f"SELECT {_RAW}, {_RANK} AS place FROM {{lineitem}}"
+_OWN_ITEMS = ITEMS.replace(_RANK, "place").replace("SELECT 'f'", "SELECT l_suppkey AS file, 'f'", 1).replace("{lineitem}", f"({_PLACED}) p")
+_IN_FILE = "(PARTITION BY file ORDER BY line, col, name, binding_type, scope_id, k1, k2, k3, k4, k5, k6)"
+BASE = f"""
+    SELECT path, scope_id, CAST(row_number() OVER {_IN_FILE} AS INT) AS binding_seq, name, line, col, binding_type, quantity,
+        coalesce(lag(line) OVER {_IN_FILE} <> line, true) AS first FROM ({_OWN_ITEMS}) i"""
 DOC_LINES_DUCK = """SELECT CAST(doc_id AS VARCHAR) AS path, unnest(range(len(string_split(text, chr(10)))))::INT AS line, unnest(string_split(text, chr(10))) AS text FROM documents"""
 
 
@@ -90,6 +100,7 @@ class Tables:
     """The given tables of a folder, and what is derived from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        broadcast_by_measure(spark)
         self.spark, self.sf_dir = spark, sf_dir
         self.kept: dict[str, DataFrame] = {}
 
@@ -103,29 +114,52 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, sql: str) -> DataFrame:
-        used = [t for t in TABLES if "{" + t + "}" in sql]
-        return self.spark.sql(sql, **{t: self.given(t) for t in used})
+        """Rows of the SQL; where it holds one of the tables below, what is written of it is read."""
+        known = {"own_cut": (_CUT, self.cut), "own_span": (_SPAN, self.span), "own_lines": (LINES, self.lines), "own_bindings": (BINDINGS, self.rows)}
+        frames = {}
+        for name, (own, rows) in known.items():
+            if f"({own})" in sql:
+                sql, frames[name] = sql.replace(f"({own})", f"{{{name}}}"), rows()
+        return self.spark.sql(sql, **frames, **{t: self.given(t) for t in TABLES if "{" + t + "}" in sql})
+
+    def base(self) -> DataFrame:
+        return self.table("base", BASE)
+
+    def rows(self) -> DataFrame:
+        """The rows of ``BINDINGS``."""
+        return self.base().drop("first")
 
     def bindings(self) -> DataFrame:
-        return self.table("bindings", BINDINGS).withColumnRenamed("col", "column")
+        return self.rows().withColumnRenamed("col", "column")
 
     def lines(self) -> DataFrame:
-        return self.table("lines", LINES)
+        """The rows of ``LINES``: the text of a line's first binding, so nothing is shuffled."""
+        text = LINES[LINES.index("CASE binding_type") : LINES.index("END AS text") + len("END AS text")]
+        return self.spark.sql(f"SELECT path, line, {text} FROM {{base}} WHERE first", base=self.base())
+
+    def span(self) -> DataFrame:
+        return self.table("span", _SPAN)
+
+    def cut(self) -> DataFrame:
+        return self.table("cut", _CUT)
 
     def references(self) -> DataFrame:
-        return self.table("references", REFERENCES).withColumnRenamed("col", "column")
+        return self.sql(REFERENCES).withColumnRenamed("col", "column")
 
     def scopes(self) -> DataFrame:
         children = F.when(F.col("scope_id") == "scope_0", F.array(F.lit("scope_1"), F.lit("scope_3"))).when(F.col("scope_id") == "scope_1", F.array(F.lit("scope_2"))).otherwise(F.array().cast("array<string>"))
-        return self.table("scopes", SCOPES).withColumn("children", children).withColumn("start_col", F.lit(0)).withColumn("end_col", F.lit(1))
+        return self.sql(SCOPES).withColumn("children", children).withColumn("start_col", F.lit(0)).withColumn("end_col", F.lit(1))
 
     def fine_bindings(self) -> DataFrame:
-        return self.table("fine_bindings", FINE_BINDINGS).withColumnRenamed("col", "column")
+        return self.sql(FINE_BINDINGS).withColumnRenamed("col", "column")
 
     def fine_scopes(self) -> DataFrame:
-        rows = self.table("fine_scopes", FINE_SCOPES)
-        inner = rows.groupBy("path", F.col("parent_id").alias("scope_id")).agg(F.array_sort(F.collect_list("scope_id")).alias("children"))
-        return rows.join(inner.where("scope_id is not null"), ["path", "scope_id"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+        if "fine_scopes" not in self.kept:
+            rows = self.sql(FINE_SCOPES)
+            inner = rows.groupBy("path", F.col("parent_id").alias("scope_id")).agg(F.array_sort(F.collect_list("scope_id")).alias("children"))
+            rows = rows.join(inner.where("scope_id is not null"), ["path", "scope_id"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+            self.kept["fine_scopes"] = materialize(rows, "fine_scopes")
+        return self.kept["fine_scopes"]
 
     def tree(self) -> DataFrame:
         return self.sql(TREE)

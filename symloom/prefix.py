@@ -66,15 +66,15 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     sums = numbered.groupBy("_part", *keys).agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     bases = [F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_base_{v}") for v in values]
-    # a row for each partition and each group that begins or ends in it: partitions + groups;
-    # written, so that Spark knows its size and sends it to all tasks only where it is small. Most
-    # groups lie within one partition and add nothing: they are left out
+    # a row for each partition and each group that begins or ends in it: partitions + groups. Only a
+    # group that goes on from the partition before adds something, at most one a partition; the
+    # others are left out, so what is sent to all tasks is no longer than the partitions are many
     right = sums.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *bases)
     right = materialize(right.where(" or ".join(f"`_base_{v}` <> 0" for v in values)), name)
     on = numbered["_part"] == right["_p"]
     for i, k in enumerate(keys):
         on = on & numbered[k].eqNullSafe(right[f"_k{i}"])
-    joined = numbered.join(right, on, "left")
+    joined = numbered.join(F.broadcast(right), on, "left")
     return joined.select(*[numbered[c] for c in df.columns], *[(F.col(f"_local_{v}") + F.coalesce(f"_base_{v}", F.lit(0))).alias(f"before_{v}") for v in values])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symloom.jobs import inputs as I
+from symloom.operators import answers as A
+from symloom.operators import context as K
 from symloom.storage import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +29,35 @@ def test_derived_tables_are_read_from_one(spark):
         want = spark.sql(sql, lineitem=t.given("lineitem"))
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
         assert "Window" not in planned(got)
+
+
+def exchanges(df):
+    I.Tables(df.sparkSession, SF)  # broadcasts go by measure
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_conflicts_shuffle_what_clashes_only(spark):
+    bindings = spark.createDataFrame([("f", "s", i, n, i) for i, n in enumerate("abcd")], "path string, scope_id string, binding_seq int, name string, line int")
+    renames = spark.createDataFrame([("f", i, n, new, i + 1) for i, (n, new) in enumerate([("a", "x"), ("b", "x"), ("c", "d")])], "path string, seq long, key string, new_name string, line int")
+    got = A.resolve_conflicts(renames, bindings, ("path",))
+    assert {(r.key, r.new_name, r.outcome, r.line) for r in got.collect()} == {("a", "x", "accepted", 1), ("b", "x_1", "adjusted", 2), ("c", "d_1", "adjusted", 3)}
+    assert exchanges(got) <= 45  # those of the clashing groups; 104 before
+
+
+def test_snippets_shuffle_lines_once(spark):
+    lines = spark.range(3000).select(F.concat(F.lit("f"), F.floor(F.col("id") / 3000)).alias("path"), F.col("id").cast("int").alias("line"), F.concat(F.lit("t"), "id").alias("text")).where("line <> 1023")
+    ids = spark.createDataFrame([("f0", n) for n in (0, 1021, 1022, 1023, 1024, 2999, 3001, 5000)], "path string, line int")
+    got = K.line_snippets(ids, lines)
+    assert exchanges(got) <= 2
+    found = {r.line: [int(x.split("t")[1]) for x in r.snippet.split("\n")] for r in got.collect()}
+    near = lambda n: [i for i in range(n - 3, n + 4) if 0 <= i < 3000 and i != 1023]
+    assert found == {n: near(n) for n in (0, 1021, 1022, 1023, 1024, 2999, 3001)}
+
+
+def test_contexts_meet_lines_by_packs(spark):
+    lines = spark.range(300).select(F.lit("f").alias("path"), F.col("id").cast("int").alias("line"), F.concat(F.lit("t"), "id").alias("text"))
+    batches = spark.createDataFrame([("f", "b", 60, 140, [(100,)]), ("f", "c", 290, 400, [(299,)])], "path string, batch_id string, start_row int, end_row int, identifiers array<struct<line:int>>")
+    for got in (K.scope_context(batches, lines, 500), K.small_scope_context(batches, lines, 500)):
+        assert "line#" not in "".join(x for x in planned(got).split("\n") if "Join" in x)
+        found = {r.batch_id: [int(x.split("t")[1]) for x in r.context.split("\n")] for r in got.collect()}
+        assert found == {"b": list(range(50, 150)), "c": list(range(280, 300))}

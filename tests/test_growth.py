@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from symloom.jobs import inputs as I
 from symloom.jobs import registry as R
 from symloom.operators import answers as A
+from symloom.operators import batching as B
 from symloom.operators import context as K
 from symloom.storage import materialize
 
@@ -69,3 +70,23 @@ def test_contexts_meet_lines_by_packs(spark):
         assert "line#" not in "".join(x for x in planned(got).split("\n") if "Join" in x)
         found = {r.batch_id: [int(x.split("t")[1]) for x in r.context.split("\n")] for r in got.collect()}
         assert found == {"b": list(range(50, 150)), "c": list(range(280, 300))}
+
+
+def test_batches_are_placed_from_a_written_table(spark):
+    ids = spark.range(200).select(F.lit("f").alias("path"), F.concat(F.lit("b"), F.col("id") % 20).alias("batch_id"), (F.col("id") % 20).cast("int").alias("start_row"))
+    batches = ids.groupBy("path", "batch_id", "start_row").agg(F.count("*").cast("int").alias("n_identifiers")).withColumn("end_row", F.col("start_row") + 1)
+    got = B.order_batches(batches)
+    assert "Aggregate" not in planned(got)  # it was computed for the keys and for the batches
+    assert {r.batch_id: r.batch_seq for r in got.collect()} == {f"b{i}": i + 1 for i in range(20)}
+
+
+def test_merges_meet_names_of_small_functions_only(spark):
+    scopes = spark.createDataFrame([("f", "s", "function", 0, 1, None), ("f", "t", "block", 0, 1, "s"), ("f", "big", "function", 0, 90, None)], "path string, scope_id string, scope_type string, start_row int, end_row int, parent_id string")
+    lines = spark.range(100).select(F.lit("f").alias("path"), F.col("id").cast("int").alias("line"), F.lit("x").alias("text"))
+    rows = [(1, "s", "a", 0), (2, "t", "b", 1), (3, "t", "b", 1), (4, "big", "c", 5), (5, "big", "d", 6)]
+    ids = spark.createDataFrame([("f", s, i, n, k, 0, "variable") for i, s, n, k in rows], "path string, scope_id string, binding_seq int, name string, line int, column int, binding_type string")
+    got = B.local_merges(ids, scopes, lines)
+    assert sorted((r.scope_id, r.boundary_id, r.binding_seq) for r in got.collect()) == [("s", "s", 1), ("t", "s", 2)]
+    more = ids.unionByName(ids.where("binding_seq = 1").withColumn("line", F.lit(1)))  # a name twice
+    assert B.local_merges(more, scopes, lines).isEmpty()
+    assert planned(got).count("LeftSemi") == 1  # of scopes, none of names

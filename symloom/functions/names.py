@@ -43,16 +43,16 @@ def _short_rules(name: Column, abbreviations: list[str], words: list[str], hexad
         .when(F.contains(name, F.lit("_")) & (size <= 5), True)
     )
     if hexadecimal:
-        out = out.when(lower.rlike(r"^[a-f0-9]+$") & (size >= 4), True)
+        out = out.when((size >= 4) & lower.rlike(r"^[a-f0-9]+$"), True)
     return out.otherwise(False)
 
 
 def is_obfuscated(name: Column) -> Column:
     """Whether a name looks machine-made, its unique suffix apart; null and empty are not."""
-    base = F.coalesce(F.nullif(F.regexp_extract(name, UNIQUE_SUFFIX, 1), F.lit("")), name)
-    rules = _short_rules(base, ABBREVIATIONS, SHORT_WORDS, hexadecimal=True)
-    kept = ~name.rlike(UNIQUE_SUFFIX) & F.lower(name).isin(KEPT)
-    return F.when(name.isNull() | (name == "") | kept, False).otherwise(rules)
+    # every rule reads the base, so the pattern is kept from names that cannot match; no kept name can
+    stripped = F.when(F.contains(name, F.lit("__u")), F.nullif(F.regexp_extract(name, UNIQUE_SUFFIX, 1), F.lit("")))
+    rules = _short_rules(F.coalesce(stripped, name), ABBREVIATIONS, SHORT_WORDS, hexadecimal=True)
+    return F.when(name.isNull() | (name == "") | F.lower(name).isin(KEPT), False).otherwise(rules)
 
 
 def is_obfuscated_parser(name: Column) -> Column:

@@ -127,7 +127,8 @@ def resolve_conflicts(renames: DataFrame, bindings: DataFrame, by: tuple[str, ..
     """
     known = parse_rename_key(F.col("key"))
     rows = renames.withColumn("symbol", F.coalesce(known["name"], F.col("key"))).withColumn("_line", F.coalesce(known["line"], F.col("line").cast("long")) - 1)
-    places = scope_of_line(bindings).select("path", F.col("name").alias("symbol"), F.col("line").cast("long").alias("_line"), F.col("scope_id").alias("_scope"))
+    # lines are longs before they are grouped, so that the join finds them dealt as it needs them
+    places = scope_of_line(bindings.withColumn("line", F.col("line").cast("long"))).select("path", F.col("name").alias("symbol"), F.col("line").alias("_line"), F.col("scope_id").alias("_scope"))
     # written, as what follows reads it several times
     rows = materialize(rows.join(places, ["path", "symbol", "_line"], "left"), "placed")
     free = rows.where("_scope is null or _scope = ''").withColumn("outcome", F.lit("accepted"))

@@ -90,3 +90,26 @@ def test_merges_meet_names_of_small_functions_only(spark):
     more = ids.unionByName(ids.where("binding_seq = 1").withColumn("line", F.lit(1)))  # a name twice
     assert B.local_merges(more, scopes, lines).isEmpty()
     assert planned(got).count("LeftSemi") == 1  # of scopes, none of names
+
+
+def test_name_rules_run_once_a_query(spark):
+    for name in ("program_batches", "program_batch_eligible", "top_level_func_eligible", "request_small_scope", "global_symbol_snippet"):
+        assert "__u" not in planned(R.queries()[name](spark, SF))  # the rules' pattern, with every reading before
+
+
+def test_placed_renames_find_scopes_as_they_are_dealt(spark):
+    I.Tables(spark, SF)
+    bindings = spark.createDataFrame([("f", "s", 0, "a", 0)], "path string, scope_id string, binding_seq int, name string, line int")
+    renames = spark.createDataFrame([("f", 0, "a", "x", 1)], "path string, seq long, key string, new_name string, line int")
+    found = []
+    keep = lambda df, name: found.append((name, planned_exchanges(df))) or materialize(df, name)
+    before, A.materialize = A.materialize, keep
+    try:
+        assert [r.new_name for r in A.resolve_conflicts(renames, bindings, ("path",)).collect()] == ["x"]
+    finally:
+        A.materialize = before
+    assert dict(found)["placed"] == 2  # 3 before: lines were dealt as ints, then as longs
+
+
+def planned_exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")

@@ -136,10 +136,11 @@ def resolve_conflicts(renames: DataFrame, bindings: DataFrame, by: tuple[str, ..
     group = [*by, "_scope"]
     leaving = held.select(*group, "symbol").distinct()
     names = bindings.select("path", F.col("scope_id").alias("_scope"), F.col("name").alias("symbol")).distinct()
-    staying = held.select(*group).distinct().join(names, ["path", "_scope"]).join(leaving, [*group, "symbol"], "left_anti")
+    # written too, as are the clashing scopes: names and what stays of them are found once
+    staying = materialize(held.select(*group).distinct().join(names, ["path", "_scope"]).join(leaving, [*group, "symbol"], "left_anti"), "staying")
     wanted = held.groupBy(*group, "new_name").agg(F.count("*").alias("_n"))
     taken = wanted.join(staying.withColumnRenamed("symbol", "new_name").withColumn("_stays", F.lit(True)), [*group, "new_name"], "left")
-    clashing = taken.where("_n > 1 or _stays").select(*group).distinct()
+    clashing = materialize(taken.where("_n > 1 or _stays").select(*group).distinct(), "clashing")
     # what a scope's sequence needs: its wanted names in order, and the names that stay
     stays = staying.join(clashing, group, "left_semi").groupBy(*group).agg(F.collect_set("symbol").alias("stays"))
     marked = materialize(held.join(clashing.withColumn("_clash", F.lit(True)), group, "left"), "marked")

@@ -36,6 +36,8 @@ from symloom.llm.wordsplit import CHUNKS, SPECIAL, WORDS, ChunkCache, is_plain,
 END = "</w>"
 #: Transitions kept before a table starts anew; this bounds memory, not results.
 TRANSITIONS = 1 << 18
+#: The part of a transition that is its label.
+LABEL_BITS, LABELS = 32, (1 << 32) - 1
 START = -1
 NEVER = 1 << 60
 #: Key of a node's own number in the tree of letters, whose other keys are letters.
@@ -144,7 +146,8 @@ class WordBpe:
         # flat, as there are many states
         self.begun: list[tuple[int, ...]] = []
         self.known: dict[tuple[int, ...], int] = {}
-        self.rows: list[dict[str, tuple[int, int]]] = []
+        # a transition is one number: the next state above, the label that ends below
+        self.rows: list[dict[str, int]] = []
         self.n_transitions = 0
         self._state((START, 0))
 
@@ -156,7 +159,7 @@ class WordBpe:
             self.rows.append({})
         return state
 
-    def _advance(self, state: int, letter: str) -> tuple[int, int]:
+    def _advance(self, state: int, letter: str) -> int:
         """A new transition: the next state, and the label that ends with this letter."""
         step, nodes, begun, ended = self.automaton.step, self.nodes, [], None
         old = self.begun[state]
@@ -172,7 +175,7 @@ class WordBpe:
         if ended is None:
             raise ValueError(f"no accepted sequence with {letter!r}")
         begun += (ended, 0)
-        found = self.rows[state][letter] = (self._state(tuple(begun)), ended)
+        found = self.rows[state][letter] = self._state(tuple(begun)) << LABEL_BITS | ended
         self.n_transitions += 1
         return found
 
@@ -182,14 +185,15 @@ class WordBpe:
             self._restart()
         rows, state, ends = self.rows, 0, []
         for c in symbols(mapped):
-            found = rows[state].get(c) or self._advance(state, c)
-            state = found[0]
-            ends.append(found[1])
-        path, at = [], len(ends)
+            row = rows[state]
+            found = row[c] if c in row else self._advance(state, c)
+            state = found >> LABEL_BITS
+            ends.append(found)
+        path, at, length = [], len(ends), self.length
         while at:
-            label = ends[at - 1]
+            label = ends[at - 1] & LABELS
             path.append(label)
-            at -= self.length[label]
+            at -= length[label]
         path.reverse()
         return path
 

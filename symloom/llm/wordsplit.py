@@ -37,7 +37,9 @@ BYTE_LETTERS = byte_letters()
 
 
 def letters(word: str) -> str:
-    """A word's UTF-8 bytes as byte letters."""
+    """A word's UTF-8 bytes as byte letters; printable ASCII stands for itself."""
+    if word.isascii() and word.isprintable() and " " not in word:
+        return word
     return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS)
 
 

@@ -8,6 +8,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from symloom.llm import bpe_automaton as B
+from symloom.llm import wordsplit as W
 from symloom.llm.bpe_automaton import MergeAutomaton, bpe_decode, bpe_encode, bpe_round_trip, compiled
 from symloom.llm.wordsplit import ChunkCache
 
@@ -96,3 +98,12 @@ def test_columns(docs, library):
     for r in got:
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["back"] == library.decode(ids, skip_special_tokens=False)
+
+
+def test_transitions_are_numbers_and_ascii_stands_for_itself():
+    bpe = B.WordBpe(PATH, 50)  # the table starts anew often
+    words = ["whither", "unbelievably", "x9", "...!?", "café", "\x7f~"]
+    assert [bpe.decode(bpe.word(W.letters(w))).replace(" ", "") for w in words[:2]] == ["whither</w>", "unbelievably</w>"]
+    assert all(isinstance(x, int) for row in bpe.rows for x in row.values())
+    for w in words:
+        assert W.letters(w) == "".join(W.BYTE_LETTERS[b] for b in w.encode())

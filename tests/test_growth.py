@@ -113,3 +113,32 @@ def test_placed_renames_find_scopes_as_they_are_dealt(spark):
 
 def planned_exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_requests_move_what_they_show_once(spark):
+    I.Tables(spark, SF)
+    lines = spark.range(200).select(F.concat(F.lit("f"), F.floor(F.col("id") / 3000)).alias("path"), F.col("id").cast("int").alias("line"), F.concat(F.lit("t"), "id").alias("text")).where("line <> 66")
+    keys = ["path", "batch_id", "role"]
+    wanted = spark.createDataFrame([("f0", "b", 0, [65, 63, 64, 66, 900]), ("f0", "b", 1, [66]), ("f0", "c", 0, [199])], "path string, batch_id string, role int, at array<int>")
+    got = K._blocks(wanted, keys, lines, {"shown": F.col("text")}, lambda x: x["shown"], ["path", "batch_id"])
+    whole = got.groupBy("path", "batch_id").agg(F.collect_list("block").alias("blocks"))
+    assert planned_exchanges(whole) <= 3  # of both sides of the join, and of what was found; 4 before
+    assert {r.batch_id: r.blocks for r in whole.collect()} == {"b": ["t63\nt64\nt65"], "c": ["t199"]}
+
+
+def test_requests_are_not_built_again_where_none_was_too_long(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(x):
+        built.add(1)
+        return x
+
+    rows = spark.range(5).select(F.lit("f").alias("path"), F.col("id").cast("string").alias("batch_id"), F.array(F.lit("a")).alias("symbols"), text(F.lit("c")).alias("context"), F.create_map(F.lit("a"), F.lit("s")).alias("snippets"))
+
+    def naming(frames):
+        for f in frames:
+            yield f[["path", "batch_id"]].assign(body="{}", error=None)
+
+    assert sorted(map(tuple, A.dispatch(rows, naming, 2).select("batch_id", "attempt", "body").collect())) == [(str(i), 1, "{}") for i in range(5)]
+    assert built.value == 5  # 10 before

@@ -142,3 +142,19 @@ def test_requests_are_not_built_again_where_none_was_too_long(spark):
 
     assert sorted(map(tuple, A.dispatch(rows, naming, 2).select("batch_id", "attempt", "body").collect())) == [(str(i), 1, "{}") for i in range(5)]
     assert built.value == 5  # 10 before
+
+
+def test_tables_that_are_sent_are_small(spark):
+    from symloom.storage import broadcast_by_measure
+
+    files, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    session = spark.newSession()
+    for given, sent in (("10MB", 1 << 20), ("10485760b", 1 << 20), ("256k", 256 << 10)):
+        session.conf.unset(measured)
+        session.conf.set(files, given)
+        broadcast_by_measure(session)
+        assert (session.conf.get(files), session.conf.get(measured)) == ("-1", str(sent))  # what was given, before
+    session.conf.set(files, "10MB")
+    session.conf.set(measured, "5m")  # asked for by the session
+    broadcast_by_measure(session)
+    assert session.conf.get(measured) == "5m"

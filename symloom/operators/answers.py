@@ -92,16 +92,25 @@ def symbols_of_keys(renames: DataFrame) -> DataFrame:
     return renames.select("path", F.coalesce(key["name"], F.col("key")).alias("name")).distinct()
 
 
-def merge_renames(*parts: DataFrame) -> DataFrame:
-    """Union of rename tables ``(path, seq, key, new_name)``, later ones after earlier ones: of
-    one key the last value stays, at the first one's place. ``seq`` is anything that has an order,
-    of one type in all parts."""
+def _merged(*parts: DataFrame) -> DataFrame:
+    """``path, key, turn, new_name``: of one key the last value, at the first one's turn."""
     whole = None
     for i, p in enumerate(parts):
         rows = p.select("path", F.struct(F.lit(i).alias("part"), F.col("seq").alias("seq")).alias("turn"), "key", "new_name")
         whole = rows if whole is None else whole.unionByName(rows)
-    best = whole.groupBy("path", "key").agg(F.min("turn").alias("turn"), F.max_by("new_name", "turn").alias("new_name"))
-    return _numbered(best)
+    return whole.groupBy("path", "key").agg(F.min("turn").alias("turn"), F.max_by("new_name", "turn").alias("new_name"))
+
+
+def last_names(*parts: DataFrame) -> DataFrame:
+    """``path, key, new_name`` of ``merge_renames``, for what needs no places: nothing is sorted."""
+    return _merged(*parts).select("path", "key", "new_name")
+
+
+def merge_renames(*parts: DataFrame) -> DataFrame:
+    """Union of rename tables ``(path, seq, key, new_name)``, later ones after earlier ones: of
+    one key the last value stays, at the first one's place. ``seq`` is anything that has an order,
+    of one type in all parts."""
+    return _numbered(_merged(*parts))
 
 
 def _settle(names: list[str], blocked: set[str]) -> list[tuple[str | None, bool]]:

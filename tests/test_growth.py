@@ -158,3 +158,12 @@ def test_tables_that_are_sent_are_small(spark):
     session.conf.set(measured, "5m")  # asked for by the session
     broadcast_by_measure(session)
     assert session.conf.get(measured) == "5m"
+
+
+def test_names_that_are_applied_are_not_placed(spark, monkeypatch):
+    rows = spark.createDataFrame([("f", 1, "a", "x"), ("f", 3, "a", "y"), ("f", 2, "b:1", "z"), ("g", 1, "a", "w")], "path string, seq long, key string, new_name string")
+    want = {(r.path, r.key, r.new_name) for r in A.merge_renames(rows).collect()}
+    assert {tuple(r) for r in A.last_names(rows).collect()} == want == {("f", "a", "y"), ("f", "b:1", "z"), ("g", "a", "w")}
+    placed = []
+    monkeypatch.setattr(A, "ranked", lambda *a: placed.append(a))
+    assert R.queries()["apply_renames"](spark, SF).columns == ["path", "line", "text"] and not placed  # once before

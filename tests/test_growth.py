@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from symloom.jobs import inputs as I
@@ -9,6 +10,7 @@ from symloom.jobs import registry as R
 from symloom.operators import answers as A
 from symloom.operators import batching as B
 from symloom.operators import context as K
+from symloom.sources import files as S
 from symloom.storage import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +47,35 @@ def test_trees_are_written_without_a_commit(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.rglob("_SUCCESS")) and list(tmp_path.rglob("path=*.txt")) and list(tmp_path.rglob("path=*.json"))
 
 
+def test_written_files_do_not_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "shared_dir", lambda _: str(tmp_path))
+    got = R.queries()["write_sources"](spark, SF)
+    assert got.count() > 1000
+    assert not [x for x in tmp_path.rglob("*") if x.is_file()]  # a file a path before, each a block of the disk
+
+
+def test_passing_files_are_read_from_few_at_once(tmp_path, monkeypatch):
+    most, put = [], S._put
+
+    def counted(*args):
+        put(*args)
+        most.append(len([x for x in tmp_path.rglob("*") if x.is_file()]))
+
+    monkeypatch.setattr(S, "_put", counted)
+    rows = [(f"out/{i % 3}/f{i}.js", f"\u00e4{i}\r\n//" if i else None) for i in range(10)]
+    batches = [pa.RecordBatch.from_pylist([{"path": p, "source": s} for p, s in part]) for part in (rows[:7], rows[7:])]
+    found = [r for b in S._passed(iter(batches), str(tmp_path), 3) for r in b.to_pylist()]
+    assert sorted((r["path"], r["source"]) for r in found) == sorted((p, s or "") for p, s in rows)
+    assert max(most) == 3 and len(most) == 10 and not list(tmp_path.iterdir())
+
+
+def test_passing_files_are_dealt_over_tasks(spark, tmp_path):
+    files = spark.range(40).select(F.concat(F.lit("a b/"), "id", F.lit(".js")).alias("path"), F.concat(F.lit("x"), "id").alias("source")).coalesce(1)
+    got = S.pass_sources(files, f"file:{tmp_path}", 4)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.path, r.source) for r in got.collect()} == {(f"a b/{i}.js", f"x{i}") for i in range(40)}
+
+
 def test_conflicts_shuffle_what_clashes_only(spark):
     bindings = spark.createDataFrame([("f", "s", i, n, i) for i, n in enumerate("abcd")], "path string, scope_id string, binding_seq int, name string, line int")
     renames = spark.createDataFrame([("f", i, n, new, i + 1) for i, (n, new) in enumerate([("a", "x"), ("b", "x"), ("c", "d")])], "path string, seq long, key string, new_name string, line int")

@@ -198,3 +198,21 @@ def test_names_that_are_applied_are_not_placed(spark, monkeypatch):
     placed = []
     monkeypatch.setattr(A, "ranked", lambda *a: placed.append(a))
     assert R.queries()["apply_renames"](spark, SF).columns == ["path", "line", "text"] and not placed  # once before
+
+
+def test_passing_files_are_written_in_their_place(tmp_path, monkeypatch):
+    calls = []
+
+    class Noted:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return lambda *a, **k: calls.append(name) or getattr(self.system, name)(*a, **k)
+
+    located = S._located
+    monkeypatch.setattr(S, "_located", lambda path: (Noted(located(path)[0]), located(path)[1]))
+    rows = [{"path": f"out/{i % 2}/f{i}.js.gz", "source": f"x{i}"} for i in range(8)]
+    found = [r for b in S._passed(iter([pa.RecordBatch.from_pylist(rows)]), str(tmp_path), 4) for r in b.to_pylist()]
+    assert sorted((r["path"], r["source"]) for r in found) == sorted((r["path"], r["source"]) for r in rows)
+    assert calls.count("move") == 0 and calls.count("create_dir") == 6  # a move and a folder a file before

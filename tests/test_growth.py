@@ -216,3 +216,30 @@ def test_passing_files_are_written_in_their_place(tmp_path, monkeypatch):
     found = [r for b in S._passed(iter([pa.RecordBatch.from_pylist(rows)]), str(tmp_path), 4) for r in b.to_pylist()]
     assert sorted((r["path"], r["source"]) for r in found) == sorted((r["path"], r["source"]) for r in rows)
     assert calls.count("move") == 0 and calls.count("create_dir") == 6  # a move and a folder a file before
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    import time
+    from pathlib import Path
+
+    root, passing = Path(spark.conf.get("spark.local.dir")), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = set(root.rglob("shuffle_*"))
+    rows = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    assert materialize(rows, "rows").count() == 100 and spark.conf.get(passing, "false") == "false"
+    own = lambda: set(root.rglob("shuffle_*")) - before
+    last = time.monotonic() + 20
+    while len(own()) > 8 and time.monotonic() < last:  # of the count only; they go by a thread of their own
+        time.sleep(0.2)
+    written = {x.name.split("_")[1] for x in own()}
+    assert len(written) <= 1  # the write's two shuffles stayed before
+
+
+def test_lines_tell_of_their_own_statements(spark):
+    texts = ["var a = 1;", "let b = 2", ";", "const c = () => 1;", "d = 1;", "var e;", "var f = function g() {};", "var h =", "1", "+ 2;", "var " + "i" * 120 + " = 1;", "var j = 1; var k = 2;"]
+    lines = spark.createDataFrame([("f", n, t) for n, t in enumerate(texts)], "path string, line int, text string")
+    ids = spark.createDataFrame([("f", n, n) for n in (*range(12), 40)] + [("g", 1, 0), ("f", None, 0)], "path string, binding_seq int, line int")
+    got = B.variable_eligible(ids, lines)
+    assert sorted((r.path, r.binding_seq) for r in got.collect()) == [("f", 0), ("f", 1), ("f", 11)]
+    assert sorted(r.binding_seq for r in B.variable_eligible(ids, lines, max_lines=3).collect()) == [0, 1, 7, 11]
+    closed = B.variable_eligible(ids.where("path = 'f' and line in (0, 3, 4, 5, 6)"), lines)
+    assert "explode" not in planned(closed) and planned(closed).count("Join") == 0  # each id met four lines and their text before

@@ -243,3 +243,17 @@ def test_lines_tell_of_their_own_statements(spark):
     assert sorted(r.binding_seq for r in B.variable_eligible(ids, lines, max_lines=3).collect()) == [0, 1, 7, 11]
     closed = B.variable_eligible(ids.where("path = 'f' and line in (0, 3, 4, 5, 6)"), lines)
     assert "explode" not in planned(closed) and planned(closed).count("Join") == 0  # each id met four lines and their text before
+
+
+def test_requests_are_put_together_once(spark):
+    batches = spark.createDataFrame([("f", "p", "s0", "program", 0, 5, [("a", 0), ("b", 2), ("a", 4)]), ("f", "q", "s1", "function", 1, 3, [("c", 1)])], "path string, batch_id string, scope_id string, scope_type string, start_row int, end_row int, identifiers array<struct<name:string,line:int>>")
+    lines = spark.createDataFrame([("f", i, f"t{i}") for i in range(6)], "path string, line int, text string")
+    bindings = spark.createDataFrame([("f", "a", 4, 1, [5]), ("f", "b", 2, 2, [2])], "path string, name string, line int, binding_seq int, reference_lines array<int>")
+    got = K.build_requests(batches, lines, bindings)
+    plan = planned(got)
+    assert "array_position" not in plan and "try_element_at" not in plan  # looked up name by name, in lists and maps, before
+    rows = {r.batch_id: r for r in got.collect()}
+    assert list(rows["p"].symbols) == ["a", "b"] and rows["p"].symbol_lines == {"a": 5, "b": 3}
+    near = lambda n, a, z: "\n".join((" >>> " if i == n else "     ") + f"{i + 1:>6} | t{i}" for i in range(a, z))
+    assert rows["p"].snippets == {"a": "Declaration:\n" + near(4, 1, 6) + "\n\nReference 1 (line 6):\n" + near(5, 2, 6), "b": "Declaration:\n" + near(2, 0, 6)}
+    assert rows["q"].snippets == {"c": near(1, 0, 5)} and rows["q"].context == "\n".join(f"{i + 1:>6} | t{i}" for i in range(6))
